@@ -36,3 +36,28 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     else:
         raise RuntimeError("components did not settle")
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).union(edges.select("v", "v").distinct())
+
+
+def linked_rows(rows: DataFrame, classes: DataFrame, found: DataFrame, row_id: str) -> DataFrame:
+    """rows (row_id, node) + class_id, n_links, component_id.
+
+    classes (node, weight, least): the rows that are one node, how many, and the smallest row_id. found (node, other,
+    links): links a node was found to have, in rows, and one node it hangs together with. Rows of one node link with
+    each other; a null node links with nothing.
+    """
+    found = written(found, "found")
+    by_node = found.groupBy("node").agg(F.sum("links").alias("links"))
+    roots = components(found.select(F.col("node").alias("a"), F.col("other").alias("b")))
+    nodes = classes.select("node", "weight", "least").join(by_node, "node", "left").join(roots, "node", "left")
+    nodes = nodes.select("node", F.col("least").alias("class_id"), (F.col("weight") - 1 + F.coalesce("links", F.lit(0))).cast("long").alias("n_links"), F.coalesce("root", "node").alias("root"))
+    nodes = written(nodes, "nodes")
+    least = nodes.groupBy("root").agg(F.min("class_id").alias("component_id"))
+    nodes = nodes.join(least, "root").drop("root")
+    out = rows.join(nodes, "node", "left")
+    alone = F.col("node").isNull()
+    return out.select(
+        *rows.columns,
+        F.when(alone, F.col(row_id)).otherwise(F.col("class_id")).alias("class_id"),
+        F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"),
+        F.when(alone, F.col(row_id)).otherwise(F.col("component_id")).alias("component_id"),
+    )
