@@ -3,7 +3,8 @@
 Texts are sets of hashed word 5-grams; equal sets are one class. A set's sketch holds the token of least hash under each of
 TOKENS seeded permutations: sampled tokens, shared by two sets with the probability of their Jaccard similarity. Each run
 splits the sets by one sampled token; buckets of more than SMALL sets are split again by another one, drawn by the path so
-far, down to DEPTH; what is left is compared by brute force over the sketches, large buckets tile by tile. RUNS independent
+far, down to DEPTH or until a split keeps four fifths of a bucket together, as near copies stay; what is left is compared by
+brute force over the sketches, large buckets tile by tile. RUNS independent
 runs give the target recall. The candidates that hang together are then compared exactly over their whole sets, each two of
 a group, so the result has no estimate in it and a pair missed by all runs is still found if other pairs tie its texts.
 """
@@ -141,8 +142,9 @@ def _heads(classes: DataFrame) -> DataFrame:
 
 
 def _deeper(rows: DataFrame) -> DataFrame:
-    """rows with their path one sampled token longer."""
-    names = ["path", "node", "size", "sketch"]
+    """rows with their path one sampled token longer; before: the sets at the node that they leave."""
+    rows = rows.withColumnRenamed("n", "before")
+    names = ["path", "node", "size", "sketch", "before"]
 
     def run(batches):
         for batch in batches:
@@ -150,7 +152,7 @@ def _deeper(rows: DataFrame) -> DataFrame:
                 path = step(batch.column("path").to_numpy().view(np.uint64), fixed(batch.column("sketch"), np.uint8, TOKENS))
                 yield pa.RecordBatch.from_arrays([pa.array(path.view(np.int64)), *[batch.column(c) for c in names[1:]]], names=names)
 
-    return rows.select(*names).mapInArrow(run, "path long, node binary, size int, sketch binary")
+    return rows.select(*names).mapInArrow(run, "path long, node binary, size int, sketch binary, before long")
 
 
 def _counted(rows: DataFrame) -> DataFrame:
@@ -164,12 +166,14 @@ def candidates(classes: DataFrame) -> DataFrame:
     together = _counted(_heads(classes))
     level = written(together.join(classes.select("node", "size", "sketch"), "node"), "paths")
     buckets = level.where(F.col("n") <= SMALL)
+    large = level.where(F.col("n") > SMALL)
     for depth in range(2, DEPTH + 1):
-        large = level.where(F.col("n") > SMALL)
         if not large.limit(1).count():
             break
         level = written(_counted(_deeper(large)), "paths")
-        buckets = buckets.unionByName(level if depth == DEPTH else level.where(F.col("n") <= SMALL))
+        last = F.lit(True) if depth == DEPTH else (F.col("n") <= SMALL) | (DENOMINATOR * F.col("n") >= NUMERATOR * F.col("before"))
+        buckets = buckets.unionByName(level.where(last).drop("before"))
+        large = level.where(~last).drop("before")
     rows = tiled(buckets.select("path", "node", "size", "sketch", "n"), ["path"], "node", TILE_ROWS, n="n")
     return by_tile(rows.select("tile", "node", "size", "sketch"), _alike, "node binary, other binary").distinct()
 
