@@ -1,0 +1,233 @@
+"""Author, venue and year functions."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+from .text import present
+
+#: Particles of surnames; spellings of one given name; venues by alias; tiers by keyword; credibility of sources.
+PARTICLES = ["van", "von", "de", "der", "den", "da", "di", "la", "le", "del", "du", "el", "al"]
+VARIANTS = [("alexander", "aleksandr"), ("dmitry", "dmitri"), ("sergey", "sergei"), ("yuri", "yury"), ("mohammed", "muhammad"), ("mikhail", "michael"), ("joerg", "jorg"), ("juergen", "jurgen")]
+VENUES = [
+    ("neurips", ["neurips", "nips", "neural information processing systems"]),
+    ("icml", ["icml", "international conference on machine learning"]),
+    ("crypto", ["crypto", "advances in cryptology"]),
+    ("eurocrypt", ["eurocrypt"]),
+    ("usenix security", ["usenix security", "usenix security symposium"]),
+    ("ccs", ["acm ccs", "computer and communications security"]),
+    ("vldb", ["vldb", "very large data bases"]),
+    ("sigmod", ["sigmod", "management of data"]),
+]
+TIERS = [
+    ("tier1_journal", ["nature", "science", "journal of cryptology", "journal of the acm"]),
+    ("tier1_conference", ["crypto", "eurocrypt", "neurips", "icml", "ccs", "sigmod", "vldb"]),
+    ("tier2", ["ieee", "springer", "elsevier"]),
+    ("preprint", ["arxiv", "eprint", "preprint"]),
+    ("workshop", ["workshop", "poster"]),
+]
+CREDIBILITY = {"dblp": 0.95, "crossref": 0.9, "pubmed": 0.95, "openalex": 0.85, "semantic_scholar": 0.85, "arxiv": 0.8, "iacr": 0.9}
+DEFAULT_CREDIBILITY = 0.5
+
+
+def strip_number(c: Column) -> Column:
+    """A name without the number that tells namesakes apart."""
+    for pattern in (r"[ ]+[0-9]{4}$", r"[ ]*\([0-9]+\)$", r"[ ]*\[[0-9]+\]$"):
+        c = F.regexp_replace(c, pattern, "")
+    return F.trim(c)
+
+
+def clean_name(c: Column) -> Column:
+    """No number, honorific or suffix; 'Last, First' is turned; lower case without dots and hyphens."""
+    n = F.lower(strip_number(c))
+    n = F.regexp_replace(n, r"^(dr|prof|mr|mrs|ms)\. *", "")
+    n = F.regexp_replace(n, r",? +(jr|sr|ii|iii|iv)\.?$", "")
+    n = F.when(n.contains(","), F.concat_ws(" ", F.trim(F.split_part(n, F.lit(","), F.lit(2))), F.trim(F.split_part(n, F.lit(","), F.lit(1))))).otherwise(n)
+    return F.trim(F.regexp_replace(F.regexp_replace(n, r"[.-]", " "), " +", " "))
+
+
+def let(value: Column, fn) -> Column:
+    """fn(value) with value computed once."""
+    return F.element_at(F.transform(F.array(value), fn), 1)
+
+
+def name_parts(c: Column) -> Column:
+    return F.split(clean_name(c), " ")
+
+
+def _surname(p: Column) -> Column:
+    last, before = F.element_at(p, -1), F.try_element_at(p, F.lit(-2))
+    return F.when((F.size(p) > 1) & before.isin(*PARTICLES), F.concat_ws(" ", before, last)).otherwise(last)
+
+
+def surname(c: Column) -> Column:
+    """Last word of a name, with a particle before it."""
+    return let(name_parts(c), _surname)
+
+
+def name_struct(c: Column) -> Column:
+    """struct of the cleaned name: whole, given, last."""
+    return let(
+        name_parts(c), lambda p: F.struct(F.array_join(p, " ").alias("whole"), F.when(F.size(p) > 1, F.element_at(p, 1)).otherwise("").alias("given"), _surname(p).alias("last"))
+    )
+
+
+def variant_of(a: Column, b: Column) -> Column:
+    out = F.lit(False)
+    for x, y in VARIANTS:
+        out = out | ((a == x) & (b == y)) | ((a == y) & (b == x))
+    return out
+
+
+def compare_names(a: Column, b: Column) -> Column:
+    """1 equal, 0 other surname, .6 a surname alone, .95 equal or variant given names, .85 an initial, else .4."""
+    return let(F.struct(name_struct(a).alias("a"), name_struct(b).alias("b")), lambda s: compare_structs(s["a"], s["b"]))
+
+
+def compare_structs(x: Column, y: Column) -> Column:
+    gx, gy = x["given"], y["given"]
+    initial = ((F.char_length(gx) == 1) & gy.startswith(gx)) | ((F.char_length(gy) == 1) & gx.startswith(gy))
+    return (
+        F.when(~present(x["whole"]) | ~present(y["whole"]), 0.0)
+        .when(x["whole"] == y["whole"], 1.0)
+        .when(x["last"] != y["last"], 0.0)
+        .when((gx == "") | (gy == ""), 0.6)
+        .when((gx == gy) | variant_of(gx, gy), 0.95)
+        .when(initial, 0.85)
+        .otherwise(0.4)
+    )
+
+
+def compare_lists(ref: Column, paper: Column) -> Column:
+    """Greedy matching in the reference's order, each name taking the best unused one of at least .4.
+
+    struct: overall, injection, removal, matched, unmatched_ref, unmatched_paper. A fold over the names, in the JVM.
+    """
+    kind = "struct<used:array<int>,total:double,matched:int>"
+    start = F.struct(F.array().cast("array<int>").alias("used"), F.lit(0.0).alias("total"), F.lit(0).alias("matched")).cast(kind)
+
+    def taken(s: Column, best: Column) -> Column:
+        more = F.struct(F.array_append(s["used"], -best["k"]).alias("used"), (s["total"] + best["c"]).alias("total"), (s["matched"] + 1).alias("matched"))
+        return F.when(best.isNull(), s).otherwise(more).cast(kind)
+
+    def fold(both: Column) -> Column:
+        def place(s: Column, name: Column) -> Column:
+            options = F.filter(F.transform(both["p"], lambda p, i: F.struct(compare_structs(name, p).alias("c"), (-i).alias("k"))), lambda o: (o["c"] >= 0.4) & ~F.array_contains(s["used"], -o["k"]))
+            return let(F.array_max(options), lambda best: taken(s, best))
+
+        return F.aggregate(both["r"], start, place)
+
+    n, m = F.size(ref), F.size(paper)
+    return let(
+        let(F.struct(F.transform(ref, name_struct).alias("r"), F.transform(paper, name_struct).alias("p")), fold),
+        lambda s: F.struct(
+            F.when((n <= 0) | (m <= 0), 0.0).otherwise(F.greatest(F.lit(0.0), s["total"] / F.greatest(n, m) - 0.1 * (n - s["matched"]) - 0.05 * (m - s["matched"]))).alias("overall"),
+            ((n > s["matched"]) & (s["matched"] >= 2)).alias("injection"),
+            ((m > s["matched"]) & (s["matched"] >= 1)).alias("removal"),
+            s["matched"].alias("matched"),
+            (n - s["matched"]).alias("unmatched_ref"),
+            (m - s["matched"]).alias("unmatched_paper"),
+        ),
+    )
+
+
+def doi_author_similarity(ref: Column, paper: Column) -> Column:
+    """Share of names with a counterpart whose words overlap by .6."""
+    from .text import token_jaccard
+
+    hit = F.size(F.filter(ref, lambda a: F.exists(paper, lambda b: token_jaccard(a, b) >= 0.6)))
+    return F.when((F.size(ref) <= 0) | (F.size(paper) <= 0), 0.0).otherwise(hit / F.greatest(F.size(ref), F.size(paper)))
+
+
+def surname_jaccard(ref: Column, paper: Column) -> Column:
+    names = F.struct(*[F.array_distinct(F.transform(c, surname)).alias(k) for k, c in (("x", ref), ("y", paper))])
+    shared = lambda s: F.size(F.array_intersect(s["x"], s["y"])) / F.size(F.array_union(s["x"], s["y"]))
+    return let(names, lambda s: F.when((F.size(s["x"]) <= 0) | (F.size(s["y"]) <= 0), 0.0).otherwise(shared(s)))
+
+
+def normalise_venue(c: Column) -> Column:
+    v = F.lower(c)
+    for pattern in (r"\(?(19|20)[0-9]{2}\)?", r"proceedings of( the)?|proceedings|proc\.", r"[0-9]+(st|nd|rd|th)", r"lecture notes in computer science|lncs", r"vol(ume)?\.? *[0-9]+", r"pp?\. *[0-9]+(-[0-9]+)?", r"[^\p{L}\p{N} &-]"):
+        v = F.regexp_replace(v, pattern, " ")
+    return F.trim(F.regexp_replace(v, " +", " "))
+
+
+def canonical_venue(c: Column) -> Column:
+    """The first venue with an alias that equals, holds or is held by the normalised name; the name itself if none."""
+    return let(normalise_venue(c), _canonical)
+
+
+def _canonical(v: Column) -> Column:
+    out, exact = v, F.lit(None).cast("string")
+    for name, aliases in reversed(VENUES):
+        near = F.lit(False)
+        for alias in aliases:
+            near = near | v.contains(alias) | F.lit(alias).contains(v)
+        out = F.when(near, name).otherwise(out)
+        exact = F.when(v.isin(*aliases), name).otherwise(exact)
+    return F.when(v == "", "").otherwise(F.coalesce(exact, out))
+
+
+def venue_struct(c: Column) -> Column:
+    """struct of a venue: its normalised name, canonical venue and words."""
+    stop = F.array(*[F.lit(w) for w in ("on", "of", "the", "and", "in", "for", "international", "conference", "journal")])
+    return let(normalise_venue(c), lambda v: F.struct(v.alias("v"), _canonical(v).alias("canon"), F.array_except(F.array_distinct(F.split(v, " ")), stop).alias("words")))
+
+
+def venue_similarity(a: Column, b: Column) -> Column:
+    """0 missing, 1 equal, .95 one venue, .85 containment, else from the overlap of words."""
+    return let(F.struct(venue_struct(a).alias("a"), venue_struct(b).alias("b")), lambda s: compare_venues(s["a"], s["b"]))
+
+
+def compare_venues(a: Column, b: Column) -> Column:
+    x, y = a["v"], b["v"]
+    most = F.greatest(F.size(a["words"]), F.size(b["words"]))
+    overlap = F.when(most == 0, 0.0).otherwise(F.size(F.array_intersect(a["words"], b["words"])) / F.greatest(most, F.lit(1)))
+    return (
+        F.when(~present(x) | ~present(y), 0.0)
+        .when(x == y, 1.0)
+        .when(a["canon"] == b["canon"], 0.95)
+        .when(x.contains(y) | y.contains(x), 0.85)
+        .when(overlap >= 0.5, 0.7 + 0.2 * overlap)
+        .otherwise(overlap)
+    )
+
+
+def venue_tier(c: Column) -> Column:
+    out = F.lit("other")
+    for tier, words in reversed(TIERS):
+        hit = F.lit(False)
+        for w in words:
+            hit = hit | F.lower(c).contains(w)
+        out = F.when(hit, tier).otherwise(out)
+    return F.when(~present(c), "unknown").otherwise(out)
+
+
+def year_linear(a: Column, b: Column) -> Column:
+    d = F.abs(a - b)
+    return F.when(a.isNull() | b.isNull(), 0.0).when(d == 0, 1.0).when(d <= 3, 1.0 - d / 3.0).otherwise(0.0)
+
+
+def year_asymmetric(ref: Column, paper: Column) -> Column:
+    """Newer than the paper: .7 .4 .1; older: .9 .8 .6 .3; missing: .5."""
+    d = ref - paper
+    return (
+        F.when(ref.isNull() | paper.isNull(), 0.5)
+        .when(d == 0, 1.0)
+        .when(d == 1, 0.7).when((d > 1) & (d <= 2), 0.4).when(d > 2, 0.1)
+        .when(d == -1, 0.9).when(d == -2, 0.8).when(d >= -4, 0.6)
+        .otherwise(0.3)
+    )
+
+
+def year_stepped(a: Column, b: Column) -> Column:
+    d = F.abs(a - b)
+    return F.when(a.isNull() | b.isNull(), 0.0).when(d == 0, 1.0).when(d == 1, 0.5).when(d == 2, 0.2).otherwise(0.0)
+
+
+def credibility(source: Column) -> Column:
+    out = F.lit(DEFAULT_CREDIBILITY)
+    for name, value in CREDIBILITY.items():
+        out = F.when(F.lower(source) == name, value).otherwise(out)
+    return out
