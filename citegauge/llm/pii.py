@@ -161,7 +161,7 @@ def kind_of(value: Column) -> Column:
     by = dict(reversed(PATTERNS))
     letters = F.concat(F.substring(value, 1, 2), digits)
     iban = _mod97(F.concat(F.substring(letters, 5, 40), _country(F.substring(letters, 1, 2)), F.substring(letters, 3, 2))) == 1
-    octets = F.forall(F.split(value, r"\."), lambda o: o.cast("int") <= 255)
+    octets = F.forall(F.split(value, r"\."), lambda o: (o.cast("int") <= 255) & ((o == "0") | ~o.startswith("0")))
     ssn = ~F.substring(value, 1, 3).isin("000", "666") & (F.substring(value, 1, 1) != "9") & (F.substring(value, 5, 2) != "00") & (F.substring(value, 8, 4) != "0000")
     return (
         F.when(full(by["email"]), "email")
@@ -217,10 +217,17 @@ def _pseudonym(value: Column, kind: Column, digits: Column, key: str, back: bool
     coded = F.char_length(_only(code, "[^0-9]"))
     phone = F.concat(F.substring(digits, F.lit(1), coded), digits_permuted(F.substring(digits, coded + 1, n), key, "phone", back))
 
-    # ip: over all 32-bit addresses
-    octet = F.transform(F.split(value, r"\."), lambda o: o.cast("long"))
-    pair = _once(octet, lambda o: feistel(o[0] * 256 + o[1], o[2] * 256 + o[3], F.lit(65536), F.lit(65536), key, "ip", back))
-    ip = _once(pair, lambda p: F.concat_ws(".", F.floor(p["l"] / 256).cast("string"), (p["l"] % 256).cast("string"), F.floor(p["r"] / 256).cast("string"), (p["r"] % 256).cast("string")))
+    # ip: over the addresses with as many digits in each octet
+    size = lambda o: F.when(F.char_length(o) == 1, 10).when(F.char_length(o) == 2, 90).otherwise(156)
+    base = lambda o: F.when(F.char_length(o) == 1, 0).when(F.char_length(o) == 2, 10).otherwise(100)
+    octets = F.transform(F.split(value, r"\."), lambda o: F.struct((o.cast("long") - base(o)).alias("n"), size(o).cast("long").alias("size"), base(o).alias("base")))
+
+    def moved(o: Column) -> Column:
+        pair = feistel(o[0]["n"] * o[1]["size"] + o[1]["n"], o[2]["n"] * o[3]["size"] + o[3]["n"], o[0]["size"] * o[1]["size"], o[2]["size"] * o[3]["size"], key, "ip", back)
+        new = lambda p: [F.floor(p["l"] / o[1]["size"]) + o[0]["base"], p["l"] % o[1]["size"] + o[1]["base"], F.floor(p["r"] / o[3]["size"]) + o[2]["base"], p["r"] % o[3]["size"] + o[3]["base"]]
+        return _once(pair, lambda p: F.concat_ws(".", *[c.cast("string") for c in new(p)]))
+
+    ip = _once(octets, moved)
 
     # email: letters and digits are permuted each within its class; punctuation and the last part of the domain stay
     local, host, top = (F.regexp_extract(value, r"^([^@]+)@(.*)(\.[^.]+)$", k) for k in (1, 2, 3))
