@@ -145,7 +145,7 @@ def pack(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 
     The driver holds one count per length and the plan's runs; both are bounded by the capacity.
     """
-    rows = ranked(cut)
+    rows = ranked(written(cut, "pieces"))  # read twice: the texts are tokenised once
     counts = {r[0]: r[1] for r in rows.groupBy("length").count().collect()}
     runs, _ = plan(counts, capacity)
     runs.sort()
