@@ -43,7 +43,7 @@ def block(refs: DataFrame, papers: DataFrame, most: int = 10) -> DataFrame:
 
     A union of equi-joins; each pair once; at most `most` per reference and source, as the catalogues' searches give.
     """
-    key = lambda d: d.select("*", normalise_doi(F.col("doi")).alias("k_doi"), F.lower(F.trim("title")).alias("k_title"), surname(F.col("authors")[0]).alias("k_name"))
+    key = lambda d: d.select("*", normalise_doi(F.col("doi")).alias("k_doi"), F.lower(F.trim("title")).alias("k_title"), surname(F.get("authors", F.lit(0))).alias("k_name"))
     r = key(refs).select("ref_id", "k_doi", "k_title", "k_name", "year")
     p = key(papers).select("paper_id", "source", "k_doi", "k_title", "k_name", "year")
     by_doi = r.where("k_doi <> ''").select("ref_id", "k_doi").join(p.select("paper_id", "source", "k_doi"), "k_doi").select("ref_id", "paper_id", "source", F.lit(1).alias("rank"))
@@ -55,12 +55,12 @@ def block(refs: DataFrame, papers: DataFrame, most: int = 10) -> DataFrame:
     return pairs.withColumn("top", top).where(F.col("top") <= most).select("ref_id", "paper_id", "rank")
 
 
-def score(pairs: DataFrame, refs: DataFrame, papers: DataFrame, exact: bool = False) -> DataFrame:
-    """pairs + title_sim, author_sim, venue_sim, year_sim, score and the paper's fields.
+def score(pairs: DataFrame, refs: DataFrame, papers: DataFrame, exact: bool = False, extra: tuple[str, ...] = ()) -> DataFrame:
+    """pairs + title_sim, author_sim, venue_sim, year_sim, score and the paper's fields, with those of its other columns named in extra.
 
     exact takes the sequence ratio and the greedy comparison of author lists; else words and surnames, all in codegen.
     """
-    p = papers.select("paper_id", "source", *[F.col(c).alias(f"p_{c}") for c in ("title", "authors", "year", "venue", "doi", "citations")])
+    p = papers.select("paper_id", "source", *extra, *[F.col(c).alias(f"p_{c}") for c in ("title", "authors", "year", "venue", "doi", "citations")])
     j = pairs.join(refs, "ref_id").join(p, "paper_id")
     title = title_similarity(F.col("title"), F.col("p_title")) if exact else token_jaccard(F.col("title"), F.col("p_title"))
     author = compare_lists(F.col("authors"), F.col("p_authors"))["overall"] if exact else surname_jaccard(F.col("authors"), F.col("p_authors"))

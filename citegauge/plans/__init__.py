@@ -1 +1,4 @@
+"""Registered queries and their SQL."""
 
+from . import citations  # noqa: F401
+from .queries import QUERIES, SQL  # noqa: F401

@@ -177,14 +177,14 @@ def venue_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return j.select("ref_id", F.round(N.venue_similarity(F.col("venue"), F.col("p_venue")), 9).alias("sim"))
 
 
-@query(f"""{BASE}, l AS (SELECT ref_id % 20 AS file, ref_id, unnest([CASE WHEN ref_id % 3 = 0 THEN '1. ' || title ELSE title END, '', '  ' || venue || '  ']) AS line, unnest([0, 1, 2]) AS k FROM refs),
+@query(f"""{BASE}, l AS (SELECT ref_id - ref_id % 20 AS file, ref_id, unnest([CASE WHEN ref_id % 3 = 0 THEN '1. ' || title ELSE title END, '', '  ' || venue || '  ']) AS line, unnest([0, 1, 2]) AS k FROM refs),
 n AS (SELECT *, sum(CASE WHEN regexp_matches(trim(line), '^[0-9*•-]') THEN 1 ELSE 0 END) OVER (PARTITION BY file ORDER BY ref_id, k) AS g FROM l WHERE trim(line) <> ''),
 m AS (SELECT file, g, string_agg(trim(regexp_replace(line, '[\\t\\r]', ' ', 'g')), ' ' ORDER BY ref_id, k) AS raw_text FROM n GROUP BY file, g)
 SELECT file, CAST(row_number() OVER (PARTITION BY file ORDER BY g) - 1 AS BIGINT) AS pos, raw_text FROM m""")
 def text_assembly(spark: SparkSession, sf_dir: str) -> DataFrame:
     refs, _ = _tables(spark, sf_dir)
     line = F.concat_ws("\n", F.when(F.col("ref_id") % 3 == 0, F.concat(F.lit("1. "), "title")).otherwise(F.col("title")), F.lit(""), F.concat(F.lit("  "), "venue", F.lit("  ")))
-    files = refs.groupBy((F.col("ref_id") % 20).alias("file")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ref_id", line.alias("line")))), lambda x: x["line"]), "\n").alias("text"))
+    files = refs.groupBy((F.col("ref_id") - F.col("ref_id") % 20).alias("file")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ref_id", line.alias("line")))), lambda x: x["line"]), "\n").alias("text"))
     return B.assemble(files).withColumn("pos", F.col("pos").cast("long"))
 
 

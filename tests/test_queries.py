@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from citegauge.functions import names as N
 from citegauge.functions import text as T
 from citegauge.operators import link as L
-from citegauge.plans.queries import QUERIES, SQL
+from citegauge.plans import QUERIES, SQL
 from citegauge.sources import bibliography as B
 
 SF = "/root/testdata/sf0.001"
