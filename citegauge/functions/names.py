@@ -2,33 +2,141 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import present
-
-#: Particles of surnames; spellings of one given name; venues by alias; tiers by keyword; credibility of sources.
-PARTICLES = ["van", "von", "de", "der", "den", "da", "di", "la", "le", "del", "du", "el", "al"]
-VARIANTS = [("alexander", "aleksandr"), ("dmitry", "dmitri"), ("sergey", "sergei"), ("yuri", "yury"), ("mohammed", "muhammad"), ("mikhail", "michael"), ("joerg", "jorg"), ("juergen", "jurgen")]
+from .text import present, sequence_ratio, token_jaccard
+
+#: Particles of surnames; spellings of names; venues by alias; tiers by keyword; credibility of sources.
+PARTICLES = ["van", "von", "de", "del", "della", "di", "da", "dos", "das", "le", "la", "el", "al"]
+VARIANTS = {
+    "hosein": ["hossein", "hussein", "hussain", "husain", "husein"],
+    "hossein": ["hosein", "hussein", "hussain", "husain", "husein"],
+    "hussein": ["hosein", "hossein", "hussain", "husain", "husein"],
+    "mohammad": ["mohamed", "muhammad", "mohammed", "muhammed", "mohamad"],
+    "mohamed": ["mohammad", "muhammad", "mohammed", "muhammed", "mohamad"],
+    "muhammad": ["mohammad", "mohamed", "mohammed", "muhammed", "mohamad"],
+    "ali": ["aly"],
+    "ahmad": ["ahmed", "ahmet"],
+    "ahmed": ["ahmad", "ahmet"],
+    "hassan": ["hasan"],
+    "reza": ["rida", "ridha"],
+    "amir": ["ameer"],
+    "muller": ["mueller"],
+    "jorg": ["joerg"],
+    "xiao": ["hsiao", "shiao"],
+    "zhang": ["chang"],
+    "wang": ["wong"],
+    "chen": ["chan"],
+    "liu": ["lau", "liew"],
+    "li": ["lee", "ly"],
+    "zhou": ["chou", "chow"],
+    "wu": ["woo", "ng"],
+    "huang": ["wong", "hwang"],
+    "yang": ["yeung"],
+    "alexander": ["aleksandr", "alexsandr"],
+    "aleksandr": ["alexander", "alexsandr"],
+    "dmitri": ["dmitry", "dmitrii"],
+    "dmitry": ["dmitri", "dmitrii"],
+    "sergei": ["sergey", "serguei"],
+    "sergey": ["sergei", "serguei"],
+    "andrei": ["andrey", "andre"],
+    "andrey": ["andrei", "andre"],
+    "yuri": ["yury", "yurii"],
+    "michael": ["mikhail", "michel"],
+    "john": ["johann", "jean", "jan", "juan", "giovanni", "joao"],
+    "peter": ["pierre", "pedro", "pietro", "piotr", "petr"],
+    "william": ["wilhelm", "guillaume", "guillermo"],
+    "james": ["jacob", "jacques", "jaime", "giacomo"],
+    "george": ["georg", "georges", "jorge", "giorgio"],
+    "paul": ["pablo", "paolo", "pavel"],
+    "thomas": ["tomas", "tommaso"],
+    "daniel": ["daniele", "danilo"],
+    "david": ["davide"],
+    "robert": ["roberto"],
+    "christopher": ["christoph", "cristopher", "kristopher"],
+}
 VENUES = [
-    ("neurips", ["neurips", "nips", "neural information processing systems"]),
-    ("icml", ["icml", "international conference on machine learning"]),
-    ("crypto", ["crypto", "advances in cryptology"]),
-    ("eurocrypt", ["eurocrypt"]),
-    ("usenix security", ["usenix security", "usenix security symposium"]),
-    ("ccs", ["acm ccs", "computer and communications security"]),
-    ("vldb", ["vldb", "very large data bases"]),
-    ("sigmod", ["sigmod", "management of data"]),
+    ("crypto", ["advances in cryptology", "crypto", "annual international cryptology conference"]),
+    ("eurocrypt", ["advances in cryptology - eurocrypt", "eurocrypt", "annual eurocrypt conference"]),
+    ("asiacrypt", ["advances in cryptology - asiacrypt", "asiacrypt", "annual asiacrypt conference"]),
+    ("fse", ["fast software encryption", "fse"]),
+    ("ches", ["cryptographic hardware and embedded systems", "ches"]),
+    ("pkc", ["public key cryptography", "pkc"]),
+    ("tcc", ["theory of cryptography", "tcc", "theory of cryptography conference"]),
+    ("sp", ["ieee symposium on security and privacy", "oakland", "s&p", "ieee s&p"]),
+    ("ccs", ["acm conference on computer and communications security", "acm ccs"]),
+    ("usenix security", ["usenix security symposium", "usenix security"]),
+    ("ndss", ["network and distributed system security", "ndss symposium"]),
+    ("neurips", ["advances in neural information processing systems", "neurips", "nips"]),
+    ("icml", ["international conference on machine learning", "icml"]),
+    ("iclr", ["international conference on learning representations", "iclr"]),
+    ("aaai", ["aaai conference on artificial intelligence", "aaai"]),
+    ("ijcai", ["international joint conference on artificial intelligence", "ijcai"]),
+    ("cvpr", ["ieee conference on computer vision and pattern recognition", "cvpr"]),
+    ("iccv", ["ieee international conference on computer vision", "iccv"]),
+    ("eccv", ["european conference on computer vision", "eccv"]),
+    ("acl", ["annual meeting of the association for computational linguistics", "acl"]),
+    ("emnlp", ["conference on empirical methods in natural language processing", "emnlp"]),
+    ("naacl", ["north american chapter of the association for computational linguistics", "naacl"]),
+    ("sigmod", ["acm sigmod", "sigmod"]),
+    ("vldb", ["very large data bases", "vldb", "pvldb"]),
+    ("osdi", ["usenix symposium on operating systems design and implementation", "osdi"]),
+    ("sosp", ["acm symposium on operating systems principles", "sosp"]),
+    ("stoc", ["symposium on theory of computing", "stoc"]),
+    ("focs", ["ieee symposium on foundations of computer science", "focs"]),
+    ("jacm", ["journal of the acm", "jacm"]),
+    ("cacm", ["communications of the acm", "cacm"]),
+    ("joc", ["journal of cryptology", "joc"]),
+    ("tocs", ["acm transactions on computer systems", "tocs"]),
+    ("tosc", ["iacr transactions on symmetric cryptology", "tosc"]),
+    ("tches", ["iacr transactions on cryptographic hardware and embedded systems", "tches"]),
+    ("arxiv", ["arxiv", "arxiv preprint", "arxiv.org"]),
+    ("iacr eprint", ["iacr eprint", "cryptology eprint archive", "eprint", "iacr cryptology eprint"]),
+]
+#: Words that say nothing of a venue, and what goes from its name, in order: pattern and replacement.
+VENUE_STOP = ["the", "of", "on", "in", "for", "and", "a", "an", "at", "to", "annual", "international", "conference", "symposium", "workshop"]
+VENUE_RULES = [
+    (r"\s+", " "),
+    (r"^ | $", ""),
+    (r"[(\-,\s]*[0-9]{4}[)\s]*$", ""),
+    (r"\s+[0-9]{4}\s+", " "),
+    (r"^proceedings of (the\s+)?", ""),
+    (r"\s+proceedings$", ""),
+    (r"^[0-9]+(st|nd|rd|th)\s+", ""),
+    (r"\s+[0-9]+(st|nd|rd|th)\s+", " "),
+    (r"lecture notes in computer science.*", ""),
+    (r"lncs\s*[0-9]+", ""),
+    (r"volume\s*[0-9]+", ""),
+    (r"\s+vol\.\s*[0-9]+", ""),
+    (r"\s+pp\.\s*[0-9]+[-–][0-9]+", ""),
+    (r"[^\p{L}\p{N}_\s&-]", ""),
+    (r"^\s+|\s+$", ""),
 ]
 TIERS = [
-    ("tier1_journal", ["nature", "science", "journal of cryptology", "journal of the acm"]),
-    ("tier1_conference", ["crypto", "eurocrypt", "neurips", "icml", "ccs", "sigmod", "vldb"]),
-    ("tier2", ["ieee", "springer", "elsevier"]),
-    ("preprint", ["arxiv", "eprint", "preprint"]),
-    ("workshop", ["workshop", "poster"]),
+    ("preprints", ["arxiv", "biorxiv", "medrxiv", "iacr eprint", "cryptology eprint", "eprint archive", "ssrn", "preprint"]),
+    ("tier1_journals", ["nature", "science", "cell", "lancet", "nejm", "new england journal", "journal of cryptology", "ieee transactions", "acm transactions", "journal of the acm", "siam journal"]),
+    ("tier1_conferences", ["crypto", "eurocrypt", "asiacrypt", "neurips", "icml", "cvpr", "iccv", "stoc", "focs", "sp", "oakland", "usenix security", "ccs", "ndss", "sigmod", "vldb", "osdi", "sosp", "pldi", "popl"]),
+    ("tier2_conferences", ["fse", "ches", "pkc", "tcc", "aaai", "ijcai", "eccv", "iclr", "acl", "emnlp", "naacl", "www", "kdd", "icde", "wsdm"]),
+    ("workshops", ["workshop", "symposium", "colloquium"]),
 ]
-CREDIBILITY = {"dblp": 0.95, "crossref": 0.9, "pubmed": 0.95, "openalex": 0.85, "semantic_scholar": 0.85, "arxiv": 0.8, "iacr": 0.9}
+CREDIBILITY = {"dblp": 0.95, "pubmed": 0.95, "crossref": 0.90, "semantic_scholar": 0.85, "openalex": 0.85, "arxiv": 0.80, "iacr": 0.90, "ieee": 0.90, "acm": 0.90, "springer": 0.85, "google_scholar": 0.65, "unknown": 0.50}
 DEFAULT_CREDIBILITY = 0.5
+AUTHORITATIVE_FROM = 0.85
+
+
+def _unaccented() -> tuple[str, str]:
+    """Letters of one base letter and marks, and those bases; Latin, Greek, Cyrillic."""
+    pairs = [(chr(k), unicodedata.normalize("NFD", chr(k))) for k in [*range(0xC0, 0x530), *range(0x1E00, 0x2000)]]
+    pairs = [(c, d[0]) for c, d in pairs if len(d) > 1 and all(unicodedata.category(m) == "Mn" for m in d[1:])]
+    return "".join(c for c, _ in pairs), "".join(b for _, b in pairs)
+
+
+def without_marks(c: Column) -> Column:
+    """Letters without their diacritics, in the JVM."""
+    return F.regexp_replace(F.translate(c, *_unaccented()), r"\p{Mn}", "")
 
 
 def strip_number(c: Column) -> Column:
@@ -39,12 +147,12 @@ def strip_number(c: Column) -> Column:
 
 
 def clean_name(c: Column) -> Column:
-    """No number, honorific or suffix; 'Last, First' is turned; lower case without dots and hyphens."""
-    n = F.lower(strip_number(c))
-    n = F.regexp_replace(n, r"^(dr|prof|mr|mrs|ms)\. *", "")
-    n = F.regexp_replace(n, r",? +(jr|sr|ii|iii|iv)\.?$", "")
-    n = F.when(n.contains(","), F.concat_ws(" ", F.trim(F.split_part(n, F.lit(","), F.lit(2))), F.trim(F.split_part(n, F.lit(","), F.lit(1))))).otherwise(n)
-    return F.trim(F.regexp_replace(F.regexp_replace(n, r"[.-]", " "), " +", " "))
+    """No number, honorific or suffix; 'Last, First' is turned; lower case without marks, dots and hyphens."""
+    n = F.lower(F.trim(c))
+    for pattern in (r"\s+[0-9]{4}$", r"\s+\([0-9]+\)$", r"\s+\[[0-9]+\]$", r"\b(dr|prof|professor|mr|mrs|ms|sir|dame)\.\s*", r"\s+(jr|sr|ii|iii|iv|phd|md|esq)\.?$"):
+        n = F.regexp_replace(n, pattern, "")
+    n = F.when(n.contains(","), F.concat_ws(" ", F.regexp_extract(n, "(?s)^[^,]*,(.*)$", 1), F.split_part(n, F.lit(","), F.lit(1)))).otherwise(n)
+    return F.trim(F.regexp_replace(F.regexp_replace(without_marks(n), r"[.-]", " "), r"\s+", " "))
 
 
 def let(value: Column, fn) -> Column:
@@ -74,10 +182,10 @@ def name_struct(c: Column) -> Column:
 
 
 def variant_of(a: Column, b: Column) -> Column:
-    out = F.lit(False)
-    for x, y in VARIANTS:
-        out = out | ((a == x) & (b == y)) | ((a == y) & (b == x))
-    return out
+    """Equal, or either is listed as a spelling of the other."""
+    known = F.create_map(*[x for k, v in VARIANTS.items() for x in (F.lit(k), F.array(*map(F.lit, v)))])
+    listed = lambda x, y: F.coalesce(F.array_contains(F.try_element_at(known, x), y), F.lit(False))
+    return (a == b) | listed(a, b) | listed(b, a)
 
 
 def compare_names(a: Column, b: Column) -> Column:
@@ -91,9 +199,9 @@ def compare_structs(x: Column, y: Column) -> Column:
     return (
         F.when(~present(x["whole"]) | ~present(y["whole"]), 0.0)
         .when(x["whole"] == y["whole"], 1.0)
-        .when(x["last"] != y["last"], 0.0)
+        .when(~variant_of(x["last"], y["last"]), 0.0)
         .when((gx == "") | (gy == ""), 0.6)
-        .when((gx == gy) | variant_of(gx, gy), 0.95)
+        .when(variant_of(gx, gy), 0.95)
         .when(initial, 0.85)
         .otherwise(0.4)
     )
@@ -102,9 +210,10 @@ def compare_structs(x: Column, y: Column) -> Column:
 def compare_lists(ref: Column, paper: Column) -> Column:
     """Greedy matching in the reference's order, each name taking the best unused one of at least .4.
 
-    struct: overall, injection, removal, matched, unmatched_ref, unmatched_paper. A fold over the names, in the JVM.
+    struct: overall, injection, removal, reordered, first_off, matched, unmatched_ref, unmatched_paper. A fold over the names, in the JVM.
     """
     kind = "struct<used:array<int>,total:double,matched:int>"
+    full = "struct<used:array<int>,total:double,matched:int,first_off:boolean,reordered:boolean>"
     start = F.struct(F.array().cast("array<int>").alias("used"), F.lit(0.0).alias("total"), F.lit(0).alias("matched")).cast(kind)
 
     def taken(s: Column, best: Column) -> Column:
@@ -116,15 +225,20 @@ def compare_lists(ref: Column, paper: Column) -> Column:
             options = F.filter(F.transform(both["p"], lambda p, i: F.struct(compare_structs(name, p).alias("c"), (-i).alias("k"))), lambda o: (o["c"] >= 0.4) & ~F.array_contains(s["used"], -o["k"]))
             return let(F.array_max(options), lambda best: taken(s, best))
 
-        return F.aggregate(both["r"], start, place)
+        one = F.try_element_at(both["r"], F.lit(1))
+        off = F.coalesce(compare_structs(one, F.try_element_at(both["p"], F.lit(1))) == 0.0, F.lit(False))
+        later = F.exists(both["p"], lambda p: compare_structs(one, p) >= 0.8)
+        return let(F.aggregate(both["r"], start, place), lambda s: F.struct(s["used"].alias("used"), s["total"].alias("total"), s["matched"].alias("matched"), off.alias("first_off"), (off & later).alias("reordered")).cast(full))
 
     n, m = F.size(ref), F.size(paper)
     return let(
         let(F.struct(F.transform(ref, name_struct).alias("r"), F.transform(paper, name_struct).alias("p")), fold),
         lambda s: F.struct(
-            F.when((n <= 0) | (m <= 0), 0.0).otherwise(F.greatest(F.lit(0.0), s["total"] / F.greatest(n, m) - 0.1 * (n - s["matched"]) - 0.05 * (m - s["matched"]))).alias("overall"),
-            ((n > s["matched"]) & (s["matched"] >= 2)).alias("injection"),
-            ((m > s["matched"]) & (s["matched"] >= 1)).alias("removal"),
+            F.when((n <= 0) | (m <= 0) | (s["matched"] == 0), 0.0).otherwise(F.greatest(F.lit(0.0), s["total"] / F.greatest(n, m) - 0.1 * (n - s["matched"]) - 0.05 * (m - s["matched"]))).alias("overall"),
+            F.when((n > 0) & (m <= 0), True).otherwise((n > s["matched"]) & (s["matched"] >= 2)).alias("injection"),
+            F.when((m > 0) & (n <= 0), True).otherwise((m > s["matched"]) & (s["matched"] >= 1)).alias("removal"),
+            s["reordered"].alias("reordered"),
+            s["first_off"].alias("first_off"),
             s["matched"].alias("matched"),
             (n - s["matched"]).alias("unmatched_ref"),
             (m - s["matched"]).alias("unmatched_paper"),
@@ -134,9 +248,8 @@ def compare_lists(ref: Column, paper: Column) -> Column:
 
 def doi_author_similarity(ref: Column, paper: Column) -> Column:
     """Share of names with a counterpart whose words overlap by .6."""
-    from .text import token_jaccard
-
-    hit = F.size(F.filter(ref, lambda a: F.exists(paper, lambda b: token_jaccard(a, b) >= 0.6)))
+    bare = lambda names: F.transform(names, lambda a: F.regexp_replace(F.lower(a), "[.,]", ""))
+    hit = F.size(F.filter(bare(ref), lambda a: F.exists(bare(paper), lambda b: (b != "") & (token_jaccard(a, b) >= 0.6))))
     return F.when((F.size(ref) <= 0) | (F.size(paper) <= 0), 0.0).otherwise(hit / F.greatest(F.size(ref), F.size(paper)))
 
 
@@ -148,9 +261,9 @@ def surname_jaccard(ref: Column, paper: Column) -> Column:
 
 def normalise_venue(c: Column) -> Column:
     v = F.lower(c)
-    for pattern in (r"\(?(19|20)[0-9]{2}\)?", r"proceedings of( the)?|proceedings|proc\.", r"[0-9]+(st|nd|rd|th)", r"lecture notes in computer science|lncs", r"vol(ume)?\.? *[0-9]+", r"pp?\. *[0-9]+(-[0-9]+)?", r"[^\p{L}\p{N} &-]"):
-        v = F.regexp_replace(v, pattern, " ")
-    return F.trim(F.regexp_replace(v, " +", " "))
+    for pattern, to in VENUE_RULES:
+        v = F.regexp_replace(v, pattern, to)
+    return v
 
 
 def canonical_venue(c: Column) -> Column:
@@ -162,33 +275,45 @@ def _canonical(v: Column) -> Column:
     out, exact = v, F.lit(None).cast("string")
     for name, aliases in reversed(VENUES):
         near = F.lit(False)
-        for alias in aliases:
+        for alias in [*aliases, name]:
             near = near | v.contains(alias) | F.lit(alias).contains(v)
         out = F.when(near, name).otherwise(out)
-        exact = F.when(v.isin(*aliases), name).otherwise(exact)
-    return F.when(v == "", "").otherwise(F.coalesce(exact, out))
+        exact = F.when(v.isin(*aliases, name), name).otherwise(exact)
+    return F.coalesce(exact, out)
 
 
 def venue_struct(c: Column) -> Column:
-    """struct of a venue: its normalised name, canonical venue and words."""
-    stop = F.array(*[F.lit(w) for w in ("on", "of", "the", "and", "in", "for", "international", "conference", "journal")])
-    return let(normalise_venue(c), lambda v: F.struct(v.alias("v"), _canonical(v).alias("canon"), F.array_except(F.array_distinct(F.split(v, " ")), stop).alias("words")))
+    """struct of a venue: its normalised name, canonical venue, words, and the venues with an alias in the name."""
+    stop = F.array(*map(F.lit, ["", *VENUE_STOP]))
+
+    def parts(v: Column) -> Column:
+        held = [F.when(F.exists(F.array(*map(F.lit, aliases)), lambda a: F.contains(v, a)), name) for name, aliases in VENUES]
+        return F.struct(v.alias("v"), _canonical(v).alias("canon"), F.array_except(F.array_distinct(F.split(v, r"\s+")), stop).alias("words"), F.array_compact(F.array(*held)).alias("held"), present(c).alias("any"))
 
+    return let(normalise_venue(c), parts)
 
-def venue_similarity(a: Column, b: Column) -> Column:
-    """0 missing, 1 equal, .95 one venue, .85 containment, else from the overlap of words."""
-    return let(F.struct(venue_struct(a).alias("a"), venue_struct(b).alias("b")), lambda s: compare_venues(s["a"], s["b"]))
+
+def venue_similarity(a: Column, b: Column, exact: bool = False) -> Column:
+    """0 missing, 1 equal, .95 one venue, .85 containment or a shared alias, else from the overlap of words.
+
+    Below half of the words: the sequence ratio of the names if exact, else the overlap, which needs no Python.
+    """
+    fast = let(F.struct(venue_struct(a).alias("a"), venue_struct(b).alias("b")), lambda s: compare_venues(s["a"], s["b"]))
+    if not exact:
+        return fast
+    return F.when(fast >= 0.7, fast).when(~present(a) | ~present(b), 0.0).otherwise(sequence_ratio(normalise_venue(a), normalise_venue(b)))
 
 
 def compare_venues(a: Column, b: Column) -> Column:
     x, y = a["v"], b["v"]
-    most = F.greatest(F.size(a["words"]), F.size(b["words"]))
-    overlap = F.when(most == 0, 0.0).otherwise(F.size(F.array_intersect(a["words"], b["words"])) / F.greatest(most, F.lit(1)))
+    fewest, most = F.least(F.size(a["words"]), F.size(b["words"])), F.greatest(F.size(a["words"]), F.size(b["words"]))
+    overlap = F.when(fewest == 0, 0.0).otherwise(F.size(F.array_intersect(a["words"], b["words"])) / F.greatest(most, F.lit(1)))
     return (
-        F.when(~present(x) | ~present(y), 0.0)
+        F.when(~a["any"] | ~b["any"], 0.0)
         .when(x == y, 1.0)
         .when(a["canon"] == b["canon"], 0.95)
         .when(x.contains(y) | y.contains(x), 0.85)
+        .when(F.arrays_overlap(a["held"], b["held"]), 0.85)
         .when(overlap >= 0.5, 0.7 + 0.2 * overlap)
         .otherwise(overlap)
     )
@@ -204,6 +329,11 @@ def venue_tier(c: Column) -> Column:
     return F.when(~present(c), "unknown").otherwise(out)
 
 
+def implausible_venue(claimed: Column, found: Column) -> Column:
+    """A leading journal is claimed where a preprint, a workshop or a venue of no tier was found."""
+    return (venue_tier(claimed) == "tier1_journals") & venue_tier(found).isin("preprints", "workshops", "other")
+
+
 def year_linear(a: Column, b: Column) -> Column:
     d = F.abs(a - b)
     return F.when(a.isNull() | b.isNull(), 0.0).when(d == 0, 1.0).when(d <= 3, 1.0 - d / 3.0).otherwise(0.0)

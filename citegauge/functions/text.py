@@ -13,16 +13,16 @@ from pyspark.sql.types import DoubleType, StringType
 #: DOI prefixes, and publishers by domain, in order.
 DOI_PREFIXES = ["https://doi.org/", "http://doi.org/", "https://dx.doi.org/", "http://dx.doi.org/", "doi:"]
 PUBLISHER_DOMAINS = [
-    ("ieee.org", "IEEE"),
-    ("acm.org", "ACM"),
     ("springer.com", "Springer"),
-    ("sciencedirect.com", "Elsevier"),
-    ("elsevier.com", "Elsevier"),
+    ("ieeexplore.ieee.org", "IEEE"),
+    ("acm.org", "ACM"),
+    ("nature.com", "Nature Publishing Group"),
+    ("science.org", "Science/AAAS"),
     ("wiley.com", "Wiley"),
-    ("nature.com", "Nature"),
+    ("elsevier.com", "Elsevier"),
+    ("pubmed.ncbi.nlm.nih.gov", "PubMed/NIH"),
     ("arxiv.org", "arXiv"),
-    ("iacr.org", "IACR"),
-    ("usenix.org", "USENIX"),
+    ("eprint.iacr.org", "IACR"),
 ]
 
 
@@ -117,10 +117,10 @@ def normalise_doi(c: Column) -> Column:
 
 
 def publisher_of(url: Column) -> Column:
-    out = F.lit("Unknown")
+    out = F.lit("Unknown Publisher")
     for domain, name in reversed(PUBLISHER_DOMAINS):
         out = F.when(F.lower(url).contains(domain), name).otherwise(out)
-    return out
+    return F.when(present(url), out).otherwise("Unknown")
 
 
 def truncate(c: Column, most: int, suffix: str = "...") -> Column:
@@ -132,8 +132,18 @@ def without_punctuation(c: Column) -> Column:
 
 
 def strip_latex(c: Column) -> Column:
-    """Commands, braces, dollars and escaped signs of LaTeX."""
-    for pattern, to in [(r"\\[a-zA-Z]+\{([^{}]*)\}", "$1"), (r"\\[\"'`^~=.]\{?([A-Za-z])\}?", "$1"), (r"\\[a-zA-Z]+", ""), (r"\$([^$]*)\$", "$1"), (r"\\([&%$#_{}])", "$1"), (r"[{}]", ""), (r"[ \t\r\n]+", " ")]:
+    """Fonts, mathematics and commands of LaTeX, in order; what they enclose stays."""
+    rules = [
+        (r"\$\\textnormal\{\\textsc\{([^}]*)\}\}\$", "$1"),
+        (r"\$\\textnormal\\textsc\{([^}]*)\}\$", "$1"),
+        (r"\$\\[a-zA-Z]+\{([^}]*)\}\$", "$1"),
+        (r"\$\\[a-zA-Z]+([^$]*)\$", "$1"),
+        (r"\$([^$]*)\$", "$1"),
+        (r"\\[a-zA-Z]+\{([^}]*)\}", "$1"),
+        (r"\\[a-zA-Z]+", ""),
+        (r"[ \t\r\n]+", " "),
+    ]
+    for pattern, to in rules:
         c = F.regexp_replace(c, pattern, to)
     return F.trim(c)
 
@@ -141,14 +151,14 @@ def strip_latex(c: Column) -> Column:
 def title_key(c: Column) -> Column:
     """Aggressive form of a title for comparison."""
     t = F.lower(normalise_text(strip_latex(c)))
-    for pattern, to in [(r" *([+*#]) *", "$1"), (r" *: *", ": "), (r"post-quantum", "postquantum"), (r"^the ", ""), (r"[.,:;!? ]+$", "")]:
+    for pattern, to in [(r" *([+*#]) *", "$1"), (r" *: *", ": "), (r"\bpost[- ]quantum\b", "postquantum"), (r"^the +", ""), (r"[.,:;!?]+$", "")]:
         t = F.regexp_replace(t, pattern, to)
     return F.trim(t)
 
 
 def title_similarity(a: Column, b: Column) -> Column:
     """Best of three: sequence ratio of plain forms, of aggressive forms, and word Jaccard of the latter."""
-    plain = F.when(~present(a) | ~present(b), 0.0).otherwise(sequence_ratio(F.lower(normalise_text(a)), F.lower(normalise_text(b))))
+    plain = F.when(~present(a) | ~present(b), 0.0).otherwise(sequence_ratio(*[F.lower(normalise_text(strip_latex(c))) for c in (a, b)]))
     x, y = title_key(a), title_key(b)
     return F.when(~present(a) | ~present(b), 0.0).otherwise(F.greatest(plain, sequence_ratio(x, y), token_jaccard(x, y)))
 
@@ -158,12 +168,13 @@ def search_key(title: Column, first_author: Column, year: Column) -> Column:
     return F.concat_ws("|", F.lower(F.trim(title)), F.lower(F.trim(first_author)), year.cast("string"))
 
 
-STOP_WORDS = ["the", "and", "for", "with", "from", "that", "this", "are", "was", "der", "die", "und", "les", "des", "una", "los"]
+#: Words that are no key terms.
+STOP_WORDS = ["a", "an", "and", "are", "as", "at", "be", "by", "for", "from", "has", "he", "in", "is", "it", "its", "of", "on", "that", "the", "to", "was", "will", "with", "via", "using", "based", "new"]
 
 
 def key_terms(c: Column, most: int = 8) -> Column:
     """First distinct words of three letters or more that aren't stop words."""
-    found = F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit("[a-z]{3,}"), F.lit(0)))
+    found = F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit(r"\b[a-z]{3,}\b"), F.lit(0)))
     return F.slice(F.array_except(found, F.array(*map(F.lit, STOP_WORDS))), 1, most)
 
 

@@ -9,13 +9,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.names import compare_lists, credibility, surname, surname_jaccard, venue_similarity, venue_tier, year_asymmetric, year_linear
+from ..functions.names import AUTHORITATIVE_FROM, compare_lists, credibility, implausible_venue, surname, surname_jaccard, venue_similarity, year_asymmetric, year_linear
 from ..functions.text import normalise_doi, present, title_similarity, token_jaccard
 
 CLASSES = ["authentic", "suspicious", "fabricated", "author_manipulation", "fake", "inconclusive"]
 WEIGHTS = {"title": 0.55, "author": 0.25, "venue": 0.15, "year": 0.05}
-MAJOR = ["dblp", "crossref", "openalex", "semantic_scholar", "pubmed"]
-AUTHORITATIVE = ["dblp", "crossref", "pubmed", "iacr"]
+#: Sources that count as major, those that do so for low scores, and those enough alone.
+MAJOR = ["openalex", "semantic_scholar", "dblp", "pubmed", "arxiv", "iacr"]
+KNOWN = [*MAJOR, "crossref"]
+SUFFICIENT = ["dblp", "pubmed", "ieee", "acm", "springer", "crossref", "scopus", "arxiv", "semantic_scholar", "openalex"]
 
 
 @dataclass(frozen=True)
@@ -29,6 +31,7 @@ class Rigor:
     fraud_boost: float = 0.05
     authentic_boost: float = 0.10
     inconclusive: float = 0.25
+    multi_database: bool = False
 
 
 RIGOR = {
@@ -64,15 +67,24 @@ def score(pairs: DataFrame, refs: DataFrame, papers: DataFrame, exact: bool = Fa
     j = pairs.join(refs, "ref_id").join(p, "paper_id")
     title = title_similarity(F.col("title"), F.col("p_title")) if exact else token_jaccard(F.col("title"), F.col("p_title"))
     author = compare_lists(F.col("authors"), F.col("p_authors"))["overall"] if exact else surname_jaccard(F.col("authors"), F.col("p_authors"))
-    j = j.withColumns({"title_sim": title, "author_sim": author, "venue_sim": venue_similarity(F.col("venue"), F.col("p_venue")), "year_sim": year_linear(F.col("year"), F.col("p_year"))})
+    j = j.withColumns({"title_sim": title, "author_sim": author, "venue_sim": venue_similarity(F.col("venue"), F.col("p_venue"), exact), "year_sim": year_linear(F.col("year"), F.col("p_year"))})
     return j.withColumn("score", F.round(sum((F.lit(w) * F.col(f"{k}_sim") for k, w in list(WEIGHTS.items())[1:]), F.lit(WEIGHTS["title"]) * F.col("title_sim")), 9))
 
 
-def best(scored: DataFrame) -> DataFrame:
-    """The first best candidate of each reference, with the number of distinct sources among all."""
-    first = F.row_number().over(W.partitionBy("ref_id").orderBy(F.desc("score"), "paper_id"))
-    n = F.size(F.collect_set("source").over(W.partitionBy("ref_id")))
-    return scored.withColumn("n_sources", n).withColumn("row", first).where("row = 1").drop("row")
+def best(scored: DataFrame, rigor: str = "balanced") -> DataFrame:
+    """The first best candidate of each reference, with the distinct sources among all, in lower case, and their number.
+
+    fraud_author is the likeness of authors of the first candidate, in order of rank and paper, whose title is alike
+    while its several authors are not; null if none is so.
+    """
+    w = W.partitionBy("ref_id")
+    first = F.row_number().over(w.orderBy(F.desc("score"), "paper_id"))
+    sources = F.array_sort(F.collect_set(F.lower(F.coalesce("source", F.lit("unknown")))).over(w))
+    alike = (F.col("title_sim") > RIGOR[rigor].manipulation) & (F.col("title_sim") <= 0.95) & (F.col("author_sim") < 0.25)
+    several = (F.size("authors") > 1) & (F.size("p_authors") > 1)
+    fraud = F.min(F.when(alike & several, F.struct("rank", "paper_id", "author_sim"))).over(w)["author_sim"]
+    out = scored.withColumns({"sources": sources, "fraud_author": fraud, "row": first}).where("row = 1").drop("row")
+    return out.withColumn("n_sources", F.size("sources"))
 
 
 def top_per_source(scored: DataFrame, limits: dict[str, int], default: int = 5) -> DataFrame:
@@ -114,53 +126,92 @@ def relevance(paper_source: Column, doi: Column, citations: Column, year: Column
     return F.when(paper_source == primary, 10).otherwise(0) + F.when(present(doi), 5).otherwise(0) + F.when(citations > 0, 3).otherwise(0) + F.when(d == 0, 2).when(d <= 1, 1).otherwise(0)
 
 
-def classify(rows: DataFrame, rigor: str = "balanced") -> DataFrame:
-    """rows (title_sim, author_sim, score or null, n_sources, source, p_citations, p_doi, n_authors, n_p_authors) + class, confidence.
+def classify(rows: DataFrame, rigor: str = "balanced", raw_labels: bool = False) -> DataFrame:
+    """rows of `best`, with null scores for references without a candidate, + class, confidence.
 
-    One chain of conditions, in the order of evaluation; sources are compared by their normalised labels.
+    One chain of conditions, in the order of evaluation. Columns of evidence count where rows have them: is_book; scholar_differs
+    (false: other papers of that title exist, no manipulation); scholar_asked and scholar_absent; doi_resolves, doi_matches, doi_boost.
+    raw_labels takes no source for a major one, as where labels are compared by case.
     """
-    r, s, title, author = RIGOR[rigor], F.col("score"), F.col("title_sim"), F.col("author_sim")
-    n, major = F.col("n_sources"), F.lower("source").isin(*MAJOR)
-    fraud = (title > r.manipulation) & (author < 0.25) & (F.col("n_authors") > 1) & (F.col("n_p_authors") > 1) & (n < 2) & (title <= 0.95)
-    fraud_conf = F.when(author < 0.05, 0.85).when(author < 0.15, 0.75).otherwise(0.65) + r.fraud_boost
-    weak = (s > 0.75) & (s < 0.85) & (n == 1) & ~F.lower("source").isin(*AUTHORITATIVE)
+    r, title, author, n = RIGOR[rigor], F.col("title_sim"), F.col("author_sim"), F.col("n_sources")
+    given = lambda c, kind: F.col(c) if c in rows.columns else F.lit(None).cast(kind)
+    true = lambda c: F.coalesce(given(c, "boolean"), F.lit(False))
+    among = lambda names: F.lit(False) if raw_labels else F.coalesce(F.arrays_overlap("sources", F.array(*map(F.lit, names))), F.lit(False))
+    matches, resolves, gain = true("doi_matches"), true("doi_resolves"), F.coalesce(given("doi_boost", "double"), F.lit(0.0))
+    plain, major = F.col("score"), among(MAJOR)
+    s = F.when(resolves & ~matches, F.greatest(F.lit(0.1), plain - F.abs(gain))).otherwise(plain)
+    swapped = F.col("fraud_author")
+    fraud = swapped.isNotNull() & (n < 2) & F.coalesce(given("scholar_differs", "boolean"), F.lit(True))
+    fraud_conf = F.when(swapped < 0.05, 0.85).when(swapped < 0.15, 0.75).otherwise(0.65) + r.fraud_boost
+    low = ~among(KNOWN) & (plain < 0.4)
     base = F.least(F.lit(0.95), s + r.authentic_boost) - F.when((s < 0.80) & ~major, 0.20).otherwise(0.0)
-    conf = base + F.when(n >= 2, 0.05).otherwise(-r.single_penalty) + F.when(F.col("p_citations") > 0, 0.03).otherwise(0.0) + F.when(present(F.col("p_doi")), 0.02).otherwise(0.0)
-    unsure = (s < 0.80) & ~major & (s < 0.70) & (n < 3)
+    conf = base + F.when(n >= 2, 0.05).otherwise(-r.single_penalty * (2 if r.multi_database else 1)) + F.when(F.col("p_citations") > 0, 0.03).otherwise(0.0) + F.when(present(F.col("p_doi")), 0.02).otherwise(0.0)
+    conf = conf + F.when(matches, gain).when(resolves, 0.02).otherwise(0.0)
+    weak = 0.75 * s + F.when(n >= 2, 0.05).otherwise(-r.single_penalty) + F.when(matches, gain).when(resolves, 0.05).otherwise(0.0)
     arms = [
-        (s.isNull(), "inconclusive", F.lit(0.5)),
+        (plain.isNull() & true("is_book"), "inconclusive", F.lit(0.4)),
+        (plain.isNull(), "inconclusive", F.lit(0.5)),
         (fraud, "author_manipulation", fraud_conf),
-        (weak, "suspicious", F.lit(0.65)),
+        ((plain > 0.75) & (plain < 0.85) & (n == 1) & ~among(SUFFICIENT), "suspicious", F.lit(0.65)),
         ((title > 0.8) & (author < 0.3), "author_manipulation", F.lit(0.85)),
-        (~major & (s < 0.4), "inconclusive", F.lit(0.55)),
-        ((s >= r.similarity) & unsure, "suspicious", F.greatest(F.lit(0.4), base - 0.1)),
+        (low & true("scholar_asked") & true("scholar_absent"), "suspicious", F.lit(0.65)),
+        (low & ~true("scholar_asked"), "inconclusive", F.lit(0.55)),
+        (matches & (plain < 0.4), "authentic", F.greatest(F.lit(0.65), plain + gain)),
+        (matches & (plain < r.similarity) & (F.least(F.lit(0.95), plain + gain) >= r.similarity), "authentic", F.least(F.lit(0.95), plain + gain)),
+        ((s >= r.similarity) & (s < 0.70) & ~major & (n < 3), "suspicious", F.greatest(F.lit(0.4), base - 0.1)),
         (s >= r.similarity, "authentic", F.least(F.lit(0.99), conf)),
-        (s >= r.suspicious, "suspicious", 0.75 * s + F.when(n >= 2, 0.05).otherwise(-0.05)),
+        ((s >= r.suspicious) & matches & (weak >= 0.75), "authentic", F.least(F.lit(0.99), weak + 0.1)),
+        (s >= r.suspicious, "suspicious", weak),
         ((s > r.inconclusive) & (title > 0.8), "suspicious", F.greatest(F.lit(0.5), s + 0.15)),
-        (s > r.inconclusive, "inconclusive", F.lit(0.6)),
+        ((s > r.inconclusive) & matches, "authentic", F.greatest(F.lit(0.7), s + gain)),
+        ((s > r.inconclusive) & resolves, "suspicious", F.greatest(F.lit(0.4), s + 0.1)),
+        (s > r.inconclusive, "inconclusive", F.lit(min(0.6 + r.fraud_boost, 0.70))),
         (title > 0.75, "suspicious", F.lit(0.5)),
     ]
-    kind, confidence = F.lit("inconclusive"), F.lit(0.55)
+    kind, confidence = F.lit("inconclusive"), F.lit(0.55 + r.fraud_boost)
     for cond, name, value in reversed(arms):
         kind, confidence = F.when(cond, name).otherwise(kind), F.when(cond, value).otherwise(confidence)
     return rows.withColumns({"class": kind, "confidence": F.round(confidence, 6)})
 
 
-def classify_rules(rows: DataFrame) -> DataFrame:
-    """The second rule engine: author swap, injection, tiers and years, then the weighted score."""
-    title, author = F.col("title_sim"), F.col("author_sim")
-    tier = (venue_tier(F.col("venue")) == "tier1_journal") & venue_tier(F.col("p_venue")).isin("preprint", "workshop", "other")
-    total = 0.5 * title + 0.3 * author + 0.1 * F.col("venue_sim") + 0.1 * year_asymmetric(F.col("year"), F.col("p_year"))
-    s = F.when(title < 0.4, 0.6 * title).otherwise(total) * F.when(F.lower("source").isin(*AUTHORITATIVE), 1.0).otherwise(0.9)
-    kind = (
-        F.when(F.col("score").isNull(), "fabricated")
-        .when((title > 0.85) & (author < 0.4), "author_manipulation")
-        .when(tier, "suspicious")
-        .when(s >= 0.55, "authentic")
-        .when(s >= 0.25, "suspicious")
-        .otherwise("fabricated")
-    )
-    return rows.withColumns({"rule_score": F.round(s, 6), "rule_class": kind})
+def strength_of(sources: Column) -> Column:
+    """The best source's credibility, a little more for each other one and each authoritative one, at most 1; 0 for none."""
+    values = F.transform(sources, credibility)
+    auth = F.size(F.filter(values, lambda v: v >= AUTHORITATIVE_FROM))
+    value = F.array_max(values) + F.least(F.lit(0.15), 0.05 * (F.size(sources) - 1)) + F.least(F.lit(0.10), 0.05 * auth)
+    return F.when(F.size(sources) > 0, F.least(F.lit(1.0), value)).otherwise(0.0)
+
+
+def classify_rules(rows: DataFrame, similarity: float = 0.55, suspicious: float = 0.25) -> DataFrame:
+    """The second rule engine over rows of `best`: author swap, injection, tiers and years, then the weighted score.
+
+    Adds rule_score, rule_class, rule_confidence, rule_signs (what speaks against the reference) and rule_review (its priority).
+    """
+    rows = rows.withColumn("__list__", compare_lists(F.col("authors"), F.col("p_authors")))
+    title, author, injected = F.col("title_sim"), F.col("author_sim"), F.coalesce("__list__.injection", F.lit(False))
+    auth = F.size(F.filter("sources", lambda x: credibility(x) >= AUTHORITATIVE_FROM))
+    none, swap, tier = F.col("score").isNull(), (title > 0.85) & (author < 0.4), implausible_venue(F.col("venue"), F.col("p_venue"))
+    total = (0.5 * title + 0.3 * author + 0.1 * F.col("venue_sim") + 0.1 * year_asymmetric(F.col("year"), F.col("p_year"))) * F.when(auth == 0, 0.9).otherwise(1.0)
+    s = F.when(title < 0.4, 0.6 * title).when(injected, F.least(0.7 * title, author)).otherwise(total)
+    high, fair, spoilt = s >= similarity, s >= suspicious, tier | injected
+    arms = [
+        (none, "fabricated", F.lit(0.85), "high"),
+        (swap, "author_manipulation", F.lit(0.9), "critical"),
+        (injected & (title > 0.8), "author_manipulation", F.lit(0.85), "critical"),
+        (high & spoilt, "suspicious", 0.8 * s, "high"),
+        (high, "authentic", F.least(F.lit(0.95), s + 0.1 * strength_of(F.col("sources"))), "low"),
+        (fair, "suspicious", s, "medium"),
+        (auth >= 2, "inconclusive", F.lit(0.7), "high"),
+    ]
+    kind, confidence, review = F.lit("fabricated"), F.lit(0.7), F.lit("high")
+    for cond, name, value, urgency in reversed(arms):
+        kind, confidence, review = F.when(cond, name).otherwise(kind), F.when(cond, value).otherwise(confidence), F.when(cond, urgency).otherwise(review)
+    signs = [
+        (none, "complete_fabrication"), (swap, "author_swap"), (injected & ~swap, "author_injection"), (tier & ~swap & ~(injected & (title > 0.8)), "venue_fabrication"),
+        (~none & ~swap & (F.col("year") - F.col("p_year") >= 2), "newer_year"), (~none & ~swap & ~high & ~fair & (auth < 2), "complete_fabrication"),
+    ]
+    out = {"rule_score": F.round(s, 6), "rule_class": kind, "rule_confidence": F.round(confidence, 6), "rule_signs": F.array_compact(F.array(*[F.when(c, name) for c, name in signs])), "rule_review": review}
+    return rows.withColumns(out).drop("__list__")
 
 
 def summary(results: DataFrame) -> DataFrame:
@@ -185,12 +236,9 @@ def risk(fraud: Column, fake: Column, suspicious: Column) -> Column:
 
 
 def evidence_strength(candidates: DataFrame) -> DataFrame:
-    """ref_id, strength: the best source's credibility, a little more for each other one and each authoritative one, at most 1."""
-    per = candidates.select("ref_id", F.lower("source").alias("source")).distinct()
-    auth = F.count_if(F.col("source").isin(*AUTHORITATIVE))
-    g = per.groupBy("ref_id").agg(F.max(credibility(F.col("source"))).alias("top"), F.count("*").alias("n"), auth.alias("auth"))
-    value = F.col("top") + F.least(F.lit(0.15), 0.05 * (F.col("n") - 1)) + F.least(F.lit(0.10), 0.05 * F.col("auth"))
-    return g.select("ref_id", F.col("n").alias("n_sources"), F.round(F.least(F.lit(1.0), value), 6).alias("strength"))
+    """ref_id, n_sources, strength of the sources of its candidates."""
+    g = candidates.groupBy("ref_id").agg(F.collect_set(F.lower("source")).alias("sources"))
+    return g.select("ref_id", F.size("sources").cast("long").alias("n_sources"), F.round(strength_of(F.col("sources")), 6).alias("strength"))
 
 
 def doi_metadata(refs: DataFrame, registry: DataFrame) -> DataFrame:

@@ -35,28 +35,28 @@ _SUR = f"(CASE WHEN len({_WORDS}) > 1 AND ({_WORDS})[-2] IN {_PART} THEN ({_WORD
 _SURJ = "(len(list_intersect(list_distinct(list_transform({0}, lambda n: " + _SUR.format("n") + ")), list_distinct(list_transform({1}, lambda n: " + _SUR.format("n") + ")))))::DOUBLE"
 _SURU = "len(list_distinct(list_concat(list_transform({0}, lambda n: " + _SUR.format("n") + "), list_transform({1}, lambda n: " + _SUR.format("n") + "))))"
 _YEAR = "(CASE WHEN {0} IS NULL OR {1} IS NULL THEN 0.0 WHEN {0} = {1} THEN 1.0 WHEN abs({0} - {1}) <= 3 THEN 1.0 - abs({0} - {1}) / 3.0 ELSE 0.0 END)::DOUBLE"
-_VPATTERNS = ["\\(?(19|20)[0-9]{2}\\)?", "proceedings of( the)?|proceedings|proc\\.", "[0-9]+(st|nd|rd|th)", "lecture notes in computer science|lncs", "vol(ume)?\\.? *[0-9]+", "pp?\\. *[0-9]+(-[0-9]+)?", "[^\\p{L}\\p{N} &-]"]
 
 
 def _venue(e: str) -> str:
     v = f"lower({e})"
-    for p in _VPATTERNS:
-        v = f"regexp_replace({v}, '{p}', ' ', 'g')"
-    return f"trim(regexp_replace({v}, ' +', ' ', 'g'))"
+    for pattern, to in N.VENUE_RULES:
+        v = f"regexp_replace({v}, '{pattern}', '{to}', 'g')"
+    return v
 
 
 def _canon(v: str) -> str:
-    exact = " ".join(f"WHEN {v} IN ({', '.join(repr(a) for a in al)}) THEN '{n}'" for n, al in N.VENUES)
-    near = " ".join("WHEN " + " OR ".join(f"contains({v}, '{a}') OR contains('{a}', {v})" for a in al) + f" THEN '{n}'" for n, al in N.VENUES)
-    return f"(CASE WHEN {v} = '' THEN '' {exact} {near} ELSE {v} END)"
+    exact = " ".join(f"WHEN {v} IN ({', '.join(repr(a) for a in [*al, n])}) THEN '{n}'" for n, al in N.VENUES)
+    near = " ".join("WHEN " + " OR ".join(f"contains({v}, '{a}') OR contains('{a}', {v})" for a in [*al, n]) + f" THEN '{n}'" for n, al in N.VENUES)
+    return f"(CASE {exact} {near} ELSE {v} END)"
 
 
-_STOP = "['on', 'of', 'the', 'and', 'in', 'for', 'international', 'conference', 'journal']"
+_STOP = "[" + ", ".join(f"'{w}'" for w in ["", *N.VENUE_STOP]) + "]"
+_SHARED = " OR ".join("(" + " OR ".join(f"contains(x, '{a}')" for a in al) + ") AND (" + " OR ".join(f"contains(y, '{a}')" for a in al) + ")" for _, al in N.VENUES)
 _VW = f"list_filter(list_distinct(string_split({{0}}, ' ')), lambda w: NOT list_contains({_STOP}, w))"
 VENUES = f"""venues AS (SELECT DISTINCT venue, {_venue("venue")} AS v FROM (SELECT venue FROM papers UNION ALL SELECT venue FROM refs)),
-vsim AS (SELECT a, b, CASE WHEN x = '' OR y = '' THEN 0.0 WHEN x = y THEN 1.0 WHEN cx = cy THEN 0.95 WHEN contains(x, y) OR contains(y, x) THEN 0.85
+vsim AS (SELECT a, b, CASE WHEN a = '' OR b = '' THEN 0.0 WHEN x = y THEN 1.0 WHEN cx = cy THEN 0.95 WHEN contains(x, y) OR contains(y, x) THEN 0.85 WHEN {_SHARED} THEN 0.85
   WHEN o >= 0.5 THEN 0.7 + 0.2 * o ELSE o END::DOUBLE AS venue_sim FROM (SELECT p.venue AS a, q.venue AS b, p.v AS x, q.v AS y, {_canon("p.v")} AS cx, {_canon("q.v")} AS cy,
-  CASE WHEN greatest(len({_VW.format("p.v")}), len({_VW.format("q.v")})) = 0 THEN 0.0 ELSE len(list_intersect({_VW.format("p.v")}, {_VW.format("q.v")}))::DOUBLE / greatest(len({_VW.format("p.v")}), len({_VW.format("q.v")})) END::DOUBLE AS o FROM venues p, venues q))"""
+  CASE WHEN least(len({_VW.format("p.v")}), len({_VW.format("q.v")})) = 0 THEN 0.0 ELSE len(list_intersect({_VW.format("p.v")}, {_VW.format("q.v")}))::DOUBLE / greatest(len({_VW.format("p.v")}), len({_VW.format("q.v")})) END::DOUBLE AS o FROM venues p, venues q))"""
 PAIRS = f"""{BASE}, {VENUES},
 keyed_r AS (SELECT *, {_NDOI.format("doi")} AS k_doi, lower(trim(title)) AS k_title, {_SUR.format("authors[1]")} AS k_name FROM refs),
 keyed_p AS (SELECT *, {_NDOI.format("doi")} AS k_doi, lower(trim(title)) AS k_title, {_SUR.format("authors[1]")} AS k_name FROM papers),
@@ -71,10 +71,20 @@ sims AS (SELECT r.ref_id, p.paper_id, rank, p.source, r.title, p.title AS p_titl
   {_SURJ.format("r.authors", "p.authors")} / {_SURU.format("r.authors", "p.authors")} AS author_sim, venue_sim, {_YEAR.format("r.year", "p.year")} AS year_sim
   FROM pairs JOIN refs r USING (ref_id) JOIN papers p USING (paper_id) JOIN vsim ON r.venue = a AND p.venue = b),
 scored AS (SELECT *, round(0.55::DOUBLE * title_sim + 0.25::DOUBLE * author_sim + 0.15::DOUBLE * venue_sim + 0.05::DOUBLE * year_sim, 9) AS score FROM sims)"""
-BEST = f"""{SCORED},
+
+
+def _best_sql(rigor: str) -> str:
+    of = lambda names: "bool_or(source IN (" + ", ".join(f"'{n}'" for n in names) + "))"
+    swap = f"title_sim > {L.RIGOR[rigor].manipulation} AND title_sim <= 0.95 AND author_sim < 0.25 AND n_authors > 1 AND n_p_authors > 1"
+    return f"""{SCORED},
 ranked AS (SELECT *, row_number() OVER (PARTITION BY ref_id ORDER BY score DESC, paper_id) AS row FROM scored),
-sources AS (SELECT ref_id, count(DISTINCT source) AS n_sources FROM scored GROUP BY ref_id),
-best AS (SELECT refs.ref_id, coalesce(n_sources, 0) AS n_sources, ranked.* EXCLUDE (ref_id, row) FROM refs LEFT JOIN ranked ON refs.ref_id = ranked.ref_id AND row = 1 LEFT JOIN sources ON refs.ref_id = sources.ref_id)"""
+sources AS (SELECT ref_id, count(DISTINCT source) AS n_sources, {of(L.MAJOR)} AS major, {of(L.KNOWN)} AS known, {of(L.SUFFICIENT)} AS enough,
+  first(author_sim ORDER BY rank, paper_id) FILTER ({swap}) AS swapped FROM scored GROUP BY ref_id),
+best AS (SELECT refs.ref_id, coalesce(n_sources, 0) AS n_sources, coalesce(major, FALSE) AS major, coalesce(known, FALSE) AS known, coalesce(enough, FALSE) AS enough, swapped, ranked.* EXCLUDE (ref_id, row)
+  FROM refs LEFT JOIN ranked ON refs.ref_id = ranked.ref_id AND row = 1 LEFT JOIN sources ON refs.ref_id = sources.ref_id)"""
+
+
+BEST = _best_sql("balanced")
 
 
 def query(sql: str | None = None):
@@ -96,9 +106,9 @@ def _scored(spark: SparkSession, sf_dir: str, exact: bool = False) -> DataFrame:
     return L.score(L.block(refs, papers), refs, papers, exact).withColumns({"n_authors": F.size("authors"), "n_p_authors": F.size("p_authors")})
 
 
-def _best(spark: SparkSession, sf_dir: str, exact: bool = False) -> DataFrame:
+def _best(spark: SparkSession, sf_dir: str, exact: bool = False, rigor: str = "balanced") -> DataFrame:
     refs = B.references(spark, sf_dir).select("ref_id")
-    out = refs.join(L.best(_scored(spark, sf_dir, exact)), "ref_id", "left")
+    out = refs.join(L.best(_scored(spark, sf_dir, exact), rigor), "ref_id", "left")
     return out.withColumn("n_sources", F.coalesce("n_sources", F.lit(0)))
 
 
@@ -234,35 +244,32 @@ _CRED = "CASE source " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in N.CREDIBILI
 
 
 @query(f"""{PAIRS}, s AS (SELECT DISTINCT ref_id, source FROM pairs JOIN papers USING (paper_id)),
-g AS (SELECT ref_id, max({_CRED})::DOUBLE AS top, count(*) AS n, count(*) FILTER (source IN ('dblp', 'crossref', 'pubmed', 'iacr')) AS auth FROM s GROUP BY 1)
+g AS (SELECT ref_id, max({_CRED})::DOUBLE AS top, count(*) AS n, count(*) FILTER ({_CRED} >= {N.AUTHORITATIVE_FROM}) AS auth FROM s GROUP BY 1)
 SELECT ref_id, n AS n_sources, round(least(1.0::DOUBLE, top + least(0.15::DOUBLE, 0.05::DOUBLE * (n - 1)) + least(0.10::DOUBLE, 0.05::DOUBLE * auth)), 6) AS strength FROM g""")
 def source_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     refs, papers = _tables(spark, sf_dir)
     return L.evidence_strength(L.block(refs, papers).join(papers.select("paper_id", "source"), "paper_id"))
 
 
-_MAJOR = "coalesce(source IN ('dblp', 'crossref', 'openalex', 'semantic_scholar', 'pubmed'), FALSE)"
-
-
 def _class_sql(name: str) -> str:
     r = L.RIGOR[name]
-    base = f"(least(0.95::DOUBLE, score + {r.authentic_boost}::DOUBLE) - CASE WHEN score < 0.80 AND NOT {_MAJOR} THEN 0.20 ELSE 0.0 END::DOUBLE)"
+    base = f"(least(0.95::DOUBLE, score + {r.authentic_boost}::DOUBLE) - CASE WHEN score < 0.80 AND NOT major THEN 0.20 ELSE 0.0 END::DOUBLE)"
     conf = f"least(0.99::DOUBLE, {base} + CASE WHEN n_sources >= 2 THEN 0.05 ELSE -{r.single_penalty} END::DOUBLE + CASE WHEN p_citations > 0 THEN 0.03 ELSE 0.0 END::DOUBLE + CASE WHEN p_doi <> '' THEN 0.02 ELSE 0.0 END::DOUBLE)"
     arms = [
         ("score IS NULL", "inconclusive", "0.5"),
-        (f"title_sim > {r.manipulation} AND author_sim < 0.25 AND n_authors > 1 AND n_p_authors > 1 AND n_sources < 2 AND title_sim <= 0.95", "author_manipulation", f"CASE WHEN author_sim < 0.05 THEN 0.85 WHEN author_sim < 0.15 THEN 0.75 ELSE 0.65 END::DOUBLE + {r.fraud_boost}"),
-        ("score > 0.75 AND score < 0.85 AND n_sources = 1 AND source NOT IN ('dblp', 'crossref', 'pubmed', 'iacr')", "suspicious", "0.65"),
+        ("swapped IS NOT NULL AND n_sources < 2", "author_manipulation", f"CASE WHEN swapped < 0.05 THEN 0.85 WHEN swapped < 0.15 THEN 0.75 ELSE 0.65 END::DOUBLE + {r.fraud_boost}::DOUBLE"),
+        ("score > 0.75 AND score < 0.85 AND n_sources = 1 AND NOT enough", "suspicious", "0.65"),
         ("title_sim > 0.8 AND author_sim < 0.3", "author_manipulation", "0.85"),
-        (f"NOT {_MAJOR} AND score < 0.4", "inconclusive", "0.55"),
-        (f"score >= {r.similarity} AND score < 0.70 AND NOT {_MAJOR} AND n_sources < 3", "suspicious", f"greatest(0.4::DOUBLE, {base} - 0.1::DOUBLE)"),
+        ("NOT known AND score < 0.4", "inconclusive", "0.55"),
+        (f"score >= {r.similarity} AND score < 0.70 AND NOT major AND n_sources < 3", "suspicious", f"greatest(0.4::DOUBLE, {base} - 0.1::DOUBLE)"),
         (f"score >= {r.similarity}", "authentic", conf),
-        (f"score >= {r.suspicious}", "suspicious", "0.75::DOUBLE * score + CASE WHEN n_sources >= 2 THEN 0.05 ELSE -0.05 END::DOUBLE"),
+        (f"score >= {r.suspicious}", "suspicious", f"0.75::DOUBLE * score + CASE WHEN n_sources >= 2 THEN 0.05 ELSE -{r.single_penalty} END::DOUBLE"),
         (f"score > {r.inconclusive} AND title_sim > 0.8", "suspicious", "greatest(0.5::DOUBLE, score + 0.15::DOUBLE)"),
-        (f"score > {r.inconclusive}", "inconclusive", "0.6"),
+        (f"score > {r.inconclusive}", "inconclusive", f"least(0.6::DOUBLE + {r.fraud_boost}::DOUBLE, 0.70::DOUBLE)"),
         ("title_sim > 0.75", "suspicious", "0.5"),
     ]
     kind = "CASE " + " ".join(f"WHEN {c} THEN '{k}'" for c, k, _ in arms) + " ELSE 'inconclusive' END"
-    value = "CASE " + " ".join(f"WHEN {c} THEN ({v})::DOUBLE" for c, _, v in arms) + " ELSE 0.55::DOUBLE END"
+    value = "CASE " + " ".join(f"WHEN {c} THEN ({v})::DOUBLE" for c, _, v in arms) + f" ELSE 0.55::DOUBLE + {r.fraud_boost}::DOUBLE END"
     return f"SELECT ref_id, {kind} AS class, round({value}, 6) AS confidence FROM best"
 
 
@@ -271,14 +278,14 @@ def classify_standard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.classify(_best(spark, sf_dir)).select("ref_id", "class", "confidence")
 
 
-@query(f"{BEST} {_class_sql('strict')}")
+@query(f"{_best_sql('strict')} {_class_sql('strict')}")
 def classify_strict(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return L.classify(_best(spark, sf_dir), "strict").select("ref_id", "class", "confidence")
+    return L.classify(_best(spark, sf_dir, rigor="strict"), "strict").select("ref_id", "class", "confidence")
 
 
-@query(f"{BEST} {_class_sql('lenient')}")
+@query(f"{_best_sql('lenient')} {_class_sql('lenient')}")
 def classify_lenient(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return L.classify(_best(spark, sf_dir), "lenient").select("ref_id", "class", "confidence")
+    return L.classify(_best(spark, sf_dir, rigor="lenient"), "lenient").select("ref_id", "class", "confidence")
 
 
 @query()
@@ -289,7 +296,7 @@ def classify_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def classify_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return L.classify_rules(_best(spark, sf_dir)).select("ref_id", "rule_score", "rule_class")
+    return L.classify_rules(_best(spark, sf_dir)).select("ref_id", "rule_score", "rule_class", "rule_confidence", F.array_join("rule_signs", ",").alias("rule_signs"), "rule_review")
 
 
 _CLASSES = ", ".join(f"('{c}')" for c in L.CLASSES)
