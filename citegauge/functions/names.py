@@ -226,7 +226,7 @@ def compare_lists(ref: Column, paper: Column) -> Column:
             return let(F.array_max(options), lambda best: taken(s, best))
 
         one = F.try_element_at(both["r"], F.lit(1))
-        off = F.coalesce(compare_structs(one, F.try_element_at(both["p"], F.lit(1))) == 0.0, F.lit(False))
+        off = (F.size(both["r"]) > 0) & (F.size(both["p"]) > 0) & F.coalesce(compare_structs(one, F.try_element_at(both["p"], F.lit(1))) == 0.0, F.lit(False))
         later = F.exists(both["p"], lambda p: compare_structs(one, p) >= 0.8)
         return let(F.aggregate(both["r"], start, place), lambda s: F.struct(s["used"].alias("used"), s["total"].alias("total"), s["matched"].alias("matched"), off.alias("first_off"), (off & later).alias("reordered")).cast(full))
 

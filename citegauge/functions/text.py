@@ -174,7 +174,7 @@ STOP_WORDS = ["a", "an", "and", "are", "as", "at", "be", "by", "for", "from", "h
 
 def key_terms(c: Column, most: int = 8) -> Column:
     """First distinct words of three letters or more that aren't stop words."""
-    found = F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit(r"\b[a-z]{3,}\b"), F.lit(0)))
+    found = F.array_distinct(F.filter(F.split(F.lower(c), r"[^\p{L}\p{N}_]+"), lambda w: w.rlike("^[a-z]{3,}$")))
     return F.slice(F.array_except(found, F.array(*map(F.lit, STOP_WORDS))), 1, most)
 
 

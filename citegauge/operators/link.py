@@ -68,7 +68,12 @@ def score(pairs: DataFrame, refs: DataFrame, papers: DataFrame, exact: bool = Fa
     title = title_similarity(F.col("title"), F.col("p_title")) if exact else token_jaccard(F.col("title"), F.col("p_title"))
     author = compare_lists(F.col("authors"), F.col("p_authors"))["overall"] if exact else surname_jaccard(F.col("authors"), F.col("p_authors"))
     j = j.withColumns({"title_sim": title, "author_sim": author, "venue_sim": venue_similarity(F.col("venue"), F.col("p_venue"), exact), "year_sim": year_linear(F.col("year"), F.col("p_year"))})
-    return j.withColumn("score", F.round(sum((F.lit(w) * F.col(f"{k}_sim") for k, w in list(WEIGHTS.items())[1:]), F.lit(WEIGHTS["title"]) * F.col("title_sim")), 9))
+    return total(j)
+
+
+def total(sims: DataFrame) -> DataFrame:
+    """score: the weighted sum of the four likenesses."""
+    return sims.withColumn("score", F.round(sum((F.lit(w) * F.col(f"{k}_sim") for k, w in list(WEIGHTS.items())[1:]), F.lit(WEIGHTS["title"]) * F.col("title_sim")), 9))
 
 
 def best(scored: DataFrame, rigor: str = "balanced") -> DataFrame:
@@ -241,18 +246,6 @@ def evidence_strength(candidates: DataFrame) -> DataFrame:
     return g.select("ref_id", F.size("sources").cast("long").alias("n_sources"), F.round(strength_of(F.col("sources")), 6).alias("strength"))
 
 
-def doi_metadata(refs: DataFrame, registry: DataFrame) -> DataFrame:
-    """refs left-joined with a DOI registry (doi, r_title, r_year): resolves, title_match, year_match, boost."""
-    r = refs.withColumn("k_doi", normalise_doi(F.col("doi")))
-    j = r.join(registry.select(normalise_doi(F.col("doi")).alias("k_doi"), F.col("title").alias("r_title"), F.col("year").alias("r_year")), "k_doi", "left")
-    title = token_jaccard(F.col("title"), F.col("r_title"))
-    year = F.abs(F.col("year") - F.col("r_year")) <= 1
-    found = F.col("r_title").isNotNull()
-    ok = found & (title > 0.7) & (F.col("year").isNull() | F.coalesce(year, F.lit(False)))
-    boost = F.when(ok, 0.1 + F.when(title > 0.9, 0.05).otherwise(0.0) + F.when(year, 0.02).otherwise(0.0)).when(found, -0.1).otherwise(0.0)
-    return j.select("ref_id", found.alias("resolves"), F.coalesce(ok, F.lit(False)).alias("matches"), F.round(F.least(F.lit(0.2), boost), 6).alias("boost"))
-
-
 def adaptive_top(ranked: DataFrame) -> DataFrame:
     """At most three per reference: the first; then those near it or good, unless the first stands far above."""
     row = F.row_number().over(W.partitionBy("ref_id").orderBy(F.desc("score"), "paper_id"))

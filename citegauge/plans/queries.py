@@ -320,15 +320,6 @@ def risk_label(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select(F.bround("f", 1).alias("fraud_pct"), L.risk(F.col("f"), F.col("k"), F.col("s")).alias("risk"))
 
 
-@query(f"""{BASE}, reg AS (SELECT {_NDOI.format("doi")} AS k, title, year FROM papers),
-j AS (SELECT ref_id, reg.title IS NOT NULL AS resolves, {_jac("r.title", "reg.title")} AS t, abs(r.year - reg.year) <= 1 AS y FROM refs r LEFT JOIN reg ON {_NDOI.format("r.doi")} = k)
-SELECT ref_id, resolves, coalesce(resolves AND t > 0.7 AND y, FALSE) AS matches,
-round(CASE WHEN resolves AND t > 0.7 AND y THEN least(0.2, 0.1 + CASE WHEN t > 0.9 THEN 0.05 ELSE 0 END + 0.02) WHEN resolves THEN -0.1 ELSE 0.0 END::DOUBLE, 6) AS boost FROM j""")
-def doi_metadata_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    refs, papers = _tables(spark, sf_dir)
-    return L.doi_metadata(refs, papers)
-
-
 @query(f"{BASE} SELECT ref_id, {_NDOI.format('refs.doi')} AS doi_norm FROM refs WHERE {_NDOI.format('refs.doi')} IN (SELECT {_NDOI.format('doi')} FROM papers WHERE paper_id % 13 = 0)")
 def retraction_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     refs, papers = _tables(spark, sf_dir)

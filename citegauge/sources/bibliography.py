@@ -123,3 +123,59 @@ def from_tei(xml: Column) -> Column:
         x(n("biblScope", " and @unit='issue'")).alias("issue"), F.coalesce(F.nullif(F.concat_ws("-", x(pages + "/@from"), x(pages + "/@to")), F.lit("")), x(pages)).alias("pages"),
         x(n("idno", " and @type='DOI'"), n("idno", " and contains(., '10.')")).alias("doi"), x(n("ptr") + "/@target").alias("url"),
     )
+
+
+def from_pubmed(xml: Column) -> Column:
+    """A PubmedArticle; authors need a surname, and its journal is the venue."""
+    x = lambda p: F.nullif(F.xpath_string(xml, F.lit(p)), F.lit(""))
+    names = F.xpath(xml, F.lit("//Article//AuthorList/Author[LastName]/LastName/text()"))
+    with_given, given = (F.xpath(xml, F.lit(f"//Article//AuthorList/Author[LastName and ForeName]/{k}/text()")) for k in ("LastName", "ForeName"))
+    whole = F.zip_with(given, with_given, lambda a, b: F.concat_ws(" ", a, b))
+    one_by_one = F.transform(F.sequence(F.lit(1), F.size(names)), lambda k: F.get(names, k - 1))
+    authors = F.when(F.size(names) == 0, F.array().cast("array<string>")).when(F.size(names) == F.size(whole), whole).otherwise(F.transform(one_by_one, lambda n: F.coalesce(F.try_element_at(F.filter(whole, lambda w: F.endswith(w, F.concat(F.lit(" "), n))), F.lit(1)), n)))
+    return F.struct(
+        F.lit("pubmed").alias("source"), x("//PMID[1]").alias("paper_id"), F.trim(F.regexp_replace(F.coalesce(x("//Article//ArticleTitle"), F.lit("")), "<[^>]+>", "")).alias("title"),
+        authors.alias("authors"), x("//Journal//PubDate/Year").try_cast("int").alias("year"), x("//Journal//Title").alias("venue"), x("//ArticleId[@IdType='doi']").alias("doi"),
+        F.lit(None).cast("long").alias("citations"), F.lit(None).cast("string").alias("publisher"), x("//JournalIssue/Volume").alias("volume"), x("//JournalIssue/Issue").alias("issue"),
+        x("//Pagination/MedlinePgn").alias("pages"),
+    )
+
+
+def from_springer(raw: Column) -> Column:
+    """A record; the year is the first of its date, the pages run from the first to the last."""
+    w = F.from_json(raw, "title string, creators array<struct<creator:string>>, publicationDate string, onlineDate string, publicationName string, doi string, url string, volume string, startingPage string, endingPage string")
+    text = lambda c: F.trim(F.coalesce(w[c], F.lit("")))
+    date = F.coalesce(F.nullif(w["publicationDate"], F.lit("")), w["onlineDate"])
+    pages = F.when((text("startingPage") != "") & (text("endingPage") != ""), F.concat(text("startingPage"), F.lit("-"), text("endingPage"))).otherwise(text("startingPage"))
+    names = F.filter(F.transform(w["creators"], lambda a: F.trim(a["creator"])), lambda n: n != "")
+    return F.struct(
+        F.lit("springer").alias("source"), text("doi").alias("paper_id"), text("title").alias("title"), F.coalesce(names, F.array().cast("array<string>")).alias("authors"),
+        F.regexp_extract(date, r"\b((?:19|20)[0-9]{2})\b", 1).try_cast("int").alias("year"), text("publicationName").alias("venue"), text("doi").alias("doi"), F.lit(None).cast("long").alias("citations"),
+        F.lit("Springer").alias("publisher"), text("volume").alias("volume"), pages.alias("pages"),
+        F.coalesce(F.nullif(text("url"), F.lit("")), F.when(text("doi") != "", F.concat(F.lit("https://doi.org/"), text("doi")))).alias("url"),
+    )
+
+
+def from_scholar(raw: Column) -> Column:
+    """A hit of a scholar search; authors are split at 'and', and a missing snippet is the title."""
+    w = F.from_json(raw, "bib struct<title:string,author:string,pub_year:string,venue:string,abstract:string>, pub_url string, eprint_url string, num_citations string")
+    b, title = w["bib"], F.trim(F.coalesce(w["bib"]["title"], F.lit("")))
+    names = F.transform(F.split(F.nullif(b["author"], F.lit("")), " and "), F.trim)
+    return F.struct(
+        F.lit("google_scholar").alias("source"), title.alias("title"), F.coalesce(names, F.array().cast("array<string>")).alias("authors"), b["pub_year"].try_cast("int").alias("year"),
+        F.trim(F.coalesce(b["venue"], F.lit(""))).alias("venue"), F.coalesce(F.nullif(w["pub_url"], F.lit("")), w["eprint_url"]).alias("url"), w["num_citations"].try_cast("long").alias("citations"),
+        F.coalesce(F.nullif(F.trim(b["abstract"]), F.lit("")), title).alias("snippet"),
+    )
+
+
+def from_rss(item: Column) -> Column:
+    """An item of the feed of cryptology preprints; the number at its link's end is its id, and gives the year if no date does."""
+    x = lambda *ps: F.coalesce(*[F.nullif(F.trim(F.xpath_string(item, F.lit(p))), F.lit("")) for p in ps])
+    n = lambda name: f"//*[local-name()='{name}']"
+    number = F.regexp_extract(x(n("link")), r"/([0-9]{4}/[0-9]+)/?$", 1)
+    dated = F.regexp_extract(x(n("pubDate"), n("date"), n("updated")), r"\b((?:19|20)[0-9]{2})\b", 1).try_cast("int")
+    return F.struct(
+        F.lit("iacr").alias("source"), number.alias("paper_id"), x(n("title")).alias("title"), F.xpath(item, F.lit(f"{n('creator')}/text() | {n('author')}/text()")).alias("authors"),
+        F.coalesce(dated, F.substring(number, 1, 4).try_cast("int")).alias("year"), F.lit("IACR Cryptology ePrint Archive").alias("venue"), F.lit(None).cast("string").alias("doi"),
+        F.lit(None).cast("long").alias("citations"), F.lit(None).cast("string").alias("publisher"), x(n("link")).alias("url"), x(n("category"), n("subject")).alias("category"), x(n("description"), n("summary")).alias("description"),
+    )
