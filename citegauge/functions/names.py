@@ -253,10 +253,17 @@ def doi_author_similarity(ref: Column, paper: Column) -> Column:
     return F.when((F.size(ref) <= 0) | (F.size(paper) <= 0), 0.0).otherwise(hit / F.greatest(F.size(ref), F.size(paper)))
 
 
+def surnames(names: Column) -> Column:
+    return F.array_distinct(F.transform(names, surname))
+
+
+def shared_surnames(x: Column, y: Column) -> Column:
+    """Shared over all of two lists of distinct surnames; 0 if either is empty."""
+    return F.when((F.size(x) <= 0) | (F.size(y) <= 0), 0.0).otherwise(F.size(F.array_intersect(x, y)) / F.size(F.array_union(x, y)))
+
+
 def surname_jaccard(ref: Column, paper: Column) -> Column:
-    names = F.struct(*[F.array_distinct(F.transform(c, surname)).alias(k) for k, c in (("x", ref), ("y", paper))])
-    shared = lambda s: F.size(F.array_intersect(s["x"], s["y"])) / F.size(F.array_union(s["x"], s["y"]))
-    return let(names, lambda s: F.when((F.size(s["x"]) <= 0) | (F.size(s["y"]) <= 0), 0.0).otherwise(shared(s)))
+    return let(F.struct(surnames(ref).alias("x"), surnames(paper).alias("y")), lambda s: shared_surnames(s["x"], s["y"]))
 
 
 def normalise_venue(c: Column) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.names import AUTHORITATIVE_FROM, compare_lists, credibility, implausible_venue, surname, surname_jaccard, venue_similarity, year_asymmetric, year_linear
+from ..functions.names import AUTHORITATIVE_FROM, compare_lists, compare_venues, credibility, implausible_venue, shared_surnames, surname, surnames, venue_similarity, venue_struct, year_asymmetric, year_linear
 from ..functions.text import normalise_doi, present, title_similarity, token_jaccard
 
 CLASSES = ["authentic", "suspicious", "fabricated", "author_manipulation", "fake", "inconclusive"]
@@ -64,10 +64,15 @@ def score(pairs: DataFrame, refs: DataFrame, papers: DataFrame, exact: bool = Fa
     exact takes the sequence ratio and the greedy comparison of author lists; else words and surnames, all in codegen.
     """
     p = papers.select("paper_id", "source", *extra, *[F.col(c).alias(f"p_{c}") for c in ("title", "authors", "year", "venue", "doi", "citations")])
-    j = pairs.join(refs, "ref_id").join(p, "paper_id")
-    title = title_similarity(F.col("title"), F.col("p_title")) if exact else token_jaccard(F.col("title"), F.col("p_title"))
-    author = compare_lists(F.col("authors"), F.col("p_authors"))["overall"] if exact else surname_jaccard(F.col("authors"), F.col("p_authors"))
-    j = j.withColumns({"title_sim": title, "author_sim": author, "venue_sim": venue_similarity(F.col("venue"), F.col("p_venue"), exact), "year_sim": year_linear(F.col("year"), F.col("p_year"))})
+    if exact:
+        j = pairs.join(refs, "ref_id").join(p, "paper_id")
+        title, author, venue = title_similarity(F.col("title"), F.col("p_title")), compare_lists(F.col("authors"), F.col("p_authors"))["overall"], venue_similarity(F.col("venue"), F.col("p_venue"), exact)
+    else:  # names and venues are taken apart once a row, not once a pair
+        parts = lambda d, mark: d.withColumns({f"__names{mark}__": surnames(F.col(f"{mark}authors")), f"__venue{mark}__": venue_struct(F.col(f"{mark}venue"))})
+        j = pairs.join(parts(refs, ""), "ref_id").join(parts(p, "p_"), "paper_id")
+        title, author, venue = token_jaccard(F.col("title"), F.col("p_title")), shared_surnames(F.col("__names__"), F.col("__namesp___")), compare_venues(F.col("__venue__"), F.col("__venuep___"))
+    j = j.withColumns({"title_sim": title, "author_sim": author, "venue_sim": venue, "year_sim": year_linear(F.col("year"), F.col("p_year"))})
+    j = j.drop("__names__", "__namesp___", "__venue__", "__venuep___")
     return total(j)
 
 
