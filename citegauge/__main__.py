@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .functions.citations import parse_citation
 from .functions.text import normalise_text, token_jaccard
-from .operators.context import BONUS, boosted, search_rank
+from .operators.context import BONUS, book_signs, boosted, search_rank
 from .operators.link import RIGOR, adaptive_top, distinct_titles, summary
 from .operators.report import plain_citation, report, summary_lines
 from .operators.verify import verify
@@ -41,6 +41,9 @@ def main(argv: list[str] | None = None) -> None:
     p.add_argument("--rigor", choices=sorted(RIGOR), default="balanced")
     p.add_argument("--context", choices=["general", *BONUS], default="general")
     p.add_argument("--exact", action="store_true", help="sequence ratios and whole author lists")
+    for name, what in (("registry", "a DOI registry"), ("notices", "retraction notices"), ("hits", "hits of a scholar search"), ("registered", "registered authors")):
+        p.add_argument(f"--{name}", help=f"Parquet of {what}")
+    p.add_argument("--raw-labels", action="store_true", help="take no catalogue for a major one")
     p.add_argument("--format", choices=["json", "txt"], default="json")
     p.add_argument("--out", required=True, help="folder to write")
     a = p.parse_args(argv)
@@ -53,11 +56,13 @@ def main(argv: list[str] | None = None) -> None:
         else:
             found.select(plain_citation(*[F.col(c) for c in ("title", "authors", "venue", "year")])).write.text(a.out)
         return
-    rows = verify(read_references(spark, a.what), papers, a.rigor, a.exact)
+    tables = [spark.read.parquet(path) if path else None for path in (a.registry, a.notices, a.hits, a.registered)]
+    is_book = F.size(book_signs(F.col("title"), F.col("venue"), F.col("year"), F.lit(""))) > 0
+    rows = verify(read_references(spark, a.what), papers, a.rigor, a.exact, *tables, is_book, a.raw_labels)
     if a.format == "json":
         rows.write.mode("errorifexists").json(a.out)
     else:
-        report(rows).orderBy("ref_id").select("block").write.text(a.out)
+        report(rows, F.col("is_book")).orderBy("ref_id").select("block").write.text(a.out)
     for r in summary_lines(summary(rows)).orderBy("ord").collect():  # six rows
         print(r.line)
 

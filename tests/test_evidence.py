@@ -10,7 +10,10 @@ from citegauge.functions import names as N
 from citegauge.functions import verdicts as V
 from citegauge.operators import evidence as O
 from citegauge.operators import link as L
+from citegauge.operators.context import book_signs
 from citegauge.operators.merge import merge_similar, similar_groups
+from citegauge.operators.report import report
+from citegauge.operators.verify import verify
 from citegauge.sources import bibliography as B
 
 REF = "ref_id long, title string, authors array<string>, year int, venue string, doi string"
@@ -183,3 +186,18 @@ def test_more_catalogues(spark):
     assert (r.title, r.authors, r.year, r.paper_id, r.category, r.description) == ("T", ["Ada Li"], 2021, "2021/12", "c", "d")
     for fn in (B.from_springer, B.from_scholar):
         assert one(spark, None, fn).authors == [] and one(spark, "no json", fn).title == ""
+
+
+def test_verify_with_evidence(spark):
+    refs = spark.createDataFrame([(1, "On the growth of things", ["Ada Li"], 2001, "VLDB", "10.1/a"), (2, "Handbook of Nothing", ["Eva No"], 2001, "", ""), (3, None, None, None, None, None)], REF)
+    papers = spark.createDataFrame([(1, "dblp", "On the growth of things", ["Ada Li"], 2001, "VLDB", "10.1/a", 4)], "paper_id long, source string, title string, authors array<string>, year int, venue string, doi string, citations long")
+    notices = spark.createDataFrame([("10.1/a", "t", "retraction", "10.1/n", "2003", "update-to")], "doi string, title string, type string, notice_doi string, notice_date string, via string")
+    hits = spark.createDataFrame([], HIT)
+    people = spark.createDataFrame([("1", "Ada Li")], "author_id string, canonical_name string")
+    book = F.size(book_signs(F.col("title"), F.col("venue"), F.col("year"), F.lit(""))) > 0
+    rows = verify(refs, papers, registry=papers, notices=notices, hits=hits, authors=people, is_book=book)
+    got = {r.ref_id: r for r in rows.collect()}
+    assert (got[1]["class"], got[1].confidence, got[1].retracted) == ("authentic", 0.99, True)
+    assert (got[2]["class"], got[2].confidence, got[3].confidence) == ("inconclusive", 0.4, 0.5)
+    blocks = {r.ref_id: r.block for r in report(rows, F.col("is_book")).collect()}
+    assert "[RETRACTED] Retraction, notice 10.1/n, 2003" in blocks[1] and "book" in blocks[2] and "RETRACTED" not in blocks[2]
