@@ -201,3 +201,21 @@ def test_verify_with_evidence(spark):
     assert (got[2]["class"], got[2].confidence, got[3].confidence) == ("inconclusive", 0.4, 0.5)
     blocks = {r.ref_id: r.block for r in report(rows, F.col("is_book")).collect()}
     assert "[RETRACTED] Retraction, notice 10.1/n, 2003" in blocks[1] and "book" in blocks[2] and "RETRACTED" not in blocks[2]
+
+
+def test_rule_engine(spark):
+    kind = "authors array<string>, p_authors array<string>, venue string, p_venue string, year int, p_year int, title_sim double, author_sim double, venue_sim double, sources array<string>, score double"
+    two, three = ["Ada Li", "Bo Wu"], ["Ada Li", "Bo Wu", "Eva No"]
+    rows = [
+        ((None, None, None, None, None, None, None, None, None, None, None), "fabricated", 0.85, "complete_fabrication", "high"),
+        ((two, ["X Y"], "", "", 2001, 2001, 0.9, 0.0, 0.0, ["dblp"], 0.5), "author_manipulation", 0.9, "author_swap", "critical"),
+        ((three, two, "", "", 2001, 2001, 0.84, 0.5, 0.0, ["dblp"], 0.5), "author_manipulation", 0.85, "author_injection", "critical"),
+        ((two, two, "Nature", "arXiv", 2001, 2001, 1.0, 1.0, 0.0, ["dblp"], 0.9), "suspicious", 0.72, "venue_fabrication", "high"),
+        ((two, two, "", "", 2001, 2001, 0.6, 0.5, 0.0, ["odd"], 0.5), "suspicious", 0.495, "", "medium"),
+        ((two, two, "", "", 2003, 2001, 1.0, 1.0, 0.0, ["dblp"], 0.9), "authentic", 0.84 + 0.1, "newer_year", "low"),
+        ((two, two, "", "", 2001, 2001, 0.2, 0.5, 0.0, ["dblp", "iacr"], 0.2), "inconclusive", 0.7, "", "high"),
+        ((two, two, "", "", 2001, 2001, 0.2, 0.5, 0.0, ["arxiv"], 0.2), "fabricated", 0.7, "complete_fabrication", "high"),
+    ]
+    for row, name, conf, signs, review in rows:
+        r = L.classify_rules(spark.createDataFrame([row], kind)).first()
+        assert (r.rule_class, r.rule_confidence, ",".join(r.rule_signs), r.rule_review) == (name, pytest.approx(conf), signs, review), row
