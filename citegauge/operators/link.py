@@ -41,10 +41,10 @@ RIGOR = {
 }
 
 
-def block(refs: DataFrame, papers: DataFrame, most: int = 10) -> DataFrame:
+def block(refs: DataFrame, papers: DataFrame, most: int | None = None) -> DataFrame:
     """Candidates (ref_id, paper_id) by equal DOI, equal title, or a first author's surname within a year of the other.
 
-    A union of equi-joins; each pair once; at most `most` per reference and source, as the catalogues' searches give.
+    A union of equi-joins; each pair once. All of them, unless `most` bounds those of a reference and source before any is scored.
     """
     key = lambda d: d.select("*", normalise_doi(F.col("doi")).alias("k_doi"), F.lower(F.trim("title")).alias("k_title"), surname(F.get("authors", F.lit(0))).alias("k_name"))
     r = key(refs).select("ref_id", "k_doi", "k_title", "k_name", "year")
@@ -54,6 +54,8 @@ def block(refs: DataFrame, papers: DataFrame, most: int = 10) -> DataFrame:
     near = r.where("k_name <> '' and year is not null").select("ref_id", "k_name", F.explode(F.array(F.col("year") - 1, F.col("year"), F.col("year") + 1)).alias("year"))
     by_name = near.join(p.select("paper_id", "source", "k_name", "year"), ["k_name", "year"]).select("ref_id", "paper_id", "source", F.lit(3).alias("rank"))
     pairs = by_doi.union(by_title).union(by_name).groupBy("ref_id", "paper_id", "source").agg(F.min("rank").alias("rank"))
+    if most is None:
+        return pairs.select("ref_id", "paper_id", "rank")
     top = F.row_number().over(W.partitionBy("ref_id", "source").orderBy("rank", "paper_id"))
     return pairs.withColumn("top", top).where(F.col("top") <= most).select("ref_id", "paper_id", "rank")
 

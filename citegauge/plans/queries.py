@@ -101,14 +101,18 @@ def _tables(spark: SparkSession, sf_dir: str):
     return B.references(spark, sf_dir), B.papers(spark, sf_dir)
 
 
-def _scored(spark: SparkSession, sf_dir: str, exact: bool = False) -> DataFrame:
+#: Queries with SQL keep as many candidates of a reference and source as PAIRS does; those without keep all.
+MOST = 10
+
+
+def _scored(spark: SparkSession, sf_dir: str, exact: bool = False, most: int | None = MOST) -> DataFrame:
     refs, papers = _tables(spark, sf_dir)
-    return L.score(L.block(refs, papers), refs, papers, exact).withColumns({"n_authors": F.size("authors"), "n_p_authors": F.size("p_authors")})
+    return L.score(L.block(refs, papers, most), refs, papers, exact).withColumns({"n_authors": F.size("authors"), "n_p_authors": F.size("p_authors")})
 
 
-def _best(spark: SparkSession, sf_dir: str, exact: bool = False, rigor: str = "balanced") -> DataFrame:
+def _best(spark: SparkSession, sf_dir: str, exact: bool = False, rigor: str = "balanced", most: int | None = MOST) -> DataFrame:
     refs = B.references(spark, sf_dir).select("ref_id")
-    out = refs.join(L.best(_scored(spark, sf_dir, exact), rigor), "ref_id", "left")
+    out = refs.join(L.best(_scored(spark, sf_dir, exact, most), rigor), "ref_id", "left")
     return out.withColumn("n_sources", F.coalesce("n_sources", F.lit(0)))
 
 
@@ -230,7 +234,7 @@ def dedupe_title(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def dedupe_title_or_doi(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sequential two-key deduplication; order-dependent, tested against a plain program."""
-    return L.distinct_keys(_scored(spark, sf_dir)).select("ref_id", "paper_id")
+    return L.distinct_keys(_scored(spark, sf_dir, most=None)).select("ref_id", "paper_id")
 
 
 @query(f"""{SCORED} SELECT ref_id, paper_id, CAST(CASE WHEN source = 'openalex' THEN 10 ELSE 0 END + CASE WHEN p_doi <> '' THEN 5 ELSE 0 END + CASE WHEN p_citations > 0 THEN 3 ELSE 0 END
@@ -248,7 +252,7 @@ g AS (SELECT ref_id, max({_CRED})::DOUBLE AS top, count(*) AS n, count(*) FILTER
 SELECT ref_id, n AS n_sources, round(least(1.0::DOUBLE, top + least(0.15::DOUBLE, 0.05::DOUBLE * (n - 1)) + least(0.10::DOUBLE, 0.05::DOUBLE * auth)), 6) AS strength FROM g""")
 def source_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     refs, papers = _tables(spark, sf_dir)
-    return L.evidence_strength(L.block(refs, papers).join(papers.select("paper_id", "source"), "paper_id"))
+    return L.evidence_strength(L.block(refs, papers, MOST).join(papers.select("paper_id", "source"), "paper_id"))
 
 
 def _class_sql(name: str) -> str:
@@ -291,12 +295,12 @@ def classify_lenient(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def classify_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Classification with sequence ratios and greedy author lists; its parts are tested against plain programs."""
-    return L.classify(_best(spark, sf_dir, exact=True)).select("ref_id", "paper_id", F.round("score", 6).alias("score"), "class", "confidence")
+    return L.classify(_best(spark, sf_dir, exact=True, most=None)).select("ref_id", "paper_id", F.round("score", 6).alias("score"), "class", "confidence")
 
 
 @query()
 def classify_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return L.classify_rules(_best(spark, sf_dir)).select("ref_id", "rule_score", "rule_class", "rule_confidence", F.array_join("rule_signs", ",").alias("rule_signs"), "rule_review")
+    return L.classify_rules(_best(spark, sf_dir, most=None)).select("ref_id", "rule_score", "rule_class", "rule_confidence", F.array_join("rule_signs", ",").alias("rule_signs"), "rule_review")
 
 
 _CLASSES = ", ".join(f"('{c}')" for c in L.CLASSES)

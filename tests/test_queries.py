@@ -1,4 +1,5 @@
 import difflib
+import inspect
 
 import pytest
 from oracle import assert_same
@@ -7,6 +8,7 @@ from pyspark.sql import functions as F
 from citegauge.functions import names as N
 from citegauge.functions import text as T
 from citegauge.operators import link as L
+from citegauge.operators.verify import verify
 from citegauge.plans import QUERIES, SQL
 from citegauge.sources import bibliography as B
 
@@ -95,3 +97,29 @@ def test_greedy_dedupe(spark):
     rows = [(1, 1, "a", "x", 1), (1, 2, "A ", "y", 1), (1, 3, "b", "x", 1), (1, 4, "c", "y", 2), (2, 1, "a", "x", 1)]
     got = L.distinct_keys(spark.createDataFrame(rows, "ref_id int, paper_id int, p_title string, p_doi string, rank int")).collect()
     assert sorted((r.ref_id, r.paper_id) for r in got) == [(1, 1), (1, 4), (2, 1)]
+
+
+def test_all_candidates_are_scored(spark):
+    schema = "title string, authors array<string>, venue string, year int, doi string"
+    refs = spark.createDataFrame([(1, "A hot title", ["Ada Lovelace"], "VLDB", 2000, "")], "ref_id int, " + schema)
+    rows = [(k, "dblp", 0, "a hot title", ["Ada Lovelace" if k == 30 else f"Bob Other{k}"], "VLDB", 2000 if k == 30 else 1990, "") for k in range(1, 31)]
+    papers = spark.createDataFrame(rows, "paper_id int, source string, citations int, " + schema)
+    assert L.block(refs, papers).count() == 30
+    assert L.block(refs, papers, 10).count() == 10
+    for exact in (False, True):
+        assert verify(refs, papers, exact=exact).first().paper_id == 30
+
+
+@pytest.mark.parametrize("name", ["classify_rules", "dedupe_title_or_doi"])
+def test_queries_without_sql_have_no_bound(spark, monkeypatch, name):
+    seen, block = [], L.block
+
+    def watched(*args):
+        bound = inspect.signature(block).bind(*args)
+        bound.apply_defaults()
+        seen.append(bound.arguments["most"])
+        return block(*args)
+
+    monkeypatch.setattr(L, "block", watched)
+    QUERIES[name](spark, SF)
+    assert seen == [None]
