@@ -18,7 +18,7 @@ KEY = "0f1e2d3c4b5a69788796a5b4c3d2e1f0"
 #: Kind and pattern, in order of precedence where matches begin at the same place.
 PATTERNS = [
     ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"),
-    ("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[0-9]{4}){2,6}(?: ?[0-9]{1,3})?(?![A-Za-z0-9])"),
+    ("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"),
     ("date", r"(?<![0-9./-])(?:(?:1[89]|2[01])[0-9]{2}-[0-9]{2}-[0-9]{2}|[0-9]{2}(?:\.[0-9]{2}\.|/[0-9]{2}/)(?:1[89]|2[01])[0-9]{2})(?![0-9/-])"),
     ("ssn", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"),
     ("phone", r"(?<![0-9])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[.-])[0-9]{3}[ .-][0-9]{4}(?![0-9])"),
@@ -26,11 +26,18 @@ PATTERNS = [
     ("ip", r"(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9]|\.[0-9])"),
     ("card", r"(?<![0-9A-Za-z])[0-9](?:[ -]?[0-9]){12,18}(?![0-9A-Za-z])"),
     ("secret", r"(?<![A-Za-z0-9])(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])"),
-    ("secret", r"(?<![A-Za-z0-9])(?:[0-9a-f]{40}|[0-9a-f]{64}|[0-9a-f]{32})(?![A-Za-z0-9])"),
+    ("secret", r"(?<![A-Za-z0-9])(?:[0-9A-Fa-f]{40}|[0-9A-Fa-f]{64}|[0-9A-Fa-f]{32})(?![A-Za-z0-9])"),
 ]
-ANY = "|".join(f"(?:{p})" for _, p in PATTERNS)
+#: Kinds told by their check digits: a text's own valid values stand for their pattern in its search, so a longer or an earlier
+#: run of characters that doesn't validate hides none. Below, the patterns of values at most as long that begin where one matches.
+WITHIN = {
+    "iban": [rf"^[A-Z]{{2}}[0-9]{{2}}(?: ?[A-Z0-9]{{4}}){{{n}}}{tail}(?![A-Za-z0-9])" for n in range(2, 8) for tail in ("", "(?: ?[A-Z0-9]{1,3})")],
+    "card": [rf"^[0-9](?:[ -]?[0-9]){{{n - 1}}}(?![0-9A-Za-z])" for n in range(13, 20)],
+}
+#: Cards as they are usually written; other groupings of digits count only where none of these begins within them.
+USUAL = r"^(?:[0-9]{13,19}|[0-9]{4}([ -])[0-9]{4}\1[0-9]{4}\1[0-9]{1,4}(?:\1[0-9]{1,3})?|[0-9]{4}([ -])[0-9]{6}\2[0-9]{4,5})$"
 #: Where none of these occurs, no pattern can match: an @, two digits near each other, or a key's head.
-MAYBE = r"@|[0-9][ .)-]{0,2}[0-9]|A[KS]IA|[0-9a-f]{32}"
+MAYBE = r"@|[0-9][ .)-]{0,2}[0-9]|A[KS]IA|[0-9A-Fa-f]{32}"
 DIGITS, UPPERS, LOWERS = "0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: 1800-01-01 and the 400 years of the calendar's cycle from it: 27 * 5411 days.
 EPOCH, DAYS_A, DAYS_B = -62091, 27, 5411
@@ -100,12 +107,16 @@ def luhn(digits: Column) -> Column:
 
 
 def _mod97(digits: Column) -> Column:
-    """A string of digits modulo 97."""
-    return F.aggregate(F.split(digits, ""), F.lit(0).cast("long"), lambda s, c: F.when(c == "", s).otherwise((s * 10 + c.cast("long")) % 97))
+    """A string of digits, and capitals that stand for 10 to 35, modulo 97."""
+    at = lambda s, c: F.when(c == "", s).when(c >= "A", (s * 100 + F.ascii(c) - 55) % 97).otherwise((s * 10 + F.ascii(c) - 48) % 97)
+    return F.aggregate(F.split(digits, ""), F.lit(0).cast("long"), lambda s, c: at(s, c).cast("long"))
 
 
-def _country(cc: Column) -> Column:
-    return F.concat((F.ascii(F.substring(cc, 1, 1)) - 55).cast("string"), (F.ascii(F.substring(cc, 2, 1)) - 55).cast("string"))
+def _iban(value: Column) -> Column:
+    """Whether the check digits are right, and the length that of an IBAN if there are letters in the account."""
+    v = _only(value, " ")
+    right = _mod97(F.concat(F.substring(v, 5, 40), F.substring(v, 1, 4))) == 1
+    return right & (~F.substring(v, 5, 40).rlike("[A-Z]") | F.char_length(v).between(15, 34))
 
 
 def _spread(value: Column, chars: Column, pattern: str) -> Column:
@@ -159,13 +170,11 @@ def kind_of(value: Column) -> Column:
     digits = _only(value, "[^0-9]")
     full = lambda p: value.rlike(f"^(?:{p})$")
     by = dict(reversed(PATTERNS))
-    letters = F.concat(F.substring(value, 1, 2), digits)
-    iban = _mod97(F.concat(F.substring(letters, 5, 40), _country(F.substring(letters, 1, 2)), F.substring(letters, 3, 2))) == 1
     octets = F.forall(F.split(value, r"\."), lambda o: (o.cast("int") <= 255) & ((o == "0") | ~o.startswith("0")))
     ssn = ~F.substring(value, 1, 3).isin("000", "666") & (F.substring(value, 1, 1) != "9") & (F.substring(value, 5, 2) != "00") & (F.substring(value, 8, 4) != "0000")
     return (
         F.when(full(by["email"]), "email")
-        .when(full(by["iban"]), F.when(iban, "iban"))
+        .when(full(by["iban"]) & _iban(value), "iban")
         .when(full(by["date"]), F.when(_day(value).isNotNull(), "date"))
         .when(full(by["ssn"]), F.when(ssn, "ssn"))
         .when(full(by["ip"]), F.when(octets, "ip"))
@@ -188,10 +197,10 @@ def _pseudonym(value: Column, kind: Column, digits: Column, key: str, back: bool
     body = digits_permuted(F.substring(digits, F.lit(1), n - 1), key, "card", back)
     card = _once(body, lambda x: F.concat(x, ((10 - luhn(F.concat(x, F.lit("0")))) % 10).cast("string")))
 
-    # iban: the account digits are permuted, the country stays, the check digits follow
-    cc = F.substring(value, 1, 2)
-    account = digits_permuted(F.substring(digits, F.lit(3), n), key, "iban", back)
-    iban = _once(account, lambda x: F.concat(F.lpad((98 - _mod97(F.concat(x, _country(cc), F.lit("00")))).cast("string"), 2, "0"), x))
+    # iban: the account digits, or digits and letters each within its class, are permuted, the country stays, the check digits follow
+    cc, own = F.substring(value, 1, 2), F.substring(_only(value, " "), 5, 40)
+    account = F.when(own.rlike("[A-Z]"), _mixed(own, [DIGITS, UPPERS], key, "iban", back)).otherwise(digits_permuted(own, key, "iban", back))
+    iban = _once(account, lambda x: F.concat(cc, F.lpad((98 - _mod97(F.concat(x, cc, F.lit("00")))).cast("string"), 2, "0"), x))
 
     # ssn: over the valid areas, and groups with serials
     area = F.substring(digits, 1, 3).cast("long")
@@ -234,18 +243,19 @@ def _pseudonym(value: Column, kind: Column, digits: Column, key: str, back: bool
     name = F.concat(_only(local, "[^A-Za-z0-9]"), _only(host, "[^A-Za-z0-9]"))
     email = F.concat(_spread(F.concat(local, F.lit("@"), host), _mixed(name, [DIGITS, UPPERS, LOWERS], key, "email", back), "[A-Za-z0-9]"), top)
 
-    # secrets: a key's head stays; hexadecimal strings among those of their length
+    # secrets: a key's head stays; hexadecimal strings among those of their length, with capitals within each class
     secret = F.when(value.rlike("^A[KS]IA"), F.concat(F.substring(value, 1, 4), _mixed(F.substring(value, 5, 16), [DIGITS + UPPERS], key, "key", back)))
-    secret = secret.otherwise(_mixed(value, [DIGITS + "abcdef"], key, "hex", back))
+    secret = secret.when(value.rlike("[A-F]"), _mixed(value, [DIGITS, "abcdef", "ABCDEF"], key, "hex", back)).otherwise(_mixed(value, [DIGITS + "abcdef"], key, "hex", back))
 
-    shaped = F.when(kind == "card", card).when(kind == "iban", iban).when(kind == "ssn", ssn).when(kind == "phone", phone)
+    shaped = F.when(kind == "card", card).when(kind == "ssn", ssn).when(kind == "phone", phone)
     numbers = _spread(value, shaped, "[0-9]")
     return (
         F.when(kind == "email", email)
         .when(kind == "ip", ip)
         .when(kind == "date", date)
         .when(kind == "secret", secret)
-        .when(kind.isin("card", "iban", "ssn", "phone"), numbers)
+        .when(kind == "iban", _spread(value, iban, "[A-Z0-9]"))
+        .when(kind.isin("card", "ssn", "phone"), numbers)
         .otherwise(value)
     )
 
@@ -253,10 +263,37 @@ def _pseudonym(value: Column, kind: Column, digits: Column, key: str, back: bool
 PHONE_CODE = r"^(\+[0-9]{1,3})[ .(-]"
 
 
-def found(text: Column) -> Column:
-    """All matches in order, leftmost first; empty for null and for texts that can't hold one."""
+def _valid(text: Column, kind: str) -> Column:
+    """The distinct values of a kind with check digits that validate, wherever in the text they begin and end, longest first."""
+    whole = dict(PATTERNS)[kind]
+    head, body = whole.split(")", 1)
+    begun = F.regexp_extract_all(text, F.lit(f"{head})(?=({body}))"), F.lit(1))
+    tried = F.flatten(F.transform(begun, lambda v: F.array(*[F.regexp_extract(v, p, 0) for p in WITHIN[kind]])))
+    tried = F.filter(F.array_distinct(tried), lambda v: v != "")
+    good = F.filter(tried, lambda v: luhn(_only(v, "[^0-9]")) == 0 if kind == "card" else _iban(v))
+    if kind == "card":
+        both = lambda vs: F.struct(vs.alias("all"), F.filter(vs, lambda v: v.rlike(USUAL)).alias("usual"))
+        apart = lambda s: F.filter(s["all"], lambda v: v.rlike(USUAL) | ~F.exists(s["usual"], lambda u: F.contains(v, F.substring(u, 1, 9))))
+        good = _once(_once(good, both), apart)
+    return F.array_sort(good, lambda a, b: F.char_length(b) - F.char_length(a))
+
+
+def search_of(text: Column) -> Column:
+    """The pattern of all values in a text, in order of precedence; null for null and for texts that can't hold one."""
+
+    def one(kind: str, pattern: str) -> Column:
+        if kind not in WITHIN:
+            return F.lit(f"(?:{pattern})")
+        some = lambda vs: F.when(F.size(vs) > 0, F.concat(F.lit("(?:(?<![0-9A-Za-z])(?:"), F.array_join(vs, "|"), F.lit(")(?![0-9A-Za-z]))"))).otherwise("(?!)")
+        return _once(_valid(text, kind), some)
+
+    return F.when(text.rlike(MAYBE), F.concat_ws("|", *[one(k, p) for k, p in PATTERNS]))
+
+
+def found(text: Column, search: Column) -> Column:
+    """All matches in order, leftmost first; empty where there is no search."""
     none = F.array().cast("array<string>")
-    return F.when(text.rlike(MAYBE), F.regexp_extract_all(text, F.lit(ANY), F.lit(0))).otherwise(none)
+    return F.when(search.isNotNull(), F.regexp_extract_all(text, search, F.lit(0))).otherwise(none)
 
 
 def pseudonymise(docs: DataFrame, key: str = KEY, text: str = "text", spans: str | None = None, back: bool = False) -> DataFrame:
@@ -270,9 +307,9 @@ def pseudonymise(docs: DataFrame, key: str = KEY, text: str = "text", spans: str
     if spans and spans.lower() in {c.lower() for c in docs.columns}:
         raise ValueError(f"input already has a column {spans}")
     t = F.col(text)
-    hits = F.transform(found(t), lambda v: _once(F.struct(v.alias("value"), kind_of(v).alias("kind")), lambda s: F.struct(s["kind"].alias("kind"), s["value"].alias("value"), pseudonym(s["value"], s["kind"], key, back).alias("pseudonym"))))
-    inner, tmp = "__pii_hits__", docs.select("*", hits.alias("__pii_hits__"))
-    gaps = F.split(t, ANY, -1)
+    hits = F.transform(found(t, F.col("__pii_any__")), lambda v: _once(F.struct(v.alias("value"), kind_of(v).alias("kind")), lambda s: F.struct(s["kind"].alias("kind"), s["value"].alias("value"), pseudonym(s["value"], s["kind"], key, back).alias("pseudonym"))))
+    inner, tmp = "__pii_hits__", docs.select("*", search_of(t).alias("__pii_any__")).select("*", hits.alias("__pii_hits__"))
+    gaps = F.split(t, F.col("__pii_any__"), -1)
     made = F.array_join(F.zip_with(gaps, F.col(inner), lambda g, h: F.concat(g, F.coalesce(h["pseudonym"], F.lit("")))), "")
     new = F.when(F.size(inner) > 0, made).otherwise(t)
     cols = [new.alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns]

@@ -128,6 +128,25 @@ def test_pii(spark, odd, empty):
     assert pii.pseudonymise(odd).collect() == odd.collect() and pii.pseudonymise(empty).count() == 0
 
 
+def test_pii_is_found_beside_other_characters(spark):
+    upper, mixed = "9233A8EC0F1B2C3D4E5F60718293A4B5C6D7329B", "9233a8EC0F1B2C3D4E5F60718293A4B5"
+    texts = [f'TOKEN = "{upper}" {mixed}', "GB82 WEST 1234 5698 7654 32, NL91ABNA0417164300 AND FR1420041010050500013M02606", "DE89370400440532013000 ES9121000418450200051332 CODE", "4111111111111111 05/27", "12 4111 1111 1111 1111", "4111111111111111 123-45-6789", "4111111111111111 12/31/1999", "4111111111111112 05/27 GB82WEST12345698765433"]
+    kinds = [["secret"] * 2, ["iban"] * 3, ["iban"] * 2, ["card"], ["card"], ["card", "ssn"], ["card", "date"], []]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    out = pii.pseudonymise(df, spans="spans").orderBy("doc_id").collect()
+    assert [[h.kind for h in r.spans] for r in out] == kinds
+    assert out[1].spans[0].value == "GB82 WEST 1234 5698 7654 32" and out[3].text.endswith(" 05/27") and out[4].text.startswith("12 ") and out[7].text == texts[7]
+    for r, text in zip(out, texts, strict=True):
+        assert re.sub("[a-z]", "a", re.sub("[A-Z]", "A", re.sub("[0-9]", "9", r.text))) == re.sub("[a-z]", "a", re.sub("[A-Z]", "A", re.sub("[0-9]", "9", text)))
+        assert all(h.value not in r.text for h in r.spans)
+        for h in r.spans:
+            if h.kind == "iban":
+                v = h.pseudonym.replace(" ", "")
+                assert v[:2] == h.value[:2] and int("".join(str(int(c, 36)) for c in v[4:] + v[:4])) % 97 == 1
+    back = pii.pseudonymise(spark.createDataFrame([(r.doc_id, r.text) for r in out], df.schema), back=True).orderBy("doc_id").collect()
+    assert [r.text for r in back] == texts
+
+
 def test_feistel_is_a_permutation(spark):
     pair = pii.feistel(F.col("id") % 27, F.floor(F.col("id") / 27), F.lit(27), F.lit(41), "k", "t")
     got = spark.range(27 * 41).select(pair.alias("p")).select("p.l", "p.r").collect()
