@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import sys
 import zlib
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -19,7 +21,7 @@ UNKNOWN = "und"
 
 
 def _alphabet(texts: list[str]) -> dict[str, int]:
-    """Letters of the training texts, most frequent first: at most 62; the others share the last symbol. 0 parts words."""
+    """Letters of the training texts, most frequent first: at most 62; the others are spelt out, see `_symbols`. 0 parts words."""
     counts: dict[str, int] = {}
     for t in texts:
         for c in t.lower():
@@ -29,20 +31,39 @@ def _alphabet(texts: list[str]) -> dict[str, int]:
 
 
 def _table(alphabet: dict[str, int]) -> np.ndarray:
-    """Symbol of each code point below 0x3000, and 63 for letters that were not learnt; those above count as letters."""
-    out = np.zeros(0x3000 + 1, np.uint8)
-    for k in range(0x3000):
+    """Symbol of each code point: 0 for what is no letter, 63 for letters that were not learnt."""
+    out = np.zeros(sys.maxunicode + 1, np.uint8)
+    for k in range(sys.maxunicode + 1):
         c = chr(k)
         if c.isalpha():
             out[k] = alphabet.get(c.lower()[:1], 63)
-    out[0x3000] = 63
     return out
 
 
+@cache
+def _lower() -> np.ndarray:
+    """Lower-case code point of each code point."""
+    return np.array([ord(chr(k).lower()[0]) for k in range(sys.maxunicode + 1)], np.uint32)
+
+
 def _symbols(text: str, symbol: np.ndarray) -> np.ndarray:
+    """Symbols of a text; a letter that was not learnt is 63 and the four digits of its code point to base 62, so each stays distinct."""
     points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-    s = symbol[np.minimum(points, 0x3000)]
-    return s[(s != 0) | np.r_[True, s[:-1] != 0]] if len(s) else s
+    s = symbol[points]
+    if not len(s):
+        return s
+    keep = (s != 0) | np.r_[True, s[:-1] != 0]
+    points, s = points[keep], s[keep]
+    other = s == 63
+    if not other.any():
+        return s
+    sizes = np.where(other, 5, 1)
+    begins = np.cumsum(sizes) - sizes
+    out = np.repeat(s, sizes)
+    code, at = _lower()[points[other]], begins[other]
+    for k in range(4):
+        out[at + 1 + k] = code // 62 ** (3 - k) % 62 + 1
+    return out
 
 
 def suffix_automaton(symbols: np.ndarray) -> np.ndarray:

@@ -164,6 +164,16 @@ def test_language(spark, odd, empty):
     assert out.where("held_out").select(F.avg((F.col("lang_pred") == F.col("lang")).cast("double"))).first()[0] > 0.97
 
 
+def test_language_beyond_the_first_planes(spark):
+    rng = np.random.default_rng(4)
+    ranges = {"zh": (0x4E00, 0x5200), "zz": (0x6000, 0x6400), "ja": (0x3041, 0x3096), "ko": (0xAC00, 0xAE00), "qq": (0x20000, 0x20200)}
+    made = lambda a, b: "".join(chr(k) for k in rng.integers(a, b, 400))
+    model = language_id.Model({lang: [made(*r) for _ in range(10)] for lang, r in ranges.items()})
+    assert model.predict([made(*r) for r in ranges.values()])[0] == list(ranges)
+    assert model.predict(["\u3001\u3002", "\uff11\uff12", "\U0001f600\U0001f680", "\u3000"])[0] == ["und"] * 4
+    assert all(len(set(map(bytes, (language_id._symbols(c, model.symbol) for c in cs)))) == len(cs) for cs in (["\u9fa0", "\u9fa1", "\u9fa2"], ["\U00030000", "\U00031000"]))
+
+
 def test_suffix_automaton_matches():
     rng = np.random.default_rng(1)
     learnt = rng.integers(0, 3, 60).astype(np.uint8)
