@@ -39,11 +39,11 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
 
 
 def linked_rows(rows: DataFrame, classes: DataFrame, found: DataFrame, row_id: str) -> DataFrame:
-    """rows (row_id, node) + class_id, n_links, component_id.
+    """rows (row_id, node) + class_id, n_links, component_id, root.
 
     classes (node, weight, least): the rows that are one node, how many, and the smallest row_id. found (node, other,
     links): links a node was found to have, in rows, and one node it hangs together with. Rows of one node link with
-    each other; a null node links with nothing.
+    each other; a null node links with nothing. root is one node of the component, null for a null node.
     """
     found = written(found, "found")
     by_node = found.groupBy("node").agg(F.sum("links").alias("links"))
@@ -52,7 +52,7 @@ def linked_rows(rows: DataFrame, classes: DataFrame, found: DataFrame, row_id: s
     nodes = nodes.select("node", F.col("least").alias("class_id"), (F.col("weight") - 1 + F.coalesce("links", F.lit(0))).cast("long").alias("n_links"), F.coalesce("root", "node").alias("root"))
     nodes = written(nodes, "nodes")
     least = nodes.groupBy("root").agg(F.min("class_id").alias("component_id"))
-    nodes = nodes.join(least, "root").drop("root")
+    nodes = nodes.join(least, "root")
     out = rows.join(nodes, "node", "left")
     alone = F.col("node").isNull()
     return out.select(
@@ -60,4 +60,5 @@ def linked_rows(rows: DataFrame, classes: DataFrame, found: DataFrame, row_id: s
         F.when(alone, F.col(row_id)).otherwise(F.col("class_id")).alias("class_id"),
         F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"),
         F.when(alone, F.col(row_id)).otherwise(F.col("component_id")).alias("component_id"),
+        "root",
     )

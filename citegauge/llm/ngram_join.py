@@ -262,6 +262,12 @@ def ngram_join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
     component_id is the smallest doc_id reachable over links; kept marks the rows with that id. Null texts and texts
     without a word link with nothing. Repeated rows are documents of their own. Other columns are ignored.
     """
+    out = _linked(docs, doc_id, text)
+    return out.select("doc_id", "text_key", "class_id", "n_links", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+def _linked(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """doc_id, text_key, node of each row with its links, component_id and root."""
     made = written(sketched(docs, doc_id, text), "sketches")
     some = made.where("node is not null")
     classes = written(
@@ -276,20 +282,25 @@ def ngram_join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
     sets = sets.join(members.select("node", "root", "weight"), "node").dropDuplicates(["node"])
     rows = tiled(written(sets, "sets"), ["root"], "node", EXACT_ROWS)
     found = by_tile(rows.select("tile", "node", "tokens", "weight", "part", "left", "right", "parts"), _exact, "node binary, other binary, links long", most=512)
-    out = linked_rows(made.select("doc_id", "text_key", "node"), classes, found, "doc_id")
-    return out.select("doc_id", "text_key", "class_id", "n_links", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+    return linked_rows(made.select("doc_id", "text_key", "node"), classes, found, "doc_id")
 
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """docs with one document of each group of near copies, that of the smallest id; texts without words all stay.
 
-    Where a row is repeated with its id, one of the rows stays.
+    Null ids come last, and of texts under one id that with the smallest hash stays. Where a row is repeated with its id,
+    one of the rows stays.
     """
     key = lambda d, k: [F.coalesce(d, F.lit(0)).alias("__doc__"), d.isNull().alias("__none__"), k.alias("__key__")]
     on = ["__doc__", "__none__", "__key__"]
     rows = docs.select("*", *key(F.col(doc_id).cast("long"), F.xxhash64(F.coalesce(text, F.lit("")))))
-    joined = ngram_join(docs, doc_id, text).select(*key(F.col("doc_id"), F.col("text_key")), "kept")
-    seen = written(joined.groupBy(*on).agg(F.first("kept").alias("kept"), F.count("*").alias("n")).where("not kept or (n > 1 and not __none__)"), "dropped")
+    joined = _linked(docs, doc_id, text).select(*key(F.col("doc_id"), F.col("text_key")), "root")
+    joined = written(joined.groupBy(*on, "root").agg(F.count("*").alias("n")), "keys")
+    this = F.struct("__none__", "__doc__", "__key__")
+    first = joined.where("root is not null").groupBy("root").agg(F.min(this).alias("first"), F.sum("n").alias("many")).where("many > 1")
+    grouped = sized_join(joined, written(first, "survivors"), "root").select(*on, (this == F.col("first")).alias("kept"), "n")
+    alone = joined.where("root is null and not __none__").select(*on, F.lit(True).alias("kept"), "n")
+    seen = written(grouped.unionByName(alone).where("not kept or n > 1").drop("n"), "dropped")
     if seen.where("kept").limit(1).count():  # repeated rows with their ids
         once = rows.join(seen.where("kept"), on, "left_semi").dropDuplicates(on)
         rows = sized_join(rows, seen.select(*on), on, "left_anti", 300_000).unionByName(once)

@@ -252,6 +252,18 @@ def test_ngram(spark, odd, empty):
     assert sorted(r.doc_id or 0 for r in ngram_join.keep_one(odd).collect()) in ([0, 1, 2, 3, 4, 5, 6], [1, 2, 3, 4, 5, 6])
 
 
+def test_keep_one_of_null_and_repeated_ids(spark):
+    base = [f"w{k}" for k in range(60)]
+    text = lambda mark, *at: " ".join(f"{mark}{w}" if k not in at else "x" for k, w in enumerate(base))
+    rows = [(None, text("a")), (None, text("a")), (None, text("a", 0)), (7, text("b")), (7, text("b", 0)), (8, text("b", 59)), (None, text("c")), (9, text("c", 0)), (10, text("d")), (10, text("d"))]
+    rows += [(None, text("e")), (None, "..."), (None, "..."), (11, "!"), (12, "!"), (12, "!"), (13, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = [tuple(r) for r in ngram_join.keep_one(docs).collect()]
+    group = lambda r: (r[1] or "").split("w")[0].replace("x ", "")[:1] if "w" in (r[1] or "") else None
+    got = collections.Counter((r[0], group(r)) for r in kept)
+    assert got == {(None, "a"): 1, (7, "b"): 1, (9, "c"): 1, (10, "d"): 1, (None, "e"): 1, (None, None): 2, (11, None): 1, (12, None): 1, (13, None): 1}
+
+
 def test_large_groups_are_tiled(spark, monkeypatch):
     for name, n in (("SMALL", 4), ("TILE_ROWS", 8), ("EXACT_ROWS", 5)):
         monkeypatch.setattr(ngram_join, name, n)
