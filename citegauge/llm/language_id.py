@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import sys
-import zlib
 from functools import cache
 
 import numpy as np
@@ -12,9 +11,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from .common import fresh, learn_row, slices, table, text_bytes
+from .common import fresh, learn_row, slices, table, text_bytes, written
 
 TRAIN_CHARS = 24_000  # letters and spaces of labelled text per language, the bound of the fit
+WINDOW = 2000  # characters of a text that the fit may read
 BLOCK = 512  # a text is parsed in blocks of so many symbols, each begun afresh
 SHARPNESS = 12.0
 UNKNOWN = "und"
@@ -170,29 +170,29 @@ class Model:
 
 
 def training_texts(docs: DataFrame, most: int = TRAIN_CHARS, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> dict[str, list[str]]:
-    """About 2 * `most` characters of text per language, of rows drawn by a hash of the id; learnable rows with a language only.
+    """About 2 * `most` characters of text per language, of distinct texts drawn by a hash of the id; learnable rows with a language only.
 
-    The counts by language come from all rows; then only the rows drawn are read in full and sent to the driver, each
-    cut to 4000 characters, so what is sent is bounded by the languages.
+    Equal texts of a language count once, under their smallest id. Of each text drawn a window of WINDOW characters at a
+    hashed place is sent to the driver, so what is sent is bounded by the languages.
     """
     rows = docs.where(learn_row(F.col(doc_id)) & F.col(lang).isNotNull() & F.col(text).isNotNull())
-    counts = {r[0]: r[1] for r in rows.groupBy(F.col(lang)).count().collect()}
+    rows = rows.select(F.col(lang).alias("lang"), F.xxhash64(F.col(text)).alias("key"), F.col(doc_id).alias("id"), F.col(text).alias("text"))
+    distinct = written(rows.groupBy("lang", "key").agg(F.min("id").alias("id")), "distinct")
+    counts = {r[0]: r[1] for r in distinct.groupBy("lang").count().collect()}
     want = max(50, most // 200)
-    draw = F.lit(False)
+    draw, place = F.lit(False), F.xxhash64("id", F.lit("language"))
     for name, n in counts.items():
-        draw = draw | ((F.col(lang) == name) & (F.pmod(F.xxhash64(F.col(doc_id), F.lit("language")), F.lit(1_000_000)) < int(1_000_000 * min(1.0, want / n)) + 1))
-    got = rows.where(draw).select(F.col(lang), F.substring(F.col(text), 1, 4000)).collect()
+        draw = draw | ((F.col("lang") == name) & (F.pmod(place, F.lit(1_000_000)) < int(1_000_000 * min(1.0, want / n)) + 1))
+    drawn = distinct.where(draw)
+    begin = F.pmod(F.xxhash64("id", F.lit("window")), F.greatest(F.char_length("text") - WINDOW, F.lit(0)) + 1).cast("int") + 1
+    got = rows.join(F.broadcast(drawn), ["lang", "key", "id"], "left_semi").select("lang", place, "key", F.substring("text", begin, F.lit(WINDOW))).collect()
     out: dict[str, list[str]] = {name: [] for name in counts}
-    for name, t in sorted(got, key=lambda r: (r[0], hash_of(r[1]))):
+    for name, _, _, t in sorted({tuple(r) for r in got}):
         if sum(map(len, out[name])) < 2 * most:
-            out[name].append(t[:2000])
+            out[name].append(t)
     return {k: v for k, v in out.items() if v}
 
 
-def hash_of(text: str) -> int:
-    return zlib.crc32(text.encode("utf-8", "surrogatepass"))
-
-
 def fit(docs: DataFrame, most: int = TRAIN_CHARS, **columns) -> Model:
     return Model(training_texts(docs, most, **columns), most)
 

@@ -174,6 +174,14 @@ def test_language_beyond_the_first_planes(spark):
     assert all(len(set(map(bytes, (language_id._symbols(c, model.symbol) for c in cs)))) == len(cs) for cs in (["\u9fa0", "\u9fa1", "\u9fa2"], ["\U00030000", "\U00031000"]))
 
 
+def test_language_learns_from_all_of_distinct_texts(spark):
+    copies = [(k, "copied words " * 300, "en") for k in range(300)]
+    whole = [(k, "h" * 4000 + f"{k} tail of words " * 500, "en") for k in range(300, 420)]
+    texts = language_id.training_texts(spark.createDataFrame(copies + whole, "doc_id long, text string, lang string"))["en"]
+    assert sum("copied" in t for t in texts) <= 1
+    assert sum("tail" in t for t in texts) > len(texts) / 2 and all(len(t) <= language_id.WINDOW for t in texts)
+
+
 def test_suffix_automaton_matches():
     rng = np.random.default_rng(1)
     learnt = rng.integers(0, 3, 60).astype(np.uint8)
