@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 # Broadcasts go ahead only below this many rows, counted first; beyond it the join shuffles.
 BROADCAST_ROWS = 1_000_000
+# Keys with more than the MOST_HOT-th part of all rows, and HOT_ROWS at least, are joined apart from the others.
+MOST_HOT, HOT_ROWS = 10_000, 256
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,9 +23,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir. Only where it is unset (tests) a local one is set."""
+    """The folder named by spark.checkpoint.dir. Only where it is unset and the master is local (tests) a local one is set."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         at = "file://" + tempfile.mkdtemp(prefix="citegauge-")
         atexit.register(shutil.rmtree, at.removeprefix("file://"), True)
         spark.conf.set("spark.checkpoint.dir", at)
@@ -47,6 +51,28 @@ def sized_join(left: DataFrame, right: DataFrame, on, how: str = "inner", limit:
     return left.join(right.hint("merge"), on, how)
 
 
+def spread_join(rows: DataFrame, per_key: DataFrame, on: list[str], many: str, n: int, how: str = "inner") -> DataFrame:
+    """rows joined with per_key, which has one row per key and in `many` the rows of that key; n is the count of rows.
+
+    Hot keys are joined by broadcast: fewer than MOST_HOT keys can have more than n / MOST_HOT rows, whatever the data.
+    The other keys shuffle, and none of them is more than that part of all rows.
+    """
+    bar = max(HOT_ROWS, n // MOST_HOT)
+    if n <= bar:
+        return rows.join(per_key, on, how)
+    hot = F.broadcast(per_key.where(F.col(many) > bar))
+    cold = rows.join(hot, on, "left_anti").join(per_key.where(F.col(many) <= bar), on, how)
+    return rows.join(hot, on).unionByName(cold)
+
+
+def spare(df: DataFrame, name: str) -> str:
+    """name, or the first of name_, name__, ... that is no column of df."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def learn_row(doc_id: Column) -> Column:
     """Rows that models may learn from: crc32(doc_id as text) mod 3 is not 1; the rest is held out."""
     return F.coalesce(F.crc32(doc_id.cast("string")) % 3 != 1, F.lit(False))
