@@ -9,6 +9,7 @@ at most some thousand runs, and each piece finds its place in it by its rank amo
 from __future__ import annotations
 
 import base64
+import json
 import zlib
 from heapq import heappop, heappush
 
@@ -19,24 +20,27 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import slices, table, written
+from .common import fresh, slices, table, written
 
 CAPACITY, END_ID = 1024, 2
 VOCABULARY = "byte_bpe_50k"
-RANK_BUCKETS = 512  # pieces of one length are ranked in so many groups at once
+RANK_ROWS = 20_000  # pieces of one length are ranked in groups of about so many
 
 
 def encoder(vocabulary: str = VOCABULARY):
-    """text -> uint32 ids of the byte-level BPE file, without special tokens.
+    """text -> uint32 ids of the byte-level BPE file, as its library gives them without a post-processor's tokens.
 
     The ranks file holds the vocabulary of the JSON file; its library gives the same ids in a fraction of the time.
+    The JSON file's added tokens, where a text spells them, are one id each.
     """
     import tiktoken
 
     with open(public_tokenizers.path(f"{vocabulary}.tiktoken"), "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    encoding = tiktoken.Encoding(vocabulary, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    return lambda text: np.array(encoding.encode_ordinary(text), np.uint32)
+    with open(public_tokenizers.path(f"{vocabulary}.json"), encoding="utf-8") as f:
+        added = {t["content"]: t["id"] for t in json.load(f)["added_tokens"]}
+    encoding = tiktoken.Encoding(vocabulary, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=added)
+    return lambda text: np.array(encoding.encode(text, allowed_special="all"), np.uint32)
 
 
 def pieces(docs: DataFrame, capacity: int = CAPACITY, end_id: int = END_ID, vocabulary: str = VOCABULARY, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -129,36 +133,43 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> tuple[list[tuple[i
     return runs, sequences
 
 
-def ranked(cut: DataFrame, buckets: int = RANK_BUCKETS) -> DataFrame:
-    """cut + rank, from 0 among the pieces of its length: counted by length and bucket, so no length is one group."""
-    salted = cut.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(buckets)).cast("int"))
-    counts = salted.groupBy("length", "bucket").count()
-    before = W.partitionBy("length").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
-    base = counts.select("length", "bucket", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("base"))
-    at = F.row_number().over(W.partitionBy("length", "bucket").orderBy("doc_id", "piece", "ids_crc32"))
+def ranked(cut: DataFrame, counts: dict[int, int], rows: int = RANK_ROWS) -> DataFrame:
+    """cut + rank, from 0 among the pieces of its length, ranked in as many buckets as its count asks for: no length is one group."""
+    many = cut.sparkSession.createDataFrame([(n, -(-c // rows)) for n, c in counts.items()], "length long, __buckets__ long")
+    salted = cut.join(F.broadcast(many), "length")  # one row per length
+    salted = salted.withColumn("__bucket__", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.col("__buckets__")))
+    counted = salted.groupBy("length", "__bucket__").count()
+    before = W.partitionBy("length").orderBy("__bucket__").rowsBetween(W.unboundedPreceding, -1)
+    base = counted.select("length", "__bucket__", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("__base__"))
+    at = F.row_number().over(W.partitionBy("length", "__bucket__").orderBy("doc_id", "piece", "ids_crc32"))
+    placed = salted.withColumn("__at__", at).join(base, ["length", "__bucket__"]).withColumn("__rank__", F.col("__base__") + F.col("__at__") - 1)
     # equal rows may swap ranks when a task is run again; written out, each keeps its own
-    return written(salted.withColumn("at", at).join(base, ["length", "bucket"]).withColumn("rank", F.col("base") + F.col("at") - 1).drop("bucket", "at", "base"), "ranked")
+    return written(placed.select(*cut.columns, "__rank__"), "ranked")
 
 
 def pack(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """Pieces (with a length of 1 to capacity) + sequence_id, offset. Empty tables stay empty.
 
-    The driver holds one count per length and the plan's runs; both are bounded by the capacity.
+    Pieces of one length are alike to the plan; among them the smaller doc_id and piece come first within a bucket, and
+    equal rows in any order. Other columns go along. The driver holds one count per length and the plan's runs; both are
+    bounded by the capacity.
     """
-    rows = ranked(written(cut, "pieces"))  # read twice: the texts are tokenised once
-    counts = {r[0]: r[1] for r in rows.groupBy("length").count().collect()}
+    fresh(cut, "sequence_id", "offset", "__rank__", "__bucket__", "__buckets__", "__base__", "__at__")
+    cut = written(cut, "pieces")  # read twice: the texts are tokenised once
+    counts = {r[0]: r[1] for r in cut.groupBy("length").count().collect()}
+    rows = ranked(cut, counts)
     runs, _ = plan(counts, capacity)
     runs.sort()
     made = np.array(runs, np.int64).reshape(-1, 6)
     held = rows.sparkSession.sparkContext.broadcast(made)
-    names = [c for c in rows.columns if c != "rank"]
-    schema = rows.drop("rank").withColumn("sequence_id", F.lit(0).cast("long")).withColumn("offset", F.lit(0).cast("long")).schema
+    names = [c for c in rows.columns if c != "__rank__"]
+    schema = rows.drop("__rank__").withColumn("sequence_id", F.lit(0).cast("long")).withColumn("offset", F.lit(0).cast("long")).schema
 
     def run(batches):
         made = held.value
         keys = made[:, 0] * (1 << 44) + made[:, 1]
         for batch in batches:
-            n, rank = (batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("length", "rank"))
+            n, rank = (batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("length", "__rank__"))
             at = made[np.searchsorted(keys, n * (1 << 44) + rank, side="right") - 1]
             k = rank - at[:, 1]
             sequence, offset = at[:, 3] + k // at[:, 5], at[:, 4] + k % at[:, 5] * n
