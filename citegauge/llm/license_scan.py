@@ -1,7 +1,7 @@
 """Licence scan: canonical digests of whole texts and of notice lines, looked up among known ones.
 
-Spark expressions only. The known digests are constants (a few dozen), so their broadcast has a fixed size;
-documents are neither shuffled nor sorted.
+Spark expressions only. The known digests are constants (a few dozen); a caller's own are counted before they are broadcast.
+Documents are neither shuffled nor sorted then.
 """
 
 from __future__ import annotations
@@ -9,34 +9,59 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh, table
-from .license_texts import NOTICES, SPELLINGS, TEXTS
+from .common import fresh, sized_join, table
+from .license_texts import DIGESTS, MARKS, NOTICES, SPELLINGS, TEXTS
 
 UPPER, SMALL = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-# A line that opens with a copyright mark, or says only that rights are reserved.
-COPYRIGHT = r"(?m)^[\t\r #*/;%-]*(?:copyright|\(c\)|©)[^\n]*$|^[\t\r #*/;%-]*all rights reserved[. \t\r]*$"
+_LEAD = r"[\t\r #*/;%-]*"
+_REST = r"[^\n]*(?:\n|$)"
+# A line that opens with a copyright mark and says whose or since when, not a sentence that goes on with the word; or says only
+# that rights are reserved.
+COPYRIGHT = (
+    rf"(?m)^{_LEAD}copyright[\t :]*(?:\(c\)|©|&copy;|[<{{\[]|[0-9]{{4}}){_REST}"
+    rf"|^{_LEAD}(?:\(c\)|©)[\t ]*(?:copyright|[0-9]{{4}}|[<{{\[]|by ){_REST}"
+    rf"|^{_LEAD}copyright[^\n]*(?:[^0-9](?:19|20)[0-9]{{2}}|all rights reserved[. ]*$){_REST}"
+    rf"|^{_LEAD}all rights reserved[. \t\r]*(?:\n|$)"
+)
+# A list's mark: a number, with a point or in brackets, between spaces.
+MARK = r"(^|[ \t\r\n])\(?[0-9]{1,2}[.)][ \t\r\n]"
 OTHER = r"[^a-z0-9\x{80}-\x{10FFFF}]+"
 
 
 def canonical(text: Column) -> Column:
-    """Lower case, no copyright lines, one spelling of a word, one space for other characters."""
+    """Lower case, no copyright lines, no list marks, one spelling of whole words, one space for other characters.
+
+    Where lines are broken makes no difference.
+    """
     t = F.translate(text, UPPER, SMALL)
-    t = F.when(t.rlike("copyright|\\(c\\)|©|all rights"), F.regexp_replace(t, COPYRIGHT, "")).otherwise(t)
+    t = F.when(t.rlike("copyright|\\(c\\)|©|all rights"), F.regexp_replace(t, COPYRIGHT, "\n")).otherwise(t)
+    for mark, stands in MARKS:
+        t = F.replace(t, F.lit(mark), F.lit(stands))
+    t = F.regexp_replace(F.regexp_replace(t, MARK, " "), OTHER, "  ")  # two spaces: each word has its own on both sides
+    t = F.concat(F.lit(" "), t, F.lit(" "))
     for spelling, stands in SPELLINGS:
-        t = F.replace(t, F.lit(spelling), F.lit(stands))
-    return F.trim(F.regexp_replace(t, OTHER, " "))
+        t = F.replace(t, F.lit(f" {spelling.replace(' ', '  ')} "), F.lit(f" {stands.replace(' ', '  ')} "))
+    return F.trim(F.regexp_replace(t, " +", " "))
 
 
 def digest(text: Column) -> Column:
     return F.sha2(canonical(text), 256)
 
 
-def known(spark: SparkSession, texts=None) -> DataFrame:
+def known(spark: SparkSession, texts) -> DataFrame:
     """(license_id, license_digest), one row per digest."""
-    rows = spark.createDataFrame(list(TEXTS if texts is None else texts), "license_id string, license_text string")
+    rows = spark.createDataFrame(list(texts), "license_id string, license_text string")
     return rows.groupBy(digest(F.col("license_text")).alias("license_digest")).agg(F.min("license_id").alias("license_id"))
 
 
+def whole_texts(spark: SparkSession, texts=None) -> DataFrame:
+    """(license_id, license_digest) of the texts given, or of all licences known here."""
+    if texts is not None:
+        return known(spark, texts)
+    more = spark.createDataFrame(DIGESTS, "license_id string, license_digest string")
+    return known(spark, TEXTS).unionByName(more).groupBy("license_digest").agg(F.min("license_id").alias("license_id"))
+
+
 def license_scan(docs: DataFrame, texts=None, notices=None, text: str = "text") -> DataFrame:
     """docs + text_digest, license_id, notice_ids.
 
@@ -54,8 +79,8 @@ def license_scan(docs: DataFrame, texts=None, notices=None, text: str = "text")
     else:
         ids = F.array().cast("array<string>")
     out = docs.select("*", digest(F.col(text)).alias("text_digest"), F.coalesce(ids, F.array().cast("array<string>")).alias("notice_ids"))
-    got = known(spark, texts)
-    return out.join(F.broadcast(got), out.text_digest == got.license_digest, "left").select(*docs.columns, "text_digest", "license_id", "notice_ids")
+    got = whole_texts(spark, texts).withColumnRenamed("license_digest", "text_digest")
+    return sized_join(out, got, "text_digest", "left").select(*docs.columns, "text_digest", "license_id", "notice_ids")
 
 
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,11 +93,13 @@ def _sql_text(value: str) -> str:
 
 
 def _sql_canonical(expr: str) -> str:
-    t = f"translate({expr}, '{UPPER}', '{SMALL}')"
-    t = f"regexp_replace({t}, {_sql_text(COPYRIGHT)}, '', 'g')"
+    t = f"regexp_replace(translate({expr}, '{UPPER}', '{SMALL}'), {_sql_text(COPYRIGHT)}, chr(10), 'g')"
+    for mark, stands in MARKS:
+        t = f"replace({t}, {_sql_text(mark)}, {_sql_text(stands)})"
+    t = f"' ' || regexp_replace(regexp_replace({t}, '{MARK}', ' ', 'g'), '{OTHER}', '  ', 'g') || ' '"
     for spelling, stands in SPELLINGS:
-        t = f"replace({t}, {_sql_text(spelling)}, {_sql_text(stands)})"
-    return f"trim(regexp_replace({t}, '{OTHER}', ' ', 'g'))"
+        t = f"replace({t}, ' {spelling.replace(' ', '  ')} ', ' {stands.replace(' ', '  ')} ')"
+    return f"trim(regexp_replace({t}, ' +', ' ', 'g'))"
 
 
 def _values(rows) -> str:
@@ -80,7 +107,8 @@ def _values(rows) -> str:
 
 
 ORACLE = f"""
-WITH known AS (SELECT sha256({_sql_canonical("t")}) AS d, min(i) AS license_id FROM (VALUES {_values(TEXTS)}) v(i, t) GROUP BY 1),
+WITH known AS (SELECT d, min(i) AS license_id FROM (SELECT sha256({_sql_canonical("t")}) AS d, i FROM (VALUES {_values(TEXTS)}) v(i, t)
+  UNION ALL SELECT d, i FROM (VALUES {_values(DIGESTS)}) v(i, d)) GROUP BY 1),
 notices AS (SELECT sha256({_sql_canonical("t")}) AS d, min(i) AS notice_id FROM (VALUES {_values(NOTICES)}) v(i, t) GROUP BY 1),
 lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents),
 said AS (SELECT doc_id, string_agg(DISTINCT notice_id, ',' ORDER BY notice_id) AS notice_ids
