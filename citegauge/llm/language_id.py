@@ -15,7 +15,7 @@ from .common import fresh, learn_row, slices, table, text_bytes, written
 
 TRAIN_CHARS = 24_000  # letters and spaces of labelled text per language, the bound of the fit
 WINDOW = 2000  # characters of a text that the fit may read
-BLOCK = 512  # a text is parsed in blocks of so many symbols, each begun afresh
+BLOCK = 512  # a text is parsed in blocks of so many symbols at once, which are then joined, see `Model.phrases`
 SHARPNESS = 12.0
 UNKNOWN = "und"
 
@@ -98,9 +98,20 @@ def suffix_automaton(symbols: np.ndarray) -> np.ndarray:
 
 
 def parser(to: np.ndarray) -> np.ndarray:
-    """Complete transitions for greedy parsing: 2 * next state, plus 1 where a phrase ends and the symbol opens the next."""
-    root = np.maximum(to[0], 0)
-    return np.where(to >= 0, to.astype(np.int64) * 2, root.astype(np.int64) * 2 + 1).astype(np.int32)
+    """Complete transitions for greedy parsing: 4 * next state, plus the phrases that end there.
+
+    A symbol that can't go on opens the next phrase; one that was never learnt is a phrase of its own.
+    """
+    root = to[0].astype(np.int64)
+    opens = np.where(root > 0, root * 4 + 1, 2)
+    out = np.where(to >= 0, to.astype(np.int64) * 4, opens)
+    out[0] = np.where(root > 0, root * 4, 1)
+    return out.astype(np.int32)
+
+
+def learnt(texts: list[str], symbol: np.ndarray, most: int) -> np.ndarray:
+    """The first `most` symbols of the texts one after another, parted by 0."""
+    return np.concatenate([np.zeros(1, np.uint8), *[np.r_[_symbols(t, symbol), np.uint8(0)] for t in texts]])[:most]
 
 
 class Model:
@@ -112,17 +123,20 @@ class Model:
         self.symbol = _table(alphabet)
         parts, self.roots, self.bits, at = [], [], [], 0
         for lang in self.langs:
-            s = np.concatenate([np.zeros(1, np.uint8), *[np.r_[_symbols(t, self.symbol), np.uint8(0)] for t in texts[lang]]])[:most]
+            s = learnt(texts[lang], self.symbol, most)
             made = parser(suffix_automaton(s))
-            parts.append(made + 2 * at)
+            parts.append(made + 4 * at)
             self.roots.append(at)
             self.bits.append(np.log2(len(s) + 1))  # a phrase is told by its place in the text learnt
             at += len(made)
         self.next = np.concatenate(parts).ravel() if parts else np.zeros(0, np.int32)
 
     def phrases(self, symbols: list[np.ndarray]) -> np.ndarray:
-        """Phrases (texts x languages) that the greedy parse of each text needs."""
-        sizes = np.array([len(s) for s in symbols])
+        """Phrases (texts x languages) that the greedy parse of each whole text needs.
+
+        All blocks of all texts are parsed side by side, each as if it began a text; then each is joined to the one before.
+        """
+        sizes = np.array([len(s) for s in symbols], np.int64)
         blocks = -(-sizes // BLOCK)
         of = np.repeat(np.arange(len(sizes)), blocks)
         total = int(blocks.sum())
@@ -133,11 +147,12 @@ class Model:
         grid = grid.reshape(total, BLOCK)
         lengths = np.full(total, BLOCK)
         full = blocks > 0
-        lengths[(at + blocks - 1)[full]] = (sizes - (blocks - 1) * BLOCK)[full]
+        last = (at + blocks - 1)[full]
+        lengths[last] = (sizes - (blocks - 1) * BLOCK)[full]
         order = np.argsort(-lengths, kind="stable")
         columns = np.ascontiguousarray(grid[order].T)
         alive = np.searchsorted(-lengths[order], -np.arange(BLOCK), side="left")  # blocks longer than j
-        counts = np.zeros((len(self.langs), total), np.int32)
+        out = np.zeros((len(sizes), len(self.langs)))
         for k, root in enumerate(self.roots):
             state = np.full(total, root, np.int32)
             seen = np.zeros(total, np.int32)
@@ -146,14 +161,48 @@ class Model:
                 if not m:
                     break
                 got = self.next.take((state[:m] << 6) + columns[j, :m])
-                seen[:m] += got & 1
-                np.right_shift(got, 1, out=state[:m])
-            counts[k, order] = seen + 1  # the last phrase of a block
-        out = np.zeros((len(sizes), len(self.langs)))
-        for k in range(len(self.langs)):
-            out[:, k] = np.bincount(of, counts[k], len(sizes))
+                seen[:m] += got & 3
+                np.right_shift(got, 2, out=state[:m])
+            ends, count = np.empty(total, np.int32), np.empty(total, np.int64)
+            ends[order], count[order] = state, seen
+            ends, count = self._joined(grid, lengths, of, root, ends, count)
+            out[:, k] = np.bincount(of, count, len(sizes))
+            out[full, k] += ends[last] != root  # the phrase that the text's end cuts off
         return out
 
+    def _joined(self, grid: np.ndarray, lengths: np.ndarray, of: np.ndarray, root: int, ends: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """End state and phrases of each block where it goes on from the end of the one before.
+
+        From there the parse meets the one that began afresh after a few symbols, and both are one from then on. A block
+        in which they don't meet ends in another state, so the block after it is joined once more.
+        """
+        fresh, afresh = ends.copy(), count.copy()
+        todo = np.flatnonzero(np.r_[False, of[1:] == of[:-1]])
+        while len(todo):
+            run, state, own, more = todo, ends[todo - 1], np.full(len(todo), root, np.int32), np.zeros(len(todo), np.int64)
+            final, place = fresh[todo], np.arange(len(todo))
+            for j in range(BLOCK):
+                apart = state != own
+                over = apart & (lengths[run] <= j)
+                final[place[over]] = state[over]
+                go = apart & ~over
+                if not go.any():
+                    break
+                run, place, state, own = run[go], place[go], state[go], own[go]
+                symbol = grid[run, j]
+                got, new = self.next.take((state << 6) + symbol), self.next.take((own << 6) + symbol)
+                more[place] += (got & 3) - (new & 3)
+                state, own = got >> 2, new >> 2
+            else:
+                final[place] = state
+            count[todo] = afresh[todo] + more
+            changed = todo[final != ends[todo]]
+            ends[todo] = final
+            after = changed + 1
+            after = after[after < len(of)]
+            todo = after[of[after] == of[after - 1]]
+        return ends, count
+
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
         """(language, score) of each text: the language whose phrases cost the fewest bits a symbol."""
         symbols = [_symbols(t or "", self.symbol) for t in texts]
