@@ -13,21 +13,30 @@ from pyspark.sql import functions as F
 from .common import table
 
 ROUNDS = 8
-KEY = "0f1e2d3c4b5a69788796a5b4c3d2e1f0"
+#: The queries' key where the session names none: public, so good for tests and for nothing else.
+DEMO_KEY, KEY_CONF = "0f1e2d3c4b5a69788796a5b4c3d2e1f0", "spark.citegauge.pii.key"
 
-#: Kind and pattern, in order of precedence where matches begin at the same place.
+_H = "[0-9A-Fa-f]{1,4}"
+#: Heads of keys that services hand out.
+HEADS = r"(?:gh[pousr]_|github_pat_|glpat-|xox[abprs]-|sk-proj-|sk[-_](?:live|test)_|sk-|AIza)"
+#: Name, kind and pattern, in order of precedence where matches begin at the same place.
 PATTERNS = [
-    ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"),
-    ("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"),
-    ("date", r"(?<![0-9./-])(?:(?:1[89]|2[01])[0-9]{2}-[0-9]{2}-[0-9]{2}|[0-9]{2}(?:\.[0-9]{2}\.|/[0-9]{2}/)(?:1[89]|2[01])[0-9]{2})(?![0-9/-])"),
-    ("ssn", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"),
-    ("phone", r"(?<![0-9])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[.-])[0-9]{3}[ .-][0-9]{4}(?![0-9])"),
-    ("phone", r"(?<![0-9A-Za-z])\+[0-9]{1,3}(?:[ .-]?[0-9]{2,4}){2,5}(?![0-9])"),
-    ("ip", r"(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9]|\.[0-9])"),
-    ("card", r"(?<![0-9A-Za-z])[0-9](?:[ -]?[0-9]){12,18}(?![0-9A-Za-z])"),
-    ("secret", r"(?<![A-Za-z0-9])(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])"),
-    ("secret", r"(?<![A-Za-z0-9])(?:[0-9A-Fa-f]{40}|[0-9A-Fa-f]{64}|[0-9A-Fa-f]{32})(?![A-Za-z0-9])"),
+    ("email", "email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"),
+    ("iban", "iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"),
+    ("date", "date", r"(?<![0-9./-])(?:(?:1[89]|2[01])[0-9]{2}-[0-9]{2}-[0-9]{2}|[0-9]{2}(?:\.[0-9]{2}\.|/[0-9]{2}/)(?:1[89]|2[01])[0-9]{2})(?![0-9/-])"),
+    ("ssn", "ssn", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"),
+    ("phone", "phone", r"(?<![0-9])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[.-])[0-9]{3}[ .-][0-9]{4}(?![0-9])"),
+    ("phone_abroad", "phone", r"(?<![0-9A-Za-z])\+[0-9]{1,3}(?:[ .-]?[0-9]{2,4}){2,5}(?![0-9])"),
+    ("phone_spaced", "phone", r"(?<![0-9A-Za-z]|[0-9] )[2-9][0-9]{2} [2-9][0-9]{2} [0-9]{4}(?![0-9A-Za-z]| [0-9])"),
+    ("ip", "ip", r"(?<![0-9.vV])(?<!version )(?<!Version )(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9]|\.[0-9])"),
+    ("ipv6", "ip", rf"(?<![0-9A-Za-z:.])(?:(?:{_H}:){{7}}{_H}|{_H}(?::{_H}){{0,5}}::(?:{_H}(?::{_H}){{0,5}})?)(?![0-9A-Za-z:])"),
+    ("card", "card", r"(?<![0-9A-Za-z])[0-9](?:[ -]?[0-9]){12,18}(?![0-9A-Za-z])"),
+    ("key_id", "secret", r"(?<![A-Za-z0-9])(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])"),
+    ("token", "secret", rf"(?<![A-Za-z0-9]){HEADS}[A-Za-z0-9_-]{{20,}}(?![A-Za-z0-9])"),
+    ("hex", "secret", r"(?<![A-Za-z0-9])(?:[0-9A-Fa-f]{40}|[0-9A-Fa-f]{64}|[0-9A-Fa-f]{32})(?![A-Za-z0-9])"),
 ]
+PATTERN = {name: pattern for name, _, pattern in PATTERNS}
+KINDS = list(dict.fromkeys(kind for _, kind, _ in PATTERNS))
 #: Kinds told by their check digits: a text's own valid values stand for their pattern in its search, so a longer or an earlier
 #: run of characters that doesn't validate hides none. Below, the patterns of values at most as long that begin where one matches.
 WITHIN = {
@@ -36,8 +45,8 @@ WITHIN = {
 }
 #: Cards as they are usually written; other groupings of digits count only where none of these begins within them.
 USUAL = r"^(?:[0-9]{13,19}|[0-9]{4}([ -])[0-9]{4}\1[0-9]{4}\1[0-9]{1,4}(?:\1[0-9]{1,3})?|[0-9]{4}([ -])[0-9]{6}\2[0-9]{4,5})$"
-#: Where none of these occurs, no pattern can match: an @, two digits near each other, or a key's head.
-MAYBE = r"@|[0-9][ .)-]{0,2}[0-9]|A[KS]IA|[0-9A-Fa-f]{32}"
+#: Where none of these occurs, no pattern can match: an @, two digits near each other, a digit and a colon, or a key's head.
+MAYBE = rf"@|[0-9][ .)-]{{0,2}}[0-9]|[0-9]:|A[KS]IA|{HEADS}|[0-9A-Fa-f]{{32}}"
 DIGITS, UPPERS, LOWERS = "0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: 1800-01-01 and the 400 years of the calendar's cycle from it: 27 * 5411 days.
 EPOCH, DAYS_A, DAYS_B = -62091, 27, 5411
@@ -168,24 +177,27 @@ def _day(value: Column) -> Column:
 def kind_of(value: Column) -> Column:
     """The kind of a match that also validates, else null: it stays as it is."""
     digits = _only(value, "[^0-9]")
-    full = lambda p: value.rlike(f"^(?:{p})$")
-    by = dict(reversed(PATTERNS))
+    full = lambda name: value.rlike(f"^(?:{PATTERN[name]})$")
     octets = F.forall(F.split(value, r"\."), lambda o: (o.cast("int") <= 255) & ((o == "0") | ~o.startswith("0")))
     ssn = ~F.substring(value, 1, 3).isin("000", "666") & (F.substring(value, 1, 1) != "9") & (F.substring(value, 5, 2) != "00") & (F.substring(value, 8, 4) != "0000")
+    # at most seven groups beside a ::, and a digit in the first: names in programs are often letters parted by ::
+    groups = F.size(F.filter(F.split(value, ":"), lambda g: g != ""))
+    six = (~F.contains(value, F.lit("::")) | groups.between(2, 7)) & value.rlike("^[A-Fa-f]*[0-9]")
     return (
-        F.when(full(by["email"]), "email")
-        .when(full(by["iban"]) & _iban(value), "iban")
-        .when(full(by["date"]), F.when(_day(value).isNotNull(), "date"))
-        .when(full(by["ssn"]), F.when(ssn, "ssn"))
-        .when(full(by["ip"]), F.when(octets, "ip"))
-        .when(full(PATTERNS[8][1]) | full(PATTERNS[9][1]), "secret")
-        .when(full(PATTERNS[4][1]), "phone")
-        .when(full(PATTERNS[5][1]), F.when(F.char_length(digits).between(8, 15), "phone"))
-        .when(full(by["card"]), F.when((luhn(digits) == 0) & (F.char_length(digits).between(13, 19)), "card"))
+        F.when(full("email"), "email")
+        .when(full("iban") & _iban(value), "iban")
+        .when(full("date"), F.when(_day(value).isNotNull(), "date"))
+        .when(full("ssn"), F.when(ssn, "ssn"))
+        .when(full("ip"), F.when(octets, "ip"))
+        .when(full("ipv6"), F.when(six, "ip"))
+        .when(full("key_id") | full("token") | full("hex"), "secret")
+        .when(full("phone") | full("phone_spaced"), "phone")
+        .when(full("phone_abroad"), F.when(F.char_length(digits).between(8, 15), "phone"))
+        .when(full("card"), F.when((luhn(digits) == 0) & (F.char_length(digits).between(13, 19)), "card"))
     )
 
 
-def pseudonym(value: Column, kind: Column, key: str = KEY, back: bool = False) -> Column:
+def pseudonym(value: Column, kind: Column, key: str, back: bool = False) -> Column:
     """The value's pseudonym of the same kind and format; of a null kind, the value itself."""
     return _once(F.struct(value.alias("v"), kind.alias("k"), _only(value, "[^0-9]").alias("d")), lambda s: _pseudonym(s["v"], s["k"], s["d"], key, back))
 
@@ -225,6 +237,11 @@ def _pseudonym(value: Column, kind: Column, digits: Column, key: str, back: bool
     code = F.when(value.rlike(PHONE_CODE), F.regexp_extract(value, PHONE_CODE, 1)).otherwise("")
     coded = F.char_length(_only(code, "[^0-9]"))
     phone = F.concat(F.substring(digits, F.lit(1), coded), digits_permuted(F.substring(digits, coded + 1, n), key, "phone", back))
+    # one in spaced groups: over the numbers whose first two groups begin with 2 to 9
+    first = lambda at: F.substring(digits, at, 3).cast("long") - 200
+    pair = feistel(first(1) * 800 + first(4), F.substring(digits, 7, 4).cast("long"), F.lit(640_000), F.lit(10_000), key, "phone_spaced", back)
+    spaced = _once(pair, lambda p: F.concat((F.floor(p["l"] / 800) + 200).cast("string"), (p["l"] % 800 + 200).cast("string"), F.lpad(p["r"].cast("string"), 4, "0")))
+    phone = F.when(value.rlike(f"^(?:{PATTERN['phone_spaced']})$"), spaced).otherwise(phone)
 
     # ip: over the addresses with as many digits in each octet
     size = lambda o: F.when(F.char_length(o) == 1, 10).when(F.char_length(o) == 2, 90).otherwise(156)
@@ -236,7 +253,9 @@ def _pseudonym(value: Column, kind: Column, digits: Column, key: str, back: bool
         new = lambda p: [F.floor(p["l"] / o[1]["size"]) + o[0]["base"], p["l"] % o[1]["size"] + o[1]["base"], F.floor(p["r"] / o[3]["size"]) + o[2]["base"], p["r"] % o[3]["size"] + o[3]["base"]]
         return _once(pair, lambda p: F.concat_ws(".", *[c.cast("string") for c in new(p)]))
 
-    ip = _once(octets, moved)
+    # the sixteen-bit groups of the longer addresses: hexadecimal digits in their places, those of the first group's head stay
+    six = F.concat(F.regexp_extract(value, "^[A-Fa-f]*[0-9]", 0), _spread(F.regexp_replace(value, "^[A-Fa-f]*[0-9]", ""), _mixed(_only(F.regexp_replace(value, "^[A-Fa-f]*[0-9]", ""), ":"), [DIGITS, "abcdef", "ABCDEF"], key, "ipv6", back), "[0-9A-Fa-f]"))
+    ip = F.when(F.contains(value, F.lit(":")), six).otherwise(_once(octets, moved))
 
     # email: letters and digits are permuted each within its class; punctuation and the last part of the domain stay
     local, host, top = (F.regexp_extract(value, r"^([^@]+)@(.*)(\.[^.]+)$", k) for k in (1, 2, 3))
@@ -244,7 +263,9 @@ def _pseudonym(value: Column, kind: Column, digits: Column, key: str, back: bool
     email = F.concat(_spread(F.concat(local, F.lit("@"), host), _mixed(name, [DIGITS, UPPERS, LOWERS], key, "email", back), "[A-Za-z0-9]"), top)
 
     # secrets: a key's head stays; hexadecimal strings among those of their length, with capitals within each class
-    secret = F.when(value.rlike("^A[KS]IA"), F.concat(F.substring(value, 1, 4), _mixed(F.substring(value, 5, 16), [DIGITS + UPPERS], key, "key", back)))
+    tail = F.regexp_replace(value, f"^{HEADS}", "")
+    secret = F.when(value.rlike(f"^{HEADS}"), F.concat(F.regexp_extract(value, f"^{HEADS}", 0), _mixed(tail, [DIGITS, UPPERS, LOWERS], key, "token", back)))
+    secret = secret.when(value.rlike("^A[KS]IA"), F.concat(F.substring(value, 1, 4), _mixed(F.substring(value, 5, 16), [DIGITS + UPPERS], key, "key", back)))
     secret = secret.when(value.rlike("[A-F]"), _mixed(value, [DIGITS, "abcdef", "ABCDEF"], key, "hex", back)).otherwise(_mixed(value, [DIGITS + "abcdef"], key, "hex", back))
 
     shaped = F.when(kind == "card", card).when(kind == "ssn", ssn).when(kind == "phone", phone)
@@ -265,7 +286,7 @@ PHONE_CODE = r"^(\+[0-9]{1,3})[ .(-]"
 
 def _valid(text: Column, kind: str) -> Column:
     """The distinct values of a kind with check digits that validate, wherever in the text they begin and end, longest first."""
-    whole = dict(PATTERNS)[kind]
+    whole = PATTERN[kind]
     head, body = whole.split(")", 1)
     begun = F.regexp_extract_all(text, F.lit(f"{head})(?=({body}))"), F.lit(1))
     tried = F.flatten(F.transform(begun, lambda v: F.array(*[F.regexp_extract(v, p, 0) for p in WITHIN[kind]])))
@@ -287,7 +308,7 @@ def search_of(text: Column) -> Column:
         some = lambda vs: F.when(F.size(vs) > 0, F.concat(F.lit("(?:(?<![0-9A-Za-z])(?:"), F.array_join(vs, "|"), F.lit(")(?![0-9A-Za-z]))"))).otherwise("(?!)")
         return _once(_valid(text, kind), some)
 
-    return F.when(text.rlike(MAYBE), F.concat_ws("|", *[one(k, p) for k, p in PATTERNS]))
+    return F.when(text.rlike(MAYBE), F.concat_ws("|", *[one(name, p) for name, _, p in PATTERNS]))
 
 
 def found(text: Column, search: Column) -> Column:
@@ -296,31 +317,38 @@ def found(text: Column, search: Column) -> Column:
     return F.when(search.isNotNull(), F.regexp_extract_all(text, search, F.lit(0))).otherwise(none)
 
 
-def pseudonymise(docs: DataFrame, key: str = KEY, text: str = "text", spans: str | None = None, back: bool = False) -> DataFrame:
+def key_of(spark: SparkSession) -> str:
+    """The key that the session's setting names; the public one of the tests where it names none."""
+    return spark.conf.get(KEY_CONF, DEMO_KEY)
+
+
+def pseudonymise(docs: DataFrame, key: str, text: str = "text", spans: str | None = None, back: bool = False) -> DataFrame:
     """docs with the validated values in `text` replaced by pseudonyms; the rest of each text stays byte for byte.
 
     Null texts stay null, empty ones empty; rows, order of columns and other columns stay, whatever their names.
     With `spans`, a column of that name is added: array<struct<kind,value,pseudonym>> in order of the text.
     No shuffle, and no state beyond a row. With `back`, pseudonyms under the same key are taken back, but for
-    values whose pseudonym is no longer told apart by its surroundings.
+    values whose pseudonym is no longer told apart by its surroundings. An empty key raises.
     """
+    if not key:
+        raise ValueError("pseudonyms need a key")
     if spans and spans.lower() in {c.lower() for c in docs.columns}:
         raise ValueError(f"input already has a column {spans}")
-    t = F.col(text)
-    hits = F.transform(found(t, F.col("__pii_any__")), lambda v: _once(F.struct(v.alias("value"), kind_of(v).alias("kind")), lambda s: F.struct(s["kind"].alias("kind"), s["value"].alias("value"), pseudonym(s["value"], s["kind"], key, back).alias("pseudonym"))))
-    inner, tmp = "__pii_hits__", docs.select("*", search_of(t).alias("__pii_any__")).select("*", hits.alias("__pii_hits__"))
-    gaps = F.split(t, F.col("__pii_any__"), -1)
-    made = F.array_join(F.zip_with(gaps, F.col(inner), lambda g, h: F.concat(g, F.coalesce(h["pseudonym"], F.lit("")))), "")
-    new = F.when(F.size(inner) > 0, made).otherwise(t)
-    cols = [new.alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns]
+    rows = docs.select(F.struct("*").alias("row"), search_of(F.col(text)).alias("any"))  # no other names beside the input's
+    t = F.col("row")[text]
+    hits = F.transform(found(t, F.col("any")), lambda v: _once(F.struct(v.alias("value"), kind_of(v).alias("kind")), lambda s: F.struct(s["kind"].alias("kind"), s["value"].alias("value"), pseudonym(s["value"], s["kind"], key, back).alias("pseudonym"))))
+    rows = rows.select("row", "any", hits.alias("hits"))
+    gaps = F.split(t, F.col("any"), -1)
+    made = F.array_join(F.zip_with(gaps, F.col("hits"), lambda g, h: F.concat(g, F.coalesce(h["pseudonym"], F.lit("")))), "")
+    new = F.when(F.size("hits") > 0, made).otherwise(t)
+    cols = [new.alias(c) if c == text else F.col("row")[c].alias(c) for c in docs.columns]
     if spans:
-        cols.append(F.filter(inner, lambda h: h["kind"].isNotNull()).alias(spans))
-    return tmp.select(*cols)
+        cols.append(F.filter("hits", lambda h: h["kind"].isNotNull()).alias(spans))
+    return rows.select(*cols)
 
 
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its text after replacement and how many values of each kind were replaced."""
-    out = pseudonymise(table(spark, sf_dir, "documents"), spans="__spans__")
-    n = lambda kind: F.size(F.filter("__spans__", lambda h: h["kind"] == kind)).cast("long").alias(f"n_{kind}")
-    kinds = list(dict.fromkeys(k for k, _ in PATTERNS))
-    return out.select("doc_id", "text", *[n(k) for k in kinds], F.size("__spans__").cast("long").alias("n_pii"))
+    out = pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), key_of(spark), spans="spans")
+    n = lambda kind: F.size(F.filter("spans", lambda h: h["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return out.select("doc_id", "text", *[n(k) for k in KINDS], F.size("spans").cast("long").alias("n_pii"))
