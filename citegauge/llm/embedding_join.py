@@ -69,8 +69,10 @@ def _narrow(x: np.ndarray) -> bytes:
 
 
 def vectors(payload, dim: int) -> np.ndarray:
+    """Rows as doubles, each scaled by a power of two to components below 1: cosines keep every bit and nothing over- or underflows."""
     data = [np.frombuffer(p, np.float32 if len(p) == 4 * dim else np.float64) for p in payload.to_pylist()]
-    return np.array(data, np.float64).reshape(-1, dim)
+    x = np.array(data, np.float64).reshape(-1, dim)
+    return np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, initial=0.0))[1][:, None])
 
 
 def cells(nodes: DataFrame, bits: int, cosine: float, blocks: int = BLOCKS) -> DataFrame:
