@@ -40,7 +40,7 @@ def main(argv: list[str] | None = None) -> None:
     p.add_argument("--papers", required=True, help="Parquet of paper_id, source, title, authors, year, venue, doi, citations")
     p.add_argument("--rigor", choices=sorted(RIGOR), default="balanced")
     p.add_argument("--context", choices=["general", *BONUS], default="general")
-    p.add_argument("--exact", action="store_true", help="sequence ratios and whole author lists")
+    p.add_argument("--words", action="store_true", help="score by shared words and surnames, in place of characters and whole author lists")
     for name, what in (("registry", "a DOI registry"), ("notices", "retraction notices"), ("hits", "hits of a scholar search"), ("registered", "registered authors")):
         p.add_argument(f"--{name}", help=f"Parquet of {what}")
     p.add_argument("--raw-labels", action="store_true", help="take no catalogue for a major one")
@@ -58,7 +58,7 @@ def main(argv: list[str] | None = None) -> None:
         return
     tables = [spark.read.parquet(path) if path else None for path in (a.registry, a.notices, a.hits, a.registered)]
     is_book = F.size(book_signs(F.col("title"), F.col("venue"), F.col("year"), F.lit(""))) > 0
-    rows = verify(read_references(spark, a.what), papers, a.rigor, a.exact, *tables, is_book, a.raw_labels)
+    rows = verify(read_references(spark, a.what), papers, a.rigor, "words" if a.words else "exact", *tables, is_book, a.raw_labels)
     if a.format == "json":
         rows.write.mode("errorifexists").json(a.out)
     else:

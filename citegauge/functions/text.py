@@ -36,6 +36,11 @@ def tokens(c: Column) -> Column:
     return F.filter(F.split(F.trim(F.lower(c)), r"[ \t\r\n]+"), lambda w: w != "")
 
 
+def distinct_words(c: Column) -> Column:
+    """Distinct runs of letters and digits, in lower case."""
+    return F.array_distinct(F.filter(F.split(F.lower(c), r"[^\p{L}\p{N}]+"), lambda w: w != ""))
+
+
 def token_jaccard(a: Column, b: Column) -> Column:
     """Shared over all distinct words; 1 if neither has one."""
     x, y = F.array_distinct(tokens(a)), F.array_distinct(tokens(b))
@@ -67,24 +72,30 @@ def _normalised(s: pd.Series) -> pd.Series:
 
 
 def normalise_text(c: Column) -> Column:
-    """NFKD, no control characters, single spaces, one kind of dash; printable ASCII stays in the JVM."""
-    return F.when(c.rlike(r"^[\x20-\x7E]*$"), F.trim(F.regexp_replace(c, " +", " "))).otherwise(_normalised(c))
-
-
-@F.pandas_udf(StringType())
-def strip_diacritics(s: pd.Series) -> pd.Series:
-    return s.map(lambda t: "".join(c for c in unicodedata.normalize("NFD", t) if unicodedata.category(c) != "Mn") if isinstance(t, str) else None).astype(object)
+    """NFKD, no control characters, single spaces, one kind of dash. Printable ASCII stays in the JVM: Python sees a null for it."""
+    plain = c.rlike(r"^[\x20-\x7E]*$")
+    return F.when(plain, F.trim(F.regexp_replace(c, " +", " "))).otherwise(_normalised(F.when(~plain, c)))
 
 
 @F.pandas_udf(DoubleType())
 def _ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    both = (isinstance(x, str) and isinstance(y, str) and difflib.SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b, strict=True))
-    return pd.Series([r if isinstance(r, float) else 0.0 for r in both], dtype="float64")
+    matcher, known = difflib.SequenceMatcher(None), {}
+    for x, y in sorted({(x, y) for x, y in zip(a, b, strict=True) if x is not None and y is not None}, key=lambda p: p[1]):
+        matcher.set_seq1(x)  # texts on the right are taken apart once
+        if matcher.b is not y:
+            matcher.set_seq2(y)
+        known[x, y] = matcher.ratio()
+    return pd.Series([known.get(pair, 0.0) for pair in zip(a, b, strict=True)], dtype="float64")
 
 
-def sequence_ratio(a: Column, b: Column) -> Column:
-    """Ratio of matched characters; not symmetric: the reference's text first. Equal and empty texts never reach Python."""
-    return F.when(~present(a) | ~present(b), 0.0).when(a == b, 1.0).otherwise(_ratio(a, b))
+def sequence_ratio(a: Column, b: Column, above: Column | float = 0.0) -> Column:
+    """Ratio of matched characters; not symmetric: the reference's text first. 0 where it can't be more than `above`.
+
+    Python sees nulls for equal and empty texts and for those whose lengths keep the ratio down.
+    """
+    n, m = F.char_length(a), F.char_length(b)
+    need = present(a) & present(b) & (a != b) & (2 * F.least(n, m) / (n + m) > above)
+    return F.when(~present(a) | ~present(b), 0.0).when(a == b, 1.0).when(need, _ratio(F.when(need, a), F.when(need, b))).otherwise(0.0)
 
 
 def similarity(a: Column, b: Column, method: str = "sequence") -> Column:
@@ -131,36 +142,81 @@ def without_punctuation(c: Column) -> Column:
     return F.regexp_replace(c, r"[!-/:-@\[-`{-~]", "")
 
 
+#: LaTeX's fonts, mathematics and commands, and what stays of them, in order.
+LATEX = [
+    (r"\$\\textnormal\{\\textsc\{([^}]*)\}\}\$", "$1"),
+    (r"\$\\textnormal\\textsc\{([^}]*)\}\$", "$1"),
+    (r"\$\\textsc\{([^}]*)\}\$", "$1"),
+    (r"\$\\textnormal\{([^}]*)\}\$", "$1"),
+    (r"\$\\[a-zA-Z]+\{([^}]*)\}\$", "$1"),
+    (r"\$\\[a-zA-Z]+([^$]*)\$", "$1"),
+    (r"\$([^$]*)\$", "$1"),
+    (r"\\[a-zA-Z]+\{([^}]*)\}", "$1"),
+    (r"\\[a-zA-Z]+", ""),
+    (r"[ \t\r\n]+", " "),
+]
+#: What is told apart in titles only by habit, in order.
+TITLE_RULES = [
+    (r" *\+ *", "+"),
+    (r" *\* *", "*"),
+    (r" *# *", "#"),
+    (r" *: *", ": "),
+    (r"\bpost-quantum\b", "post quantum"),
+    (r"\bpost quantum\b", "postquantum"),
+    (r"^the +", ""),
+    (r"[.,:;!?]+$", ""),
+]
+
+
 def strip_latex(c: Column) -> Column:
     """Fonts, mathematics and commands of LaTeX, in order; what they enclose stays."""
-    rules = [
-        (r"\$\\textnormal\{\\textsc\{([^}]*)\}\}\$", "$1"),
-        (r"\$\\textnormal\\textsc\{([^}]*)\}\$", "$1"),
-        (r"\$\\[a-zA-Z]+\{([^}]*)\}\$", "$1"),
-        (r"\$\\[a-zA-Z]+([^$]*)\$", "$1"),
-        (r"\$([^$]*)\$", "$1"),
-        (r"\\[a-zA-Z]+\{([^}]*)\}", "$1"),
-        (r"\\[a-zA-Z]+", ""),
-        (r"[ \t\r\n]+", " "),
-    ]
-    for pattern, to in rules:
+    for pattern, to in LATEX:
         c = F.regexp_replace(c, pattern, to)
     return F.trim(c)
 
 
+def _title_key(plain: Column) -> Column:
+    for pattern, to in TITLE_RULES:
+        plain = F.regexp_replace(plain, pattern, to)
+    return F.trim(plain)
+
+
+def title_plain(c: Column) -> Column:
+    """Standard form of a title for comparison."""
+    return F.lower(normalise_text(strip_latex(c)))
+
+
 def title_key(c: Column) -> Column:
     """Aggressive form of a title for comparison."""
-    t = F.lower(normalise_text(strip_latex(c)))
-    for pattern, to in [(r" *([+*#]) *", "$1"), (r" *: *", ": "), (r"\bpost[- ]quantum\b", "postquantum"), (r"^the +", ""), (r"[.,:;!?]+$", "")]:
-        t = F.regexp_replace(t, pattern, to)
-    return F.trim(t)
+    return _title_key(title_plain(c))
+
+
+@F.pandas_udf(DoubleType())
+def _title_score(a: pd.Series, b: pd.Series, key_a: pd.Series, key_b: pd.Series) -> pd.Series:
+    def best(x: str, y: str, kx: str, ky: str) -> float:
+        if x == y or (kx and kx == ky):
+            return 1.0
+        p, q = set(kx.split()), set(ky.split())
+        top = len(p & q) / len(p | q) if p and q else 0.0
+        for v, w in dict.fromkeys(((x, y), (kx, ky))):
+            if v and w and 2 * min(len(v), len(w)) > top * (len(v) + len(w)):
+                top = max(top, difflib.SequenceMatcher(None, v, w).ratio())
+        return top
+
+    rows = zip(a, b, key_a, key_b, strict=True)
+    return pd.Series([best(*row) if row[0] and row[1] else 0.0 for row in rows], dtype="float64")
 
 
 def title_similarity(a: Column, b: Column) -> Column:
-    """Best of three: sequence ratio of plain forms, of aggressive forms, and word Jaccard of the latter."""
-    plain = F.when(~present(a) | ~present(b), 0.0).otherwise(sequence_ratio(*[F.lower(normalise_text(strip_latex(c))) for c in (a, b)]))
-    x, y = title_key(a), title_key(b)
-    return F.when(~present(a) | ~present(b), 0.0).otherwise(F.greatest(plain, sequence_ratio(x, y), token_jaccard(x, y)))
+    """Best of three: sequence ratio of the plain forms, of the aggressive forms, and word Jaccard of the latter.
+
+    Equal titles with a letter or digit are told in the JVM; Python sees nulls for them. Ratios are sought only where lengths
+    allow more than the Jaccard.
+    """
+    settled = (a == b) & a.rlike(r"[\p{L}\p{N}]") & ~F.contains(a, F.lit("\\"))
+    need = present(a) & present(b) & ~settled
+    x, y = title_plain(F.when(need, a)), title_plain(F.when(need, b))
+    return F.when(~present(a) | ~present(b), 0.0).when(settled, 1.0).otherwise(_title_score(x, y, _title_key(x), _title_key(y)))
 
 
 def search_key(title: Column, first_author: Column, year: Column) -> Column:

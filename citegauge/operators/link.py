@@ -4,13 +4,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.names import AUTHORITATIVE_FROM, compare_lists, compare_venues, credibility, implausible_venue, shared_surnames, surname, surnames, venue_similarity, venue_struct, year_asymmetric, year_linear
-from ..functions.text import normalise_doi, present, title_similarity, token_jaccard
+from ..functions.text import distinct_words, normalise_doi, present, title_similarity, token_jaccard
 
 CLASSES = ["authentic", "suspicious", "fabricated", "author_manipulation", "fake", "inconclusive"]
 WEIGHTS = {"title": 0.55, "author": 0.25, "venue": 0.15, "year": 0.05}
@@ -41,41 +40,90 @@ RIGOR = {
 }
 
 
-def block(refs: DataFrame, papers: DataFrame, most: int | None = None) -> DataFrame:
-    """Candidates (ref_id, paper_id) by equal DOI, equal title, or a first author's surname within a year of the other.
+#: Shares of words, in tenths, from which titles are alike enough for a comparison: by themselves, and beside surname and year.
+ALIKE, ALIKE_BESIDE = 5, 3
 
-    A union of equi-joins; each pair once. All of them, unless `most` bounds those of a reference and source before any is scored.
+
+def similar_titles(left: DataFrame, right: DataFrame, tenths: int, beside: tuple[str, ...] = ()) -> DataFrame:
+    """(l_title, r_title, *beside) of distinct titles whose words have a Jaccard similarity of tenths / 10 or more, each pair once.
+
+    Words are ordered from the rarest on. Two such sets share a word among the first n - ceil(tenths n / 10) + 1 of their n, so only
+    these are joined: exact, and common words are joined only where a title has no others. Columns `beside` must be equal, too.
     """
+    both = left.select(F.col("title").alias("t")).union(right.select(F.col("title").alias("t"))).distinct().withColumn("words", distinct_words(F.col("t"))).where("size(words) > 0")
+    word = both.select("t", F.explode("words").alias("word"))
+    often = word.groupBy("word").agg(F.count("*").alias("n"))
+    ordered = word.join(often, "word").groupBy("t").agg(F.array_sort(F.collect_list(F.struct("n", "word"))).alias("o"))
+    n = F.size("o")
+    first = F.transform(F.slice("o", F.lit(1), (n - F.ceil(n * tenths / F.lit(10.0)) + 1).cast("int")), lambda x: x["word"])
+    forms = ordered.select("t", F.transform("o", lambda x: x["word"]).alias("words"), first.alias("first"))
+
+    def side(rows: DataFrame, mark: str) -> DataFrame:
+        keys = rows.select("title", *beside).distinct().join(forms, F.col("title") == F.col("t"))
+        return keys.select(*beside, F.col("title").alias(f"{mark}_title"), F.col("words").alias(f"{mark}_words"), F.explode("first").alias("word"))
+
+    met = side(left, "l").join(side(right, "r"), ["word", *beside])
+    a, b = F.size("l_words"), F.size("r_words")
+    met = met.where(10 * F.least(a, b) >= tenths * F.greatest(a, b))
+    shared = F.size(F.array_intersect("l_words", "r_words"))
+    # counted once, where the first word that both have among their first is met
+    return met.where(10 * shared >= tenths * (a + b - shared)).select("l_title", "r_title", *beside).distinct()
+
+
+def block(refs: DataFrame, papers: DataFrame) -> DataFrame:
+    """Candidates (ref_id, paper_id, rank), each pair once and none left out: by equal DOI (1), equal title (2), titles that share
+    half of their words (3), or a first author's surname, a year at most one apart and three tenths of the words (4)."""
     key = lambda d: d.select("*", normalise_doi(F.col("doi")).alias("k_doi"), F.lower(F.trim("title")).alias("k_title"), surname(F.get("authors", F.lit(0))).alias("k_name"))
-    r = key(refs).select("ref_id", "k_doi", "k_title", "k_name", "year")
-    p = key(papers).select("paper_id", "source", "k_doi", "k_title", "k_name", "year")
-    by_doi = r.where("k_doi <> ''").select("ref_id", "k_doi").join(p.select("paper_id", "source", "k_doi"), "k_doi").select("ref_id", "paper_id", "source", F.lit(1).alias("rank"))
-    by_title = r.where("k_title <> ''").select("ref_id", "k_title").join(p.select("paper_id", "source", "k_title"), "k_title").select("ref_id", "paper_id", "source", F.lit(2).alias("rank"))
-    near = r.where("k_name <> '' and year is not null").select("ref_id", "k_name", F.explode(F.array(F.col("year") - 1, F.col("year"), F.col("year") + 1)).alias("year"))
-    by_name = near.join(p.select("paper_id", "source", "k_name", "year"), ["k_name", "year"]).select("ref_id", "paper_id", "source", F.lit(3).alias("rank"))
-    pairs = by_doi.union(by_title).union(by_name).groupBy("ref_id", "paper_id", "source").agg(F.min("rank").alias("rank"))
-    if most is None:
-        return pairs.select("ref_id", "paper_id", "rank")
-    top = F.row_number().over(W.partitionBy("ref_id", "source").orderBy("rank", "paper_id"))
-    return pairs.withColumn("top", top).where(F.col("top") <= most).select("ref_id", "paper_id", "rank")
-
-
-def score(pairs: DataFrame, refs: DataFrame, papers: DataFrame, exact: bool = False, extra: tuple[str, ...] = ()) -> DataFrame:
+    r = key(refs).select("ref_id", "title", "k_doi", "k_title", "k_name", "year")
+    p = key(papers).select("paper_id", "title", "k_doi", "k_title", "k_name", "year")
+    found = lambda rows, rank: rows.select("ref_id", "paper_id", F.lit(rank).alias("rank"))
+    by_doi = found(r.where("k_doi <> ''").select("ref_id", "k_doi").join(p.select("paper_id", "k_doi"), "k_doi"), 1)
+    by_title = found(r.where("k_title <> ''").select("ref_id", "k_title").join(p.select("paper_id", "k_title"), "k_title"), 2)
+    of_ref, of_paper = r.where("title is not null"), p.where("title is not null")
+    alike = similar_titles(of_ref, of_paper, ALIKE).where("lower(trim(l_title)) <> lower(trim(r_title))")
+    by_words = found(of_ref.select("ref_id", F.col("title").alias("l_title")).join(alike, "l_title").join(of_paper.select("paper_id", F.col("title").alias("r_title")), "r_title"), 3)
+    near = of_ref.where("k_name <> '' and year is not null").select("ref_id", "title", "k_name", F.explode(F.array(F.col("year") - 1, F.col("year"), F.col("year") + 1)).alias("year"))
+    beside = similar_titles(near, of_paper, ALIKE_BESIDE, ("k_name", "year")).where("lower(trim(l_title)) <> lower(trim(r_title))")
+    by_name = near.withColumnRenamed("title", "l_title").join(beside, ["l_title", "k_name", "year"]).join(of_paper.select("paper_id", "k_name", "year", F.col("title").alias("r_title")), ["r_title", "k_name", "year"])
+    return by_doi.union(by_title).union(by_words).union(found(by_name, 4)).groupBy("ref_id", "paper_id").agg(F.min("rank").alias("rank"))
+
+
+def score(pairs: DataFrame, refs: DataFrame, papers: DataFrame, method: str = "exact", extra: tuple[str, ...] = ()) -> DataFrame:
     """pairs + title_sim, author_sim, venue_sim, year_sim, score and the paper's fields, with those of its other columns named in extra.
 
-    exact takes the sequence ratio and the greedy comparison of author lists; else words and surnames, all in codegen.
+    exact compares titles by characters, author lists name by name, and venues to the last arm; each two texts are compared once,
+    however many pairs have them, and only where words don't settle it. words takes shares of words and surnames instead, all
+    in codegen: a cheaper stand-in with other scores.
     """
+    if method not in ("exact", "words"):
+        raise ValueError(f"method is exact or words, not {method}")
     p = papers.select("paper_id", "source", *extra, *[F.col(c).alias(f"p_{c}") for c in ("title", "authors", "year", "venue", "doi", "citations")])
-    if exact:
-        j = pairs.join(refs, "ref_id").join(p, "paper_id")
-        title, author, venue = title_similarity(F.col("title"), F.col("p_title")), compare_lists(F.col("authors"), F.col("p_authors"))["overall"], venue_similarity(F.col("venue"), F.col("p_venue"), exact)
-    else:  # names and venues are taken apart once a row, not once a pair
+    year = year_linear(F.col("year"), F.col("p_year"))
+    if method == "words":  # names and venues are taken apart once a row, not once a pair
         parts = lambda d, mark: d.withColumns({f"__names{mark}__": surnames(F.col(f"{mark}authors")), f"__venue{mark}__": venue_struct(F.col(f"{mark}venue"))})
         j = pairs.join(parts(refs, ""), "ref_id").join(parts(p, "p_"), "paper_id")
         title, author, venue = token_jaccard(F.col("title"), F.col("p_title")), shared_surnames(F.col("__names__"), F.col("__namesp___")), compare_venues(F.col("__venue__"), F.col("__venuep___"))
-    j = j.withColumns({"title_sim": title, "author_sim": author, "venue_sim": venue, "year_sim": year_linear(F.col("year"), F.col("p_year"))})
-    j = j.drop("__names__", "__namesp___", "__venue__", "__venuep___")
-    return total(j)
+        j = j.withColumns({"title_sim": title, "author_sim": author, "venue_sim": venue, "year_sim": year})
+        return total(j.drop("__names__", "__namesp___", "__venue__", "__venuep___"))
+    j = pairs.join(refs, "ref_id").join(p, "paper_id")
+    out = j
+    for name, a, b, fn in (
+        ("title_sim", "title", "p_title", title_similarity),
+        ("author_sim", "authors", "p_authors", lambda x, y: compare_lists(x, y)["overall"]),
+        ("venue_sim", "venue", "p_venue", lambda x, y: venue_similarity(x, y, True)),
+    ):
+        out = _once_each(out, j, name, a, b, fn)
+    return total(out.withColumn("year_sim", year))
+
+
+def _once_each(rows: DataFrame, among: DataFrame, name: str, a: str, b: str, fn) -> DataFrame:
+    """rows + name: fn of the columns a and b, found once for each two values among those given. Equal titles are settled beside."""
+    equal = (F.col(a) == F.col(b)) & F.col(a).rlike(r"[\p{L}\p{N}]") & ~F.contains(F.col(a), F.lit("\\")) if name == "title_sim" else F.lit(False)
+    equal = F.coalesce(equal, F.lit(False))
+    two = among.where(~equal).select(F.xxhash64(a, b).alias("__two__"), F.col(a).alias("__a__"), F.col(b).alias("__b__")).distinct()
+    known = two.withColumn(name, fn(F.col("__a__"), F.col("__b__")))
+    out = rows.join(known, (F.xxhash64(a, b) == F.col("__two__")) & F.col(a).eqNullSafe(F.col("__a__")) & F.col(b).eqNullSafe(F.col("__b__")), "left").drop("__two__", "__a__", "__b__")
+    return out.withColumn(name, F.when(equal, 1.0).otherwise(F.col(name)))
 
 
 def total(sims: DataFrame) -> DataFrame:
@@ -115,21 +163,20 @@ def distinct_titles(rows: DataFrame, order: list) -> DataFrame:
 
 
 def distinct_keys(scored: DataFrame) -> DataFrame:
-    """Per reference, in order of rank and paper: a paper goes if its title or DOI stands in one that was kept."""
-    fields = ["ref_id", "paper_id", "p_title", "p_doi", "rank"]
-
-    def greedy(rows: pd.DataFrame) -> pd.DataFrame:
-        titles, dois, keep = set(), set(), []
-        for k, (title, doi) in enumerate(zip(rows.sort_values(["rank", "paper_id"])["p_title"].str.strip().str.lower(), rows.sort_values(["rank", "paper_id"])["p_doi"], strict=True)):
-            if title in titles or (doi and doi in dois):
-                continue
-            titles.add(title)
-            dois.add(doi or None)
-            keep.append(k)
-        return rows.sort_values(["rank", "paper_id"]).iloc[keep]
-
-    some = scored.select(*fields)
-    return some.groupBy("ref_id").applyInPandas(greedy, some.schema)
+    """Per reference, in order of rank and paper: a paper goes if its title or DOI stands in one that was kept. A fold in the JVM."""
+    one = F.struct("rank", "paper_id", F.lower(F.trim("p_title")).alias("title"), F.when(present(F.col("p_doi")), F.col("p_doi")).alias("doi"))
+    rows = scored.groupBy("ref_id").agg(F.array_sort(F.collect_list(one)).alias("rows"))
+    kind = "struct<titles:array<string>,dois:array<string>,keep:array<bigint>>"
+    none = F.array().cast("array<string>")
+    start = F.struct(none.alias("titles"), none.alias("dois"), F.array().cast("array<bigint>").alias("keep")).cast(kind)
+
+    def take(s: Column, x: Column) -> Column:
+        seen = F.coalesce(F.array_contains(s["titles"], F.coalesce(x["title"], F.lit(""))), F.lit(False)) | F.coalesce(F.array_contains(s["dois"], x["doi"]), F.lit(False))
+        more = F.struct(F.array_append(s["titles"], F.coalesce(x["title"], F.lit(""))).alias("titles"), F.when(x["doi"].isNull(), s["dois"]).otherwise(F.array_append(s["dois"], x["doi"])).alias("dois"), F.array_append(s["keep"], x["paper_id"].cast("long")).alias("keep"))
+        return F.when(seen, s).otherwise(more).cast(kind)
+
+    kept = rows.select("ref_id", F.explode(F.aggregate("rows", start, take)["keep"]).alias("paper_id"))
+    return scored.select("ref_id", "paper_id", "p_title", "p_doi", "rank").join(kept, ["ref_id", "paper_id"])
 
 
 def relevance(paper_source: Column, doi: Column, citations: Column, year: Column, ref_year: Column, primary: str = "openalex") -> Column:

@@ -9,6 +9,7 @@ from ..functions import names as N
 from ..functions import text as T
 from ..operators import link as L
 from ..sources import bibliography as B
+from . import exact as X
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -53,24 +54,38 @@ def _canon(v: str) -> str:
 _STOP = "[" + ", ".join(f"'{w}'" for w in ["", *N.VENUE_STOP]) + "]"
 _SHARED = " OR ".join("(" + " OR ".join(f"contains(x, '{a}')" for a in al) + ") AND (" + " OR ".join(f"contains(y, '{a}')" for a in al) + ")" for _, al in N.VENUES)
 _VW = f"list_filter(list_distinct(string_split({{0}}, ' ')), lambda w: NOT list_contains({_STOP}, w))"
-VENUES = f"""venues AS (SELECT DISTINCT venue, {_venue("venue")} AS v FROM (SELECT venue FROM papers UNION ALL SELECT venue FROM refs)),
-vsim AS (SELECT a, b, CASE WHEN a = '' OR b = '' THEN 0.0 WHEN x = y THEN 1.0 WHEN cx = cy THEN 0.95 WHEN contains(x, y) OR contains(y, x) THEN 0.85 WHEN {_SHARED} THEN 0.85
-  WHEN o >= 0.5 THEN 0.7 + 0.2 * o ELSE o END::DOUBLE AS venue_sim FROM (SELECT p.venue AS a, q.venue AS b, p.v AS x, q.v AS y, {_canon("p.v")} AS cx, {_canon("q.v")} AS cy,
-  CASE WHEN least(len({_VW.format("p.v")}), len({_VW.format("q.v")})) = 0 THEN 0.0 ELSE len(list_intersect({_VW.format("p.v")}, {_VW.format("q.v")}))::DOUBLE / greatest(len({_VW.format("p.v")}), len({_VW.format("q.v")})) END::DOUBLE AS o FROM venues p, venues q))"""
-PAIRS = f"""{BASE}, {VENUES},
+_WORDSET = "list_distinct(list_filter(regexp_split_to_array(lower({0}), '[^\\p{{L}}\\p{{N}}]+'), lambda w: w <> ''))"
+PAIRS = f"""{BASE},
 keyed_r AS (SELECT *, {_NDOI.format("doi")} AS k_doi, lower(trim(title)) AS k_title, {_SUR.format("authors[1]")} AS k_name FROM refs),
 keyed_p AS (SELECT *, {_NDOI.format("doi")} AS k_doi, lower(trim(title)) AS k_title, {_SUR.format("authors[1]")} AS k_name FROM papers),
-found AS (SELECT ref_id, paper_id, source, 1 AS rank FROM keyed_r r JOIN keyed_p p ON r.k_doi = p.k_doi AND r.k_doi <> ''
-  UNION ALL SELECT ref_id, paper_id, source, 2 FROM keyed_r r JOIN keyed_p p ON r.k_title = p.k_title AND r.k_title <> ''
-  UNION ALL SELECT ref_id, paper_id, source, 3 FROM keyed_r r JOIN keyed_p p ON r.k_name = p.k_name AND r.k_name <> '' AND abs(r.year - p.year) <= 1),
-uniq AS (SELECT ref_id, paper_id, source, min(rank) AS rank FROM found GROUP BY ALL),
-pairs AS (SELECT ref_id, paper_id, rank FROM (SELECT *, row_number() OVER (PARTITION BY ref_id, source ORDER BY rank, paper_id) AS top FROM uniq) WHERE top <= 10)"""
-SCORED = f"""{PAIRS},
-sims AS (SELECT r.ref_id, p.paper_id, rank, p.source, r.title, p.title AS p_title, r.venue, p.venue AS p_venue, r.year, p.year AS p_year, p.doi AS p_doi, p.citations AS p_citations,
-  len(r.authors) AS n_authors, len(p.authors) AS n_p_authors, {_jac("r.title", "p.title")} AS title_sim,
-  {_SURJ.format("r.authors", "p.authors")} / {_SURU.format("r.authors", "p.authors")} AS author_sim, venue_sim, {_YEAR.format("r.year", "p.year")} AS year_sim
-  FROM pairs JOIN refs r USING (ref_id) JOIN papers p USING (paper_id) JOIN vsim ON r.venue = a AND p.venue = b),
-scored AS (SELECT *, round(0.55::DOUBLE * title_sim + 0.25::DOUBLE * author_sim + 0.15::DOUBLE * venue_sim + 0.05::DOUBLE * year_sim, 9) AS score FROM sims)"""
+alike AS MATERIALIZED (SELECT a, b, c, len(x) + len(y) - c AS u FROM (SELECT a, b, x, y, len(list_intersect(x, y)) AS c FROM (SELECT DISTINCT title AS a, {_WORDSET.format("title")} AS x FROM refs),
+  (SELECT DISTINCT title AS b, {_WORDSET.format("title")} AS y FROM papers) WHERE len(x) > 0 AND len(y) > 0 AND 10 * least(len(x), len(y)) >= {L.ALIKE_BESIDE} * greatest(len(x), len(y))) WHERE 10 * c >= {L.ALIKE_BESIDE} * (len(x) + len(y) - c)),
+close AS (SELECT ref_id, paper_id, c, u, r.k_name = p.k_name AND r.k_name <> '' AND abs(r.year - p.year) <= 1 AS beside FROM alike JOIN keyed_r r ON r.title = a JOIN keyed_p p ON p.title = b WHERE r.k_title <> p.k_title),
+found AS (SELECT ref_id, paper_id, 1 AS rank FROM keyed_r r JOIN keyed_p p ON r.k_doi = p.k_doi AND r.k_doi <> ''
+  UNION ALL SELECT ref_id, paper_id, 2 FROM keyed_r r JOIN keyed_p p ON r.k_title = p.k_title AND r.k_title <> ''
+  UNION ALL SELECT ref_id, paper_id, 3 FROM close WHERE 10 * c >= {L.ALIKE} * u UNION ALL SELECT ref_id, paper_id, 4 FROM close WHERE beside),
+pairs AS MATERIALIZED (SELECT ref_id, paper_id, min(rank) AS rank FROM found GROUP BY ALL)"""
+VENUES = f"""venues AS (SELECT DISTINCT venue, {_venue("venue")} AS v FROM (SELECT venue FROM papers UNION ALL SELECT venue FROM refs)),
+vfast AS (SELECT a, b, x, y, CASE WHEN a = '' OR b = '' THEN 0.0 WHEN x = y THEN 1.0 WHEN cx = cy THEN 0.95 WHEN contains(x, y) OR contains(y, x) THEN 0.85 WHEN {_SHARED} THEN 0.85
+  WHEN o >= 0.5 THEN 0.7 + 0.2 * o END::DOUBLE AS sim, o FROM (SELECT p.venue AS a, q.venue AS b, p.v AS x, q.v AS y, {_canon("p.v")} AS cx, {_canon("q.v")} AS cy,
+  CASE WHEN least(len({_VW.format("p.v")}), len({_VW.format("q.v")})) = 0 THEN 0.0 ELSE len(list_intersect({_VW.format("p.v")}, {_VW.format("q.v")}))::DOUBLE / greatest(len({_VW.format("p.v")}), len({_VW.format("q.v")})) END::DOUBLE AS o FROM venues p, venues q))"""
+#: The last arm of the comparison of venues, by words or by characters.
+VSIM_WORDS, VSIM = "vsim AS (SELECT a, b, coalesce(sim, o) AS venue_sim FROM vfast)", "vsim AS MATERIALIZED (SELECT a, b, coalesce(sim, ratio, CASE WHEN vfast.x = vfast.y AND vfast.x <> '' THEN 1.0 ELSE 0.0 END) AS venue_sim FROM vfast LEFT JOIN ratios ON vfast.x = ratios.x AND vfast.y = ratios.y)"
+_LISTS = X.author_lists(_CLEAN, _SUR, "SELECT r.authors AS a, p.authors AS b FROM {0} JOIN refs r USING (ref_id) JOIN papers p USING (paper_id)")
+SCORED = f"""{PAIRS.replace("WITH ", "WITH RECURSIVE ", 1)}, {VENUES},
+forms AS MATERIALIZED (SELECT t, plain, {X.key_form("plain")} AS key FROM (SELECT t, {X.plain_form("t")} AS plain FROM (SELECT DISTINCT title AS t FROM (SELECT title FROM refs UNION ALL SELECT title FROM papers) WHERE title <> ''))),
+two AS MATERIALIZED (SELECT DISTINCT r.title AS a, p.title AS b, f.plain AS ap, g.plain AS bp, f.key AS ak, g.key AS bk FROM pairs JOIN refs r USING (ref_id) JOIN papers p USING (paper_id) JOIN forms f ON f.t = r.title JOIN forms g ON g.t = p.title),
+apart AS (SELECT * FROM two WHERE ap <> '' AND bp <> '' AND ap <> bp AND (ak = '' OR ak <> bk)),
+{X.ratios("SELECT ap AS x, bp AS y FROM apart UNION ALL SELECT ak, bk FROM apart UNION ALL SELECT x, y FROM vfast WHERE sim IS NULL")},
+{VSIM},
+tsim AS MATERIALIZED (SELECT two.a, two.b, CASE WHEN ap = '' OR bp = '' THEN 0.0 WHEN ap = bp OR ak = bk AND ak <> '' THEN 1.0
+  ELSE greatest({X.jaccard_words(X._WORDS.format("ak"), X._WORDS.format("bk"))}, coalesce(p.ratio, 0.0), coalesce(k.ratio, 0.0)) END::DOUBLE AS title_sim
+  FROM two LEFT JOIN ratios p ON p.x = ap AND p.y = bp LEFT JOIN ratios k ON k.x = ak AND k.y = bk),
+{_LISTS.replace("{0}", "pairs")},
+sims AS MATERIALIZED (SELECT r.ref_id, p.paper_id, rank, p.source, r.title, p.title AS p_title, r.venue, p.venue AS p_venue, r.year, p.year AS p_year, p.doi AS p_doi, p.citations AS p_citations, r.authors, p.authors AS p_authors,
+  len(r.authors) AS n_authors, len(p.authors) AS n_p_authors, coalesce(title_sim, 0.0) AS title_sim, overall AS author_sim, injection, venue_sim, {_YEAR.format("r.year", "p.year")} AS year_sim
+  FROM pairs JOIN refs r USING (ref_id) JOIN papers p USING (paper_id) JOIN vsim ON r.venue = vsim.a AND p.venue = vsim.b LEFT JOIN tsim ON tsim.a = r.title AND tsim.b = p.title JOIN lists ON lists.a = r.authors AND lists.b = p.authors),
+scored AS MATERIALIZED (SELECT *, round(0.55::DOUBLE * title_sim + 0.25::DOUBLE * author_sim + 0.15::DOUBLE * venue_sim + 0.05::DOUBLE * year_sim, 9) AS score FROM sims)"""
 
 
 def _best_sql(rigor: str) -> str:
@@ -101,18 +116,14 @@ def _tables(spark: SparkSession, sf_dir: str):
     return B.references(spark, sf_dir), B.papers(spark, sf_dir)
 
 
-#: Queries with SQL keep as many candidates of a reference and source as PAIRS does; those without keep all.
-MOST = 10
-
-
-def _scored(spark: SparkSession, sf_dir: str, exact: bool = False, most: int | None = MOST) -> DataFrame:
+def _scored(spark: SparkSession, sf_dir: str, method: str = "exact") -> DataFrame:
     refs, papers = _tables(spark, sf_dir)
-    return L.score(L.block(refs, papers, most), refs, papers, exact).withColumns({"n_authors": F.size("authors"), "n_p_authors": F.size("p_authors")})
+    return L.score(L.block(refs, papers), refs, papers, method).withColumns({"n_authors": F.size("authors"), "n_p_authors": F.size("p_authors")})
 
 
-def _best(spark: SparkSession, sf_dir: str, exact: bool = False, rigor: str = "balanced", most: int | None = MOST) -> DataFrame:
+def _best(spark: SparkSession, sf_dir: str, rigor: str = "balanced") -> DataFrame:
     refs = B.references(spark, sf_dir).select("ref_id")
-    out = refs.join(L.best(_scored(spark, sf_dir, exact, most), rigor), "ref_id", "left")
+    out = refs.join(L.best(_scored(spark, sf_dir), rigor), "ref_id", "left")
     return out.withColumn("n_sources", F.coalesce("n_sources", F.lit(0)))
 
 
@@ -169,12 +180,13 @@ def author_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return refs.select("ref_id", N.strip_number(marked).alias("plain"), N.clean_name(F.col("authors")[0]).alias("cleaned"), N.surname(F.col("authors")[0]).alias("surname"))
 
 
-@query()
+@query(f"{BASE}, same AS (SELECT ref_id, ref_id AS paper_id FROM refs UNION ALL SELECT ref_id, ref_id + 1 FROM refs), {_LISTS.replace('{0}', 'same')} SELECT ref_id, paper_id, round(overall, 9) AS overall, injection, removal, reordered, first_off, matched FROM same JOIN refs r USING (ref_id) JOIN papers p USING (paper_id) JOIN lists ON r.authors = a AND p.authors = b")
 def author_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Greedy comparison of author lists; an order-dependent fold, tested against a plain program."""
+    """Greedy comparison of each reference's author list with its own paper's and the next one's."""
     refs, papers = _tables(spark, sf_dir)
-    j = refs.join(papers.withColumnRenamed("authors", "p_authors"), papers.paper_id == refs.ref_id)
-    return j.select("ref_id", N.compare_lists(F.col("authors"), F.col("p_authors")).alias("c")).select("ref_id", F.round("c.overall", 9).alias("overall"), "c.injection", "c.removal", "c.matched")
+    j = refs.select("ref_id", "authors", F.explode(F.array(F.col("ref_id"), F.col("ref_id") + 1)).alias("paper_id")).join(papers.select("paper_id", F.col("authors").alias("p_authors")), "paper_id")
+    c = j.select("ref_id", "paper_id", N.compare_lists(F.col("authors"), F.col("p_authors")).alias("c"))
+    return c.select("ref_id", "paper_id", F.round("c.overall", 9).alias("overall"), "c.injection", "c.removal", "c.reordered", "c.first_off", "c.matched")
 
 
 @query(f"{BASE}, {VENUES} SELECT DISTINCT venue, v AS normalised, {_canon('v')} AS canonical FROM venues")
@@ -184,11 +196,12 @@ def venue_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
     return v.select("venue", N.normalise_venue(F.col("venue")).alias("normalised"), N.canonical_venue(F.col("venue")).alias("canonical"))
 
 
-@query(f"{BASE}, {VENUES} SELECT ref_id, round(venue_sim, 9) AS sim FROM refs r JOIN papers p ON p.paper_id = r.ref_id + 1 JOIN vsim ON r.venue = a AND p.venue = b")
+@query(f"""{BASE.replace("WITH ", "WITH RECURSIVE ", 1)}, {VENUES}, {X.ratios("SELECT x, y FROM vfast WHERE sim IS NULL")}, {VSIM}
+SELECT ref_id, round(venue_sim, 9) AS sim FROM refs r JOIN papers p ON p.paper_id = r.ref_id + 1 JOIN vsim ON r.venue = a AND p.venue = b""")
 def venue_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     refs, papers = _tables(spark, sf_dir)
     j = refs.join(papers.withColumnRenamed("venue", "p_venue"), papers.paper_id == refs.ref_id + 1)
-    return j.select("ref_id", F.round(N.venue_similarity(F.col("venue"), F.col("p_venue")), 9).alias("sim"))
+    return j.select("ref_id", F.round(N.venue_similarity(F.col("venue"), F.col("p_venue"), True), 9).alias("sim"))
 
 
 @query(f"""{BASE}, l AS (SELECT ref_id - ref_id % 20 AS file, ref_id, unnest([CASE WHEN ref_id % 3 = 0 THEN '1. ' || title ELSE title END, '', '  ' || venue || '  ']) AS line, unnest([0, 1, 2]) AS k FROM refs),
@@ -234,7 +247,7 @@ def dedupe_title(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def dedupe_title_or_doi(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sequential two-key deduplication; order-dependent, tested against a plain program."""
-    return L.distinct_keys(_scored(spark, sf_dir, most=None)).select("ref_id", "paper_id")
+    return L.distinct_keys(_scored(spark, sf_dir)).select("ref_id", "paper_id")
 
 
 @query(f"""{SCORED} SELECT ref_id, paper_id, CAST(CASE WHEN source = 'openalex' THEN 10 ELSE 0 END + CASE WHEN p_doi <> '' THEN 5 ELSE 0 END + CASE WHEN p_citations > 0 THEN 3 ELSE 0 END
@@ -252,7 +265,7 @@ g AS (SELECT ref_id, max({_CRED})::DOUBLE AS top, count(*) AS n, count(*) FILTER
 SELECT ref_id, n AS n_sources, round(least(1.0::DOUBLE, top + least(0.15::DOUBLE, 0.05::DOUBLE * (n - 1)) + least(0.10::DOUBLE, 0.05::DOUBLE * auth)), 6) AS strength FROM g""")
 def source_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     refs, papers = _tables(spark, sf_dir)
-    return L.evidence_strength(L.block(refs, papers, MOST).join(papers.select("paper_id", "source"), "paper_id"))
+    return L.evidence_strength(L.block(refs, papers).join(papers.select("paper_id", "source"), "paper_id"))
 
 
 def _class_sql(name: str) -> str:
@@ -284,23 +297,32 @@ def classify_standard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"{_best_sql('strict')} {_class_sql('strict')}")
 def classify_strict(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return L.classify(_best(spark, sf_dir, rigor="strict"), "strict").select("ref_id", "class", "confidence")
+    return L.classify(_best(spark, sf_dir, "strict"), "strict").select("ref_id", "class", "confidence")
 
 
 @query(f"{_best_sql('lenient')} {_class_sql('lenient')}")
 def classify_lenient(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return L.classify(_best(spark, sf_dir, rigor="lenient"), "lenient").select("ref_id", "class", "confidence")
+    return L.classify(_best(spark, sf_dir, "lenient"), "lenient").select("ref_id", "class", "confidence")
 
 
-@query()
+@query(f"{BEST}, c AS ({_class_sql('balanced')}) SELECT ref_id, paper_id, round(best.score, 6) AS score, c.class, c.confidence FROM best JOIN c USING (ref_id)")
 def classify_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Classification with sequence ratios and greedy author lists; its parts are tested against plain programs."""
-    return L.classify(_best(spark, sf_dir, exact=True, most=None)).select("ref_id", "paper_id", F.round("score", 6).alias("score"), "class", "confidence")
+    """Best papers with their scores and classes."""
+    return L.classify(_best(spark, sf_dir)).select("ref_id", "paper_id", F.round("score", 6).alias("score"), "class", "confidence")
+
+
+@query(f"""{BASE}, {VENUES}, {VSIM_WORDS} SELECT ref_id, p.paper_id, round(0.55::DOUBLE * {_jac("r.title", "p.title")} + 0.25::DOUBLE * ({_SURJ.format("r.authors", "p.authors")} / {_SURU.format("r.authors", "p.authors")})
+  + 0.15::DOUBLE * venue_sim + 0.05::DOUBLE * {_YEAR.format("r.year", "p.year")}, 9) AS score FROM refs r JOIN papers p ON p.paper_id = r.ref_id + 1 JOIN vsim ON r.venue = a AND p.venue = b""")
+def score_by_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cheaper stand-in for the exact scores, over given pairs."""
+    refs, papers = _tables(spark, sf_dir)
+    pairs = refs.select("ref_id", (F.col("ref_id") + 1).alias("paper_id")).join(papers.select("paper_id"), "paper_id")
+    return L.score(pairs, refs, papers, "words").select("ref_id", "paper_id", "score")
 
 
 @query()
 def classify_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return L.classify_rules(_best(spark, sf_dir, most=None)).select("ref_id", "rule_score", "rule_class", "rule_confidence", F.array_join("rule_signs", ",").alias("rule_signs"), "rule_review")
+    return L.classify_rules(_best(spark, sf_dir)).select("ref_id", "rule_score", "rule_class", "rule_confidence", F.array_join("rule_signs", ",").alias("rule_signs"), "rule_review")
 
 
 _CLASSES = ", ".join(f"('{c}')" for c in L.CLASSES)
@@ -354,9 +376,17 @@ def title_repair_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", F.trim(F.regexp_replace(F.regexp_replace(title, "</?(sup|sub|i|b|em)>", ""), r"[ \t\r\n]+", " ")).alias("title"))
 
 
-@query()
+@query(f"""{BASE.replace("WITH ", "WITH RECURSIVE ", 1)}, beside AS (SELECT ref_id, r.title AS x, p.title AS y FROM refs r JOIN papers p ON p.paper_id = r.ref_id + 1), {X.ratios("SELECT x, y FROM beside")}
+SELECT ref_id, round(CASE WHEN x = y AND x <> '' THEN 1.0 ELSE coalesce(ratio, 0.0) END::DOUBLE, 9) AS ratio FROM beside LEFT JOIN ratios USING (x, y)""")
 def sequence_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Character sequence ratio of titles; the standard library's matcher, so no SQL."""
+    """Ratio of matched characters of each reference's title and the next paper's."""
     refs, papers = _tables(spark, sf_dir)
     j = refs.join(papers.withColumnRenamed("title", "p_title"), papers.paper_id == refs.ref_id + 1)
     return j.select("ref_id", F.round(T.sequence_ratio(F.col("title"), F.col("p_title")), 9).alias("ratio"))
+
+
+@query(f"{SCORED} SELECT ref_id, paper_id, rank, title_sim, author_sim, venue_sim, year_sim, score FROM (SELECT * REPLACE (round(title_sim, 9) AS title_sim, round(author_sim, 9) AS author_sim, round(venue_sim, 9) AS venue_sim, round(year_sim, 9) AS year_sim, CAST(rank AS BIGINT) AS rank) FROM scored)")
+def candidate_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every candidate of every reference with its four likenesses."""
+    nine = lambda c: F.round(c, 9).alias(c)
+    return _scored(spark, sf_dir).select("ref_id", "paper_id", F.col("rank").cast("long").alias("rank"), *map(nine, ("title_sim", "author_sim", "venue_sim", "year_sim")), "score")

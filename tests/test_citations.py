@@ -170,8 +170,8 @@ def test_consensus(spark):
 
 def test_verify_and_report(spark):
     papers, refs = spark.createDataFrame(PAPERS, PAPER), spark.createDataFrame(REFS, REF)
-    for exact in (False, True):
-        rows = verify(refs, papers, exact=exact)
+    for method in ("words", "exact"):
+        rows = verify(refs, papers, method=method)
         assert {r.ref_id: r["class"] for r in rows.collect()} == {1: "authentic", 2: "inconclusive", 3: "inconclusive", 4: "inconclusive"}
     blocks = {r.ref_id: r.block for r in R.report(verify(refs, papers)).collect()}
     assert "[VERIFIED] AUTHENTIC" in blocks[1] and "Add the DOI: 10.1000/a" in blocks[1] and "Best match (dblp)" in blocks[1] and "Similarity: 100.0%" in blocks[1]

@@ -106,8 +106,8 @@ def test_all_candidates_are_scored(spark):
     papers = spark.createDataFrame(rows, "paper_id int, source string, citations int, " + schema)
     assert L.block(refs, papers).count() == 30
     assert L.block(refs, papers, 10).count() == 10
-    for exact in (False, True):
-        assert verify(refs, papers, exact=exact).first().paper_id == 30
+    for method in ("words", "exact"):
+        assert verify(refs, papers, method=method).first().paper_id == 30
 
 
 @pytest.mark.parametrize("name", ["classify_rules", "dedupe_title_or_doi"])
