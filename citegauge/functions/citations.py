@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .text import normalise_text, present, strip_latex, year_in
+from .text import SPACE, normalise_text, present, strip_latex, year_in
 
-S = r"[ \t\r\n]"
+S = SPACE
 #: Fixed values, in order: headings of the section, what ends it, what opens an entry, what follows a title, patterns of venues in a citation.
 HEADINGS = [r"\bReferences\b", r"\bBibliography\b", rf"\bWorks{S}+Cited\b", rf"\bLiterature{S}+Cited\b", rf"\bCited{S}+References\b"]
 ENDINGS = [rf"\n{S}*(?:Appendix|Acknowledgment|Supplementary)", rf"\n{S}*A\.{S}+[A-Z]"]
@@ -18,14 +18,14 @@ ARXIV = rf"(?i)arXiv(?::|{S})*([0-9]{{4}}\.[0-9]{{4,5}}(?:v[0-9]+)?)"
 YEAR = r"\b(19[0-9][0-9]|20[0-2][0-9]|2030)\b"
 PAGES = rf"(?i)(?:pages?|pp\.?){S}*([0-9]+[-–][0-9]+)"
 RAW_VENUES = [
-    (r"(?i)In:[ \t\r\n]*([^,]+(?:Conference|Workshop|Symposium|Congress)[^,]*)", 1),
-    (r"(?i)Selected[ \t\r\n]+Areas[ \t\r\n]+in[ \t\r\n]+Cryptography[^,]*", 0),
-    (r"(?i)([A-Z][^,]*(?:Conference|Workshop|Symposium|Congress)[^,]*),[ \t\r\n]*[0-9]{4}", 1),
-    (r"(?i)\b([A-Z]{3,8})[ \t\r\n]+(?:19|20)[0-9]{2}\b", 1),
-    (r"(?i)Advances[ \t\r\n]+in[ \t\r\n]+Cryptology[ \t\r\n]*[-–—][ \t\r\n]*[A-Z]+", 0),
-    (r"(?i)Journal[ \t\r\n]+of[ \t\r\n]+[^,]+", 0),
-    (r"(?i)IEEE[ \t\r\n]+[^,]+", 0),
-    (r"(?i)ACM[ \t\r\n]+[^,]+", 0),
+    (rf"(?i)In:{S}*([^,]+(?:Conference|Workshop|Symposium|Congress)[^,]*)", 1),
+    (rf"(?i)Selected{S}+Areas{S}+in{S}+Cryptography[^,]*", 0),
+    (rf"(?i)([A-Z][^,]*(?:Conference|Workshop|Symposium|Congress)[^,]*),{S}*[0-9]{{4}}", 1),
+    (rf"(?i)\b([A-Z]{{3,8}}){S}+(?:19|20)[0-9]{{2}}\b", 1),
+    (rf"(?i)Advances{S}+in{S}+Cryptology{S}*[-–—]{S}*[A-Z]+", 0),
+    (rf"(?i)Journal{S}+of{S}+[^,]+", 0),
+    (rf"(?i)IEEE{S}+[^,]+", 0),
+    (rf"(?i)ACM{S}+[^,]+", 0),
 ]
 GENERIC_VENUES = ["lecture notes in computer science", "proceedings", "acm", "ieee", "springer"]
 MEETINGS = ["conference", "workshop", "symposium", "congress"]

@@ -278,15 +278,15 @@ def canonical_venue(c: Column) -> Column:
     return let(normalise_venue(c), _canonical)
 
 
+def _aliases(own_name: bool) -> Column:
+    """The venues' table as an array of (name, alias), in order; with the name itself after its aliases, if wanted."""
+    rows = [(name, alias) for name, aliases in VENUES for alias in (*aliases, name)[: len(aliases) + own_name]]
+    return F.expr("array(" + ", ".join(f"struct('{name}' AS name, '{alias}' AS alias)" for name, alias in rows) + ")")
+
+
 def _canonical(v: Column) -> Column:
-    out, exact = v, F.lit(None).cast("string")
-    for name, aliases in reversed(VENUES):
-        near = F.lit(False)
-        for alias in [*aliases, name]:
-            near = near | v.contains(alias) | F.lit(alias).contains(v)
-        out = F.when(near, name).otherwise(out)
-        exact = F.when(v.isin(*aliases, name), name).otherwise(exact)
-    return F.coalesce(exact, out)
+    first = lambda test: F.get(F.filter(_aliases(True), test), F.lit(0))["name"]
+    return F.coalesce(first(lambda x: x["alias"] == v), first(lambda x: F.contains(v, x["alias"]) | F.contains(x["alias"], v)), v)
 
 
 def venue_struct(c: Column) -> Column:
@@ -294,8 +294,8 @@ def venue_struct(c: Column) -> Column:
     stop = F.array(*map(F.lit, ["", *VENUE_STOP]))
 
     def parts(v: Column) -> Column:
-        held = [F.when(F.exists(F.array(*map(F.lit, aliases)), lambda a: F.contains(v, a)), name) for name, aliases in VENUES]
-        return F.struct(v.alias("v"), _canonical(v).alias("canon"), F.array_except(F.array_distinct(F.split(v, r"\s+")), stop).alias("words"), F.array_compact(F.array(*held)).alias("held"), present(c).alias("any"))
+        held = F.array_distinct(F.transform(F.filter(_aliases(False), lambda x: F.contains(v, x["alias"])), lambda x: x["name"]))
+        return F.struct(v.alias("v"), _canonical(v).alias("canon"), F.array_except(F.array_distinct(F.split(v, r"\s+")), stop).alias("words"), held.alias("held"), present(c).alias("any"))
 
     return let(normalise_venue(c), parts)
 

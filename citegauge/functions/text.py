@@ -26,6 +26,10 @@ PUBLISHER_DOMAINS = [
 ]
 
 
+#: White space of all of Unicode, in a form that every engine's expressions share.
+SPACE = r"[\t-\r\x{1C}-\x{20}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+
+
 def present(c: Column) -> Column:
     """Neither null nor empty."""
     return F.coalesce(c != "", F.lit(False))
@@ -33,7 +37,7 @@ def present(c: Column) -> Column:
 
 def tokens(c: Column) -> Column:
     """Words of a text, split at white space."""
-    return F.filter(F.split(F.trim(F.lower(c)), r"[ \t\r\n]+"), lambda w: w != "")
+    return F.filter(F.split(F.trim(F.lower(c)), f"{SPACE}+"), lambda w: w != "")
 
 
 def distinct_words(c: Column) -> Column:
@@ -153,7 +157,7 @@ LATEX = [
     (r"\$([^$]*)\$", "$1"),
     (r"\\[a-zA-Z]+\{([^}]*)\}", "$1"),
     (r"\\[a-zA-Z]+", ""),
-    (r"[ \t\r\n]+", " "),
+    (f"{SPACE}+", " "),
 ]
 #: What is told apart in titles only by habit, in order.
 TITLE_RULES = [

@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 
 from ..functions.names import doi_author_similarity, let
 from ..functions.text import normalise_doi, present, sequence_ratio, token_jaccard, tokens
-from .link import MAJOR
+from .link import MAJOR, similar_titles
 
+#: Shares of words, in tenths, from which a notice's title is compared.
+TITLE_TENTHS = 3
 #: What a venue of cryptography has in its name.
 CRYPTO_VENUES = ["crypto", "eurocrypt", "asiacrypt", "ches", "pkc", "tcc", "fse", "iacr", "journal of cryptology", "tches", "tosc"]
 
@@ -45,7 +47,7 @@ def retractions(refs: DataFrame, notices: DataFrame) -> DataFrame:
     """ref_id, kind, notice_doi, notice_date, by of the references that a notice (doi, title, type, notice_doi, notice_date, via) names.
 
     By DOI; references without one, of titles over 20 characters, by a title whose sequence ratio is .95 or more. Such titles are
-    sought among those that share the first or the last three words, in place of the search of a catalogue.
+    sought among all that share three tenths of the words, in place of the search of a catalogue.
     """
     rank = _notice_rank(F.col("via"), F.col("type"))
     kind = F.when(rank == 1, F.initcap("type")).when(rank == 2, "Retraction").otherwise("Expression of Concern")
@@ -54,15 +56,11 @@ def retractions(refs: DataFrame, notices: DataFrame) -> DataFrame:
     r = refs.select("ref_id", normalise_doi(F.col("doi")).alias("k_doi"), F.lower(F.trim("title")).alias("r_title"), present(F.trim("doi")).alias("__doi__"))
     by_doi = r.where("k_doi <> ''").join(n, "k_doi").select("ref_id", F.lit("doi").alias("by"), "rank", "kind", "notice_doi", "notice_date")
 
-    def ends(c: str) -> Column:
-        def keys(w: Column) -> Column:
-            return F.array_distinct(F.array(F.concat(F.lit("^"), F.array_join(F.slice(w, 1, 3), " ")), F.concat(F.array_join(F.slice(w, F.greatest(F.size(w) - 2, F.lit(1)), F.lit(3)), " "), F.lit("$"))))
-
-        return F.explode(let(tokens(F.col(c)), keys)).alias("end")
-
-    some = r.where(~F.col("__doi__") & (F.char_length("r_title") > 20)).select("ref_id", "r_title", ends("r_title"))
-    near = some.join(n.where("n_title <> ''").select("*", ends("n_title")), "end").drop("end").dropDuplicates()
-    by_title = near.where(sequence_ratio(F.col("r_title"), F.col("n_title")) >= 0.95).select("ref_id", F.lit("title").alias("by"), "rank", "kind", "notice_doi", "notice_date")
+    some = r.where(~F.col("__doi__") & (F.char_length("r_title") > 20)).select("ref_id", F.col("r_title").alias("title"))
+    titled = n.where("n_title <> ''").withColumnRenamed("n_title", "title")
+    alike = similar_titles(some, titled, TITLE_TENTHS)
+    alike = alike.where(sequence_ratio(F.col("l_title"), F.col("r_title")) >= 0.95)
+    by_title = some.withColumnRenamed("title", "l_title").join(alike, "l_title").join(titled.withColumnRenamed("title", "r_title"), "r_title").select("ref_id", F.lit("title").alias("by"), "rank", "kind", "notice_doi", "notice_date")
     first = F.min_by(F.struct("kind", "notice_doi", "notice_date", "by"), F.struct("rank", "notice_doi", "notice_date"))
     return by_doi.union(by_title).groupBy("ref_id").agg(first.alias("n")).select("ref_id", "n.*")
 
@@ -163,12 +161,15 @@ def compatible_names(a: Column, b: Column) -> Column:
 
 
 def registry_ids(names: DataFrame, registry: DataFrame) -> DataFrame:
-    """names (key, name) with the id of a registered author (author_id, canonical_name): an equal name, else one of that surname whose words fit."""
-    last = lambda c: F.try_element_at(tokens(c), F.lit(-1))
-    n = names.select("key", "name", last(F.col("name")).alias("last")).where("last is not null").distinct()
-    j = n.join(registry.select("author_id", "canonical_name", last(F.col("canonical_name")).alias("last")), "last")
+    """(name, author_id) of distinct names: the id of a registered author (author_id, canonical_name) of an equal name, else of one of that surname whose words fit.
+
+    Words that fit are as many and begin with one letter, so surname, first letter and number of words are the key.
+    """
+    parts = lambda d, c: d.withColumn("__words__", tokens(F.col(c))).withColumns({"last": F.try_element_at("__words__", F.lit(-1)), "head": F.left(F.get("__words__", F.lit(0)), F.lit(1)), "size": F.size("__words__")}).drop("__words__")
+    n = parts(names.select("name").distinct(), "name").where("last is not null")
+    j = n.join(parts(registry.select("author_id", "canonical_name"), "canonical_name"), ["last", "head", "size"])
     j = j.withColumn("place", F.when(F.lower("name") == F.lower("canonical_name"), 1).when(compatible_names(F.col("name"), F.col("canonical_name")), 2)).where("place is not null")
-    return j.groupBy("key", "name").agg(F.min_by("author_id", F.struct("place", "author_id")).alias("author_id"))
+    return j.groupBy("name").agg(F.min_by("author_id", F.struct("place", "author_id")).alias("author_id"))
 
 
 def registry_similarity(pairs: DataFrame, registry: DataFrame) -> DataFrame:
@@ -178,9 +179,11 @@ def registry_similarity(pairs: DataFrame, registry: DataFrame) -> DataFrame:
     """
     crypto = F.exists(F.array(*map(F.lit, CRYPTO_VENUES)), lambda v: F.contains(F.lower("p_venue"), v))
     some = pairs.where(crypto).select(F.struct("ref_id", "paper_id").alias("key"), "authors", "p_authors")
-    ids = lambda c: registry_ids(some.select("key", F.explode(c).alias("name")), registry).select("key", "author_id")
-    own, theirs = ids("authors"), ids("p_authors").distinct()
-    shared = own.join(theirs, ["key", "author_id"], "left_semi").groupBy("key").agg(F.count("*").alias("shared")).select("key.*", "shared")
+    named = lambda c: some.select("key", F.explode(F.array_distinct(c)).alias("name"))
+    known = registry_ids(named("authors").select("name").union(named("p_authors").select("name")), registry)
+    ids = lambda c: named(c).join(known, "name").select("key", "author_id").groupBy("key").agg(F.collect_list("author_id").alias(f"ids_{c}"))
+    matched = F.size(F.filter("ids_authors", lambda x: F.array_contains("ids_p_authors", x)))
+    shared = ids("authors").join(ids("p_authors"), "key").select("key.*", matched.alias("shared"))
     share = F.coalesce("shared", F.lit(0)) / F.greatest(F.size("authors"), F.lit(1))
     better = share > F.col("author_sim")
     return pairs.join(shared, ["ref_id", "paper_id"], "left").withColumn("author_sim", F.when(better, 0.7 * share + 0.3 * F.col("author_sim")).otherwise(F.col("author_sim"))).drop("shared")

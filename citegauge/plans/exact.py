@@ -33,7 +33,7 @@ def key_form(plain: str) -> str:
     return f"trim({_replaced(plain, [(p, to.replace('$', chr(92))) for p, to in T.TITLE_RULES])})"
 
 
-_WORDS = "list_distinct(list_filter(regexp_split_to_array({0}, '[ \\t\\r\\n]+'), lambda w: w <> ''))"
+_WORDS = "list_distinct(list_filter(regexp_split_to_array({0}, '" + T.SPACE.replace("{", "{{").replace("}", "}}") + "+'), lambda w: w <> ''))"
 
 
 def jaccard_words(x: str, y: str) -> str:

@@ -17,7 +17,7 @@ SQL: dict[str, str] = {}
 _P = B.PAPERS.replace("{documents}", "documents")
 _R = B.REFS.replace("{documents}", "documents")
 BASE = f"WITH papers0 AS ({_P}), refs0 AS ({_R}), papers AS (SELECT * REPLACE (string_split(authors, '; ') AS authors) FROM papers0), refs AS (SELECT * REPLACE (string_split(authors, '; ') AS authors) FROM refs0)"
-_TOK = "list_filter(regexp_split_to_array(trim(lower({0})), '[ \\t\\r\\n]+'), lambda w: w <> '')"
+_TOK = "list_filter(regexp_split_to_array(trim(lower({0})), '" + T.SPACE.replace("{", "{{").replace("}", "}}") + "+'), lambda w: w <> '')"
 
 
 def _jac(a: str, b: str) -> str:
@@ -244,12 +244,6 @@ def dedupe_title(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.distinct_titles(B.papers(spark, sf_dir), [F.col("paper_id")]).select("paper_id", F.lower(F.trim("title")).alias("title_key"))
 
 
-@query()
-def dedupe_title_or_doi(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sequential two-key deduplication; order-dependent, tested against a plain program."""
-    return L.distinct_keys(_scored(spark, sf_dir)).select("ref_id", "paper_id")
-
-
 @query(f"""{SCORED} SELECT ref_id, paper_id, CAST(CASE WHEN source = 'openalex' THEN 10 ELSE 0 END + CASE WHEN p_doi <> '' THEN 5 ELSE 0 END + CASE WHEN p_citations > 0 THEN 3 ELSE 0 END
 + CASE abs(p_year - year) WHEN 0 THEN 2 WHEN 1 THEN 1 ELSE 0 END AS BIGINT) AS relevance FROM scored""")
 def relevance_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -320,11 +314,6 @@ def score_by_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.score(pairs, refs, papers, "words").select("ref_id", "paper_id", "score")
 
 
-@query()
-def classify_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return L.classify_rules(_best(spark, sf_dir)).select("ref_id", "rule_score", "rule_class", "rule_confidence", F.array_join("rule_signs", ",").alias("rule_signs"), "rule_review")
-
-
 _CLASSES = ", ".join(f"('{c}')" for c in L.CLASSES)
 _SUMMARY = f"""c AS ({_class_sql("balanced")}), t AS (SELECT count(*) AS total FROM c),
 s AS (SELECT k AS class, count(c.class) AS n FROM (VALUES {_CLASSES}) v(k) LEFT JOIN c ON c.class = k GROUP BY k)"""
