@@ -314,12 +314,3 @@ def adaptive_top(ranked: DataFrame) -> DataFrame:
     third = F.col("s3").isNotNull() & ~far("s2") & ~far("s3") & F.when(second, two).otherwise(one)
     keep = F.when(F.col("place") == 1, True).when(F.col("place") == 2, second).otherwise(third)
     return top.where(keep).drop("s1", "s2", "s3")
-
-
-def bibtex(key: Column, title: Column, authors: Column, venue: Column, year: Column, doi: Column) -> Column:
-    """A BibTeX entry; its type by the venue."""
-    kind = F.when(F.lower(venue).rlike("proc|conf|workshop|symposium"), "inproceedings").when(F.lower(venue).rlike("arxiv|preprint|eprint"), "misc").otherwise("article")
-    place = F.when(kind == "inproceedings", "booktitle").when(kind == "misc", "howpublished").otherwise("journal")
-    field = lambda n, v: F.when(present(v), F.concat(F.lit("  "), n, F.lit(" = {"), v, F.lit("}")))
-    rows = F.array_compact(F.array(field(F.lit("title"), title), field(F.lit("author"), F.array_join(authors, " and ")), field(place, venue), field(F.lit("year"), year.cast("string")), field(F.lit("doi"), doi)))
-    return F.concat(F.lit("@"), kind, F.lit("{"), key, F.lit(",\n"), F.array_join(rows, ",\n"), F.lit("\n}"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import names as N
 from ..functions import text as T
+from ..functions.citations import completeness
 from ..operators import link as L
 from ..sources import bibliography as B
 from . import exact as X
@@ -145,11 +146,17 @@ def cosine_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return j.select("ref_id", F.round(T.cosine_terms(F.col("title"), F.col("p_title")), 9).alias("sim"))
 
 
-@query(f"{BASE} SELECT ref_id, levenshtein(regexp_replace(r.title, '[^\\x20-\\x7E]', '?', 'g'), regexp_replace(p.title, '[^\\x20-\\x7E]', '?', 'g')) AS distance FROM refs r JOIN papers p ON p.paper_id = r.ref_id")
+#: Letters beyond ASCII in the derived titles; SQL's distance counts bytes, so there each becomes a byte of its own.
+_LETTERS = "éèÍíçÇñÄÊêÈÑöüóÓÖßÉäÜ"
+_BYTES = " || ".join(f"chr({k + 1 if k < 8 else k + 6})" for k in range(len(_LETTERS)))
+
+
+@query(f"{BASE} SELECT ref_id, p.paper_id, levenshtein(translate(r.title, '{_LETTERS}', {_BYTES}), translate(p.title, '{_LETTERS}', {_BYTES})) AS distance FROM refs r JOIN papers p ON p.paper_id IN (r.ref_id, r.ref_id + 1)")
 def levenshtein_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edits between each reference's title and its own paper's and the next one's."""
     refs, papers = _tables(spark, sf_dir)
-    j = refs.join(papers.withColumnRenamed("title", "p_title"), papers.paper_id == refs.ref_id)
-    return j.select("ref_id", F.levenshtein(*[F.regexp_replace(c, r"[^\x20-\x7E]", "?") for c in ("title", "p_title")]).cast("long").alias("distance"))
+    near = refs.select("ref_id", "title", F.explode(F.array(F.col("ref_id"), F.col("ref_id") + 1)).alias("paper_id"))
+    return near.join(papers.select("paper_id", F.col("title").alias("p_title")), "paper_id").select("ref_id", "paper_id", F.levenshtein("title", "p_title").cast("long").alias("distance"))
 
 
 @query(f"""{BASE} SELECT ref_id, paper_id, round({_YEAR.format("r.year", "p.year")}, 9) AS linear,
@@ -216,13 +223,12 @@ def text_assembly(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""{BASE} SELECT ref_id, round(least(1.0, CASE WHEN title <> '' THEN 0.4 ELSE 0 END + CASE WHEN length(title) > 10 THEN 0.1 ELSE 0 END + 0.3 + CASE WHEN len(authors) > 1 THEN 0.1 ELSE 0 END
-+ CASE WHEN ref_id % 4 > 0 AND venue <> '' THEN 0.2 ELSE 0 END + CASE WHEN ref_id % 3 > 0 THEN 0.2 ELSE 0 END + CASE WHEN doi <> '' THEN 0.1 ELSE 0 END)::DOUBLE, 6) AS completeness FROM refs""")
++ CASE WHEN ref_id % 4 > 0 AND venue <> '' THEN 0.2 ELSE 0 END + CASE WHEN ref_id % 3 > 0 THEN 0.2 ELSE 0 END + CASE WHEN doi <> '' THEN 0.1 ELSE 0 END + CASE WHEN ref_id % 7 > 0 THEN 0.05 ELSE 0 END)::DOUBLE, 6) AS completeness FROM refs""")
 def completeness_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     refs, _ = _tables(spark, sf_dir)
-    has = lambda c, v: F.when(c, v).otherwise(0.0)
-    s = has(T.present(F.col("title")), 0.4) + has(F.char_length("title") > 10, 0.1) + has(F.size("authors") > 0, 0.3) + has(F.size("authors") > 1, 0.1) + has((F.col("ref_id") % 4 > 0) & T.present(F.col("venue")), 0.2)
-    s = s + has(F.col("ref_id") % 3 > 0, 0.2) + has(T.present(F.col("doi")), 0.1)
-    return refs.select("ref_id", F.round(F.least(F.lit(1.0), s), 6).alias("completeness"))
+    k = F.col("ref_id")
+    fields = [F.col("title"), F.col("authors"), F.when(k % 4 > 0, F.col("venue")), F.when(k % 3 > 0, F.col("year")), F.col("doi"), F.when(k % 7 > 0, "1-9").otherwise("")]
+    return refs.select("ref_id", completeness(*fields).alias("completeness"))
 
 
 @query(f"{BEST} SELECT ref_id, paper_id, CAST(n_sources AS BIGINT) AS n_sources, round(score, 6) AS score FROM best")
@@ -351,14 +357,6 @@ def adaptive_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.adaptive_top(_scored(spark, sf_dir).select("ref_id", "paper_id", "score")).select("ref_id", "paper_id", F.col("place").cast("long").alias("place"))
 
 
-@query(f"""{BASE}, k AS (SELECT *, CASE WHEN regexp_matches(lower(venue), 'proc|conf|workshop|symposium') THEN 'inproceedings' WHEN regexp_matches(lower(venue), 'arxiv|preprint|eprint') THEN 'misc' ELSE 'article' END AS kind FROM papers)
-SELECT paper_id, '@' || kind || '{{ref' || paper_id || ',' || chr(10) || array_to_string(list_filter(['  title = {{' || nullif(title, '') || '}}', '  author = {{' || array_to_string(authors, ' and ') || '}}',
-'  ' || CASE kind WHEN 'inproceedings' THEN 'booktitle' WHEN 'misc' THEN 'howpublished' ELSE 'journal' END || ' = {{' || venue || '}}', '  year = {{' || year || '}}', '  doi = {{' || doi || '}}'], lambda f: f IS NOT NULL), ',' || chr(10)) || chr(10) || '}}' AS entry FROM k""")
-def bibtex(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = B.papers(spark, sf_dir)
-    return p.select("paper_id", L.bibtex(F.concat(F.lit("ref"), F.col("paper_id").cast("string")), *[F.col(c) for c in ("title", "authors", "venue", "year", "doi")]).alias("entry"))
-
-
 @query("SELECT page_id, trim(regexp_replace(regexp_replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '</?(sup|sub|i|b|em)>', '', 'g'), '[ \\t\\r\\n]+', ' ', 'g')) AS title FROM pages")
 def title_repair_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     title = F.regexp_extract("html", "<title>([^<]*)</title>", 1)
