@@ -19,7 +19,7 @@ import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import mix, sized_join, slices, table, text_bytes, words, written
+from .common import mix, sized_join, slices, spread_join, table, text_bytes, words, written
 from .components import components, linked_rows
 from .tiles import by_tile, fixed, least_labels, own_part, tiled
 
@@ -155,22 +155,23 @@ def _deeper(rows: DataFrame) -> DataFrame:
     return rows.select(*names).mapInArrow(run, "path long, node binary, size int, sketch binary, before long")
 
 
-def _counted(rows: DataFrame) -> DataFrame:
-    """rows + n, the sets at their node of the tree; those that are alone there go."""
+def _counted(rows: DataFrame, total: int) -> DataFrame:
+    """rows + n, the sets at their node of the tree; those that are alone there go. A very common token's node is counted by broadcast."""
     n = rows.groupBy("path").agg(F.count("*").alias("n")).where("n > 1")
-    return rows.join(n, "path")
+    return spread_join(rows, n, ["path"], "n", total)
 
 
 def candidates(classes: DataFrame) -> DataFrame:
     """(node, other): pairs of sets whose sketches agree, as many of them as tie each bucket's groups together."""
-    together = _counted(_heads(classes))
+    together = _counted(_heads(classes), classes.count() * RUNS)
     level = written(together.join(classes.select("node", "size", "sketch"), "node"), "paths")
     buckets = level.where(F.col("n") <= SMALL)
     large = level.where(F.col("n") > SMALL)
     for depth in range(2, DEPTH + 1):
-        if not large.limit(1).count():
+        many = large.count()
+        if not many:
             break
-        level = written(_counted(_deeper(large)), "paths")
+        level = written(_counted(written(_deeper(large), "deeper"), many), "paths")
         last = F.lit(True) if depth == DEPTH else (F.col("n") <= SMALL) | (DENOMINATOR * F.col("n") >= NUMERATOR * F.col("before"))
         buckets = buckets.unionByName(level.where(last).drop("before"))
         large = level.where(~last).drop("before")
@@ -280,7 +281,8 @@ def _linked(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     wanted = sized_join(wanted.where("doc_id is not null"), members.select(F.col("least").alias("doc_id")).distinct(), "doc_id").unionByName(wanted.where("doc_id is null"))
     sets = sketched(wanted, "doc_id", "text", with_sketch=False).select("node", "tokens")
     sets = sets.join(members.select("node", "root", "weight"), "node").dropDuplicates(["node"])
-    rows = tiled(written(sets, "sets"), ["root"], "node", EXACT_ROWS)
+    sets = written(sets, "sets")
+    rows = tiled(sets, ["root"], "node", EXACT_ROWS, total=sets.count())
     found = by_tile(rows.select("tile", "node", "tokens", "weight", "part", "left", "right", "parts"), _exact, "node binary, other binary, links long", most=512)
     return linked_rows(made.select("doc_id", "text_key", "node"), classes, found, "doc_id")
 
@@ -289,14 +291,14 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
     """docs with one document of each group of near copies, that of the smallest id; texts without words all stay.
 
     Null ids come last, and of texts under one id that with the smallest hash stays. Where a row is repeated with its id,
-    one of the rows stays.
+    one of the rows stays. Columns keep their names and order, whatever the names are; an empty table stays empty.
     """
     key = lambda d, k: [F.coalesce(d, F.lit(0)).alias("__doc__"), d.isNull().alias("__none__"), k.alias("__key__")]
     on = ["__doc__", "__none__", "__key__"]
-    rows = docs.select("*", *key(F.col(doc_id).cast("long"), F.xxhash64(F.coalesce(text, F.lit("")))))
+    rows = docs.select(F.struct("*").alias("row"), *key(F.col(doc_id).cast("long"), F.xxhash64(F.coalesce(text, F.lit("")))))
     joined = _linked(docs, doc_id, text).select(*key(F.col("doc_id"), F.col("text_key")), "root")
     joined = written(joined.groupBy(*on, "root").agg(F.count("*").alias("n")), "keys")
-    this = F.struct("__none__", "__doc__", "__key__")
+    this = F.struct("__none__", "__doc__", "__key__")  # null ids last
     first = joined.where("root is not null").groupBy("root").agg(F.min(this).alias("first"), F.sum("n").alias("many")).where("many > 1")
     grouped = sized_join(joined, written(first, "survivors"), "root").select(*on, (this == F.col("first")).alias("kept"), "n")
     alone = joined.where("root is null and not __none__").select(*on, F.lit(True).alias("kept"), "n")
@@ -306,7 +308,7 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
         rows = sized_join(rows, seen.select(*on), on, "left_anti", 300_000).unionByName(once)
     else:
         rows = sized_join(rows, seen.select(*on), on, "left_anti", 300_000)
-    return rows.drop(*on)
+    return rows.select("row.*")
 
 
 def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,16 +7,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import spread_join, text_bytes
 
-def tiled(rows: DataFrame, group: list[str], node: str, most: int, n: str | None = None, guest: str | None = None) -> DataFrame:
+
+def tiled(rows: DataFrame, group: list[str], node: str, most: int, n: str | None = None, guest: str | None = None, total: int | None = None) -> DataFrame:
     """rows + part, left, right, parts, tile: a group of more than `most` rows is dealt into parts by a hash of `node`,
     and every two parts meet in one tile. A row goes to parts - 1 tiles. Guests (rows where `guest` is true) don't count
-    and meet each part in the tile where that part also meets itself. `n` names a column with the group's rows, if known.
+    and meet each part in the tile where that part also meets itself. `n` names a column with the group's rows, if known;
+    `total` is the count of rows, if known: very large groups are then told their count by broadcast.
     """
     if n is None:
         host = F.lit(True) if guest is None else ~F.col(guest)
         n = "__n__"
-        rows = rows.join(rows.where(host).groupBy(*group).agg(F.count("*").alias(n)), group)
+        counts = rows.where(host).groupBy(*group).agg(F.count("*").alias(n))
+        rows = rows.join(counts, group) if total is None else spread_join(rows, counts, group, n, total)
     parts = F.ceil(F.col(n) / most).cast("int")
     rows = rows.withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64(node), F.col("parts")).cast("int"))
     pair = lambda a, b: F.struct(F.least(a, b).alias("left"), F.greatest(a, b).alias("right"))
@@ -67,8 +71,6 @@ def by_tile(rows: DataFrame, fn, schema: str, most: int = 4096) -> DataFrame:
 
 def fixed(column: pa.ChunkedArray, kind: str, width: int) -> np.ndarray:
     """A binary column whose values all have `width` items of `kind`, as rows."""
-    from .common import text_bytes
-
     data, _ = text_bytes(column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column)
     return np.frombuffer(data.tobytes(), kind).reshape(-1, width)
 
