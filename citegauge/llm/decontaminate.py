@@ -10,7 +10,7 @@ from .common import fresh, sized_join, table, written
 
 UPPER, SMALL = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-WINDOW = 10
+WINDOW, LONGEST = 10, 62  # a phrase's words are the bits of a long
 KEY = ["doc_key", "text_key"]
 
 
@@ -20,7 +20,12 @@ def word_array(text: Column) -> Column:
 
 
 def windows_of(items: DataFrame, size: int = WINDOW, item_id: str = "item_id", text: str = "text") -> DataFrame:
-    """(item_id, window_id, words): each run of `size` words of an item, or the whole item if it has fewer but some."""
+    """(item_id, window_id, words): each run of `size` words of an item, or the whole item if it has fewer but some.
+
+    Sizes are 1 to LONGEST; others raise.
+    """
+    if not 1 <= size <= LONGEST:
+        raise ValueError(f"windows have 1 to {LONGEST} words, not {size}")
     w = items.select(F.col(item_id).alias("item_id"), word_array(F.col(text)).alias("w")).where(F.size("w") > 0)
     runs = F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - size + 1, F.lit(1))), lambda i: F.slice("w", i, size))
     out = w.select("item_id", F.explode(runs).alias("words"))
@@ -55,7 +60,7 @@ def find_phrases(postings: DataFrame, phrases: DataFrame, terms: DataFrame) -> D
     """
     frequency = postings.where("term is not null").groupBy("term").count()
     at = phrases.select("window_id", F.size("words").alias("length"), F.posexplode("words").alias("off", "word")).join(terms, "word").select("window_id", "length", "off", "term")
-    ranked = at.join(frequency, "term").withColumn("rank", F.row_number().over(W.partitionBy("window_id").orderBy("count", "off")))
+    ranked = sized_join(at, frequency, "term").withColumn("rank", F.row_number().over(W.partitionBy("window_id").orderBy("count", "off")))
     # a phrase with a term that no document holds has fewer rows here than words
     whole = ranked.withColumn("found", F.count("*").over(W.partitionBy("window_id"))).where("found = length")
     ranked = written(whole.select("window_id", "length", "off", "term", "rank"), "phrases")
