@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import base64
 import json
+import math
 import zlib
 from heapq import heappop, heappush
 
@@ -24,7 +25,7 @@ from .common import fresh, slices, table, written
 
 CAPACITY, END_ID = 1024, 2
 VOCABULARY = "byte_bpe_50k"
-RANK_ROWS = 20_000  # pieces of one length are ranked in groups of about so many
+RANK_ROWS = 256  # pieces of one length are ranked in groups of so many or, if there are more groups than that, the root of their count
 
 
 def encoder(vocabulary: str = VOCABULARY):
@@ -135,7 +136,7 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> tuple[list[tuple[i
 
 def ranked(cut: DataFrame, counts: dict[int, int], rows: int = RANK_ROWS) -> DataFrame:
     """cut + rank, from 0 among the pieces of its length, ranked in as many buckets as its count asks for: no length is one group."""
-    many = cut.sparkSession.createDataFrame([(n, -(-c // rows)) for n, c in counts.items()], "length long, __buckets__ long")
+    many = cut.sparkSession.createDataFrame([(n, -(-c // max(rows, math.isqrt(c)))) for n, c in counts.items()], "length long, __buckets__ long")
     salted = cut.join(F.broadcast(many), "length")  # one row per length
     salted = salted.withColumn("__bucket__", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.col("__buckets__")))
     counted = salted.groupBy("length", "__bucket__").count()
