@@ -25,6 +25,8 @@ COPYRIGHT = (
 )
 # A list's mark: a number, with a point or in brackets, between spaces.
 MARK = r"(^|[ \t\r\n])\(?[0-9]{1,2}[.)][ \t\r\n]"
+# Some spelling's letters stand there, as a word or within one.
+SPELT = "|".join(spelling.replace(" ", "[^a-z]+") for spelling, _ in SPELLINGS)
 OTHER = r"[^a-z0-9\x{80}-\x{10FFFF}]+"
 
 
@@ -37,11 +39,12 @@ def canonical(text: Column) -> Column:
     t = F.when(t.rlike("copyright|\\(c\\)|©|all rights"), F.regexp_replace(t, COPYRIGHT, "\n")).otherwise(t)
     for mark, stands in MARKS:
         t = F.replace(t, F.lit(mark), F.lit(stands))
-    t = F.regexp_replace(F.regexp_replace(t, MARK, " "), OTHER, "  ")  # two spaces: each word has its own on both sides
-    t = F.concat(F.lit(" "), t, F.lit(" "))
+    t = F.when(t.rlike("[0-9][.)]"), F.regexp_replace(t, MARK, " ")).otherwise(t)
+    wide = F.concat(F.lit(" "), F.regexp_replace(t, OTHER, "  "), F.lit(" "))  # two spaces: each word has its own on both sides
     for spelling, stands in SPELLINGS:
-        t = F.replace(t, F.lit(f" {spelling.replace(' ', '  ')} "), F.lit(f" {stands.replace(' ', '  ')} "))
-    return F.trim(F.regexp_replace(t, " +", " "))
+        wide = F.replace(wide, F.lit(f" {spelling.replace(' ', '  ')} "), F.lit(f" {stands.replace(' ', '  ')} "))
+    # few texts have any of the spellings
+    return F.trim(F.when(t.rlike(SPELT), F.regexp_replace(wide, " +", " ")).otherwise(F.regexp_replace(t, OTHER, " ")))
 
 
 def digest(text: Column) -> Column:
