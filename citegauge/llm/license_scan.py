@@ -25,8 +25,9 @@ COPYRIGHT = (
 )
 # A list's mark: a number, with a point or in brackets, between spaces.
 MARK = r"(^|[ \t\r\n])\(?[0-9]{1,2}[.)][ \t\r\n]"
-# Some spelling's letters stand there, as a word or within one.
-SPELT = "|".join(spelling.replace(" ", "[^a-z]+") for spelling, _ in SPELLINGS)
+# Some spelling's letters stand there, where a word begins; by first letters, so most places are passed by at once.
+_BY_LETTER = {w[0]: [x[1:].replace(" ", "[^a-z]+") for x, _ in SPELLINGS if x[0] == w[0]] for w, _ in SPELLINGS}
+SPELT = "(?<![a-z])(?:" + "|".join(f"{c}(?:{'|'.join(rest)})" for c, rest in _BY_LETTER.items()) + ")"
 OTHER = r"[^a-z0-9\x{80}-\x{10FFFF}]+"
 
 
@@ -35,16 +36,30 @@ def canonical(text: Column) -> Column:
 
     Where lines are broken makes no difference.
     """
-    t = F.translate(text, UPPER, SMALL)
+    return _let(F.translate(text, UPPER, SMALL), lambda t: _let(_without_notices(t), _words))
+
+
+def _let(value: Column, fn) -> Column:
+    """fn(value) with value computed once."""
+    return F.element_at(F.transform(F.array(value), fn), 1)
+
+
+def _without_notices(t: Column) -> Column:
     t = F.when(t.rlike("copyright|\\(c\\)|©|all rights"), F.regexp_replace(t, COPYRIGHT, "\n")).otherwise(t)
     for mark, stands in MARKS:
         t = F.replace(t, F.lit(mark), F.lit(stands))
-    t = F.when(t.rlike("[0-9][.)]"), F.regexp_replace(t, MARK, " ")).otherwise(t)
-    wide = F.concat(F.lit(" "), F.regexp_replace(t, OTHER, "  "), F.lit(" "))  # two spaces: each word has its own on both sides
-    for spelling, stands in SPELLINGS:
-        wide = F.replace(wide, F.lit(f" {spelling.replace(' ', '  ')} "), F.lit(f" {stands.replace(' ', '  ')} "))
-    # few texts have any of the spellings
-    return F.trim(F.when(t.rlike(SPELT), F.regexp_replace(wide, " +", " ")).otherwise(F.regexp_replace(t, OTHER, " ")))
+    return t
+
+
+def _words(t: Column) -> Column:
+    def spelt(t: Column) -> Column:
+        wide = F.concat(F.lit(" "), F.regexp_replace(t, OTHER, "  "), F.lit(" "))  # two spaces: each word has its own on both sides
+        for spelling, stands in SPELLINGS:
+            wide = F.replace(wide, F.lit(f" {spelling.replace(' ', '  ')} "), F.lit(f" {stands.replace(' ', '  ')} "))
+        # few texts have any of the spellings
+        return F.trim(F.when(t.rlike(SPELT), F.regexp_replace(wide, " +", " ")).otherwise(F.regexp_replace(t, OTHER, " ")))
+
+    return _let(F.when(t.rlike("[0-9][.)]"), F.regexp_replace(t, MARK, " ")).otherwise(t), spelt)
 
 
 def digest(text: Column) -> Column:
