@@ -139,8 +139,10 @@ p1 AS (SELECT ref_id, paper_id, CASE WHEN same AND named AND n > 0 AND NOT lacks
 SELECT ref_id, paper_id, CAST(strategy AS BIGINT) AS strategy FROM (SELECT *, min(strategy) OVER (PARTITION BY ref_id) AS least FROM p1) WHERE strategy = least""")
 def dblp_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first of the ordered strategies that finds papers, per reference."""
-    s = O.dblp_strategy(*[F.col(c) for c in ("title", "authors", "year", "p_title", "p_authors", "p_year")])
-    return O.first_with_rows(_pairs(spark, sf_dir), s).select("ref_id", "paper_id", F.col("strategy").cast("long").alias("strategy"))
+    refs, papers = _tables(spark, sf_dir)
+    p = O.with_search_title(papers.select("paper_id", *[F.col(c).alias(f"p_{c}") for c in ("title", "authors", "year")]))
+    pairs = L.block(refs, papers).join(O.with_title_terms(refs), "ref_id").join(p, "paper_id")
+    return O.first_with_rows(pairs, O.dblp_strategy()).select("ref_id", "paper_id", F.col("strategy").cast("long").alias("strategy"))
 
 
 @query(f"""{PAIRS}, {_DT}, p0 AS (SELECT ref_id, paper_id, {_NDOI.format("r.doi")} <> '' AND {_NDOI.format("r.doi")} = {_NDOI.format("p.doi")} AS doi, abs(r.year - p.year) <= 1 AS near, contains(lower(array_to_string(p.authors, ' ')), lower(name)) AS named,
@@ -150,8 +152,10 @@ p1 AS (SELECT ref_id, paper_id, CASE WHEN doi THEN 1 WHEN has4 AND named AND nea
 SELECT ref_id, paper_id, CAST(strategy AS BIGINT) AS strategy FROM (SELECT *, min(strategy) OVER (PARTITION BY ref_id) AS least FROM p1) WHERE strategy = least""")
 def pubmed_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """By DOI, else by words, surname and years, else by words alone, per reference."""
-    s = O.pubmed_strategy(*[F.col(c) for c in ("title", "authors", "year", "doi", "p_title", "p_authors", "p_year", "p_doi")])
-    return O.first_with_rows(_pairs(spark, sf_dir), s).select("ref_id", "paper_id", F.col("strategy").cast("long").alias("strategy"))
+    refs, papers = _tables(spark, sf_dir)
+    p = papers.select("paper_id", *[F.col(c).alias(f"p_{c}") for c in ("title", "authors", "year", "doi")])
+    pairs = L.block(refs, papers).join(O.with_title_terms(refs), "ref_id").join(p, "paper_id")
+    return O.first_with_rows(pairs, O.pubmed_strategy()).select("ref_id", "paper_id", F.col("strategy").cast("long").alias("strategy"))
 
 
 _KEYS = "list_filter(regexp_split_to_array(lower({0}), '[^\\p{{L}}\\p{{N}}_]+'), lambda x: regexp_full_match(x, '[a-z]{{3,}}') AND NOT list_contains([" + ", ".join(f"'{w}'" for w in T.STOP_WORDS) + "], x))"
