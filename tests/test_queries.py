@@ -109,16 +109,5 @@ def test_all_candidates_are_scored(spark):
         assert verify(refs, papers, method=method).first().paper_id == 30
 
 
-@pytest.mark.parametrize("name", ["classify_rules", "dedupe_title_or_doi"])
-def test_queries_without_sql_have_no_bound(spark, monkeypatch, name):
-    seen, block = [], L.block
-
-    def watched(*args):
-        bound = inspect.signature(block).bind(*args)
-        bound.apply_defaults()
-        seen.append(bound.arguments["most"])
-        return block(*args)
-
-    monkeypatch.setattr(L, "block", watched)
-    QUERIES[name](spark, SF)
-    assert seen == [None]
+def test_blocking_has_no_bound():
+    assert list(inspect.signature(L.block).parameters) == ["refs", "papers"]
