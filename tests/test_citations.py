@@ -180,6 +180,17 @@ def test_verify_and_report(spark):
     assert verify(refs, spark.createDataFrame([], PAPER)).where("class = 'inconclusive'").count() == 4
 
 
+def test_verify_with_verdicts(spark):
+    schema = "title string, authors array<string>, venue string, year int, doi string"
+    refs = spark.createDataFrame([(1, "A plain title of a paper", ["Ada Lovelace"], "VLDB", 2000, ""), (2, "Nothing like it", ["Bob Other"], "ICML", 1999, "")], "ref_id int, " + schema)
+    papers = spark.createDataFrame([(10, "dblp", 3, "A plain title of a paper", ["Ada Lovelace"], "VLDB", 2000, "")], "paper_id int, source string, citations int, " + schema)
+    verdicts = spark.createDataFrame([(1, False, 0.95, [], ["fabricated venue", "odd year", "author mismatch"], "because " * 20)], "ref_id int, authentic boolean, ai_confidence double, good array<string>, red array<string>, reasoning string")
+    plain = {r.ref_id: r for r in verify(refs, papers).collect()}
+    told = {r.ref_id: r for r in verify(refs, papers, verdicts=verdicts).collect()}
+    assert [(told[k].catalogue_class, told[k].catalogue_confidence) for k in (1, 2)] == [(plain[k]["class"], plain[k].confidence) for k in (1, 2)]
+    assert plain[1]["class"] == "authentic" and told[1].confidence < plain[1].confidence and told[2]["class"] == plain[2]["class"]
+
+
 def test_plain_citation(spark):
     rows = [("T", ["A"], "V", 2001), ("T", ["A", "B", "C"], None, None), ("T", ["A", "B", "C", "D"], "", 1999), ("T", [], "V", 1)]
     got = spark.createDataFrame(rows, "t string, a array<string>, v string, y int").select(R.plain_citation(*[F.col(c) for c in "tavy"]).alias("c")).collect()
