@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.names import let
+
 #: Fixed values of the derived bibliography. The SQL is the same in Spark and in other engines.
 GIVEN = "Ada,Boris,C.,Dmitry,Eva,Farid,Grace,Hiro,Ines,J.,Karl"
 FAMILY = "Lovelace,Petrov,van Dijk,O-Brien,Sanchez,Li,Hopper,Tanaka,Moreau,Smith,de Vries,Kowalski,Novak"
@@ -49,11 +51,13 @@ def assemble(lines: DataFrame, file: str = "file", text: str = "text") -> DataFr
     Blank lines go. A file without such a line is one record. A file is one row in and stays in its row: no shuffle.
     """
     rows = F.filter(F.transform(F.split(F.col(text), "\n"), lambda x: F.trim(F.regexp_replace(x, r"[\t\r]", " "))), lambda x: x != "")
-    folded = F.aggregate(
-        rows,
-        F.array().cast("array<string>"),
-        lambda acc, x: F.when((F.size(acc) == 0) | x.rlike(r"^[0-9*•-]"), F.array_append(acc, x)).otherwise(F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.array(F.concat_ws(" ", F.try_element_at(acc, F.lit(-1)), x)))),
-    )
+    marks = F.transform(rows, lambda x, k: F.when((k == 0) | x.rlike(r"^[0-9*•-]"), k))
+
+    def cut(r: Column) -> Column:
+        ends = F.concat(F.slice(r["starts"], 2, F.greatest(F.size(r["starts"]) - 1, F.lit(0))), F.array(F.size(r["rows"])))
+        return F.zip_with(r["starts"], ends, lambda a, z: F.array_join(F.slice(r["rows"], a + 1, z - a), " "))
+
+    folded = F.when(F.size(rows) > 0, let(F.struct(rows.alias("rows"), F.array_compact(marks).alias("starts")), cut))
     return lines.select(file, F.posexplode(folded).alias("pos", "raw_text"))
 
 
