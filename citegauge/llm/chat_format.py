@@ -15,6 +15,7 @@ from .common import table
 HEAD, COLON, PART, END = "### ", ": ", " <part> ", " </turn>\n"
 ROLES = {"user": "User", "assistant": "Assistant", "system": "System"}
 MARKED = "assistant"
+BLOCK = 256  # pieces summed at once
 
 
 def escape(text: Column) -> Column:
@@ -34,6 +35,11 @@ def shown(role: Column) -> Column:
     return out
 
 
+def _sums(lengths: Column) -> Column:
+    """0 and the sums of the first 1, 2, ... of the lengths."""
+    return F.aggregate(lengths, F.array(F.lit(0).cast("long")), lambda acc, n: F.array_append(acc, F.element_at(acc, -1) + n))
+
+
 def chat_format(rows: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
     """rows by turn -> one row per conversation: conv, formatted, loss_spans array<struct<start,length>>.
 
@@ -47,23 +53,14 @@ def chat_format(rows: DataFrame, conv: str = "conv_id", turn: str = "turn", role
         F.struct(F.col(turn).alias("at"), F.coalesce(role, F.lit("")).alias("role"), F.coalesce(text, F.lit("")).alias("text")).alias("one"),
     )
     got = turns.groupBy("conv").agg(F.sort_array(F.collect_list("one")).alias("turns"))
-    # merge: fold the sorted turns into (role, texts), adding to the last one where the role stays
-    kind = "array<struct<role:string,texts:array<string>>>"
-    last = lambda acc: F.element_at(acc, -1)
-    fold = F.aggregate(
-        "turns",
-        F.array().cast(kind),
-        lambda acc, x: F.when(
-            (F.size(acc) > 0) & (F.try_element_at(acc, F.lit(-1))["role"] == x["role"]),
-            F.concat(
-                F.slice(acc, 1, F.size(acc) - 1),
-                F.array(F.struct(x["role"].alias("role"), F.concat(F.try_element_at(acc, F.lit(-1))["texts"], F.array(escape(x["text"]))).alias("texts"))),
-            ),
-        )
-        .otherwise(F.concat(acc, F.array(F.struct(x["role"].alias("role"), F.array(escape(x["text"])).alias("texts")))))
-        .cast(kind),
+    # merge: a run of one role goes from its first turn to the next run's first one
+    begins = F.transform("turns", lambda x, k: F.when((k == 0) | (F.get("turns", k - 1)["role"] != x["role"]), k))
+    runs = got.select("conv", "turns", F.array_compact(begins).alias("begins"))
+    ends = F.concat(F.slice("begins", 2, F.greatest(F.size("begins") - 1, F.lit(0))), F.array(F.size("turns")))
+    merge = F.zip_with(
+        "begins", ends, lambda b, e: F.struct(F.get("turns", b)["role"].alias("role"), F.transform(F.slice("turns", b + 1, e - b), lambda x: escape(x["text"])).alias("texts"))
     )
-    merged = got.select("conv", fold.alias("merged"))
+    merged = runs.select("conv", merge.alias("merged"))
     # each merged turn as its pieces: the strings in order and whether the loss counts them
     pieces = F.flatten(
         F.transform(
@@ -84,15 +81,18 @@ def chat_format(rows: DataFrame, conv: str = "conv_id", turn: str = "turn", role
         )
     )
     cut = merged.select("conv", pieces.alias("pieces"))
-    spans = F.aggregate(
-        "pieces",
-        F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<start:bigint,length:bigint>>").alias("spans")),
-        lambda acc, p: F.struct(
-            (acc["at"] + F.char_length(p["s"])).alias("at"),
-            F.when(p["loss"], F.concat(acc["spans"], F.array(F.struct(acc["at"].alias("start"), F.char_length(p["s"]).cast("long").alias("length"))))).otherwise(acc["spans"]).alias("spans"),
-        ),
-        lambda acc: acc["spans"],
-    )
+    # spans: sums of lengths block by block, then within each block, so no long array is copied at every piece
+    width = lambda p: F.char_length(p["s"]).cast("long")
+    begin = F.transform(F.sequence(F.lit(0), F.size("pieces") - 1, F.lit(BLOCK)), lambda k: F.slice("pieces", k + 1, F.lit(BLOCK)))
+    blocks = cut.withColumn("blocks", begin).withColumn("at", _sums(F.transform("blocks", lambda b: F.aggregate(b, F.lit(0).cast("long"), lambda n, p: n + width(p)))))
+
+    def located(block: Column, at: Column) -> Column:
+        starts = F.slice(_sums(F.transform(block, width)), F.lit(1), F.size(block))
+        rows = F.zip_with(block, starts, lambda p, s: F.struct(p["loss"].alias("loss"), F.struct((at + s).alias("start"), width(p).alias("length")).alias("span")))
+        return F.transform(F.filter(rows, lambda r: r["loss"]), lambda r: r["span"])
+
+    spans = F.flatten(F.zip_with("blocks", F.slice("at", F.lit(1), F.size("blocks")), located))
+    cut = blocks
     return cut.select(F.col("conv").alias(conv), F.array_join(F.transform("pieces", lambda p: p["s"]), "").alias("formatted"), spans.alias("loss_spans"))
 
 
