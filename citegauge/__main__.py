@@ -7,23 +7,39 @@ import argparse
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions.citations import parse_citation
+from .functions.citations import parse_citation, parse_references
 from .functions.text import normalise_text, token_jaccard
 from .operators.context import BONUS, book_signs, boosted, search_rank
 from .operators.link import RIGOR, adaptive_top, distinct_titles, summary
-from .operators.report import plain_citation, report, summary_lines
+from .operators.report import gate, plain_citation, report, summary_lines
 from .operators.verify import verify
 from .sources.bibliography import assemble
+from .sources.storage import written
+from .sources.tei import tei_references
 
 #: What opens an entry of a list: a number or a bullet.
 MARK = r"^(?:[0-9]+[.)]?|[-*•])[ \t]+"
 
 
 def read_references(spark: SparkSession, path: str) -> DataFrame:
-    """References of text files, numbered by file and place; entries without a title go."""
-    files = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.col("value").alias("text"))
-    rows = assemble(files).select(F.xxhash64("file", "pos").alias("ref_id"), "raw_text", parse_citation(F.regexp_replace("raw_text", MARK, "")).alias("p"))
-    return rows.select("ref_id", "raw_text", "p.*").withColumn("venue", F.lit("")).where("title <> ''")
+    """References of text files and of TEI documents (.xml, .tei): ref_id, file, pos, raw_text, fields, and error where one can't be read."""
+    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("text"))
+    is_tei = F.lower("file").rlike(r"[.](?:tei|xml)$")
+    names = ["raw_text", "title", "authors", "venue", "year", "pages", "doi", "url"]
+    plain = assemble(files.where(~is_tei)).select("file", "pos", "raw_text", parse_citation(F.regexp_replace("raw_text", MARK, "")).alias("p"))
+    plain = plain.select("file", "pos", "raw_text", "p.*").withColumn("venue", F.lit(""))
+    marked = parse_references(tei_references(files.where(is_tei), "file", "text"), keep_all=True)
+    rows = gate(plain.select("file", "pos", *names).unionByName(marked.select("file", "pos", *names)))
+    return rows.withColumn("ref_id", F.xxhash64("file", "pos"))
+
+
+def verified(refs: DataFrame, papers: DataFrame, *args, **named) -> DataFrame:
+    """rows of `verify` for all of `read_references`, with file, pos, raw_text and error; those that can't be read are inconclusive."""
+    refs = written(refs, "references")  # read at many places of the plan
+    rows = verify(refs.where("error is null").select("ref_id", "title", "authors", "year", "venue", "doi"), papers, *args, **named)
+    unread = refs.where("error is not null").select("ref_id", "title", "authors", "venue", "year", "doi", F.lit("inconclusive").alias("class"), F.lit(0.0).alias("confidence"), F.lit(0.0).alias("score"))
+    place = refs.select("ref_id", "file", "pos", "raw_text", "error")
+    return place.join(rows.unionByName(unread, allowMissingColumns=True), "ref_id")
 
 
 def cite(papers: DataFrame, query: str, context: str = "general") -> DataFrame:
@@ -36,7 +52,7 @@ def cite(papers: DataFrame, query: str, context: str = "general") -> DataFrame:
 def main(argv: list[str] | None = None) -> None:
     p = argparse.ArgumentParser(prog="citegauge")
     p.add_argument("task", choices=["verify", "cite"])
-    p.add_argument("what", help="text files of references, or the text of a query")
+    p.add_argument("what", help="text files or TEI documents of references, or the text of a query")
     p.add_argument("--papers", required=True, help="Parquet of paper_id, source, title, authors, year, venue, doi, citations")
     p.add_argument("--rigor", choices=sorted(RIGOR), default="balanced")
     p.add_argument("--context", choices=["general", *BONUS], default="general")
@@ -58,11 +74,11 @@ def main(argv: list[str] | None = None) -> None:
         return
     tables = [spark.read.parquet(path) if path else None for path in (a.registry, a.notices, a.hits, a.registered)]
     is_book = F.size(book_signs(F.col("title"), F.col("venue"), F.col("year"), F.lit(""))) > 0
-    rows = verify(read_references(spark, a.what), papers, a.rigor, "words" if a.words else "exact", *tables, is_book, a.raw_labels)
+    rows = written(verified(read_references(spark, a.what), papers, a.rigor, "words" if a.words else "exact", *tables, is_book, a.raw_labels), "verdicts").orderBy("file", "pos")
     if a.format == "json":
         rows.write.mode("errorifexists").json(a.out)
     else:
-        report(rows, F.col("is_book")).orderBy("ref_id").select("block").write.text(a.out)
+        report(rows, F.col("is_book")).orderBy("file", "pos").select("block").write.text(a.out)
     for r in summary_lines(summary(rows)).orderBy("ord").collect():  # six rows
         print(r.line)
 

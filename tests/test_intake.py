@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from citegauge.__main__ import main
 from citegauge.functions import eprint as E
 from citegauge.functions.repair import repair_title
 from citegauge.sources.preprint_pages import plain_results, preprint_results
@@ -105,3 +106,19 @@ def test_strings_of_results(spark):
     assert one(E.clean_preprint_title, "PDF 2020/1  A title 2020-01-02 .. ", "Download") == ["A title", ""]
     got = one(E.title_and_authors, "On the hash of things. Ada Lovelace Foundations", "on the hash of Ada Lovelace", "short")
     assert [(g.title, g.authors) for g in got] == [("On the hash of things", ["Ada Lovelace"]), ("on the hash of", ["Ada Lovelace"]), ("short", [])]
+
+
+def test_files_of_both_kinds(spark, tmp_path):
+    paper = "paper_id int, source string, citations int, title string, authors array<string>, venue string, year int, doi string"
+    spark.createDataFrame([(7, "dblp", 3, "SPHINCS+ signatures & more", ["Ada Lovelace"], "Journal J", 2001, "10.1/a")], paper).write.parquet(str(tmp_path / "papers"))
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.tei").write_text(TEI)
+    (tmp_path / "in" / "b.txt").write_text("1. ???\n2. Zed Nobody and Eva Li. A title that nobody has written. 1999.\n")
+    for kind in ("json", "txt"):
+        main(["verify", str(tmp_path / "in"), "--papers", str(tmp_path / "papers"), "--format", kind, "--out", str(tmp_path / kind)])
+    got = [(r.file[-5:], r.pos, r["class"], r.error) for r in spark.read.json(str(tmp_path / "json")).orderBy("file", "pos").collect()]
+    unread = "Failed to parse reference"
+    assert [g[:2] for g in got] == [("a.tei", 0), ("a.tei", 1), ("a.tei", 2), ("b.txt", 0), ("b.txt", 1)]
+    assert [g[3] for g in got] == [None, None, unread, unread, None] and got[2][2] == got[3][2] == "inconclusive"
+    lines = "".join(f.read_text() for f in sorted((tmp_path / "txt").glob("part-*")))
+    assert lines.index("SPHINCS+ signatures & more") < lines.index("Only raw.") < lines.index("1. ???") < lines.index("A title that nobody")
