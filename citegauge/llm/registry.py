@@ -15,6 +15,9 @@ MODULES = {
     "op8_decontaminate": "decontaminate",
     "op9_ngram_join": "ngram_join",
     "op10_embedding_join": "embedding_join",
+    "op11_line_dedup": "line_dedup",
+    "op12_token_alignment": "token_align",
+    "op13_whitening": "whitening",
 }
 
 
