@@ -73,7 +73,7 @@ def main(argv: list[str] | None = None) -> None:
             found.select(plain_citation(*[F.col(c) for c in ("title", "authors", "venue", "year")])).write.text(a.out)
         return
     tables = [spark.read.parquet(path) if path else None for path in (a.registry, a.notices, a.hits, a.registered)]
-    is_book = F.size(book_signs(F.col("title"), F.col("venue"), F.col("year"), F.lit(""))) > 0
+    is_book = F.size(book_signs(F.col("title"), F.col("venue"), F.col("year"), F.lit(""), F.col("authors"))) > 0
     rows = written(verified(read_references(spark, a.what), papers, a.rigor, "words" if a.words else "exact", *tables, is_book, a.raw_labels), "verdicts").orderBy("file", "pos")
     if a.format == "json":
         rows.write.mode("errorifexists").json(a.out)

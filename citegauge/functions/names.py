@@ -22,10 +22,23 @@ VARIANTS = {
     "ahmad": ["ahmed", "ahmet"],
     "ahmed": ["ahmad", "ahmet"],
     "hassan": ["hasan"],
+    "hasan": ["hassan"],
     "reza": ["rida", "ridha"],
     "amir": ["ameer"],
-    "muller": ["mueller"],
-    "jorg": ["joerg"],
+    "jose": ["josé"],
+    "josé": ["jose"],
+    "muller": ["müller", "mueller"],
+    "müller": ["muller", "mueller"],
+    "mueller": ["muller", "müller"],
+    "bjorn": ["björn"],
+    "björn": ["bjorn"],
+    "jorg": ["jörg", "joerg"],
+    "jörg": ["jorg", "joerg"],
+    "joerg": ["jorg", "jörg"],
+    "andras": ["andrás"],
+    "andrás": ["andras"],
+    "francois": ["françois"],
+    "françois": ["francois"],
     "xiao": ["hsiao", "shiao"],
     "zhang": ["chang"],
     "wang": ["wong"],
