@@ -42,6 +42,8 @@ RIGOR = {
 
 #: Shares of words, in tenths, from which titles are alike enough for a comparison: by themselves, and beside surname and year.
 ALIKE, ALIKE_BESIDE = 5, 3
+#: Rank of candidates that only a search brings.
+SEARCHED = 5
 
 
 def similar_titles(left: DataFrame, right: DataFrame, tenths: int, beside: tuple[str, ...] = ()) -> DataFrame:

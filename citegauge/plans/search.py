@@ -10,10 +10,12 @@ from pyspark.sql import functions as F
 from ..functions import names as N
 from ..functions import search as S
 from ..functions import text as T
+from ..operators import catalogue as K
 from ..operators import context as C
 from ..operators import link as L
 from ..operators import report as R
 from ..operators import strategies as O
+from ..operators.verify import verify as verified
 from . import exact as X
 from .queries import _NDOI, _YEAR, BASE, BEST, PAIRS, SCORED, _best, _class_sql, _jac, _scored, _tables, query
 
@@ -93,8 +95,8 @@ _VARIED = "list_filter(list_concat([d, replace(d, '-', ''), regexp_replace(repla
 _FIRST = "list_filter({0}, lambda v, i: list_position({0}, v) = i)"
 _GOOD = "length({0}) >= 3 AND NOT list_contains([" + ", ".join(f"'{w}'" for w in S.STOP) + "], {0}) AND NOT regexp_matches({0}, '^\\p{{Nd}}+$')"
 _KEYED = f"""{_T}, d AS (SELECT *, {_term("t", "dblp")} AS d FROM t), vs0 AS (SELECT *, {_VARIED} AS v0 FROM d), vs AS (SELECT *, {_FIRST.format("v0")} AS v FROM vs0),
-best AS (SELECT *, CASE WHEN len(v) > 1 AND length(v[2]) - length(replace(v[2], '-', '')) > length(v[1]) - length(replace(v[1], '-', '')) THEN v[2] ELSE coalesce(v[1], '') END AS b FROM vs),
-ws AS (SELECT *, list_filter(list_transform(string_split(lower(b), ' '), lambda w: regexp_replace(regexp_replace(w, '[^{W}-]', '', 'g'), '^-+|-+$', '', 'g')), lambda w: {_GOOD.format("w")}) AS w FROM best),
+formed AS (SELECT *, CASE WHEN len(v) > 1 AND length(v[2]) - length(replace(v[2], '-', '')) > length(v[1]) - length(replace(v[1], '-', '')) THEN v[2] ELSE coalesce(v[1], '') END AS b FROM vs),
+ws AS (SELECT *, list_filter(list_transform(string_split(lower(b), ' '), lambda w: regexp_replace(regexp_replace(w, '[^{W}-]', '', 'g'), '^-+|-+$', '', 'g')), lambda w: {_GOOD.format("w")}) AS w FROM formed),
 flat AS (SELECT *, flatten(list_transform(w, lambda x: list_concat([['', x]], list_transform(CASE WHEN contains(x, '-') THEN list_filter(string_split(x, '-'), lambda p: {_GOOD.format("p")}) ELSE [] END, lambda p: ['p', p])))) AS f FROM ws),
 keyed AS (SELECT *, list_slice(list_transform(list_filter(f, lambda e, i: e[1] = '' OR NOT list_contains(list_transform(f[1:i - 1], lambda z: z[2]), e[2])), lambda e: e[2]), 1, 7) AS keys FROM flat),
 words AS (SELECT *, list_filter(string_split({_term("t", "pubmed")}, ' '), lambda x: x <> '') AS pw FROM keyed),
@@ -112,50 +114,92 @@ def title_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("ref_id", "variations", "keywords", F.col("q")["dblp:keywords_author_year"].alias("q_keywords"), F.col("q")["dblp:exact_title_year"].alias("q_title"), F.col("q")["pubmed:words_author_year"].alias("q_medical"), F.col("q")["pubmed:words"].alias("q_words"))
 
 
-def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+_OFF = "CASE source " + " ".join(f"WHEN '{s}' THEN {n}" for s, n in O.YEARS_OFF.items()) + " END"
+
+
+_DT = _KEYED.replace(BASE, "", 1).lstrip(", ").replace(f"{_TITLE} AS t", "title AS t")
+_NAME_KEY = lambda e: _one(f"regexp_replace({_one(f'lower({_number(e)})')}, '[^{W} -]', '', 'g')")
+_ORDERED = lambda e: f"trim(regexp_replace(lower({e}), '[^{W}-]+', ' ', 'g'))"
+_BARE = "regexp_replace(w, '^-+|-+$', '', 'g')"
+#: Papers as searches see them: words of titles, phrases, names; and what each reference asks.
+_SEEN = f"""{_DT}, tw AS (SELECT title, {_ORDERED(_term("title", "dblp"))} AS phrase, list_transform(regexp_split_to_array(lower(title), '[^{W}-]+'), lambda w: {_BARE}) AS ws FROM (SELECT DISTINCT title FROM papers WHERE title IS NOT NULL)),
+titles AS MATERIALIZED (SELECT title, phrase, list_distinct(list_filter(list_concat(ws, flatten(list_transform(list_filter(ws, lambda w: contains(w, '-')), lambda w: regexp_split_to_array(w, '-+')))), lambda w: w <> '')) AS words FROM tw),
+nk AS (SELECT paper_id, list_transform(authors, lambda n: {_NAME_KEY("n")}) AS whole FROM papers),
+seen AS MATERIALIZED (SELECT paper_id, p.title, p.year, p.doi, phrase, words, list_concat(whole, flatten(list_transform(whole, lambda n: string_split(n, ' ')))) AS names FROM papers p JOIN nk USING (paper_id) LEFT JOIN titles USING (title)),
+asks AS MATERIALIZED (SELECT ref_id, r.title, r.year, r.doi, keys, v, w4, w3, pw, {_NAME_KEY("name")} AS name, list_transform(r.authors, lambda n: {_NAME_KEY("n")}) AS people FROM asked JOIN refs r USING (ref_id))"""
+_KEYS_IN = "len(keys) > 0 AND len(list_filter(keys, lambda k: len(list_filter(words, lambda w: starts_with(w, k))) = 0)) = 0"
+_ALL_IN = lambda ws: f"len(list_filter({ws}, lambda k: NOT list_contains(words, lower(k)))) = 0"
+
+
+@query(f"""{PAIRS}, {_SEEN}, t2 AS (SELECT DISTINCT title AS a, keys FROM asks), met AS (SELECT a, titles.title AS b FROM t2, titles WHERE {_KEYS_IN}),
+every AS (SELECT ref_id, paper_id FROM pairs UNION SELECT ref_id, paper_id FROM met JOIN refs r ON r.title = a JOIN papers p ON p.title = b),
+s AS (SELECT ref_id, paper_id, source, round({_jac("r.title", "p.title")}, 9) AS alike FROM every JOIN refs r USING (ref_id) JOIN papers p USING (paper_id) WHERE abs(r.year - p.year) <= {_OFF} OR {_OFF} IS NULL),
+n AS (SELECT *, row_number() OVER (PARTITION BY ref_id, source ORDER BY alike DESC, paper_id) AS place FROM s) SELECT ref_id, paper_id, CAST(place AS BIGINT) AS place FROM n WHERE place <= 10""")
+def searched_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each source's own search would return of the candidates and of all papers with the title's keywords: its rule of years, the likest titles first, its rows at most."""
     refs, papers = _tables(spark, sf_dir)
     p = papers.select("paper_id", "source", *[F.col(c).alias(f"p_{c}") for c in ("title", "authors", "year", "doi")])
-    return L.block(refs, papers).join(refs, "ref_id").join(p, "paper_id")
+    found = K.search(refs, papers, K.keyword_searches(), None).select("ref_id", "paper_id")
+    pairs = L.block(refs, papers).select("ref_id", "paper_id").union(found).distinct().join(refs, "ref_id").join(p, "paper_id")
+    return O.as_searched(pairs).select("ref_id", "paper_id", F.col("place").cast("long").alias("place"))
 
 
-_PAIRED = "FROM pairs JOIN refs r USING (ref_id) JOIN papers p USING (paper_id)"
-_OFF = "CASE source " + " ".join(f"WHEN '{s}' THEN {n}" for s, n in O.YEARS_OFF.items()) + " END"
+def _returned(spark: SparkSession, sf_dir: str, searches) -> DataFrame:
+    refs, papers = _tables(spark, sf_dir)
+    return K.first_strategy(K.search(refs, papers, searches())).select("ref_id", "paper_id", F.col("strategy").cast("long").alias("strategy"))
 
 
-@query(f"""{PAIRS}, s AS (SELECT ref_id, paper_id, source, round({_jac("r.title", "p.title")}, 9) AS alike {_PAIRED} WHERE abs(r.year - p.year) <= {_OFF} OR {_OFF} IS NULL),
-n AS (SELECT *, row_number() OVER (PARTITION BY ref_id, source ORDER BY alike DESC, paper_id) AS place FROM s) SELECT ref_id, paper_id, CAST(place AS BIGINT) AS place FROM n WHERE place <= 10""")
-def searched_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Candidates as each source's own search would return them: its rule of years, the likest titles, its rows at most."""
-    return O.as_searched(_pairs(spark, sf_dir)).select("ref_id", "paper_id", F.col("place").cast("long").alias("place"))
+#: What each search finds, as hits (ref_id, strategy, paper_id).
+_DBLP = f"""vs2 AS (SELECT ref_id, year, unnest(list_transform(v, lambda x: {_ORDERED("x")})) AS x, unnest(range(1, len(v) + 1)) AS i FROM asks),
+hits AS (SELECT ref_id, 1 AS strategy, paper_id FROM asks JOIN seen ON seen.year = asks.year WHERE name <> '' AND list_contains(names, name) AND {_KEYS_IN}
+  UNION ALL SELECT ref_id, i + 1, paper_id FROM vs2 JOIN seen ON seen.year = vs2.year WHERE regexp_matches(x, '[{W}]') AND contains(' ' || phrase || ' ', ' ' || x || ' '))"""
+_PUBMED = f"""t3 AS (SELECT DISTINCT w3 FROM asks WHERE len(w3) > 0), met3 AS (SELECT w3, titles.title FROM t3, titles WHERE {_ALL_IN("w3")}),
+hits AS (SELECT ref_id, 1 AS strategy, paper_id FROM asks JOIN seen ON {_NDOI.format("asks.doi")} = {_NDOI.format("seen.doi")} AND {_NDOI.format("asks.doi")} <> ''
+  UNION ALL SELECT ref_id, 2, paper_id FROM asks JOIN seen ON abs(asks.year - seen.year) <= 1 WHERE (len(w4) > 0 OR name <> '') AND (name = '' OR list_contains(names, name)) AND (len(w4) = 0 OR {_ALL_IN("w4")})
+  UNION ALL SELECT ref_id, 3, paper_id FROM asks JOIN met3 USING (w3) JOIN seen ON seen.title = met3.title)"""
+_SPRINGER = f"""six AS (SELECT *, list_slice(list_filter(list_transform(pw, lambda x: lower(x)), lambda x: length(x) > 2), 1, 6) AS w6 FROM asks WHERE trim(title) <> ''),
+hits AS (SELECT ref_id, 1 AS strategy, paper_id FROM six JOIN seen ON seen.year = six.year WHERE (len(w6) = 0 OR {_ALL_IN("w6")}) AND (len(people) = 0 OR len(list_intersect(names, people[1:3])) > 0))"""
 
 
-_DT = _KEYED.replace(BASE, "", 1).lstrip(", ").replace(f"{_TITLE} AS t", "title AS t")
+def _returned_sql(name: str, hits: str) -> str:
+    """CTEs that end in `name`: the rows of the first strategy that has any."""
+    return f"""{hits.replace("hits AS (", f"{name}_hits AS (")},
+{name}_cut AS (SELECT *, row_number() OVER (PARTITION BY ref_id, strategy ORDER BY paper_id) AS place FROM (SELECT DISTINCT ref_id, strategy, paper_id FROM {name}_hits)),
+{name} AS (SELECT ref_id, paper_id, CAST(strategy AS BIGINT) AS strategy FROM (SELECT *, min(strategy) OVER (PARTITION BY ref_id) AS least FROM {name}_cut WHERE place <= {K.MOST_ROWS}) WHERE strategy = least)"""
 
 
-@query(f"""{PAIRS}, {_DT}, p0 AS (SELECT ref_id, paper_id, r.year = p.year AS same, list_contains(list_transform(keys, lambda k: contains(lower(p.title), k)), FALSE) AS lacks, len(keys) AS n,
-  contains(lower(array_to_string(p.authors, ' ')), lower(name)) AS named, list_position(list_transform(v, lambda x: contains({_term("lower(p.title)", "dblp")}, lower(x))), TRUE) AS place
-  FROM pairs JOIN refs r USING (ref_id) JOIN papers p USING (paper_id) JOIN asked USING (ref_id)),
-p1 AS (SELECT ref_id, paper_id, CASE WHEN same AND named AND n > 0 AND NOT lacks THEN 1 WHEN place > 0 AND same THEN place + 1 END AS strategy FROM p0)
-SELECT ref_id, paper_id, CAST(strategy AS BIGINT) AS strategy FROM (SELECT *, min(strategy) OVER (PARTITION BY ref_id) AS least FROM p1) WHERE strategy = least""")
+@query(f"{BASE}, {_SEEN}, {_returned_sql('dblp', _DBLP)} SELECT * FROM dblp")
 def dblp_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first of the ordered strategies that finds papers, per reference."""
-    refs, papers = _tables(spark, sf_dir)
-    p = O.with_search_title(papers.select("paper_id", *[F.col(c).alias(f"p_{c}") for c in ("title", "authors", "year")]))
-    pairs = L.block(refs, papers).join(O.with_title_terms(refs), "ref_id").join(p, "paper_id")
-    return O.first_with_rows(pairs, O.dblp_strategy()).select("ref_id", "paper_id", F.col("strategy").cast("long").alias("strategy"))
+    """The first of the ordered strategies that finds papers in the whole catalogue, per reference, and the first papers it returns."""
+    return _returned(spark, sf_dir, K.dblp_searches)
 
 
-@query(f"""{PAIRS}, {_DT}, p0 AS (SELECT ref_id, paper_id, {_NDOI.format("r.doi")} <> '' AND {_NDOI.format("r.doi")} = {_NDOI.format("p.doi")} AS doi, abs(r.year - p.year) <= 1 AS near, contains(lower(array_to_string(p.authors, ' ')), lower(name)) AS named,
-  NOT list_contains(list_transform(w4, lambda k: contains(lower(p.title), lower(k))), FALSE) AS has4, len(w3) > 0 AND NOT list_contains(list_transform(w3, lambda k: contains(lower(p.title), lower(k))), FALSE) AS has3
-  FROM pairs JOIN refs r USING (ref_id) JOIN papers p USING (paper_id) JOIN asked USING (ref_id)),
-p1 AS (SELECT ref_id, paper_id, CASE WHEN doi THEN 1 WHEN has4 AND named AND near THEN 2 WHEN has3 THEN 3 END AS strategy FROM p0)
-SELECT ref_id, paper_id, CAST(strategy AS BIGINT) AS strategy FROM (SELECT *, min(strategy) OVER (PARTITION BY ref_id) AS least FROM p1) WHERE strategy = least""")
+@query(f"{BASE}, {_SEEN}, {_returned_sql('pubmed', _PUBMED)} SELECT * FROM pubmed")
 def pubmed_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """By DOI, else by words, surname and years, else by words alone, per reference."""
+    """By DOI, else by words, surname and years, else by words alone, over the whole catalogue, per reference."""
+    return _returned(spark, sf_dir, K.pubmed_searches)
+
+
+@query(f"{BASE}, {_SEEN}, {_returned_sql('springer', _SPRINGER)} SELECT * FROM springer")
+def springer_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Six words of the title, one of three authors, and the year, over the whole catalogue."""
+    return _returned(spark, sf_dir, K.springer_searches)
+
+
+_GROUPED = "pairs AS MATERIALIZED (SELECT ref_id, paper_id, min(rank) AS rank FROM found GROUP BY ALL)"
+_SEARCHED = BEST.replace(
+    _GROUPED,
+    f"""{_SEEN}, {", ".join(_returned_sql(name, hits) for name, hits in (("dblp", _DBLP), ("pubmed", _PUBMED), ("springer", _SPRINGER)))},
+found_too AS (SELECT * FROM found UNION ALL SELECT ref_id, paper_id, {L.SEARCHED} FROM (SELECT ref_id, paper_id FROM dblp UNION SELECT ref_id, paper_id FROM pubmed UNION SELECT ref_id, paper_id FROM springer)),
+{_GROUPED.replace("FROM found", "FROM found_too")}""",
+)
+
+
+@query(f"{_SEARCHED}, c AS ({_class_sql('balanced')}) SELECT ref_id, paper_id, rank::BIGINT AS rank, round(best.score, 6) AS score, c.class FROM best JOIN c USING (ref_id)")
+def verify_searched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best of what blocking and the sources' searches bring together, and its class."""
     refs, papers = _tables(spark, sf_dir)
-    p = papers.select("paper_id", *[F.col(c).alias(f"p_{c}") for c in ("title", "authors", "year", "doi")])
-    pairs = L.block(refs, papers).join(O.with_title_terms(refs), "ref_id").join(p, "paper_id")
-    return O.first_with_rows(pairs, O.pubmed_strategy()).select("ref_id", "paper_id", F.col("strategy").cast("long").alias("strategy"))
+    return verified(refs, papers, searched=True).select("ref_id", "paper_id", F.col("rank").cast("long").alias("rank"), F.round("score", 6).alias("score"), "class")
 
 
 _KEYS = "list_filter(regexp_split_to_array(lower({0}), '[^\\p{{L}}\\p{{N}}_]+'), lambda x: regexp_full_match(x, '[a-z]{{3,}}') AND NOT list_contains([" + ", ".join(f"'{w}'" for w in T.STOP_WORDS) + "], x))"
