@@ -6,6 +6,8 @@ Documents are neither shuffled nor sorted then.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -80,6 +82,20 @@ def whole_texts(spark: SparkSession, texts=None) -> DataFrame:
     return known(spark, TEXTS).unionByName(more).groupBy("license_digest").agg(F.min("license_id").alias("license_id"))
 
 
+def _prefilter(notices: list[str]) -> str | None:
+    """A pattern that each line with one of these canonical notices matches: of each the longest word that no spelling or mark can
+    stand for, or a character that may part a word. None where some notice has no such word: then all lines are looked at."""
+    made = {w for _, stands in SPELLINGS for w in stands.split()} | {w for _, stands in MARKS for w in re.findall("[a-z]+", stands)}
+    words = set()
+    for notice in notices:
+        safe = [w for w in notice.split(" ") if w.isalpha() and w not in made]
+        if not safe:
+            return None
+        words.add(max(safe, key=lambda w: (len(w), w)))
+    parting = [mark for mark, stands in MARKS if not stands]
+    return "(?i)" + "|".join([*sorted(words), *parting])
+
+
 def license_scan(docs: DataFrame, texts=None, notices=None, text: str = "text") -> DataFrame:
     """docs + text_digest, license_id, notice_ids.
 
@@ -89,8 +105,11 @@ def license_scan(docs: DataFrame, texts=None, notices=None, text: str = "text")
     """
     fresh(docs, "text_digest", "license_id", "notice_ids")
     spark = docs.sparkSession
-    notice = known(spark, NOTICES if notices is None else notices).collect()  # a constant list
-    lines = F.filter(F.split(F.col(text), "\n"), lambda x: x.rlike("(?i)licen[cs]|released"))
+    given = list(NOTICES if notices is None else notices)  # a constant list
+    notice = known(spark, given).collect()
+    spoken = [r[0] for r in spark.createDataFrame(given, "i string, t string").select(canonical(F.col("t"))).collect()]
+    lines, some = F.split(F.col(text), "\n"), _prefilter(spoken)
+    lines = F.filter(lines, lambda x: x.rlike(some)) if some else lines
     if notice:
         lookup = F.create_map(*[F.lit(v) for r in notice for v in (r.license_digest, r.license_id)])
         ids = F.array_sort(F.array_distinct(F.array_compact(F.transform(lines, lambda x: lookup[digest(x)]))))
