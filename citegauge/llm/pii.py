@@ -7,6 +7,8 @@ so equal values get equal pseudonyms in all documents, different values differen
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,11 +28,11 @@ PATTERNS = [
     ("date", "date", r"(?<![0-9./-])(?:(?:1[89]|2[01])[0-9]{2}-[0-9]{2}-[0-9]{2}|[0-9]{2}(?:\.[0-9]{2}\.|/[0-9]{2}/)(?:1[89]|2[01])[0-9]{2})(?![0-9/-])"),
     ("ssn", "ssn", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"),
     ("phone", "phone", r"(?<![0-9])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[.-])[0-9]{3}[ .-][0-9]{4}(?![0-9])"),
-    ("phone_abroad", "phone", r"(?<![0-9A-Za-z])\+[0-9]{1,3}(?:[ .-]?[0-9]{2,4}){2,5}(?![0-9])"),
+    ("phone_abroad", "phone", r"(?<![0-9A-Za-z])\+(?=[0-9](?:[ .-]?[0-9]){7,14}(?![ .-]?[0-9]))[0-9]{1,3}(?:[ .-]?[0-9]{2,4}){2,5}(?![0-9])"),
     ("phone_spaced", "phone", r"(?<![0-9A-Za-z]|[0-9] )[2-9][0-9]{2} [2-9][0-9]{2} [0-9]{4}(?![0-9A-Za-z]| [0-9])"),
     ("ip", "ip", r"(?<![0-9.vV])(?<!version )(?<!Version )(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9]|\.[0-9])"),
     ("ipv6", "ip", rf"(?<![0-9A-Za-z:.])(?:(?:{_H}:){{7}}{_H}|{_H}(?::{_H}){{0,5}}::(?:{_H}(?::{_H}){{0,5}})?)(?![0-9A-Za-z:])"),
-    ("card", "card", r"(?<![0-9A-Za-z])[0-9](?:[ -]?[0-9]){12,18}(?![0-9A-Za-z])"),
+    ("card", "card", r"(?<![0-9A-Za-z])[0-9]{4,19}(?:[ -][0-9]{4,15}){0,4}(?:[ -][0-9]{1,3})?(?![0-9A-Za-z])"),
     ("key_id", "secret", r"(?<![A-Za-z0-9])(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])"),
     ("token", "secret", rf"(?<![A-Za-z0-9]){HEADS}[A-Za-z0-9_-]{{20,}}(?![A-Za-z0-9])"),
     ("hex", "secret", r"(?<![A-Za-z0-9])(?:[0-9A-Fa-f]{40}|[0-9A-Fa-f]{64}|[0-9A-Fa-f]{32})(?![A-Za-z0-9])"),
@@ -43,6 +45,8 @@ WITHIN = {
     "iban": [rf"^[A-Z]{{2}}[0-9]{{2}}(?: ?[A-Z0-9]{{4}}){{{n}}}{tail}(?![A-Za-z0-9])" for n in range(2, 8) for tail in ("", "(?: ?[A-Z0-9]{1,3})")],
     "card": [rf"^[0-9](?:[ -]?[0-9]){{{n - 1}}}(?![0-9A-Za-z])" for n in range(13, 20)],
 }
+#: Groups of a card's digits: of four at least, but for the last. Rows of shorter numbers, as in tables, are no cards.
+GROUPS = r"^[0-9]{4,19}(?:[ -][0-9]{4,15}){0,4}(?:[ -][0-9]{1,3})?$"
 #: Cards as they are usually written; other groupings of digits count only where none of these begins within them.
 USUAL = r"^(?:[0-9]{13,19}|[0-9]{4}([ -])[0-9]{4}\1[0-9]{4}\1[0-9]{1,4}(?:\1[0-9]{1,3})?|[0-9]{4}([ -])[0-9]{6}\2[0-9]{4,5})$"
 #: Where none of these occurs, no pattern can match: an @, two digits near each other, a digit and a colon, or a key's head.
@@ -54,13 +58,17 @@ EPOCH, DAYS_A, DAYS_B = -62091, 27, 5411
 AREAS, SERIALS = 898, 99 * 9999
 
 
-def _hash(key: str, tag: str, r: int, half: Column) -> Column:
+def _tagged(key: str, tag: Column | str, r: int) -> Column:
+    return F.lit(f"{key}:{tag}:{r}:") if isinstance(tag, str) else F.concat(F.lit(f"{key}:"), tag, F.lit(f":{r}:"))
+
+
+def _hash(key: str, tag: Column | str, r: int, half: Column) -> Column:
     """Keyed round function: 60 bits of SHA-256."""
-    said = F.concat(F.lit(f"{key}:{tag}:{r}:"), half.cast("string"))
+    said = F.concat(_tagged(key, tag, r), half.cast("string"))
     return F.conv(F.substring(F.sha2(said, 256), 1, 15), 16, 10).cast("long")
 
 
-def feistel(left: Column, right: Column, a: Column, b: Column, key: str, tag: str, back: bool = False) -> Column:
+def feistel(left: Column, right: Column, a: Column, b: Column, key: str, tag: Column | str, back: bool = False) -> Column:
     """struct<l,r>: the pair (l < a, r < b) permuted; back undoes it. Each round is a lambda, so a half is computed once."""
     sign = -1 if back else 1
 
@@ -87,19 +95,6 @@ def _ten(n: Column) -> Column:
     return F.pow(F.lit(10.0), n).cast("long")
 
 
-def digits_permuted(digits: Column, key: str, tag: str, back: bool = False) -> Column:
-    """A string of 2 to 36 decimal digits permuted among those of its length."""
-    split = F.struct(digits.alias("d"), F.char_length(digits).alias("n"))
-    split = _once(split, lambda s: F.struct(s["d"].alias("d"), s["n"].alias("n"), F.floor(s["n"] / 2).cast("int").alias("h")))
-
-    def permuted(s: Column) -> Column:
-        d, n, h = s["d"], s["n"], s["h"]
-        pair = feistel(F.substring(d, F.lit(1), h), F.substring(d, h + 1, n), _ten(h), _ten(n - h), key, tag, back)
-        return _once(pair, lambda p: F.concat(F.lpad(p["l"].cast("string"), h, "0"), F.lpad(p["r"].cast("string"), n - h, "0")))
-
-    return _once(split, permuted)
-
-
 def _sum(values: Column) -> Column:
     return F.aggregate(values, F.lit(0).cast("long"), lambda s, x: s + x)
 
@@ -138,7 +133,7 @@ def _only(value: Column, pattern: str) -> Column:
     return F.regexp_replace(value, pattern, "")
 
 
-def _mixed(value: Column, alphabets: list[str], key: str, tag: str, back: bool) -> Column:
+def _mixed(value: Column, alphabets: Column, key: str, tag: Column, back: bool) -> Column:
     """A string permuted among those with characters of the same alphabets in the same places.
 
     A Feistel network whose halves are strings: each round moves the characters of one half, each within the first
@@ -148,16 +143,16 @@ def _mixed(value: Column, alphabets: list[str], key: str, tag: str, back: bool)
     sign = -1 if back else 1
 
     def moved(half: Column, other: Column, r: int) -> Column:
-        said = F.sha2(F.concat(F.lit(f"{key}:{tag}:{r}:"), other), 512)
+        said = F.sha2(F.concat(_tagged(key, tag, r), other), 512)
 
         def one(c: Column, i: Column, stream: Column) -> Column:
             k = F.conv(F.substring(stream, (i * 5) % 120 + 1, F.lit(7)), 16, 10).cast("long")
-            out = c
-            for chars in alphabets:
-                at = F.call_function("instr", F.lit(chars), c).cast("long") - 1
-                to = F.substring(F.lit(chars), (F.pmod(at + sign * F.pmod(k, F.lit(len(chars))), F.lit(len(chars))) + 1).cast("int"), F.lit(1))
-                out = F.when((c != "") & (at >= 0), to).otherwise(out)
-            return out
+
+            def within(chars: Column) -> Column:
+                at, n = F.call_function("instr", chars, c).cast("long") - 1, F.char_length(chars).cast("long")
+                return F.when((c == "") | chars.isNull(), c).otherwise(F.substring(chars, (F.pmod(at + sign * F.pmod(k, n), n) + 1).cast("int"), F.lit(1)))
+
+            return _once(F.get(F.filter(alphabets, lambda chars: F.contains(chars, c)), F.lit(0)), within)
 
         return _once(said, lambda stream: F.array_join(F.transform(F.split(half, ""), lambda c, i: one(c, i, stream)), ""))
 
@@ -198,90 +193,109 @@ def kind_of(value: Column) -> Column:
 
 
 def pseudonym(value: Column, kind: Column, key: str, back: bool = False) -> Column:
-    """The value's pseudonym of the same kind and format; of a null kind, the value itself."""
-    return _once(F.struct(value.alias("v"), kind.alias("k"), _only(value, "[^0-9]").alias("d")), lambda s: _pseudonym(s["v"], s["k"], s["d"], key, back))
+    """The value's pseudonym of the same kind and format; of a null kind, the value itself.
 
+    What is permuted is taken out of the value by its kind, permuted by one of two networks, over pairs of numbers or over
+    strings, and put back: an expression holds each network once, whatever the kinds.
+    """
+    parts = _once(F.struct(value.alias("v"), kind.alias("k"), _only(value, "[^0-9]").alias("d")), lambda s: F.struct(s["v"].alias("v"), s["k"].alias("k"), s["d"].alias("d"), _numbers(s["v"], s["k"], s["d"]).alias("n"), _strings(s["v"], s["k"]).alias("s")))
 
-def _pseudonym(value: Column, kind: Column, digits: Column, key: str, back: bool) -> Column:
-    n = F.char_length(digits)
+    def moved(p: Column) -> Column:
+        n, s = p["n"], p["s"]
+        pair = F.when(n.isNotNull(), feistel(n["l"], n["r"], n["a"], n["b"], key, n["tag"], back))
+        text = F.when(s.isNotNull(), _mixed(s["s"], s["alphabets"], key, s["tag"], back))
+        return _once(F.struct(p.alias("p"), pair.alias("pair"), text.alias("text")), lambda m: _put_back(m["p"]["v"], m["p"]["k"], m["p"]["d"], m["p"]["n"], m["pair"], m["text"]))
+
+    return F.when(kind.isNull(), value).otherwise(_once(parts, moved))
 
-    # card: the digits before the last are permuted, the last makes the Luhn sum right
-    body = digits_permuted(F.substring(digits, F.lit(1), n - 1), key, "card", back)
-    card = _once(body, lambda x: F.concat(x, ((10 - luhn(F.concat(x, F.lit("0")))) % 10).cast("string")))
 
-    # iban: the account digits, or digits and letters each within its class, are permuted, the country stays, the check digits follow
-    cc, own = F.substring(value, 1, 2), F.substring(_only(value, " "), 5, 40)
-    account = F.when(own.rlike("[A-Z]"), _mixed(own, [DIGITS, UPPERS], key, "iban", back)).otherwise(digits_permuted(own, key, "iban", back))
-    iban = _once(account, lambda x: F.concat(cc, F.lpad((98 - _mod97(F.concat(x, cc, F.lit("00")))).cast("string"), 2, "0"), x))
+def _phone_code(value: Column) -> Column:
+    return F.when(value.rlike(PHONE_CODE), F.regexp_extract(value, PHONE_CODE, 1)).otherwise("")
 
-    # ssn: over the valid areas, and groups with serials
+
+def _is_spaced(value: Column) -> Column:
+    return value.rlike(f"^(?:{PATTERN['phone_spaced']})$")
+
+
+def _octets(value: Column) -> Column:
+    """Of each octet its number above the base, how many have as many digits, and the base."""
+    size = lambda o: F.when(F.char_length(o) == 1, 10).when(F.char_length(o) == 2, 90).otherwise(156)
+    base = lambda o: F.when(F.char_length(o) == 1, 0).when(F.char_length(o) == 2, 10).otherwise(100)
+    return F.transform(F.split(value, r"\."), lambda o: F.struct((o.cast("long") - base(o)).alias("n"), size(o).cast("long").alias("size"), base(o).cast("long").alias("base")))
+
+
+def _numbers(value: Column, kind: Column, digits: Column) -> Column:
+    """The pair (l < a, r < b) that stands for a value of digits, the length of l in digits, and a tag; null for other kinds."""
+    n, account = F.char_length(digits), F.substring(_only(value, " "), 5, 40)
+    spaced = (kind == "phone") & _is_spaced(value)
+    # strings of digits, permuted among those of their length: a card's but the last, an account's, a phone's after its country code
+    run = F.when(kind == "card", F.substring(digits, F.lit(1), n - 1)).when((kind == "iban") & ~account.rlike("[A-Z]"), account)
+    run = run.when((kind == "phone") & ~spaced, F.substring(digits, F.char_length(_only(_phone_code(value), "[^0-9]")) + 1, n))
+    pair = lambda l, r, a, b, tag, h=None: F.struct(l.cast("long").alias("l"), r.cast("long").alias("r"), a.cast("long").alias("a"), b.cast("long").alias("b"), F.lit(tag).alias("tag"), (F.lit(None) if h is None else h).cast("int").alias("h"))
+    half = lambda d: F.floor(F.char_length(d) / 2).cast("int")
+    of_run = _once(run, lambda d: F.when(d.isNotNull(), F.struct(F.substring(d, F.lit(1), half(d)).cast("long").alias("l"), F.substring(d, half(d) + 1, F.char_length(d)).cast("long").alias("r"), _ten(half(d)).alias("a"), _ten(F.char_length(d) - half(d)).alias("b"), kind.alias("tag"), half(d).alias("h"))))
+    # ssn: over the valid areas, and groups with serials; date: over the days of 1800-2199
     area = F.substring(digits, 1, 3).cast("long")
     rest = (F.substring(digits, 4, 2).cast("long") - 1) * 9999 + F.substring(digits, 6, 4).cast("long") - 1
-    pair = feistel(area - 1 - F.when(area > 666, 1).otherwise(0), rest, F.lit(AREAS), F.lit(SERIALS), key, "ssn", back)
-    ssn = _once(
-        pair,
-        lambda p: F.concat(
-            F.lpad((p["l"] + 1 + F.when(p["l"] >= 665, 1).otherwise(0)).cast("string"), 3, "0"),
-            F.lpad((F.floor(p["r"] / 9999) + 1).cast("string"), 2, "0"),
-            F.lpad((p["r"] % 9999 + 1).cast("string"), 4, "0"),
-        ),
+    ssn = pair(area - 1 - F.when(area > 666, 1).otherwise(0), rest, F.lit(AREAS), F.lit(SERIALS), "ssn")
+    date = _once(F.datediff(_day(value), F.lit("1970-01-01").cast("date")) - EPOCH, lambda day: pair(F.floor(day / DAYS_B), day % DAYS_B, F.lit(DAYS_A), F.lit(DAYS_B), "date"))
+    # a phone number in spaced groups: over those whose first two groups begin with 2 to 9
+    first = lambda at: F.substring(digits, at, 3).cast("long") - 200
+    groups = pair(first(1) * 800 + first(4), F.substring(digits, 7, 4), F.lit(640_000), F.lit(10_000), "phone_spaced")
+    # an address: over those with as many digits in each octet
+    ip = _once(_octets(value), lambda o: pair(o[0]["n"] * o[1]["size"] + o[1]["n"], o[2]["n"] * o[3]["size"] + o[3]["n"], o[0]["size"] * o[1]["size"], o[2]["size"] * o[3]["size"], "ip"))
+    return F.when(kind == "ssn", ssn).when(kind == "date", date).when(spaced, groups).when((kind == "ip") & ~F.contains(value, F.lit(":")), ip).otherwise(of_run)
+
+
+def _strings(value: Column, kind: Column) -> Column:
+    """What of a value is permuted within alphabets, these, and a tag; null for kinds of numbers."""
+    take = lambda s, alphabets, tag: F.struct(s.alias("s"), F.array(*map(F.lit, alphabets)).alias("alphabets"), F.lit(tag).alias("tag"))
+    account = F.substring(_only(value, " "), 5, 40)
+    tail = F.regexp_replace(value, SIX_HEAD, "")
+    local, host = (F.regexp_extract(value, MAIL, k) for k in (1, 2))
+    secret = F.when(value.rlike(f"^{HEADS}"), take(F.regexp_replace(value, f"^{HEADS}", ""), [DIGITS, UPPERS, LOWERS], "token"))
+    secret = secret.when(value.rlike("^A[KS]IA"), take(F.substring(value, 5, 16), [DIGITS + UPPERS], "key"))
+    secret = secret.when(value.rlike("[A-F]"), take(value, [DIGITS, "abcdef", "ABCDEF"], "hex")).otherwise(take(value, [DIGITS + "abcdef"], "hex"))
+    return (
+        F.when((kind == "iban") & account.rlike("[A-Z]"), take(account, [DIGITS, UPPERS], "iban"))
+        .when((kind == "ip") & F.contains(value, F.lit(":")), take(_only(tail, ":"), [DIGITS, "abcdef", "ABCDEF"], "ipv6"))
+        .when(kind == "email", take(F.concat(_only(local, "[^A-Za-z0-9]"), _only(host, "[^A-Za-z0-9]")), [DIGITS, UPPERS, LOWERS], "email"))
+        .when(kind == "secret", secret)
     )
 
-    # date: over the days of 1800-2199
-    day = F.datediff(_day(value), F.lit("1970-01-01").cast("date")) - EPOCH
-    pair = feistel(F.floor(day / DAYS_B), day % DAYS_B, F.lit(DAYS_A), F.lit(DAYS_B), key, "date", back)
-    to = _once(pair, lambda p: F.date_add(F.lit("1970-01-01").cast("date"), (p["l"] * DAYS_B + p["r"] + EPOCH).cast("int")))
-    date = _once(to, lambda d: F.when(value.contains("-"), F.date_format(d, "yyyy-MM-dd")).when(value.contains("."), F.date_format(d, "dd.MM.yyyy")).otherwise(F.date_format(d, "MM/dd/yyyy")))
-
-    # phone: a country code stays, the digits after it are permuted
-    code = F.when(value.rlike(PHONE_CODE), F.regexp_extract(value, PHONE_CODE, 1)).otherwise("")
-    coded = F.char_length(_only(code, "[^0-9]"))
-    phone = F.concat(F.substring(digits, F.lit(1), coded), digits_permuted(F.substring(digits, coded + 1, n), key, "phone", back))
-    # one in spaced groups: over the numbers whose first two groups begin with 2 to 9
-    first = lambda at: F.substring(digits, at, 3).cast("long") - 200
-    pair = feistel(first(1) * 800 + first(4), F.substring(digits, 7, 4).cast("long"), F.lit(640_000), F.lit(10_000), key, "phone_spaced", back)
-    spaced = _once(pair, lambda p: F.concat((F.floor(p["l"] / 800) + 200).cast("string"), (p["l"] % 800 + 200).cast("string"), F.lpad(p["r"].cast("string"), 4, "0")))
-    phone = F.when(value.rlike(f"^(?:{PATTERN['phone_spaced']})$"), spaced).otherwise(phone)
 
-    # ip: over the addresses with as many digits in each octet
-    size = lambda o: F.when(F.char_length(o) == 1, 10).when(F.char_length(o) == 2, 90).otherwise(156)
-    base = lambda o: F.when(F.char_length(o) == 1, 0).when(F.char_length(o) == 2, 10).otherwise(100)
-    octets = F.transform(F.split(value, r"\."), lambda o: F.struct((o.cast("long") - base(o)).alias("n"), size(o).cast("long").alias("size"), base(o).alias("base")))
-
-    def moved(o: Column) -> Column:
-        pair = feistel(o[0]["n"] * o[1]["size"] + o[1]["n"], o[2]["n"] * o[3]["size"] + o[3]["n"], o[0]["size"] * o[1]["size"], o[2]["size"] * o[3]["size"], key, "ip", back)
-        new = lambda p: [F.floor(p["l"] / o[1]["size"]) + o[0]["base"], p["l"] % o[1]["size"] + o[1]["base"], F.floor(p["r"] / o[3]["size"]) + o[2]["base"], p["r"] % o[3]["size"] + o[3]["base"]]
-        return _once(pair, lambda p: F.concat_ws(".", *[c.cast("string") for c in new(p)]))
-
-    # the sixteen-bit groups of the longer addresses: hexadecimal digits in their places, those of the first group's head stay
-    six = F.concat(F.regexp_extract(value, "^[A-Fa-f]*[0-9]", 0), _spread(F.regexp_replace(value, "^[A-Fa-f]*[0-9]", ""), _mixed(_only(F.regexp_replace(value, "^[A-Fa-f]*[0-9]", ""), ":"), [DIGITS, "abcdef", "ABCDEF"], key, "ipv6", back), "[0-9A-Fa-f]"))
-    ip = F.when(F.contains(value, F.lit(":")), six).otherwise(_once(octets, moved))
-
-    # email: letters and digits are permuted each within its class; punctuation and the last part of the domain stay
-    local, host, top = (F.regexp_extract(value, r"^([^@]+)@(.*)(\.[^.]+)$", k) for k in (1, 2, 3))
-    name = F.concat(_only(local, "[^A-Za-z0-9]"), _only(host, "[^A-Za-z0-9]"))
-    email = F.concat(_spread(F.concat(local, F.lit("@"), host), _mixed(name, [DIGITS, UPPERS, LOWERS], key, "email", back), "[A-Za-z0-9]"), top)
-
-    # secrets: a key's head stays; hexadecimal strings among those of their length, with capitals within each class
-    tail = F.regexp_replace(value, f"^{HEADS}", "")
-    secret = F.when(value.rlike(f"^{HEADS}"), F.concat(F.regexp_extract(value, f"^{HEADS}", 0), _mixed(tail, [DIGITS, UPPERS, LOWERS], key, "token", back)))
-    secret = secret.when(value.rlike("^A[KS]IA"), F.concat(F.substring(value, 1, 4), _mixed(F.substring(value, 5, 16), [DIGITS + UPPERS], key, "key", back)))
-    secret = secret.when(value.rlike("[A-F]"), _mixed(value, [DIGITS, "abcdef", "ABCDEF"], key, "hex", back)).otherwise(_mixed(value, [DIGITS + "abcdef"], key, "hex", back))
-
-    shaped = F.when(kind == "card", card).when(kind == "ssn", ssn).when(kind == "phone", phone)
-    numbers = _spread(value, shaped, "[0-9]")
+def _put_back(value: Column, kind: Column, digits: Column, n: Column, pair: Column, text: Column) -> Column:
+    """The value with what was permuted in its place: what tells a kind stays, check digits follow."""
+    two = lambda c, size: F.lpad(c.cast("string"), size, "0")
+    run = F.concat(two(pair["l"], n["h"]), two(pair["r"], F.char_length(n["b"].cast("string")) - 1))
+    card = _once(run, lambda x: F.concat(x, ((10 - luhn(F.concat(x, F.lit("0")))) % 10).cast("string")))
+    cc = F.substring(value, 1, 2)
+    iban = _once(F.coalesce(text, run), lambda x: F.concat(cc, two(98 - _mod97(F.concat(x, cc, F.lit("00"))), 2), x))
+    ssn = F.concat(two(pair["l"] + 1 + F.when(pair["l"] >= 665, 1).otherwise(0), 3), two(F.floor(pair["r"] / 9999) + 1, 2), two(pair["r"] % 9999 + 1, 4))
+    spaced = F.concat((F.floor(pair["l"] / 800) + 200).cast("string"), (pair["l"] % 800 + 200).cast("string"), two(pair["r"], 4))
+    phone = F.when(_is_spaced(value), spaced).otherwise(F.concat(_only(_phone_code(value), "[^0-9]"), run))
+    day = F.date_add(F.lit("1970-01-01").cast("date"), (pair["l"] * DAYS_B + pair["r"] + EPOCH).cast("int"))
+    date = _once(day, lambda d: F.when(value.contains("-"), F.date_format(d, "yyyy-MM-dd")).when(value.contains("."), F.date_format(d, "dd.MM.yyyy")).otherwise(F.date_format(d, "MM/dd/yyyy")))
+    new = lambda o: [F.floor(pair["l"] / o[1]["size"]) + o[0]["base"], pair["l"] % o[1]["size"] + o[1]["base"], F.floor(pair["r"] / o[3]["size"]) + o[2]["base"], pair["r"] % o[3]["size"] + o[3]["base"]]
+    four = _once(_octets(value), lambda o: F.concat_ws(".", *[c.cast("string") for c in new(o)]))
+    # the longer addresses: hexadecimal digits in their places, those of the first group's head stay
+    six = F.concat(F.regexp_extract(value, SIX_HEAD, 0), _spread(F.regexp_replace(value, SIX_HEAD, ""), text, "[0-9A-Fa-f]"))
+    email = F.concat(_spread(F.concat(F.regexp_extract(value, MAIL, 1), F.lit("@"), F.regexp_extract(value, MAIL, 2)), text, "[A-Za-z0-9]"), F.regexp_extract(value, MAIL, 3))
+    secret = F.when(value.rlike(f"^{HEADS}"), F.concat(F.regexp_extract(value, f"^{HEADS}", 0), text)).when(value.rlike("^A[KS]IA"), F.concat(F.substring(value, 1, 4), text)).otherwise(text)
+    numbers = F.when(kind == "card", card).when(kind == "ssn", ssn).when(kind == "phone", phone)
     return (
         F.when(kind == "email", email)
-        .when(kind == "ip", ip)
+        .when(kind == "ip", F.when(F.contains(value, F.lit(":")), six).otherwise(four))
         .when(kind == "date", date)
         .when(kind == "secret", secret)
         .when(kind == "iban", _spread(value, iban, "[A-Z0-9]"))
-        .when(kind.isin("card", "ssn", "phone"), numbers)
+        .when(kind.isin("card", "ssn", "phone"), _spread(value, numbers, "[0-9]"))
         .otherwise(value)
     )
 
 
-PHONE_CODE = r"^(\+[0-9]{1,3})[ .(-]"
+#: A country code; the head of a longer address that stays; the parts of an e-mail address.
+PHONE_CODE, SIX_HEAD, MAIL = r"^(\+[0-9]{1,3})[ .(-]", "^[A-Fa-f]*[0-9]", r"^([^@]+)@(.*)(\.[^.]+)$"
 
 
 def _valid(text: Column, kind: str) -> Column:
@@ -291,7 +305,7 @@ def _valid(text: Column, kind: str) -> Column:
     begun = F.regexp_extract_all(text, F.lit(f"{head})(?=({body}))"), F.lit(1))
     tried = F.flatten(F.transform(begun, lambda v: F.array(*[F.regexp_extract(v, p, 0) for p in WITHIN[kind]])))
     tried = F.filter(F.array_distinct(tried), lambda v: v != "")
-    good = F.filter(tried, lambda v: luhn(_only(v, "[^0-9]")) == 0 if kind == "card" else _iban(v))
+    good = F.filter(tried, lambda v: v.rlike(GROUPS) & (luhn(_only(v, "[^0-9]")) == 0) if kind == "card" else _iban(v))
     if kind == "card":
         both = lambda vs: F.struct(vs.alias("all"), F.filter(vs, lambda v: v.rlike(USUAL)).alias("usual"))
         apart = lambda s: F.filter(s["all"], lambda v: v.rlike(USUAL) | ~F.exists(s["usual"], lambda u: F.contains(v, F.substring(u, 1, 9))))
@@ -318,8 +332,11 @@ def found(text: Column, search: Column) -> Column:
 
 
 def key_of(spark: SparkSession) -> str:
-    """The key that the session's setting names; the public one of the tests where it names none."""
-    return spark.conf.get(KEY_CONF, DEMO_KEY)
+    """The key that the session's setting names. Where it names none, the public one of the tests, with a warning."""
+    key = spark.conf.get(KEY_CONF, None)
+    if not key:
+        warnings.warn(f"{KEY_CONF} is unset, so the public key of the tests is used: whoever knows it can undo these pseudonyms", stacklevel=2)
+    return key or DEMO_KEY
 
 
 def pseudonymise(docs: DataFrame, key: str, text: str = "text", spans: str | None = None, back: bool = False) -> DataFrame:

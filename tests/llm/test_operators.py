@@ -9,6 +9,7 @@ from pathlib import Path
 
 import numpy as np
 import pytest
+import regex
 from oracle import assert_same
 from pyspark.sql import functions as F
 
@@ -82,6 +83,16 @@ def test_own_licenses(spark):
     assert [(r.license_id, r.notice_ids) for r in got] == [("own", []), (None, []), (None, [])]
 
 
+def test_own_notices_of_any_words(spark):
+    notices = [("Foo", "Distributed under the terms of Foo 1.0."), ("Bar", "Bärenlizenz & more"), ("Lic", "License licenses")]
+    lines = ["# distributed under the terms of foo 1.0", "Dis\u00adtri\u00adbuted under the terms of Foo 1.0", "bärenlizenz and more", "licence licences", "Distributed under the terms of Bar", ""]
+    docs = spark.createDataFrame([(k, f"one\n{x}\ntwo") for k, x in enumerate(lines)], "doc_id long, text string")
+    for given, want in ((notices, [["Foo"], ["Foo"], ["Bar"], ["Lic"], [], []]), (notices[:2], [["Foo"], ["Foo"], ["Bar"], [], [], []])):
+        got = license_scan.license_scan(docs, notices=given).orderBy("doc_id").collect()
+        assert [r.notice_ids for r in got] == want
+    assert license_scan._prefilter(["license licenses"]) is None and "distributed" in license_scan._prefilter(["distributed under foo"])
+
+
 def test_chat_round_trip(spark):
     rows = [(1, 0, "user", "a"), (1, 1, "user", "b <part> c"), (1, 2, "assistant", "\\### Assistant: </turn>\n"), (1, 2, "assistant", "\\### Assistant: </turn>\n"), (2, None, None, None), (3, 5, "assistant", "x" * 100_000), (3, 4, "odd: <role>", "\\"), (None, 1, "user", "n")]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
@@ -196,6 +207,101 @@ def test_pii_is_found_beside_other_characters(spark):
     assert [r.text for r in back] == texts
 
 
+def plain_pii(text):
+    """(kind, value) of a text by a plain finder: at each place the kinds in order, cards and accounts by trying all lengths."""
+    def luhn(d):
+        return len(d) >= 13 and sum(sum(divmod(int(c) * 2, 10)) if k % 2 else int(c) for k, c in enumerate(reversed(d))) % 10 == 0
+
+    def account(v):
+        v = v.replace(" ", "")
+        return int("".join(str(int(c, 36)) for c in v[4:] + v[:4])) % 97 == 1 and (v[4:].isdigit() or 15 <= len(v) <= 34)
+
+    def at(k, pattern):
+        return regex.compile(pattern).match(text, k)
+
+    tried = {"card": [], "iban": []}
+    for m in re.finditer("(?<![0-9A-Za-z])[0-9]", text):
+        for n in range(13, 20):
+            v = at(m.start(), rf"[0-9](?:[ -]?[0-9]){{{n - 1}}}(?![0-9A-Za-z])")
+            if v and luhn(re.sub("[^0-9]", "", v[0])) and all(len(g) >= 4 for g in re.split("[ -]", v[0])[:-1]):
+                tried["card"].append(v[0])
+    for m in re.finditer("(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}", text):
+        for n in range(2, 8):
+            for tail in ("", "(?: ?[A-Z0-9]{1,3})"):
+                v = at(m.start(), rf"[A-Z]{{2}}[0-9]{{2}}(?: ?[A-Z0-9]{{4}}){{{n}}}{tail}(?![A-Za-z0-9])")
+                if v and account(v[0]):
+                    tried["iban"].append(v[0])
+    usual = [v for v in tried["card"] if re.match(pii.USUAL, v)]
+    tried["card"] = [v for v in tried["card"] if v in usual or not any(u[:9] in v for u in usual)]
+    out, k = [], 0
+    patterns = [(name, kind, regex.compile(p)) for name, kind, p in pii.PATTERNS if name not in tried]
+    order = [name for name, _, _ in pii.PATTERNS]
+    while k < len(text):
+        hits = [(order.index(name), kind, m[0]) for name, kind, p in patterns if (m := p.match(text, k))]
+        alone = k == 0 or not re.match("[0-9A-Za-z]", text[k - 1])
+        for kind, values in tried.items():
+            here = [v for v in values if alone and text.startswith(v, k) and not re.match("[0-9A-Za-z]", text[k + len(v) : k + len(v) + 1] or " ")]
+            if here:
+                hits.append((order.index(kind), kind, max(here, key=len)))
+        if not hits:
+            k += 1
+            continue
+        place, kind, value = min(hits)
+        digits, name = re.sub("[^0-9]", "", value), order[place]
+        if name == "date":
+            parts = re.split("[-./]", value)
+            y, m, d = (parts if "-" in value else parts[::-1] if "." in value else [parts[2], *parts[:2]])
+            try:
+                datetime.date(int(y), int(m), int(d))
+            except ValueError:
+                kind = None
+        elif name == "ssn":
+            kind = kind if value[:3] not in ("000", "666") and value[0] != "9" and value[4:6] != "00" and value[7:] != "0000" else None
+        elif name == "ip":
+            kind = kind if all(int(o) <= 255 and (o == "0" or o[0] != "0") for o in value.split(".")) else None
+        elif name == "ipv6":
+            groups = [g for g in value.split(":") if g]
+            kind = kind if ("::" not in value or 2 <= len(groups) <= 7) and re.match("[A-Fa-f]*[0-9]", value) else None
+        elif name == "phone_abroad":
+            kind = kind if 8 <= len(digits) <= 15 else None
+        if kind:
+            out.append((kind, value))
+        k += len(value)
+    return out
+
+
+def test_found_values_are_those_of_a_plain_finder(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    out = pii.pseudonymise(docs, "plain", spans="spans").collect()
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    found = {r.doc_id: [(h.kind, h.value) for h in r.spans or []] for r in out}
+    assert found == {k: plain_pii(t or "") for k, t in texts.items()} and sum(map(len, found.values())) > 10
+
+
+def test_cards_behind_a_plus_and_tables_of_digits(spark):
+    """A plus sign hides no card, and rows of short numbers are none, whatever their sums."""
+    draw = np.random.default_rng(7)
+    tables = [" ".join(map(str, draw.integers(0, top, 3000))) for top in (2, 10, 100, 1000)]
+    texts = ["+1 4111 1111 1111 1111", "+4111111111111111", "+49 151 12345678", "+1 (414) 555-7134", "+4111 1111 1111 1111 x", "card 4 1 1 1 1 1 1 1 1 1 1 1 1 1 1 1", "41 11 11 11 11 11 11 11", "4111-1111-1111-1111 4111 111111 1111", "6304 9000 1774 0292 441", *tables]
+    kinds = [["card"], ["card"], ["phone"], ["phone"], ["card"], [], [], ["card"], ["card"], [], [], [], []]
+    out = pii.pseudonymise(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "own", spans="spans").orderBy("doc_id").collect()
+    assert [[h.kind for h in r.spans or []] for r in out] == kinds
+    assert [(r.text == t) for r, t in zip(out, texts, strict=True)] == [not k for k in kinds]
+    assert [[(h.kind, h.value) for h in r.spans or []] for r in out] == [plain_pii(t) for t in texts]
+
+
+def test_public_key_is_not_taken_in_silence(spark):
+    with pytest.warns(UserWarning, match="public key"):
+        assert pii.key_of(spark) == pii.DEMO_KEY
+    spark.conf.set(pii.KEY_CONF, "own")
+    try:
+        docs = spark.createDataFrame([(1, "card 4805476200170562")], "doc_id long, text string")
+        got = corpus_pipeline.private(spark, docs, SF).first().text
+        assert got == pii.pseudonymise(docs, "own").first().text != pii.pseudonymise(docs, pii.DEMO_KEY).first().text
+    finally:
+        spark.conf.unset(pii.KEY_CONF)
+
+
 def test_pii_of_more_kinds(spark):
     hexes = "9742a250774262d69ad6a86100194ed5"
     texts = ["ghp_16C7e42F292c6912E7710c838347Ae178B4a", "sk-proj-abcDEF123456ghiJKL7890 xoxb-123456789012-abcDEF123", "call 414 555 7134 now", "1 414 555 7134, 414 555 7134 2", "fe80::1ff:fe23:4567:890a 2001:db8:0:0:8:800:200C:417A", "std::vector Bad::Face 12:30:45", "v1.2.3.4 version 1.2.3.4", hexes]
