@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.names import AUTHORITATIVE_FROM, compare_lists, compare_venues, credibility, implausible_venue, shared_surnames, surname, surnames, venue_similarity, venue_struct, year_asymmetric, year_linear
 from ..functions.text import distinct_words, normalise_doi, present, title_similarity, token_jaccard
+from ..sources.storage import written
 
 CLASSES = ["authentic", "suspicious", "fabricated", "author_manipulation", "fake", "inconclusive"]
 WEIGHTS = {"title": 0.55, "author": 0.25, "venue": 0.15, "year": 0.05}
@@ -107,7 +108,7 @@ def score(pairs: DataFrame, refs: DataFrame, papers: DataFrame, method: str = "e
         title, author, venue = token_jaccard(F.col("title"), F.col("p_title")), shared_surnames(F.col("__names__"), F.col("__namesp___")), compare_venues(F.col("__venue__"), F.col("__venuep___"))
         j = j.withColumns({"title_sim": title, "author_sim": author, "venue_sim": venue, "year_sim": year})
         return total(j.drop("__names__", "__namesp___", "__venue__", "__venuep___"))
-    j = pairs.join(refs, "ref_id").join(p, "paper_id")
+    j = written(pairs.join(refs, "ref_id").join(p, "paper_id"), "candidates")  # read once for each likeness
     out = j
     for name, a, b, fn in (
         ("title_sim", "title", "p_title", title_similarity),
