@@ -10,6 +10,8 @@ from __future__ import annotations
 
 import base64
 import hashlib
+from functools import cache
+from itertools import chain
 
 import numpy as np
 import public_tokenizers
@@ -23,19 +25,20 @@ A, B = "byte_bpe_50k", "piece_bpe_32k"
 SLICE = 1 << 20  # bytes of text that are aligned at once; a longer text is a slice of its own
 
 #: Tables a and b: doc, k (place), id, s, e (first byte, byte after the last). All rise together.
-SPANS = "CREATE OR REPLACE TEMP TABLE spans AS SELECT a.doc, a.k, a.id, a.e, x.k AS first, y.k AS last FROM a ASOF JOIN b x ON a.s < x.e ASOF JOIN b y ON a.e > y.s"
+#: Ends of links differ: a link ends where the first of its two tokens does. Where both do, so does a group.
 LINKS = """CREATE OR REPLACE TEMP TABLE links AS
-WITH ranges AS (SELECT *, unnest(range(first, last + 1)) AS at FROM spans),
-met AS (SELECT r.doc, r.k AS ak, r.id AS aid, b.k AS bk, b.id AS bid, r.first = b.k AS opens_a, r.e = b.e AS ends FROM ranges r JOIN b ON b.k = r.at)
-SELECT *, sum(ends::INT) OVER w - ends::INT AS part, lag(bk) OVER w IS DISTINCT FROM bk AS opens_b FROM met WINDOW w AS (ORDER BY ak, bk ROWS UNBOUNDED PRECEDING)"""
-SEQUENCE = """SELECT part::BIGINT AS part, side::TINYINT AS side, id FROM (SELECT part, 0 AS side, ak AS k, aid AS id FROM links WHERE opens_a
-UNION ALL SELECT part, 1, bk, bid FROM links WHERE opens_b) ORDER BY part, side, k"""
+WITH spans AS (SELECT a.doc, a.k, a.id, a.e, x.k AS first, y.k AS last FROM a ASOF JOIN b x ON a.s < x.e ASOF JOIN b y ON a.e > y.s),
+ranges AS (SELECT doc, k AS ak, id AS aid, e, first AS at FROM spans
+  UNION ALL SELECT doc, k, id, e, unnest(range(first + 1, last + 1)) FROM spans WHERE last > first),
+met AS (SELECT r.doc, ak, aid, b.k AS bk, b.id AS bid, r.e = b.e AS ends, least(r.e, b.e) AS e FROM ranges r JOIN b ON b.k = r.at)
+SELECT doc, ak, aid, bk, bid, ends, sum(ends::INT) OVER (ORDER BY e ROWS UNBOUNDED PRECEDING) - ends::INT AS part FROM met"""
+PARTS = "SELECT ak, bk, part::BIGINT AS part FROM links"
 TOTALS = "SELECT doc::BIGINT AS doc, count(*)::BIGINT AS n_links, sum(ends::INT)::BIGINT AS n_groups FROM links GROUP BY doc ORDER BY doc"
 PAIRS = "SELECT doc::BIGINT AS doc, aid, bid, count(*)::BIGINT AS n FROM links GROUP BY doc, aid, bid ORDER BY doc, aid, bid"
 
 
 def byte_tokens(vocabulary: str = A):
-    """(text -> ids, bytes of each id) of a byte-level BPE: the ranks file gives the ids of the JSON file in less time; no added tokens."""
+    """(text -> ids, ids -> bytes, bytes of each id) of a byte-level BPE: the ranks file gives the ids of the JSON file in less time; no added tokens."""
     import tiktoken
 
     with open(public_tokenizers.path(f"{vocabulary}.tiktoken"), "rb") as f:
@@ -44,50 +47,64 @@ def byte_tokens(vocabulary: str = A):
     known = [b""] * (max(ranks.values()) + 1)
     for token, k in ranks.items():
         known[k] = token
-    return lambda text: encoding.encode_ordinary(" " + text), known
+    return lambda text: encoding.encode_ordinary(" " + text), encoding.decode_bytes, known
 
 
 def piece_tokens(vocabulary: str = B):
-    """(text -> ids, bytes of each id) of a piece model, which adds the leading space itself."""
+    """(text -> ids, ids -> bytes, bytes of each id) of a piece model, which adds the leading space itself."""
     import sentencepiece
 
     model = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path(f"{vocabulary}.model"))
     size = model.get_piece_size()
     pieces = map(model.id_to_piece, range(size))
     known = [bytes([int(p[3:5], 16)]) if model.is_byte(k) else p.replace("▁", " ").encode() for k, p in enumerate(pieces)]
-    return lambda text: model.encode(text), known
+    return model.encode, lambda ids: b"".join(map(known.__getitem__, ids)), known
 
 
 class Aligner:
-    """Both tokenizers and a database of one thread; one of it a task."""
+    """Both tokenizers and a database of one thread; one of it a worker process, see `aligner`."""
 
     def __init__(self) -> None:
         import duckdb
 
         self.sides = byte_tokens(), piece_tokens()
-        self.sizes = [np.array([len(t) for t in known], np.int64) for _, known in self.sides]
+        self.sizes = [np.array([len(t) for t in known], np.int64) for *_, known in self.sides]
         self.wide = max(map(len, self.sizes))
-        self.words = np.array([f"{k}{mark}" for mark in ",|;" for k in range(self.wide)], object)
-        self.db = duckdb.connect(config={"threads": 1, "temp_directory": ""})
+        self.words = np.array([f"{k}{mark}" for mark in ",|;" for k in range(self.wide)], "S")
+        self.db = duckdb.connect(config={"threads": 1, "temp_directory": "", "preserve_insertion_order": False})
 
     def tokens(self, text: str | None) -> list[list[int]]:
         """Ids of both sides; none if the text has none or its bytes don't come back."""
         if not text:
             return [[], []]
         want, out = (" " + text).encode(), []
-        for encode, known in self.sides:
+        for encode, decode, _ in self.sides:
             ids = encode(text)
-            if b"".join([known[k] for k in ids]) != want:
+            if decode(ids) != want:
                 return [[], []]
             out.append(ids)
         return out
 
     def intervals(self, side: int, ids: list[list[int]]) -> pa.Table:
         many = [len(x) for x in ids]
-        flat = np.fromiter((k for x in ids for k in x), np.int32, sum(many))
+        flat = np.fromiter(chain.from_iterable(ids), np.int32, sum(many))
         size = self.sizes[side][flat]
         end = np.cumsum(size)
-        return pa.table({"doc": np.repeat(np.arange(len(ids), dtype=np.int32), many), "k": np.arange(len(flat)), "id": flat, "s": end - size, "e": end})
+        columns = {"doc": np.repeat(np.arange(len(ids)), many), "k": np.arange(len(flat)), "id": flat, "s": end - size, "e": end}
+        return pa.table({name: c.astype(np.int32) for name, c in columns.items()})  # a text has less than 2^31 bytes
+
+    def written_out(self, a: np.ndarray, b: np.ndarray, cuts: np.ndarray) -> list[bytes]:
+        """The groups of each text, `a1,a2|b1;a3|b2,b3`: of each group first the tokens of A, then those of B."""
+        ak, bk, part = self.fetch(PARTS)
+        of_a, of_b = np.empty(len(a), np.int64), np.empty(len(b), np.int64)
+        of_a[ak], of_b[bk] = part, part  # all links of a token are in one group
+        before_a, before_b = (np.append(0, np.cumsum(np.bincount(x))) for x in (of_a, of_b))  # tokens of the groups before each
+        at_a, at_b = np.arange(len(a)) + before_b[of_a], np.arange(len(b)) + before_a[of_b + 1]
+        mark_a, mark_b = (np.append(x[1:] != x[:-1], True)[: len(x)] for x in (of_a, of_b))
+        word = np.empty(len(a) + len(b), np.int64)
+        word[at_a], word[at_b] = a + self.wide * mark_a, b + 2 * self.wide * mark_b
+        spelt = self.words[word]
+        return [spelt[x:y].tobytes().translate(None, b"\0")[:-1] for x, y in zip(cuts, cuts[1:], strict=False)]
 
     def fetch(self, sql: str) -> list[np.ndarray]:
         got = self.db.sql(sql).to_arrow_table()
@@ -96,27 +113,28 @@ class Aligner:
     def align(self, texts: list[str | None]) -> dict[str, pa.Array | list | np.ndarray]:
         """Columns n_a, n_b, n_groups, n_links, alignment (`a1,a2|b1;a3|b2,b3`), pairs (id of A, id of B, links) of texts."""
         ids = [self.tokens(t) for t in texts]
-        a, b = [[x[side] for x in ids] for side in (0, 1)]
+        flat, many = [], []
         for side, name in enumerate("ab"):
-            at = self.intervals(side, (a, b)[side])
+            at = self.intervals(side, [x[side] for x in ids])
             self.db.register("arrived", at)
             self.db.execute(f"CREATE OR REPLACE TEMP TABLE {name} AS SELECT * FROM arrived")
             self.db.unregister("arrived")
-        self.db.execute(SPANS)
+            flat.append(at.column("id").to_numpy().astype(np.int64))
+            many.append(np.array([len(x[side]) for x in ids], np.int64))
         self.db.execute(LINKS)
-        n_a, n_b = (np.array([len(x) for x in side], np.int64) for side in (a, b))
-        part, side, token = self.fetch(SEQUENCE)
-        closes, turns = (np.append(x[1:] != x[:-1], True)[: len(x)] for x in (part, side))
-        parts = self.words[np.where(closes, 2, np.where(turns, 1, 0)) * self.wide + token].tolist()
-        cuts = np.append(0, np.cumsum(n_a + n_b))
-        alignment = ["".join(parts[x:y])[:-1] for x, y in zip(cuts, cuts[1:], strict=False)]
+        alignment = self.written_out(*flat, np.append(0, np.cumsum(many[0] + many[1])))
         n_links, n_groups = np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64)
         doc, links, groups = self.fetch(TOTALS)
         n_links[doc], n_groups[doc] = links, groups
         doc, x, y, n = self.fetch(PAIRS)
         offsets = np.searchsorted(doc, np.arange(len(texts) + 1)).astype(np.int32)
         pairs = pa.StructArray.from_arrays([pa.array(x, pa.int32()), pa.array(y, pa.int32()), pa.array(n, pa.int64())], names=["a", "b", "n"])
-        return {"n_a": n_a, "n_b": n_b, "n_groups": n_groups, "n_links": n_links, "alignment": alignment, "pairs": pa.ListArray.from_arrays(offsets, pairs)}
+        return {"n_a": many[0], "n_b": many[1], "n_groups": n_groups, "n_links": n_links, "alignment": alignment, "pairs": pa.ListArray.from_arrays(offsets, pairs)}
+
+
+@cache
+def aligner() -> Aligner:
+    return Aligner()
 
 
 def align(docs: DataFrame, digest: bool = False, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -128,13 +146,10 @@ def align(docs: DataFrame, digest: bool = False, doc_id: str = "doc_id", text: s
     """
 
     def run(batches):
-        aligner = None
         for batch in batches:
-            aligner = aligner or Aligner()
             for part in slices(batch, "text", SLICE):
-                out = aligner.align(part.column("text").to_pylist())
-                if digest:
-                    out["alignment"] = [hashlib.sha256(x.encode()).hexdigest() if x else "" for x in out["alignment"]]
+                out = aligner().align(part.column("text").to_pylist())
+                out["alignment"] = [hashlib.sha256(x).hexdigest() if x and digest else x.decode() for x in out["alignment"]]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), *[v if isinstance(v, pa.Array) else pa.array(v) for v in out.values()]], names=["doc_id", *out])
 
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
