@@ -8,10 +8,11 @@ from pyspark.sql import functions as F
 
 from ..functions.names import doi_author_similarity, let
 from ..functions.text import normalise_doi, present, sequence_ratio, token_jaccard, tokens
-from .link import MAJOR, similar_titles
+from .link import MAJOR
+from .near_text import near_texts
 
-#: Shares of words, in tenths, from which a notice's title is compared.
-TITLE_TENTHS = 3
+#: Sequence ratio from which a notice's title is a reference's.
+SAME_TITLE = 0.95
 #: What a venue of cryptography has in its name.
 CRYPTO_VENUES = ["crypto", "eurocrypt", "asiacrypt", "ches", "pkc", "tcc", "fse", "iacr", "journal of cryptology", "tches", "tosc"]
 
@@ -46,8 +47,7 @@ def _notice_rank(via: Column, kind: Column) -> Column:
 def retractions(refs: DataFrame, notices: DataFrame) -> DataFrame:
     """ref_id, kind, notice_doi, notice_date, by of the references that a notice (doi, title, type, notice_doi, notice_date, via) names.
 
-    By DOI; references without one, of titles over 20 characters, by a title whose sequence ratio is .95 or more. Such titles are
-    sought among all that share three tenths of the words, in place of the search of a catalogue.
+    By DOI; references without one, of titles over 20 characters, by a title whose sequence ratio is .95 or more, all such.
     """
     rank = _notice_rank(F.col("via"), F.col("type"))
     kind = F.when(rank == 1, F.initcap("type")).when(rank == 2, "Retraction").otherwise("Expression of Concern")
@@ -56,11 +56,11 @@ def retractions(refs: DataFrame, notices: DataFrame) -> DataFrame:
     r = refs.select("ref_id", normalise_doi(F.col("doi")).alias("k_doi"), F.lower(F.trim("title")).alias("r_title"), present(F.trim("doi")).alias("__doi__"))
     by_doi = r.where("k_doi <> ''").join(n, "k_doi").select("ref_id", F.lit("doi").alias("by"), "rank", "kind", "notice_doi", "notice_date")
 
-    some = r.where(~F.col("__doi__") & (F.char_length("r_title") > 20)).select("ref_id", F.col("r_title").alias("title"))
-    titled = n.where("n_title <> ''").withColumnRenamed("n_title", "title")
-    alike = similar_titles(some, titled, TITLE_TENTHS)
-    alike = alike.where(sequence_ratio(F.col("l_title"), F.col("r_title")) >= 0.95)
-    by_title = some.withColumnRenamed("title", "l_title").join(alike, "l_title").join(titled.withColumnRenamed("title", "r_title"), "r_title").select("ref_id", F.lit("title").alias("by"), "rank", "kind", "notice_doi", "notice_date")
+    some = r.where(~F.col("__doi__") & (F.char_length("r_title") > 20)).select("ref_id", F.col("r_title").alias("text"))
+    titled = n.where("n_title <> ''").withColumnRenamed("n_title", "text")
+    near = near_texts(some, titled, SAME_TITLE).select(F.col("l_text").alias("text"), "r_text")
+    same = some.select("text").distinct().select("text", F.col("text").alias("r_text"))
+    by_title = some.join(near.union(same), "text").join(titled.withColumnRenamed("text", "r_text"), "r_text").select("ref_id", F.lit("title").alias("by"), "rank", "kind", "notice_doi", "notice_date")
     first = F.min_by(F.struct("kind", "notice_doi", "notice_date", "by"), F.struct("rank", "notice_doi", "notice_date"))
     return by_doi.union(by_title).groupBy("ref_id").agg(first.alias("n")).select("ref_id", "n.*")
 

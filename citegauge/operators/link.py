@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.names import AUTHORITATIVE_FROM, compare_lists, compare_venues, credibility, implausible_venue, shared_surnames, surname, surnames, venue_similarity, venue_struct, year_asymmetric, year_linear
 from ..functions.text import distinct_words, normalise_doi, present, title_similarity, token_jaccard
 from ..sources.storage import written
+from .greedy import keep_apart
 
 CLASSES = ["authentic", "suspicious", "fabricated", "author_manipulation", "fake", "inconclusive"]
 WEIGHTS = {"title": 0.55, "author": 0.25, "venue": 0.15, "year": 0.05}
@@ -166,20 +167,9 @@ def distinct_titles(rows: DataFrame, order: list) -> DataFrame:
 
 
 def distinct_keys(scored: DataFrame) -> DataFrame:
-    """Per reference, in order of rank and paper: a paper goes if its title or DOI stands in one that was kept. A fold in the JVM."""
-    one = F.struct("rank", "paper_id", F.lower(F.trim("p_title")).alias("title"), F.when(present(F.col("p_doi")), F.col("p_doi")).alias("doi"))
-    rows = scored.groupBy("ref_id").agg(F.array_sort(F.collect_list(one)).alias("rows"))
-    kind = "struct<titles:array<string>,dois:array<string>,keep:array<bigint>>"
-    none = F.array().cast("array<string>")
-    start = F.struct(none.alias("titles"), none.alias("dois"), F.array().cast("array<bigint>").alias("keep")).cast(kind)
-
-    def take(s: Column, x: Column) -> Column:
-        seen = F.coalesce(F.array_contains(s["titles"], F.coalesce(x["title"], F.lit(""))), F.lit(False)) | F.coalesce(F.array_contains(s["dois"], x["doi"]), F.lit(False))
-        more = F.struct(F.array_append(s["titles"], F.coalesce(x["title"], F.lit(""))).alias("titles"), F.when(x["doi"].isNull(), s["dois"]).otherwise(F.array_append(s["dois"], x["doi"])).alias("dois"), F.array_append(s["keep"], x["paper_id"].cast("long")).alias("keep"))
-        return F.when(seen, s).otherwise(more).cast(kind)
-
-    kept = rows.select("ref_id", F.explode(F.aggregate("rows", start, take)["keep"]).alias("paper_id"))
-    return scored.select("ref_id", "paper_id", "p_title", "p_doi", "rank").join(kept, ["ref_id", "paper_id"])
+    """Per reference, in order of rank and paper: a paper goes if its title or DOI stands in one that was kept. Null titles equal empty ones."""
+    rows = scored.select("ref_id", "paper_id", "p_title", "p_doi", "rank", F.struct("rank", "paper_id").alias("order"), F.coalesce(F.lower(F.trim("p_title")), F.lit("")).alias("title_key"), F.when(present(F.col("p_doi")), F.col("p_doi")).alias("doi_key"))
+    return keep_apart(rows, "ref_id", "order", ["title_key", "doi_key"]).select("ref_id", "paper_id", "p_title", "p_doi", "rank")
 
 
 def relevance(paper_source: Column, doi: Column, citations: Column, year: Column, ref_year: Column, primary: str = "openalex") -> Column:
