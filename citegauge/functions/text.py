@@ -6,7 +6,7 @@ import difflib
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType
 
@@ -102,10 +102,16 @@ def sequence_ratio(a: Column, b: Column, above: Column | float = 0.0) -> Column:
     return F.when(~present(a) | ~present(b), 0.0).when(a == b, 1.0).when(need, _ratio(F.when(need, a), F.when(need, b))).otherwise(0.0)
 
 
-def similarity(a: Column, b: Column, method: str = "sequence") -> Column:
-    x, y = F.lower(normalise_text(a)), F.lower(normalise_text(b))
+def with_similarity(rows: DataFrame, name: str, a: str, b: str, method: str = "sequence") -> DataFrame:
+    """rows + name: the likeness of two columns in their normal forms, by jaccard, cosine, or any other name: by sequence.
+
+    The forms are columns first: what compares words looks at each many times.
+    """
     by = {"jaccard": token_jaccard, "cosine": cosine_terms}.get(method, sequence_ratio)
-    return F.when(~present(a) | ~present(b), 0.0).when(x == y, 1.0).otherwise(by(x, y))
+    formed = rows.withColumns({"__a__": F.lower(normalise_text(F.col(a))), "__b__": F.lower(normalise_text(F.col(b)))})
+    x, y = F.col("__a__"), F.col("__b__")
+    both = present(F.col(a)) & present(F.col(b))
+    return formed.withColumn(name, F.when(~both, 0.0).when(x == y, 1.0).otherwise(by(x, y))).drop("__a__", "__b__")
 
 
 def year_in(c: Column) -> Column:
@@ -236,8 +242,3 @@ def key_terms(c: Column, most: int = 8) -> Column:
     """First distinct words of three letters or more that aren't stop words."""
     found = F.array_distinct(F.filter(F.split(F.lower(c), r"[^\p{L}\p{N}_]+"), lambda w: w.rlike("^[a-z]{3,}$")))
     return F.slice(F.array_except(found, F.array(*map(F.lit, STOP_WORDS))), 1, most)
-
-
-def title_variations(c: Column) -> Column:
-    """The title, without hyphens, and with spaces for them; distinct, in order."""
-    return F.array_distinct(F.array(c, F.replace(c, F.lit("-"), F.lit("")), F.replace(c, F.lit("-"), F.lit(" "))))

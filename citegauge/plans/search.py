@@ -371,11 +371,17 @@ _VENUES8 = ["Nature", "arXiv preprint", "Workshop on Things", "Proceedings of CR
 _TIER = lambda e: f"CASE WHEN {e} = '' THEN 'unknown' " + " ".join("WHEN " + " OR ".join(f"contains(lower({e}), '{w}')" for w in words) + f" THEN '{t}'" for t, words in N.TIERS) + " ELSE 'other' END"
 
 
-@query(f"""WITH v(v) AS (VALUES {", ".join(f"('{v}')" for v in _VENUES8)}) SELECT a.v AS a, b.v AS b, {_TIER("a.v")} AS tier, {_TIER("a.v")} = 'tier1_journals' AND {_TIER("b.v")} IN ('preprints', 'workshops', 'other') AS implausible FROM v a, v b""")
+_CLAIMED = f"CASE WHEN r.ref_id % 2 = 0 THEN r.venue ELSE ['{"', '".join(_VENUES8)}'][CAST(r.ref_id % 8 AS INT) + 1] END"
+
+
+@query(f"""{BASE}, v AS (SELECT r.ref_id, {_CLAIMED} AS a, p.venue AS b FROM refs r JOIN papers p ON p.paper_id = r.ref_id + 1)
+SELECT ref_id, {_TIER("a")} AS tier, {_TIER("b")} AS found_tier, {_TIER("a")} = 'tier1_journals' AND {_TIER("b")} IN ('preprints', 'workshops', 'other') AS implausible FROM v""")
 def venue_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tiers of venues, and which would be odd beside which."""
-    v = spark.createDataFrame([(a, b) for a in _VENUES8 for b in _VENUES8], "a string, b string")
-    return v.select("a", "b", N.venue_tier(F.col("a")).alias("tier"), N.implausible_venue(F.col("a"), F.col("b")).alias("implausible"))
+    """Tiers of the references' venues and of the next paper's, and where the one would be odd beside the other."""
+    refs, papers = _tables(spark, sf_dir)
+    j = refs.join(papers.select((F.col("paper_id") - 1).alias("ref_id"), F.col("venue").alias("b")), "ref_id")
+    a = F.when(F.col("ref_id") % 2 == 0, F.col("venue")).otherwise(F.element_at(F.array(*map(F.lit, _VENUES8)), (F.col("ref_id") % 8 + 1).cast("int")))
+    return j.select("ref_id", N.venue_tier(a).alias("tier"), N.venue_tier(F.col("b")).alias("found_tier"), N.implausible_venue(a, F.col("b")).alias("implausible"))
 
 
 _AUTH = "CASE source " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in N.CREDIBILITY.items()) + f" ELSE {N.DEFAULT_CREDIBILITY} END"
