@@ -18,6 +18,7 @@ WINDOW = 2000  # characters of a text that the fit may read
 BLOCK = 512  # a text is parsed in blocks of so many symbols at once, which are then joined, see `Model.phrases`
 SHARPNESS = 12.0
 UNKNOWN = "und"
+STATES = 400_000  # states of the automata that one pass holds, 100 MB; more languages take more passes
 
 
 def _alphabet(texts: list[str]) -> dict[str, int]:
@@ -110,8 +111,12 @@ def parser(to: np.ndarray) -> np.ndarray:
 
 
 def learnt(texts: list[str], symbol: np.ndarray, most: int) -> np.ndarray:
-    """The first `most` symbols of the texts one after another, parted by 0."""
-    return np.concatenate([np.zeros(1, np.uint8), *[np.r_[_symbols(t, symbol), np.uint8(0)] for t in texts]])[:most]
+    """The texts one after another, parted by 0, up to `most` letters and gaps, whatever the script: a letter that is spelt out counts once."""
+    s = np.concatenate([np.zeros(1, np.uint8), *[np.r_[_symbols(t, symbol), np.uint8(0)] for t in texts]])
+    digit = np.zeros(len(s) + 4, bool)
+    for k in range(1, 5):
+        digit[np.flatnonzero(s == 63) + k] = True
+    return s[np.cumsum(~digit[: len(s)]) <= most]
 
 
 class Model:
@@ -131,6 +136,25 @@ class Model:
             at += len(made)
         self.next = np.concatenate(parts).ravel() if parts else np.zeros(0, np.int32)
 
+    def parted(self, states: int = STATES) -> list[Model]:
+        """Models of some of the languages each, in order, of at most so many states, or of one language."""
+        ends = [*self.roots[1:], len(self.next) // 64]
+        out: list[Model] = []
+        first = 0
+        for k in range(len(self.langs)):
+            if k + 1 < len(self.langs) and ends[k + 1] - self.roots[first] <= states:
+                continue
+            part = object.__new__(Model)
+            low, high = self.roots[first], ends[k]
+            part.langs, part.bits, part.symbol = self.langs[first : k + 1], self.bits[first : k + 1], self.symbol
+            part.roots = [r - low for r in self.roots[first : k + 1]]
+            part.next = self.next[low * 64 : high * 64].copy()
+            # transitions are 4 * state + phrases, states counted from the first language on
+            part.next -= np.int32(4 * low)
+            out.append(part)
+            first = k + 1
+        return out
+
     def phrases(self, symbols: list[np.ndarray]) -> np.ndarray:
         """Phrases (texts x languages) that the greedy parse of each whole text needs.
 
@@ -203,19 +227,41 @@ class Model:
             todo = after[of[after] == of[after - 1]]
         return ends, count
 
-    def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
-        """(language, score) of each text: the language whose phrases cost the fewest bits a symbol."""
+    def rates(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """Bits a symbol (texts x languages), and whether a text has a letter."""
         symbols = [_symbols(t or "", self.symbol) for t in texts]
-        letters = np.array([bool(s.any()) for s in symbols])
-        if not self.langs:
-            return [UNKNOWN] * len(texts), np.zeros(len(texts))
-        cost = self.phrases(symbols) * np.array(self.bits)
+        letters = np.array([bool(s.any()) for s in symbols], bool)
         length = np.maximum([len(s) for s in symbols], 1)[:, None]
-        rate = cost / length
+        return self.phrases(symbols) * np.array(self.bits) / length, letters
+
+    def judge(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of each text the language whose phrases cost the fewest bits a symbol, its rate, and the sum of all languages' odds
+        against it; no language and no rate for a text without a letter."""
+        rate, letters = self.rates(texts)
         best = rate.argmin(axis=1)
-        odds = np.exp(-SHARPNESS * (rate - rate.min(axis=1, keepdims=True)))
-        score = np.where(letters, 1 / odds.sum(axis=1), 0.0)
-        return [self.langs[b] if ok else UNKNOWN for b, ok in zip(best, letters, strict=True)], score
+        least = rate.min(axis=1)
+        odds = np.exp(-SHARPNESS * (rate - least[:, None])).sum(axis=1)
+        names = np.array([*self.langs, None], object)[np.where(letters, best, len(self.langs))]
+        return names, np.where(letters, least, np.inf), np.where(letters, odds, 0.0)
+
+    def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
+        """(language, score) of each text."""
+        if not self.langs:
+            return [UNKNOWN] * len(texts), np.zeros(len(texts))
+        return told(*self.judge(texts))
+
+
+def told(names: np.ndarray, least: np.ndarray, odds: np.ndarray) -> tuple[list[str], np.ndarray]:
+    return [UNKNOWN if n is None else n for n in names], np.divide(1.0, odds, out=np.zeros(len(odds)), where=odds > 0)
+
+
+def joined(a: tuple[np.ndarray, ...], b: tuple[np.ndarray, ...]) -> tuple[np.ndarray, ...]:
+    """What two models of different languages judge together; ties go to the first."""
+    (x, p, s), (y, q, t) = a, b
+    least = np.minimum(p, q)
+    some = np.isfinite(least)
+    part = lambda own, odds: np.exp(-SHARPNESS * np.where(some & np.isfinite(own), np.where(some, own, 0.0) - np.where(some, least, 0.0), 0.0)) * odds
+    return np.where(q < p, y, x), least, part(p, s) + part(q, t)
 
 
 def training_texts(docs: DataFrame, most: int = TRAIN_CHARS, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> dict[str, list[str]]:
@@ -246,24 +292,47 @@ def fit(docs: DataFrame, most: int = TRAIN_CHARS, **columns) -> Model:
     return Model(training_texts(docs, most, **columns), most)
 
 
-def identify(docs: DataFrame, model: Model, text: str = "text", lang_out: str = "lang_pred", score_out: str = "score") -> DataFrame:
-    """docs + lang_pred, score: whole texts, one narrow pass without shuffle.
+def identify(docs: DataFrame, model: Model, text: str = "text", lang_out: str = "lang_pred", score_out: str = "score", states: int = STATES) -> DataFrame:
+    """docs + lang_pred, score: whole texts, narrow passes without shuffle.
 
     Null texts and texts without a letter are `und` with score 0; ties go to the language first in order. Rows and other
-    columns stay as they are, repeated ones too. Without a learnt language everything is `und`.
+    columns stay as they are, repeated ones too. Without a learnt language everything is `und`. What a pass holds is bounded: the
+    languages are judged some at a time, and the rows are written to the shared folder between; few languages take one pass.
     """
-    fresh(docs, lang_out, score_out)
-    names = docs.columns
-    held = docs.sparkSession.sparkContext.broadcast(model)  # its size is fixed by the bound of the fit
-    schema = StructType([*docs.schema.fields, StructField(lang_out, StringType()), StructField(score_out, DoubleType())])
+    fresh(docs, lang_out, score_out, "__least__", "__odds__")
+    parts = model.parted(states) or [model]
+    rows = docs
+    for k, part in enumerate(parts):
+        rows = _pass(rows, part, text, lang_out, score_out, k == 0, k == len(parts) - 1)
+        if k < len(parts) - 1:
+            rows = written(rows, "judged")
+    return rows
+
+
+def _pass(rows: DataFrame, model: Model, text: str, lang_out: str, score_out: str, first: bool, last: bool) -> DataFrame:
+    """rows with the judgement of the passes before, if any, joined with this model's."""
+    held = rows.sparkSession.sparkContext.broadcast(model)  # its size is bounded by `parted`
+    names = [c for c in rows.columns if first or c not in (lang_out, "__least__", "__odds__")]
+    kept = [rows.schema[c] for c in names]
+    more = [StructField(lang_out, StringType()), *([StructField(score_out, DoubleType())] if last else [StructField("__least__", DoubleType()), StructField("__odds__", DoubleType())])]
 
     def run(batches):
         for batch in batches:
             for part in slices(batch, text, 1 << 21):
-                langs, scores = held.value.predict(part.column(text).to_pylist())
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*names, lang_out, score_out])
-
-    return docs.mapInArrow(run, schema)
+                texts = part.column(text).to_pylist()
+                if not held.value.langs:
+                    found = [pa.array([UNKNOWN] * len(texts), pa.string()), pa.array([0.0] * len(texts), pa.float64())]
+                else:
+                    judged = held.value.judge(texts)
+                    if not first:
+                        before = [part.column(c).to_numpy(zero_copy_only=False) for c in (lang_out, "__least__", "__odds__")]
+                        judged = joined((before[0], before[1], before[2]), judged)
+                    if last:
+                        judged = told(*judged)
+                    found = [pa.array(judged[0], pa.string()), *[pa.array(c, pa.float64()) for c in judged[1:]]]
+                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in names], *found], names=[*names, *[f.name for f in more]])
+
+    return rows.mapInArrow(run, StructType([*kept, *more]))
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -412,6 +412,46 @@ def test_language_learns_from_all_of_distinct_texts(spark):
     assert sum("tail" in t for t in texts) > len(texts) / 2 and all(len(t) <= language_id.WINDOW for t in texts)
 
 
+def test_scripts_learn_as_many_letters():
+    """Letters that are spelt out count once, so a language in any script learns as much text."""
+    texts = {"aa": ["latin words " * 900], "zh": ["".join(chr(0x4E00 + k * 7 % 3000) for k in range(9000))]}
+    model = language_id.Model(texts, 4000)
+    sizes = {lang: len(language_id.learnt(texts[lang], model.symbol, 4000)) for lang in texts}
+    assert sizes["aa"] == 4000 and 4 * 4000 < sizes["zh"] <= 5 * 4000
+    parts = model.parted(1)
+    assert [p.langs for p in parts] == [["aa"], ["zh"]] and model.parted()[0].langs == model.langs
+    assert [p.predict(["words", "一丁"])[0] for p in parts] == [["aa", "aa"], ["zh", "zh"]] and model.predict(["words", texts["zh"][0][:50]])[0] == ["aa", "zh"]
+
+
+def test_predictions_are_those_of_a_plain_program(spark, odd):
+    """Language and score of all documents, in one pass and in a pass a language."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang")
+    model = language_id.fit(docs, 2500)
+    own = {lang: language_id.learnt(texts, model.symbol, 2500).tobytes() for lang, texts in language_id.training_texts(docs, 2500).items()}
+
+    def judged(text):
+        s = language_id._symbols(text or "", model.symbol)
+        if not s.any():
+            return "und", 0.0
+        s, rates = s.tobytes(), {}
+        for lang, seen in own.items():
+            k = phrases = 0
+            while k < len(s):
+                end = k + 1
+                while end <= len(s) and s[k:end] in seen:
+                    end += 1
+                k, phrases = max(end - 1, k + 1), phrases + 1
+            rates[lang] = phrases * np.log2(len(seen) + 1) / len(s)
+        least = min(rates.values())
+        return min(rates, key=lambda lang: (rates[lang], lang)), 1 / sum(np.exp(-language_id.SHARPNESS * (r - least)) for r in rates.values())
+
+    want = {r.doc_id: judged(r.text) for r in docs.collect()}
+    for states in (language_id.STATES, 1):
+        got = language_id.identify(docs, model, states=states).collect()
+        assert len(got) == len(want) and all(r.lang_pred == want[r.doc_id][0] and r.score == pytest.approx(want[r.doc_id][1]) for r in got)
+    assert language_id.identify(odd, model, states=1).count() == len(ODD) and {lang for lang, _ in want.values()} >= set(own)
+
+
 def test_suffix_automaton_matches():
     rng = np.random.default_rng(1)
     learnt = rng.integers(0, 3, 60).astype(np.uint8)
