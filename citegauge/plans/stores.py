@@ -9,12 +9,14 @@ from ..functions import search as S
 from ..functions import text as T
 from ..operators import evidence as O
 from ..operators import running as U
+from ..operators.catalogue import dblp_searches
 from ..sources import store as K
 from ..sources.records import tei_records
 from ..sources.storage import shared_path
+from ..streaming import questions as Q
 from . import exact as X
 from .intake import _escaped
-from .queries import _NDOI, BASE, _jac, _repairs_sql, _tables, query
+from .queries import _NDOI, BASE, SQL, _jac, _repairs_sql, _tables, query
 from .search import _number, _one
 
 _KEPT = _repairs_sql("regexp_replace(title, '[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F]', '', 'g')")
@@ -65,6 +67,19 @@ def running_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("event_id", "n_requests", "n_successes", F.round("mean_seconds", 6).alias("mean_seconds"), F.round("reuse_rate", 9).alias("reuse_rate"), "n_model")
 
 
+@query(SQL["dblp_search"].replace("SELECT * FROM dblp", "SELECT ref_id * 4 + k AS question_id, paper_id, strategy FROM dblp, (SELECT unnest(range(4)) AS k)"))
+def stream_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each reference asked four times within two hours, as a stream of files: the answers are those of the batch search."""
+    refs, papers = _tables(spark, sf_dir)
+    source, out, state = (shared_path(spark, name) for name in ("questions", "answers", "questions-state"))
+    times = refs.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(3))))
+    minutes = F.col("ref_id") % 24 * 60 + F.col("k") * 25
+    questions = times.select((F.col("ref_id") * 4 + F.col("k")).alias("question_id"), F.timestamp_seconds(1_704_067_200 + 60 * minutes).alias("asked_at"), "title", "authors", "year")
+    questions.write.parquet(source)
+    Q.start(spark, source, questions.schema, papers, dblp_searches(), out, state).awaitTermination()
+    return Q.answered(spark.read.schema(questions.schema).parquet(source), out).withColumn("strategy", F.col("strategy").cast("long"))
+
+
 _HELPED = "CASE ref_id % 4 WHEN 0 THEN 'Dr. ' || authors[1] || ' 0001' WHEN 1 THEN authors[1] || ' Jr.' WHEN 2 THEN 'Prof ' || authors[1] || ' (2)' ELSE '  ' || authors[1] || ' III' END"
 
 
