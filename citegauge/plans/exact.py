@@ -19,14 +19,21 @@ _APART = [(chr(k), unicodedata.normalize("NFKD", chr(k))) for k in [*range(0xA0,
 _APART = [(a, b) for a, b in _APART if a != b and "'" not in b]
 
 
-def plain_form(e: str) -> str:
-    """A title without LaTeX, taken apart, without control characters, with single spaces and one kind of dash, in lower case."""
-    e = _replaced(e, [(p, to.replace("$", "\\")) for p, to in T.LATEX])
-    e = f"trim({e})"
+def without_latex(e: str) -> str:
+    return f"trim({_replaced(e, [(p, to.replace('$', chr(92))) for p, to in T.LATEX])})"
+
+
+def normal_form(e: str) -> str:
+    """A text taken apart, without control characters, with single spaces and one kind of dash."""
     for a, b in _APART:
         e = f"replace({e}, '{a}', '{b}')"
     e = f"trim(regexp_replace(regexp_replace({e}, '[\\p{{C}}]', '', 'g'), '[\\s\\x{{85}}\\x{{1680}}\\x{{2000}}-\\x{{200A}}\\x{{2028}}\\x{{2029}}\\x{{205F}}]+', ' ', 'g'))"
-    return f"lower(trim(regexp_replace({e}, '[\\x{{2212}}\\x{{2013}}\\x{{2014}}]', '-', 'g')))"
+    return f"trim(regexp_replace({e}, '[\\x{{2212}}\\x{{2013}}\\x{{2014}}]', '-', 'g'))"
+
+
+def plain_form(e: str) -> str:
+    """A title without LaTeX, in its normal form, in lower case."""
+    return f"lower({normal_form(without_latex(e))})"
 
 
 def key_form(plain: str) -> str:
