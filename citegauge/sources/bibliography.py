@@ -84,14 +84,15 @@ def from_crossref(raw: Column) -> Column:
 
 
 def from_dblp(raw: Column) -> Column:
-    """A hit's info; author may be one object or a list of them."""
+    """A hit's info; authors may be one or a list, each an object with a text or the text itself."""
     v = F.try_parse_json(raw)
-    many = F.try_variant_get(v, "$.authors.author", "array<struct<text:string>>")
-    one = F.try_variant_get(v, "$.authors.author.text", "string")
+    name = lambda a: F.coalesce(F.try_variant_get(a, "$.text", "string"), F.when(F.schema_of_variant(a) == "STRING", F.try_variant_get(a, "$", "string")))
+    many = F.array_compact(F.transform(F.try_variant_get(v, "$.authors.author", "array<variant>"), name))
+    one = name(F.try_variant_get(v, "$.authors.author", "variant"))
     get = lambda p, t="string": F.try_variant_get(v, p, t)
     return F.struct(
         F.lit("dblp").alias("source"), get("$.key").alias("paper_id"), F.regexp_replace(get("$.title"), r"\.$", "").alias("title"),
-        F.coalesce(F.transform(many, lambda a: a["text"]), F.when(one.isNotNull(), F.array(one)), F.array().cast("array<string>")).alias("authors"),
+        F.coalesce(many, F.when(one.isNotNull(), F.array(one)), F.array().cast("array<string>")).alias("authors"),
         get("$.year").try_cast("int").alias("year"), get("$.venue").alias("venue"), get("$.doi").alias("doi"), F.lit(None).cast("long").alias("citations"), get("$.publisher").alias("publisher"),
     )
 
