@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import argparse
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,8 +11,8 @@ from pyspark.sql import functions as F
 from .functions.citations import parse_citation, parse_references
 from .functions.text import normalise_text, token_jaccard
 from .operators.context import BONUS, book_signs, boosted, search_rank
-from .operators.link import RIGOR, adaptive_top, distinct_titles, summary
-from .operators.report import gate, plain_citation, report, summary_lines
+from .operators.link import RIGOR, adaptive_top, distinct_titles, faults, summary
+from .operators.report import full_report, gate, header, plain_citation, summary_lines
 from .operators.verify import verify
 from .sources.bibliography import assemble
 from .sources.storage import written
@@ -33,6 +34,13 @@ def read_references(spark: SparkSession, path: str) -> DataFrame:
     return rows.withColumn("ref_id", F.xxhash64("file", "pos"))
 
 
+def one_reference(spark: SparkSession, text: str) -> DataFrame:
+    """A single reference, as of `read_references`."""
+    raw = spark.createDataFrame([("", 0, text)], "file string, pos int, raw_text string")
+    parsed = raw.select("file", "pos", "raw_text", parse_citation(F.regexp_replace("raw_text", MARK, "")).alias("p"))
+    return gate(parsed.select("file", "pos", "raw_text", "p.*").withColumn("venue", F.lit(""))).withColumn("ref_id", F.xxhash64("file", "pos"))
+
+
 def verified(refs: DataFrame, papers: DataFrame, *args, **named) -> DataFrame:
     """rows of `verify` for all of `read_references`, with file, pos, raw_text and error; those that can't be read are inconclusive."""
     refs = written(refs, "references")  # read at many places of the plan
@@ -52,17 +60,27 @@ def cite(papers: DataFrame, query: str, context: str = "general") -> DataFrame:
 def main(argv: list[str] | None = None) -> None:
     p = argparse.ArgumentParser(prog="citegauge")
     p.add_argument("task", choices=["verify", "cite"])
-    p.add_argument("what", help="text files or TEI documents of references, or the text of a query")
+    p.add_argument("what", help="text files or TEI documents of references, the text of a query, or with --text of a reference")
+    p.add_argument("--text", action="store_true", help="verify one reference, given as text")
     p.add_argument("--papers", required=True, help="Parquet of paper_id, source, title, authors, year, venue, doi, citations")
     p.add_argument("--rigor", choices=sorted(RIGOR), default="balanced")
+    p.add_argument("--threshold", type=float, help="likeness from which a reference is authentic, in place of the rigor's")
+    p.add_argument("--fraud", type=float, help="likeness of titles from which other authors are a manipulation, in place of the rigor's")
+    p.add_argument("--multi-database", action="store_true", help="hold it against a reference if one catalogue alone has it")
+    p.add_argument("--searched", action="store_true", help="take what the sources' searches of the whole catalogue bring, too")
     p.add_argument("--context", choices=["general", *BONUS], default="general")
     p.add_argument("--words", action="store_true", help="score by shared words and surnames, in place of characters and whole author lists")
     for name, what in (("registry", "a DOI registry"), ("notices", "retraction notices"), ("hits", "hits of a scholar search"), ("registered", "registered authors")):
         p.add_argument(f"--{name}", help=f"Parquet of {what}")
     p.add_argument("--raw-labels", action="store_true", help="take no catalogue for a major one")
-    p.add_argument("--format", choices=["json", "txt"], default="json")
+    p.add_argument("--format", choices=["json", "txt"], help="else by the end of --out, else json")
     p.add_argument("--out", required=True, help="folder to write")
     a = p.parse_args(argv)
+    a.format = a.format or ("txt" if a.out.lower().endswith(".txt") else "json")
+    given = {"similarity": a.threshold, "manipulation": a.fraud, "multi_database": a.multi_database or None}
+    rigor = replace(RIGOR[a.rigor], **{k: v for k, v in given.items() if v is not None})
+    if found := faults(rigor):
+        p.error("; ".join(found))
     spark = SparkSession.builder.appName("citegauge").getOrCreate()
     papers = spark.read.parquet(a.papers)
     if a.task == "cite":
@@ -74,11 +92,15 @@ def main(argv: list[str] | None = None) -> None:
         return
     tables = [spark.read.parquet(path) if path else None for path in (a.registry, a.notices, a.hits, a.registered)]
     is_book = F.size(book_signs(F.col("title"), F.col("venue"), F.col("year"), F.lit(""), F.col("authors"))) > 0
-    rows = written(verified(read_references(spark, a.what), papers, a.rigor, "words" if a.words else "exact", *tables, is_book, a.raw_labels), "verdicts").orderBy("file", "pos")
+    refs = one_reference(spark, a.what) if a.text else read_references(spark, a.what)
+    rows = written(verified(refs, papers, rigor, "words" if a.words else "exact", *tables, is_book, a.raw_labels, searched=a.searched), "verdicts").orderBy("file", "pos")
     if a.format == "json":
         rows.write.mode("errorifexists").json(a.out)
     else:
-        report(rows, F.col("is_book")).orderBy("file", "pos").select("block").write.text(a.out)
+        blocks = full_report(rows, is_book=F.col("is_book")).orderBy("file", "pos").select("block")
+        lines = header(summary(rows)).orderBy("ord").select("line").coalesce(1)  # ten rows
+        lines.write.text(a.out)
+        blocks.write.mode("append").text(a.out)
     for r in summary_lines(summary(rows)).orderBy("ord").collect():  # six rows
         print(r.line)
 

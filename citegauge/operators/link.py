@@ -42,6 +42,36 @@ RIGOR = {
 }
 
 
+#: Per context the sources in order of precedence, and the rows that a search takes of each at most.
+PRIORITIES = {
+    "computer-science": ["dblp", "iacr", "arxiv", "semantic_scholar", "crossref", "pubmed"],
+    "biomedical": ["pubmed", "semantic_scholar", "crossref", "arxiv", "dblp", "iacr"],
+}
+LIMITS = {
+    "computer-science": {"dblp": 15, "iacr": 12, "arxiv": 12, "semantic_scholar": 8, "crossref": 8, "pubmed": 3},
+    "biomedical": {"pubmed": 15, "semantic_scholar": 10, "crossref": 10, "arxiv": 5, "dblp": 2, "iacr": 2},
+}
+
+
+def rigor_of(rigor: str | Rigor) -> Rigor:
+    """A preset by its name, in any case, or thresholds as they are. Others raise."""
+    if isinstance(rigor, str):
+        if rigor.lower() not in RIGOR:
+            raise ValueError(f"rigor is one of {', '.join(RIGOR)}, not {rigor}")
+        rigor = RIGOR[rigor.lower()]
+    if found := faults(rigor):
+        raise ValueError("; ".join(found))
+    return rigor
+
+
+def faults(rigor: Rigor, weights: dict[str, float] = WEIGHTS) -> list[str]:
+    """What is wrong with thresholds and weights: those that aren't from 0 to 1, and weights whose sum is off 1 by more than a hundredth."""
+    out = [f"{name} must be from 0 to 1" for name in ("similarity", "suspicious", "manipulation", "inconclusive") if not 0 <= getattr(rigor, name) <= 1]
+    if abs(sum(weights.values()) - 1) > 0.01:
+        out.append(f"weights add up to {sum(weights.values()):g}, not to 1")
+    return out
+
+
 #: Shares of words, in tenths, from which titles are alike enough for a comparison: by themselves, and beside surname and year.
 ALIKE, ALIKE_BESIDE = 5, 3
 #: Rank of candidates that only a search brings.
@@ -135,7 +165,7 @@ def total(sims: DataFrame) -> DataFrame:
     return sims.withColumn("score", F.round(sum((F.lit(w) * F.col(f"{k}_sim") for k, w in list(WEIGHTS.items())[1:]), F.lit(WEIGHTS["title"]) * F.col("title_sim")), 9))
 
 
-def best(scored: DataFrame, rigor: str = "balanced") -> DataFrame:
+def best(scored: DataFrame, rigor: str | Rigor = "balanced") -> DataFrame:
     """The first best candidate of each reference, with the distinct sources among all, in lower case, and their number.
 
     fraud_author is the likeness of authors of the first candidate, in order of rank and paper, whose title is alike
@@ -144,7 +174,7 @@ def best(scored: DataFrame, rigor: str = "balanced") -> DataFrame:
     w = W.partitionBy("ref_id")
     first = F.row_number().over(w.orderBy(F.desc("score"), "paper_id"))
     sources = F.array_sort(F.collect_set(F.lower(F.coalesce("source", F.lit("unknown")))).over(w))
-    alike = (F.col("title_sim") > RIGOR[rigor].manipulation) & (F.col("title_sim") <= 0.95) & (F.col("author_sim") < 0.25)
+    alike = (F.col("title_sim") > rigor_of(rigor).manipulation) & (F.col("title_sim") <= 0.95) & (F.col("author_sim") < 0.25)
     several = (F.size("authors") > 1) & (F.size("p_authors") > 1)
     fraud = F.min(F.when(alike & several, F.struct("rank", "paper_id", "author_sim"))).over(w)["author_sim"]
     out = scored.withColumns({"sources": sources, "fraud_author": fraud, "row": first}).where("row = 1").drop("row")
@@ -159,6 +189,12 @@ def top_per_source(scored: DataFrame, limits: dict[str, int], default: int = 5)
     return scored.withColumn("place", row).where(F.col("place") <= limit)
 
 
+def in_order(rows: DataFrame, context: str) -> DataFrame:
+    """rows of `top_per_source` + turn: the place of the source in the context's order of precedence, others after all."""
+    turn = F.array_position(F.array(*map(F.lit, PRIORITIES[context])), F.lower("source"))
+    return rows.withColumn("turn", F.when(turn > 0, turn).otherwise(len(PRIORITIES[context]) + 1).cast("int"))
+
+
 def distinct_titles(rows: DataFrame, order: list) -> DataFrame:
     """First row of each title, whatever its case and outer spaces; blank titles go."""
     key = F.lower(F.trim("title"))
@@ -178,14 +214,14 @@ def relevance(paper_source: Column, doi: Column, citations: Column, year: Column
     return F.when(paper_source == primary, 10).otherwise(0) + F.when(present(doi), 5).otherwise(0) + F.when(citations > 0, 3).otherwise(0) + F.when(d == 0, 2).when(d <= 1, 1).otherwise(0)
 
 
-def classify(rows: DataFrame, rigor: str = "balanced", raw_labels: bool = False) -> DataFrame:
+def classify(rows: DataFrame, rigor: str | Rigor = "balanced", raw_labels: bool = False) -> DataFrame:
     """rows of `best`, with null scores for references without a candidate, + class, confidence.
 
     One chain of conditions, in the order of evaluation. Columns of evidence count where rows have them: is_book; scholar_differs
     (false: other papers of that title exist, no manipulation); scholar_asked and scholar_absent; doi_resolves, doi_matches, doi_boost.
     raw_labels takes no source for a major one, as where labels are compared by case.
     """
-    r, title, author, n = RIGOR[rigor], F.col("title_sim"), F.col("author_sim"), F.col("n_sources")
+    r, title, author, n = rigor_of(rigor), F.col("title_sim"), F.col("author_sim"), F.col("n_sources")
     given = lambda c, kind: F.col(c) if c in rows.columns else F.lit(None).cast(kind)
     true = lambda c: F.coalesce(given(c, "boolean"), F.lit(False))
     among = lambda names: F.lit(False) if raw_labels else F.coalesce(F.arrays_overlap("sources", F.array(*map(F.lit, names))), F.lit(False))

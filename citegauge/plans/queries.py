@@ -237,13 +237,27 @@ def best_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _best(spark, sf_dir).select("ref_id", "paper_id", F.col("n_sources").cast("long").alias("n_sources"), F.round("score", 6).alias("score"))
 
 
-LIMITS = {"dblp": 15, "iacr": 12, "arxiv": 12, "semantic_scholar": 8, "crossref": 8, "pubmed": 3}
+def _top_sql(context: str) -> str:
+    limit = "CASE source " + " ".join(f"WHEN '{k}' THEN {n}" for k, n in L.LIMITS[context].items()) + " ELSE 5 END"
+    turn = "CASE source " + " ".join(f"WHEN '{k}' THEN {n + 1}" for n, k in enumerate(L.PRIORITIES[context])) + f" ELSE {len(L.PRIORITIES[context]) + 1} END"
+    return f"""{SCORED} SELECT ref_id, paper_id, CAST(place AS BIGINT) AS place, {turn} AS turn FROM (SELECT *, row_number() OVER (PARTITION BY ref_id, source ORDER BY score DESC, paper_id) AS place FROM scored) WHERE place <= {limit}"""
 
 
-@query(f"""{SCORED} SELECT ref_id, paper_id, CAST(place AS BIGINT) AS place FROM (SELECT *, row_number() OVER (PARTITION BY ref_id, source ORDER BY score DESC, paper_id) AS place FROM scored)
-WHERE place <= CASE source WHEN 'dblp' THEN 15 WHEN 'iacr' THEN 12 WHEN 'arxiv' THEN 12 WHEN 'semantic_scholar' THEN 8 WHEN 'crossref' THEN 8 WHEN 'pubmed' THEN 3 ELSE 5 END""")
+def _top(spark: SparkSession, sf_dir: str, context: str) -> DataFrame:
+    rows = L.in_order(L.top_per_source(_scored(spark, sf_dir), L.LIMITS[context]), context)
+    return rows.select("ref_id", "paper_id", F.col("place").cast("long").alias("place"), "turn")
+
+
+@query(_top_sql("computer-science"))
 def topn_per_source(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return L.top_per_source(_scored(spark, sf_dir), LIMITS).select("ref_id", "paper_id", F.col("place").cast("long").alias("place"))
+    """The best of each source, as many as a search in computing takes, and the sources' order."""
+    return _top(spark, sf_dir, "computer-science")
+
+
+@query(_top_sql("biomedical"))
+def topn_biomedical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same as a search in medicine takes."""
+    return _top(spark, sf_dir, "biomedical")
 
 
 @query(f"{BASE} SELECT min(paper_id) AS paper_id, lower(trim(title)) AS title_key FROM papers WHERE trim(title) <> '' GROUP BY 2")

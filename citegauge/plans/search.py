@@ -339,6 +339,32 @@ def validity_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.with_errors(L.classify(_best(spark, sf_dir)), R.gate(parsed)).withColumn("score", F.round("score", 9))
 
 
+_CITED = "CASE WHEN len(a) = 1 THEN a[1] WHEN len(a) BETWEEN 2 AND 3 THEN array_to_string(a[1:len(a) - 1], ', ') || ' and ' || a[-1] WHEN len(a) > 3 THEN a[1] || ' et al.' END"
+
+
+@query(f"""{BASE}, c AS (SELECT ref_id, title, CASE ref_id % 5 WHEN 0 THEN [] WHEN 1 THEN list_concat(authors, ['X Y', 'Z W']) ELSE authors END AS a, CASE WHEN ref_id % 4 > 0 THEN venue ELSE '' END AS venue, CASE WHEN ref_id % 7 > 0 THEN year END AS year,
+  CASE WHEN ref_id % 3 > 0 THEN CAST(ref_id % 50 + 1 AS VARCHAR) ELSE '' END AS volume, CASE WHEN ref_id % 2 = 0 THEN '1-9' ELSE '' END AS pages FROM refs),
+n AS (SELECT *, {_CITED} AS names FROM c), l AS (SELECT *, list_filter([names, CASE WHEN names IS NULL THEN CAST(year AS VARCHAR) ELSE '(' || year || ')' END, CASE WHEN title <> '' THEN '"' || title || '"' END, nullif(venue, ''),
+  nullif(CASE WHEN volume <> '' THEN 'vol. ' || volume ELSE '' END || CASE WHEN volume <> '' AND pages <> '' THEN ', ' ELSE '' END || CASE WHEN pages <> '' THEN 'pp. ' || pages ELSE '' END, '')], lambda x: x IS NOT NULL) AS parts FROM n)
+SELECT ref_id, CASE WHEN len(parts) = 0 THEN 'Unknown reference' ELSE array_to_string(parts, '. ') || '.' END AS citation FROM l""")
+def formatted_citations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """References as one line each, with volumes and pages, some without authors, venue or year."""
+    refs, _ = _tables(spark, sf_dir)
+    k = F.col("ref_id")
+    none = F.array().cast("array<string>")
+    names = F.when(k % 5 == 0, none).when(k % 5 == 1, F.concat("authors", F.array(F.lit("X Y"), F.lit("Z W")))).otherwise(F.col("authors"))
+    fields = [F.col("title"), names, F.when(k % 4 > 0, F.col("venue")).otherwise(""), F.when(k % 7 > 0, F.col("year")), F.when(k % 3 > 0, (k % 50 + 1).cast("string")).otherwise(""), F.when(k % 2 == 0, "1-9").otherwise("")]
+    return refs.select("ref_id", R.formatted_citation(*fields).alias("citation"))
+
+
+@query(f"""{SCORED}, h AS (SELECT ref_id, source, paper_id, p_title, round(score, 9) AS score, count(*) OVER (PARTITION BY ref_id, source) AS found, row_number() OVER (PARTITION BY ref_id, source ORDER BY score DESC, paper_id) AS place FROM scored)
+SELECT ref_id, source, found, CAST(place AS BIGINT) AS place, paper_id, p_title AS title, score FROM h WHERE place <= 3""")
+def report_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a report shows of each source: how many candidates, and the first three."""
+    rows = R.source_hits(_scored(spark, sf_dir))
+    return rows.select("ref_id", "source", "found", F.col("place").cast("long").alias("place"), "paper_id", F.col("p_title").alias("title"), F.round("score", 9).alias("score"))
+
+
 _TEXT = "'Published ' || CAST(year AS STRING) || ', (doi: ' || doi || ') [' || CAST(ref_id AS STRING) || ']'"
 _URL = "CASE ref_id % 6 WHEN 0 THEN 'https://link.Springer.com/x' WHEN 1 THEN 'https://ieeexplore.ieee.org/1' WHEN 2 THEN 'https://dl.acm.org/2' WHEN 3 THEN '' WHEN 4 THEN 'https://arxiv.org/abs/1' ELSE 'https://example.org' END"
 

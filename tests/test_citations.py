@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from citegauge.__main__ import cite, main
 from citegauge.functions import citations as C
 from citegauge.operators import context as X
+from citegauge.operators import link as L
 from citegauge.operators import report as R
 from citegauge.operators.consensus import consensus
 from citegauge.operators.verify import verify
@@ -197,6 +198,36 @@ def test_plain_citation(spark):
     assert [r.c for r in got] == ["A. T. V. 2001", "A, B and C. T", "A et al.. T. 1999", "T. V. 1"]
 
 
+def test_full_report(spark):
+    papers = spark.createDataFrame(PAPERS, PAPER)
+    refs = papers.limit(1).select(F.lit(1).alias("ref_id"), "title", "authors", "year", "venue", "doi")
+    pairs = refs.select("ref_id").crossJoin(papers.select("paper_id")).withColumn("rank", F.lit(3))
+    verdicts = spark.createDataFrame([(1, False, 0.75, "x" * 300, ["odd year"])], "ref_id int, authentic boolean, ai_confidence double, reasoning string, red array<string>")
+    rows = verify(refs, papers).withColumn("raw_text", F.lit("as it came"))
+    block = R.full_report(rows, L.score(pairs, refs, papers), verdicts).first().block
+    assert "Issue: " in block and "Found " in block and "  1. " in block and "SUSPICIOUS/FAKE (75.0% confidence)" in block and "x" * 200 + "..." in block and "Red flags: odd year" in block and block.endswith("as it came")
+    lines = [r.line for r in R.header(L.summary(rows)).orderBy("ord").collect()]
+    assert lines[1] == "Verification of references" and lines[3] == "References: 1" and len(lines) == 10
+
+
+def test_rigor_is_checked():
+    assert L.rigor_of("Strict") == L.RIGOR["strict"] and L.rigor_of(L.Rigor(similarity=0.6)).similarity == 0.6
+    assert L.faults(L.Rigor(similarity=1.5)) and L.faults(L.Rigor(), {"title": 0.9, "author": 0.3}) and not L.faults(L.Rigor())
+    for wrong in ("harsh", L.Rigor(manipulation=-1)):
+        with pytest.raises(ValueError):
+            L.rigor_of(wrong)
+
+
+def test_command_line_of_one_reference(spark, tmp_path, capsys):
+    spark.createDataFrame(PAPERS, PAPER).write.parquet(str(tmp_path / "papers"))
+    text = "1. Ada Lovelace and Grace Hopper. A distributed graph algorithm for sorting. In VLDB, 2001."
+    main(["verify", text, "--text", "--papers", str(tmp_path / "papers"), "--threshold", "0.3", "--fraud", "0.9", "--multi-database", "--searched", "--out", str(tmp_path / "out.txt")])
+    said = "".join(f.read_text() for f in sorted((tmp_path / "out.txt").glob("part-*")))
+    assert "Verification of references" in said and "distributed graph" in said and "As printed:" in said and capsys.readouterr().out
+    with pytest.raises(SystemExit):
+        main(["verify", text, "--text", "--papers", "x", "--threshold", "3", "--out", "y"])
+
+
 def test_command_line(spark, tmp_path, capsys):
     spark.createDataFrame(PAPERS, PAPER).write.parquet(str(tmp_path / "papers"))
     (tmp_path / "refs.txt").write_text("1. Ada Lovelace and Grace Hopper. A distributed graph algorithm for sorting. In VLDB, 2001.\n2. Zed Nobody and Eva Li. A title that nobody has written. 1999.\n")
