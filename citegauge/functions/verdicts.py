@@ -46,7 +46,7 @@ def _hits(text: Column, patterns: list[str]) -> Column:
 
 def _listed(text: Column, words: list[str]) -> Column:
     """The first five bullets that hold one of the words, of more than ten characters, cut at 150."""
-    lines = F.filter(F.transform(F.split(text, "\n"), F.trim), lambda x: x.rlike(BULLET) & F.exists(F.array(*map(F.lit, words)), lambda w: F.contains(F.lower(x), w)))
+    lines = F.filter(F.transform(F.split(text, "\n"), lambda x: F.trim(x)), lambda x: x.rlike(BULLET) & F.exists(F.array(*map(F.lit, words)), lambda w: F.contains(F.lower(x), w)))
     items = F.filter(F.transform(lines, lambda x: F.regexp_replace(x, BULLET, "")), lambda x: F.char_length(x) > 10)
     return F.slice(F.transform(items, lambda x: F.substring(x, 1, 150)), 1, 5)
 
@@ -85,7 +85,7 @@ def _from_text(text: Column) -> Column:
 def _from_json(v: Column) -> Column:
     """Missing fields take defaults; lists keep texts of over five characters among their first ten, cut at 200."""
     get = lambda path, kind, other: F.coalesce(F.try_variant_get(v, path, kind), F.lit(other))
-    items = lambda path: F.coalesce(F.transform(F.filter(F.transform(F.slice(F.try_variant_get(v, path, "array<string>"), 1, 10), F.trim), lambda x: F.char_length(x) > 5), lambda x: F.substring(x, 1, 200)), F.array().cast("array<string>"))
+    items = lambda path: F.coalesce(F.transform(F.filter(F.transform(F.slice(F.try_variant_get(v, path, "array<string>"), 1, 10), lambda x: F.trim(x)), lambda x: F.char_length(x) > 5), lambda x: F.substring(x, 1, 200)), F.array().cast("array<string>"))
     return F.struct(
         get("$.is_authentic", "boolean", False).alias("authentic"), get("$.confidence", "double", 0.5).alias("ai_confidence"), get("$.reasoning", "string", "").alias("reasoning"),
         items("$.red_flags").alias("red"), items("$.positive_indicators").alias("good"),

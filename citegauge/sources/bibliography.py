@@ -165,7 +165,7 @@ def from_scholar(raw: Column) -> Column:
     """A hit of a scholar search; authors are split at 'and', and a missing snippet is the title."""
     w = F.from_json(raw, "bib struct<title:string,author:string,pub_year:string,venue:string,abstract:string>, pub_url string, eprint_url string, num_citations string")
     b, title = w["bib"], F.trim(F.coalesce(w["bib"]["title"], F.lit("")))
-    names = F.transform(F.split(F.nullif(b["author"], F.lit("")), " and "), F.trim)
+    names = F.transform(F.split(F.nullif(b["author"], F.lit("")), " and "), lambda n: F.trim(n))
     return F.struct(
         F.lit("google_scholar").alias("source"), title.alias("title"), F.coalesce(names, F.array().cast("array<string>")).alias("authors"), b["pub_year"].try_cast("int").alias("year"),
         F.trim(F.coalesce(b["venue"], F.lit(""))).alias("venue"), F.coalesce(F.nullif(w["pub_url"], F.lit("")), w["eprint_url"]).alias("url"), w["num_citations"].try_cast("long").alias("citations"),
