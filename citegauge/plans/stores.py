@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import names as N
 from ..functions import search as S
 from ..functions import text as T
 from ..operators import evidence as O
@@ -109,3 +110,36 @@ def helpers(spark: SparkSession, sf_dir: str) -> DataFrame:
     for method in ("jaccard", "cosine", "sequence"):
         rows = T.with_similarity(rows, method, "venue", "both", method)
     return rows.select("ref_id", S.helper_name(given).alias("name"), fields.alias("field"), O.ask_fallback(k % 10 / 10, k % 5).alias("fallback"), *[F.round(m, 9).alias(m) for m in ("jaccard", "cosine", "sequence")])
+
+
+#: Names as they are typed: titles before, the surname first, suffixes, numbers, capitals, marks; and against them initials, spellings, others.
+_X = "{0}"
+_FIRST_NAME, _REST = "split_part({0}, ' ', 1)", "substring({0}, length(split_part({0}, ' ', 1)) + 2)"
+_TYPED = f"CASE ref_id % 8 WHEN 0 THEN 'Dr. ' || {_X} WHEN 1 THEN {_REST} || ', ' || {_FIRST_NAME} WHEN 2 THEN {_X} || ' Jr.' WHEN 3 THEN {_X} || ' 0001' WHEN 4 THEN upper({_X}) WHEN 5 THEN replace(replace({_X}, 'a', 'á'), 'o', 'ö') WHEN 6 THEN '  Prof. ' || {_REST} || ',  ' || {_FIRST_NAME} || ' (2)' ELSE {_X} END"
+_OTHER = (
+    f"CASE ref_id % 13 WHEN 0 THEN substring({_X}, 1, 1) || '. ' || {_REST} WHEN 1 THEN {_REST} WHEN 2 THEN replace(replace(replace({_X}, 'Dmitry', 'Dmitri'), 'Li', 'Lee'), 'Karl', 'Carl') WHEN 3 THEN replace(replace({_X}, 'Sanchez', 'Sánchez'), 'Moreau', 'Moréau') "
+    f"WHEN 4 THEN 'Zoe ' || {_REST} WHEN 5 THEN {_X} || ' PhD' WHEN 6 THEN replace({_X}, '-', ' ') WHEN 7 THEN {_FIRST_NAME} || ' Else' WHEN 8 THEN '' WHEN 9 THEN {_X} || ' III' WHEN 10 THEN {_REST} || ', ' || substring({_X}, 1, 1) ELSE {_X} END"
+)
+
+
+def _cleaned(e: str) -> str:
+    n = f"lower(trim({e}))"
+    for pattern in (r"\s+[0-9]{4}$", r"\s+\([0-9]+\)$", r"\s+\[[0-9]+\]$", r"\b(dr|prof|professor|mr|mrs|ms|sir|dame)\.\s*", r"\s+(jr|sr|ii|iii|iv|phd|md|esq)\.?$"):
+        n = f"regexp_replace({n}, '{pattern}', '', 'g')"
+    turned = f"CASE WHEN contains({n}, ',') THEN regexp_extract({n}, '(?s)^[^,]*,(.*)$', 1) || ' ' || split_part({n}, ',', 1) ELSE {n} END"
+    return f"trim(regexp_replace(regexp_replace(strip_accents({turned}), '[.-]', ' ', 'g'), '\\s+', ' ', 'g'))"
+
+
+_WHOLE = lambda w: f"CASE WHEN len({w}) > 1 AND {w}[-2] IN ({', '.join(repr(p) for p in N.PARTICLES)}) THEN {w}[-2] || ' ' || {w}[-1] ELSE {w}[-1] END"
+
+
+@query(f"""{BASE}, spelled(k, v) AS (VALUES {X._SPELLED}), ways AS (SELECT k, v FROM spelled UNION SELECT v, k FROM spelled UNION SELECT n, n FROM (SELECT '' AS n)),
+t AS (SELECT ref_id, {_TYPED.format("authors[1]")} AS a, {_OTHER.format("authors[1]")} AS b FROM refs), c AS (SELECT ref_id, {_cleaned("a")} AS a, {_cleaned("b")} AS b FROM t),
+w AS (SELECT *, string_split(a, ' ') AS x, string_split(b, ' ') AS y FROM c), p AS (SELECT ref_id, a, b, CASE WHEN len(x) > 1 THEN x[1] ELSE '' END AS ga, CASE WHEN len(y) > 1 THEN y[1] ELSE '' END AS gb, {_WHOLE("x")} AS la, {_WHOLE("y")} AS lb FROM w)
+SELECT ref_id, a, b, CASE WHEN a = '' OR b = '' THEN 0.0 WHEN a = b THEN 1.0 WHEN la <> lb AND NOT EXISTS (SELECT 1 FROM ways WHERE k = la AND v = lb) THEN 0.0 WHEN ga = '' OR gb = '' THEN 0.6 WHEN ga = gb OR EXISTS (SELECT 1 FROM ways WHERE k = ga AND v = gb) THEN 0.95
+WHEN length(ga) = 1 AND starts_with(gb, ga) OR length(gb) = 1 AND starts_with(ga, gb) THEN 0.85 ELSE 0.4 END::DOUBLE AS likeness FROM p""")
+def name_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names with titles, commas, suffixes, numbers and marks, cleaned and compared with other spellings of them."""
+    refs, _ = _tables(spark, sf_dir)
+    t = refs.select("ref_id", F.expr(_TYPED.format("authors[0]")).alias("a"), F.expr(_OTHER.format("authors[0]")).alias("b"))
+    return t.select("ref_id", N.clean_name(F.col("a")).alias("a"), N.clean_name(F.col("b")).alias("b"), N.compare_names(F.col("a"), F.col("b")).alias("likeness"))
