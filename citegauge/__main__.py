@@ -11,11 +11,11 @@ from pyspark.sql import functions as F
 from .functions.citations import parse_citation, parse_references
 from .functions.text import normalise_text, token_jaccard
 from .operators.context import BONUS, book_signs, boosted, search_rank
-from .operators.link import RIGOR, adaptive_top, distinct_titles, faults, summary
+from .operators.link import RIGOR, Rigor, adaptive_top, distinct_titles, faults, summary
 from .operators.report import full_report, gate, header, plain_citation, summary_lines
 from .operators.verify import verify
 from .sources.bibliography import assemble
-from .sources.storage import written
+from .sources.storage import scratch, written
 from .sources.tei import tei_references
 
 #: What opens an entry of a list: a number or a bullet.
@@ -82,6 +82,11 @@ def main(argv: list[str] | None = None) -> None:
     if found := faults(rigor):
         p.error("; ".join(found))
     spark = SparkSession.builder.appName("citegauge").getOrCreate()
+    with scratch(spark):
+        run(spark, a, rigor)
+
+
+def run(spark: SparkSession, a: argparse.Namespace, rigor: Rigor) -> None:
     papers = spark.read.parquet(a.papers)
     if a.task == "cite":
         found = cite(papers, a.what, a.context)
@@ -97,10 +102,9 @@ def main(argv: list[str] | None = None) -> None:
     if a.format == "json":
         rows.write.mode("errorifexists").json(a.out)
     else:
-        blocks = full_report(rows, is_book=F.col("is_book")).orderBy("file", "pos").select("block")
-        lines = header(summary(rows)).orderBy("ord").select("line").coalesce(1)  # ten rows
-        lines.write.text(a.out)
-        blocks.write.mode("append").text(a.out)
+        head = header(summary(rows)).select(F.lit(0).alias("part"), F.lit("").alias("file"), F.col("ord").alias("pos"), "line")
+        blocks = full_report(rows, is_book=F.col("is_book")).select(F.lit(1).alias("part"), "file", F.col("pos").cast("int").alias("pos"), F.col("block").alias("line"))
+        head.union(blocks).orderBy("part", "file", "pos").select("line").write.text(a.out)
     for r in summary_lines(summary(rows)).orderBy("ord").collect():  # six rows
         print(r.line)
 

@@ -6,6 +6,9 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -22,8 +25,28 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{at.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+#: Paths written since the innermost `scratch` began; none outside of one.
+_PATHS: ContextVar[list[str] | None] = ContextVar("paths", default=None)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """What `written` leaves within goes at the end: for work whose results are out by then, such as a batch of a stream or a command."""
+    paths: list[str] = []
+    token = _PATHS.set(paths)
+    try:
+        yield
+    finally:
+        _PATHS.reset(token)
+        for p in paths:
+            path = spark._jvm.org.apache.hadoop.fs.Path(p)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in the shared folder: found once, however often it is read."""
+    """df as a Parquet table in the shared folder: found once, however often it is read. It stays there, but within `scratch`."""
     path = shared_path(df.sparkSession, name)
+    if (paths := _PATHS.get()) is not None:
+        paths.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

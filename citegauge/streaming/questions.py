@@ -12,7 +12,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.text import search_key
 from ..operators.catalogue import SEARCH, first_strategy, index, search
-from ..sources.storage import written
+from ..sources.storage import scratch, written
 
 ANSWERS = "question string, span_start timestamp, paper_id {id}, strategy int, batch long"
 ASKED = "question string, span_start timestamp, batch long"
@@ -40,10 +40,11 @@ def start(spark: SparkSession, questions_dir: str, schema, papers: DataFrame, se
     at = index(catalogue)
 
     def each(batch: DataFrame, number: int) -> None:
-        asked = written(batch.select(F.monotonically_increasing_id().alias("ref_id"), "question", F.col("span.start").alias("span_start"), "title", "authors", "year", F.lit(None).cast("string").alias("doi")), "asked")
-        found = first_strategy(search(asked, catalogue, searches.cast(f"array<{SEARCH}>"), at=at))
-        asked.join(found, "ref_id").select("question", "span_start", "paper_id", "strategy").write.mode("overwrite").parquet(f"{out_dir}/answers/batch={number}")
-        asked.select("question", "span_start").write.mode("overwrite").parquet(f"{out_dir}/asked/batch={number}")
+        with scratch(spark):
+            asked = written(batch.select(F.monotonically_increasing_id().alias("ref_id"), "question", F.col("span.start").alias("span_start"), "title", "authors", "year", F.lit(None).cast("string").alias("doi")), "asked")
+            found = first_strategy(search(asked, catalogue, searches.cast(f"array<{SEARCH}>"), at=at))
+            asked.join(found, "ref_id").select("question", "span_start", "paper_id", "strategy").write.mode("overwrite").parquet(f"{out_dir}/answers/batch={number}")
+            asked.select("question", "span_start").write.mode("overwrite").parquet(f"{out_dir}/asked/batch={number}")
 
     questions = keyed(spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(questions_dir).withWatermark("asked_at", span), span)
     once = questions.select("question", "span", "title", "authors", "year").dropDuplicates(["question", "span"])  # one column of event time

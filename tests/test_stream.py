@@ -38,3 +38,18 @@ def test_equal_questions_are_asked_once_a_span(spark, tmp_path):
     batch = K.first_strategy(K.search(rows.select(F.col("question_id").alias("ref_id"), "title", "authors", "year"), papers, K.dblp_searches()))
     want = {r.ref_id: (r.paper_id, r.strategy) for r in batch.collect()}
     assert {k: v for k, v in want.items() if k != 81} == got and 81 in want and got[82] == got[61]
+
+
+def test_scratch_is_cleared(spark, tmp_path):
+    from citegauge.sources.storage import scratch, written
+
+    kept = written(spark.range(3), "kept")
+    with scratch(spark):
+        gone = written(spark.range(3), "gone")
+        path = gone.inputFiles()[0]
+        with scratch(spark):
+            inner = written(spark.range(2), "inner").inputFiles()[0]
+        assert gone.count() == 3
+    from pathlib import Path
+
+    assert kept.count() == 3 and not any(Path(p.removeprefix("file://")).exists() for p in (path, inner))
