@@ -78,19 +78,27 @@ ALIKE, ALIKE_BESIDE = 5, 3
 SEARCHED = 5
 
 
-def similar_titles(left: DataFrame, right: DataFrame, tenths: int, beside: tuple[str, ...] = ()) -> DataFrame:
+def title_words(*tables: DataFrame) -> DataFrame:
+    """(t, words): the distinct titles of tables and their distinct words, from the rarest on."""
+    titles = tables[0].select(F.col("title").alias("t"))
+    for d in tables[1:]:
+        titles = titles.union(d.select(F.col("title").alias("t")))
+    word = titles.distinct().withColumn("words", distinct_words(F.col("t"))).where("size(words) > 0").select("t", F.explode("words").alias("word"))
+    often = word.groupBy("word").agg(F.count("*").alias("n"))
+    ordered = word.join(often, "word").groupBy("t").agg(F.array_sort(F.collect_list(F.struct("n", "word"))).alias("o"))
+    return ordered.select("t", F.transform("o", lambda x: x["word"]).alias("words"))
+
+
+def similar_titles(left: DataFrame, right: DataFrame, tenths: int, beside: tuple[str, ...] = (), words: DataFrame | None = None) -> DataFrame:
     """(l_title, r_title, *beside) of distinct titles whose words have a Jaccard similarity of tenths / 10 or more, each pair once.
 
     Words are ordered from the rarest on. Two such sets share a word among the first n - ceil(tenths n / 10) + 1 of their n, so only
     these are joined: exact, and common words are joined only where a title has no others. Columns `beside` must be equal, too.
+    words: `title_words` of these tables and any more.
     """
-    both = left.select(F.col("title").alias("t")).union(right.select(F.col("title").alias("t"))).distinct().withColumn("words", distinct_words(F.col("t"))).where("size(words) > 0")
-    word = both.select("t", F.explode("words").alias("word"))
-    often = word.groupBy("word").agg(F.count("*").alias("n"))
-    ordered = word.join(often, "word").groupBy("t").agg(F.array_sort(F.collect_list(F.struct("n", "word"))).alias("o"))
-    n = F.size("o")
-    first = F.transform(F.slice("o", F.lit(1), (n - F.ceil(n * tenths / F.lit(10.0)) + 1).cast("int")), lambda x: x["word"])
-    forms = ordered.select("t", F.transform("o", lambda x: x["word"]).alias("words"), first.alias("first"))
+    n = F.size("words")
+    first = F.slice("words", F.lit(1), (n - F.ceil(n * tenths / F.lit(10.0)) + 1).cast("int"))
+    forms = (title_words(left, right) if words is None else words).select("t", "words", first.alias("first"))
 
     def side(rows: DataFrame, mark: str) -> DataFrame:
         keys = rows.select("title", *beside).distinct().join(forms, F.col("title") == F.col("t"))
@@ -108,16 +116,17 @@ def block(refs: DataFrame, papers: DataFrame) -> DataFrame:
     """Candidates (ref_id, paper_id, rank), each pair once and none left out: by equal DOI (1), equal title (2), titles that share
     half of their words (3), or a first author's surname, a year at most one apart and three tenths of the words (4)."""
     key = lambda d: d.select("*", normalise_doi(F.col("doi")).alias("k_doi"), F.lower(F.trim("title")).alias("k_title"), surname(F.get("authors", F.lit(0))).alias("k_name"))
-    r = key(refs).select("ref_id", "title", "k_doi", "k_title", "k_name", "year")
-    p = key(papers).select("paper_id", "title", "k_doi", "k_title", "k_name", "year")
+    r = written(key(refs).select("ref_id", "title", "k_doi", "k_title", "k_name", "year"), "ref-keys")  # read for each kind of key
+    p = written(key(papers).select("paper_id", "title", "k_doi", "k_title", "k_name", "year"), "paper-keys")
     found = lambda rows, rank: rows.select("ref_id", "paper_id", F.lit(rank).alias("rank"))
     by_doi = found(r.where("k_doi <> ''").select("ref_id", "k_doi").join(p.select("paper_id", "k_doi"), "k_doi"), 1)
     by_title = found(r.where("k_title <> ''").select("ref_id", "k_title").join(p.select("paper_id", "k_title"), "k_title"), 2)
     of_ref, of_paper = r.where("title is not null"), p.where("title is not null")
-    alike = similar_titles(of_ref, of_paper, ALIKE).where("lower(trim(l_title)) <> lower(trim(r_title))")
+    words = written(title_words(of_ref, of_paper), "title-words")
+    alike = similar_titles(of_ref, of_paper, ALIKE, words=words).where("lower(trim(l_title)) <> lower(trim(r_title))")
     by_words = found(of_ref.select("ref_id", F.col("title").alias("l_title")).join(alike, "l_title").join(of_paper.select("paper_id", F.col("title").alias("r_title")), "r_title"), 3)
     near = of_ref.where("k_name <> '' and year is not null").select("ref_id", "title", "k_name", F.explode(F.array(F.col("year") - 1, F.col("year"), F.col("year") + 1)).alias("year"))
-    beside = similar_titles(near, of_paper, ALIKE_BESIDE, ("k_name", "year")).where("lower(trim(l_title)) <> lower(trim(r_title))")
+    beside = similar_titles(near, of_paper, ALIKE_BESIDE, ("k_name", "year"), words).where("lower(trim(l_title)) <> lower(trim(r_title))")
     by_name = near.withColumnRenamed("title", "l_title").join(beside, ["l_title", "k_name", "year"]).join(of_paper.select("paper_id", "k_name", "year", F.col("title").alias("r_title")), ["r_title", "k_name", "year"])
     return by_doi.union(by_title).union(by_words).union(found(by_name, 4)).groupBy("ref_id", "paper_id").agg(F.min("rank").alias("rank"))
 
