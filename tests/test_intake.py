@@ -57,6 +57,21 @@ def test_title_repair(spark):
     assert [r.got for r in got] == [r.want for r in got]
 
 
+def test_closed_entities(spark, tmp_path):
+    """Titles cut within an entity: the query decodes what a semicolon ends, as its SQL does; the operator also takes old names without one."""
+    from oracle import TABLES, assert_same
+
+    from citegauge.plans import QUERIES, SQL
+
+    rows = [(k, f"<title>{t}</title>") for k, t in enumerate(["a &amp;&amp", "b &amp", "c &ampx", "d &#233", "e &lt;&gt", "f &amp;amp;", "g &", "h &quot;x"])]
+    pages = spark.createDataFrame(rows, "page_id long, html string")
+    for t in TABLES:
+        (pages if t == "pages" else spark.range(0)).toPandas().to_parquet(f"{tmp_path}/{t}.parquet")
+    got = assert_same(spark, QUERIES["title_repair_html"], SQL["title_repair_html"], str(tmp_path))
+    assert "a &&amp" in {t.split("+")[0] for t in got["title"]}
+    assert pages.where("page_id = 1").select(repair_title(F.lit("b &amp")).alias("t")).first().t == "b &"
+
+
 RESULTS = """<html><div class="results">
 <div><a href="/2020/123">2020/123</a>
 <span>(<a href="/2020/123.pdf">PDF</a>)</span>
