@@ -219,3 +219,14 @@ def test_rule_engine(spark):
     for row, name, conf, signs, review in rows:
         r = L.classify_rules(spark.createDataFrame([row], kind)).first()
         assert (r.rule_class, r.rule_confidence, ",".join(r.rule_signs), r.rule_review) == (name, pytest.approx(conf), signs, review), row
+
+
+def test_notices_of_one_title_are_one(spark, monkeypatch):
+    """Many notices of a title, and many references with it, meet once; the first notice is found all the same."""
+    seen, near = [], O.near_texts
+    monkeypatch.setattr(O, "near_texts", lambda left, right, ratio: seen.append(right.count()) or near(left, right, ratio))
+    title = "a title of more than twenty letters"
+    n = spark.range(40).selectExpr("concat('10.1/', id) AS doi", f"'{title}' AS title", "'retraction' AS type", "lpad(id, 3, '0') AS notice_doi", "CAST(NULL AS STRING) AS notice_date", "'update-to' AS via")
+    refs = spark.range(30).selectExpr("id AS ref_id", "'' AS doi", f"'{title}' AS title")
+    got = O.retractions(refs, n).collect()
+    assert seen == [1] and len(got) == 30 and {(r.notice_doi, r.by) for r in got} == {("000", "title")}
