@@ -21,6 +21,8 @@ from ..functions.repair import repair_title
 FIELDS = ["raw_text", "title", "venue", "volume", "issue", "pages", "doi", "isbn", "url"]
 _KIND = pa.struct([("pos", pa.int32()), ("authors", pa.list_(pa.string())), ("year", pa.int32()), ("sure", pa.float64()), *[(f, pa.string()) for f in FIELDS]])
 SCHEMA = "pos int, authors array<string>, year int, sure double, " + ", ".join(f"{f} string" for f in FIELDS)
+#: Documents whose references are held as objects at once, whatever the batch.
+READ_AT_ONCE = 256
 #: Title and venue by attribute, best first.
 TITLES, VENUES = [("level", "a"), ("type", "main")], [("level", "j"), ("level", "m"), ("type", "j")]
 
@@ -114,20 +116,22 @@ def read_document(xml: str | None) -> list[dict]:
     return [{"pos": k, **r} for k, r in enumerate(found)]
 
 
+def _read_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The references of documents (doc, xml, rest), a few documents at a time: what is held doesn't grow with the batch."""
+    for batch in (b.slice(at, READ_AT_ONCE) for b in batches for at in range(0, b.num_rows, READ_AT_ONCE)):
+        found = [read_document(x) for x in batch.column("xml").to_pylist()]
+        of = pa.array([i for i, many in enumerate(found) for _ in many or [None]], pa.int64())
+        fields = pa.array([r for many in found for r in many or [{"pos": -1}]], _KIND)
+        empty = pa.compute.equal(fields.field("pos"), -1)
+        rest = pa.compute.if_else(empty, batch.column("rest").take(of), pa.scalar(None, pa.string()))
+        yield pa.RecordBatch.from_arrays([batch.column("doc").take(of), rest, *fields.flatten()], names=["doc", "rest", *[f.name for f in _KIND]])
+
+
 def _read(docs: DataFrame, doc: str, xml: str, text: str | None) -> DataFrame:
     """doc, rest and the fields of each reference; a document without references is one row of pos -1 with its text as rest."""
     rows = docs.select(F.col(doc).alias("doc"), F.col(xml).cast("string").alias("xml"), (F.col(text) if text else F.lit(None)).cast("string").alias("rest"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [read_document(x) for x in batch.column("xml").to_pylist()]
-            of = pa.array([i for i, many in enumerate(found) for _ in many or [None]], pa.int64())
-            fields = pa.array([r for many in found for r in many or [{"pos": -1}]], _KIND)
-            empty = pa.compute.equal(fields.field("pos"), -1)
-            rest = pa.compute.if_else(empty, batch.column("rest").take(of), pa.scalar(None, pa.string()))
-            yield pa.RecordBatch.from_arrays([batch.column("doc").take(of), rest, *fields.flatten()], names=["doc", "rest", *[f.name for f in _KIND]])
-
-    out = rows.mapInArrow(run, f"doc {rows.schema['doc'].dataType.simpleString()}, rest string, {SCHEMA}")
+    out = rows.mapInArrow(_read_batches, f"doc {rows.schema['doc'].dataType.simpleString()}, rest string, {SCHEMA}")
     return out.withColumn("title", repair_title(F.col("title")))
 
 

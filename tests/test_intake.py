@@ -1,12 +1,13 @@
 """TEI documents, title repair and pages of results."""
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from citegauge.__main__ import main
 from citegauge.functions import eprint as E
 from citegauge.functions.repair import repair_title
 from citegauge.sources.preprint_pages import plain_results, preprint_results
-from citegauge.sources.tei import document_references, tei_references, two_passes
+from citegauge.sources.tei import READ_AT_ONCE, _read_batches, document_references, tei_references, two_passes
 
 TEI = """<TEI xmlns="http://www.tei-c.org/ns/1.0"><text><listBibl>
 <biblStruct><analytic><title level="a" type="main" confidence="0.9">SPHINCS <hi>sup+/sup</hi> signatures &amp;amp; more</title>
@@ -32,6 +33,14 @@ def test_tei_documents(spark):
     assert (c.title, c.raw_text, c.year) == ("", "Only raw.", 1987)
 
 
+def test_few_documents_are_read_at_once():
+    n = 2 * READ_AT_ONCE + 5
+    docs = pa.RecordBatch.from_arrays([pa.array(range(n)), pa.array([TEI] * n), pa.array([None] * n, pa.string())], names=["doc", "xml", "rest"])
+    got = list(_read_batches(iter([docs])))
+    assert [b.column("doc").unique().to_pylist() for b in got] == [list(range(a, min(a + READ_AT_ONCE, n))) for a in range(0, n, READ_AT_ONCE)]
+    assert sum(b.num_rows for b in got) == 3 * n
+
+
 def test_text_stands_in_for_tei(spark):
     text = "Body.\nReferences\n[1] A. Lovelace and B. Hopper. A long enough title of a paper. In Proc. of X, 1999.\n[2] too short\n"
     docs = spark.createDataFrame([(1, TEI, text), (2, "<TEI/>", text), (3, None, None), (4, "x", "no such part")], "doc int, xml string, text string")
