@@ -15,6 +15,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,7 +24,11 @@ from .components import linked_rows
 from .tiles import by_tile, fixed, least_labels, own_part, tiled
 
 COSINE, BLOCKS, SEED = 0.9, 4, 29
-CELL_ROWS, TILE_ROWS, MOST_BITS = 4096, 8192, 16
+#: Rows at home in a cell, about, and in a tile of 64 dimensions. Each bit of a cell has less to compare and more guests to send
+#: (36 rows a vector at 4 bits, 240 at 8), so cells are as large as a task holds.
+CELL_ROWS, TILE_ROWS, MOST_BITS = 131_072, 131_072, 16
+#: Guests of a tile that are compared at once.
+GUESTS = 16_384
 
 
 def rotation(d: int) -> np.ndarray:
@@ -70,11 +75,19 @@ def _narrow(x: np.ndarray) -> bytes:
 
 def vectors(payload, dim: int) -> np.ndarray:
     """Rows as doubles, each scaled by a power of two to components below 1: cosines keep every bit and nothing over- or underflows."""
-    data = [np.frombuffer(p, np.float32 if len(p) == 4 * dim else np.float64) for p in payload.to_pylist()]
-    x = np.array(data, np.float64).reshape(-1, dim)
+    width = pa.compute.unique(pa.compute.binary_length(payload)).to_pylist()
+    if len(width) == 1:
+        x = fixed(payload, np.float32 if width[0] == 4 * dim else np.float64, dim).astype(np.float64)
+    else:
+        x = np.array([np.frombuffer(p, np.float32 if len(p) == 4 * dim else np.float64) for p in payload.to_pylist()], np.float64).reshape(-1, dim)
     return np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, initial=0.0))[1][:, None])
 
 
+def cell_bits(n: int) -> int:
+    """Bits of a cell for n vectors."""
+    return int(min(MOST_BITS, max(0, np.ceil(np.log2(max(n, 1) / CELL_ROWS)))))
+
+
 def cells(nodes: DataFrame, bits: int, cosine: float, blocks: int = BLOCKS) -> DataFrame:
     """nodes + block, cell, home, guest: a row for the cell of each block and for each cell that can be reached."""
 
@@ -111,7 +124,7 @@ def joined(placed: DataFrame, bits: int, cosine: float, blocks: int = BLOCKS) ->
             if z - a < 2:
                 continue
             c = {k: v[a:z] for k, v in cols.items()}
-            i, j = _pairs(vectors(t.column("payload").slice(a, z - a), int(c["dim"][0])), c, own[a:z], bits, cosine, blocks)
+            i, j = _pairs(t.column("payload").slice(a, z - a), c, own[a:z], bits, cosine, blocks)
             np.add.at(links, a + i, c["weight"][j])
             np.add.at(links, a + j, c["weight"][i])
             other[a:z] = a + least_labels(z - a, i, j)
@@ -119,49 +132,64 @@ def joined(placed: DataFrame, bits: int, cosine: float, blocks: int = BLOCKS) ->
         node = t.column("node").combine_chunks()
         return pa.table({"node": node.take(pa.array(some)), "other": node.take(pa.array(other[some])), "links": pa.array(links[some])})
 
-    rows = tiled(placed, ["dim", "block", "cell"], "node", TILE_ROWS, guest="guest")
-    return by_tile(rows.drop("__n__"), run, "node binary, other binary, links long")
+    homes = written(placed.where("not guest").groupBy("dim", "block", "cell").agg(F.count("*").alias("homes")), "cells")  # few, so the rows stay where they are
+    known = placed.join(homes, ["dim", "block", "cell"])  # a cell without homes has no pair that counts
+    rows = tiled(known, ["dim", "block", "cell"], "node", F.greatest(F.lit(1024), F.lit(TILE_ROWS * 64) / F.col("dim")), n="homes", guest="guest")
+    return by_tile(rows.drop("homes"), run, "node binary, other binary, links long")
 
 
-def _pairs(raw: np.ndarray, c: dict, own: np.ndarray, bits: int, cosine: float, blocks: int) -> tuple[np.ndarray, np.ndarray]:
-    """Rows (i, j) of the linked pairs that count in this tile; i is at home in the cell."""
-    d, b = raw.shape[1], int(c["block"][0])
-    x = units(raw)
-    y = x @ rotation(d)
+def _pairs(payload: pa.ChunkedArray, c: dict, own: np.ndarray, bits: int, cosine: float, blocks: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows (i, j) of the linked pairs that count in this tile; i is at home in the cell. Guests are taken some at a time."""
+    d, b = int(c["dim"][0]), int(c["block"][0])
     cut = edges(d, blocks)
     widths = np.diff(cut)
     budget = (2 - 2 * cosine) * widths / d
-    mine = y[:, cut[b] : cut[b + 1]].astype(np.float32)
-    half = -0.5 * (mine * mine).sum(axis=1, keepdims=True)
-    ones = np.ones_like(half)
-    left, right = np.hstack([mine, half, ones]), np.hstack([mine, ones, half]).T.copy()
+    turn = rotation(d)
     q = min(bits, int(widths[b]))
-    head = y[:, cut[b] : cut[b] + q]
-    hosts = np.flatnonzero(~c["guest"])
+
+    def side(at: np.ndarray) -> tuple:
+        raw = vectors(payload.take(pa.array(at)), d)
+        y = units(raw) @ turn
+        mine = y[:, cut[b] : cut[b + 1]].astype(np.float32)
+        half = -0.5 * (mine * mine).sum(axis=1, keepdims=True)
+        return raw, np.sqrt((raw * raw).sum(axis=1)), y, mine, half
+
+    hosts, guests = np.flatnonzero(~c["guest"]), np.flatnonzero(c["guest"])
+    if not len(hosts):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    raw, norms, y, mine, half = side(hosts)
+    left = np.hstack([mine, half, np.ones_like(half)])
     got_i, got_j = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    norms = np.sqrt((raw * raw).sum(axis=1))
-    for k in range(0, len(hosts), 256):
-        h = hosts[k : k + 256]
-        near = np.flatnonzero((left[h] @ right) >= -0.5 * budget[b] - 2e-6)
-        if not len(near):
-            continue
-        row, j = np.divmod(near, len(raw))
-        i = h[row]
-        # which pairs this tile has: guests meet the parts at home here, other pairs once
-        keep = np.where(c["guest"][j], own[i], (i < j) & np.where(c["part"][i] == c["part"][j], own[i], True))
-        i, j = i[keep], j[keep]
-        for n in range(0, len(i), 50_000):
-            ii, jj = i[n : n + 50_000], j[n : n + 50_000]
-            ok = (raw[ii] * raw[jj]).sum(axis=1) / (norms[ii] * norms[jj]) >= cosine
-            ii, jj = ii[ok], jj[ok]
-            gap = (y[ii] - y[jj]) ** 2
-            share = np.stack([gap[:, cut[m] : cut[m + 1]].sum(axis=1) - budget[m] for m in range(len(widths))], axis=1)
-            first = np.where((share <= 0).any(axis=1), (share <= 0).argmax(axis=1), share.argmin(axis=1))
-            crossed = (head[ii] > 0) != (head[jj] > 0)
-            reach = (head[ii] ** 2 * crossed).sum(axis=1) <= 0.5 * budget[b] * (1 + 1e-9) + 1e-12
-            count = (first == b) & (~c["guest"][jj] | ~reach | (c["cell"][ii] < c["home"][jj]))
-            got_i.append(ii[count])
-            got_j.append(jj[count])
+    for n in (-1, *range(0, len(guests), GUESTS)):
+        # first the hosts among themselves, then with guests
+        at = hosts if n < 0 else guests[n : n + GUESTS]
+        raw_j, norms_j, y_j, mine_j, half_j = (raw, norms, y, mine, half) if n < 0 else side(at)
+        right = np.hstack([mine_j, np.ones_like(half_j), half_j]).T.copy()
+        for k in range(0, len(hosts), 256):
+            start = k if n < 0 else 0  # of hosts the later ones
+            near = np.flatnonzero((left[k : k + 256] @ right[:, start:]) >= -0.5 * budget[b] - 2e-6)
+            if not len(near):
+                continue
+            row, jj = np.divmod(near, len(at) - start)
+            ii, jj = k + row, start + jj
+            i, j = hosts[ii], at[jj]
+            # which pairs this tile has: guests meet the parts at home here, other pairs once
+            keep = own[i] if n >= 0 else (i < j) & np.where(c["part"][i] == c["part"][j], own[i], True)
+            ii, jj = ii[keep], jj[keep]
+            for m in range(0, len(ii), 50_000):
+                u, v = ii[m : m + 50_000], jj[m : m + 50_000]
+                ok = (raw[u] * raw_j[v]).sum(axis=1) / (norms[u] * norms_j[v]) >= cosine
+                u, v = u[ok], v[ok]
+                i, j = hosts[u], at[v]
+                gap = (y[u] - y_j[v]) ** 2
+                share = np.stack([gap[:, cut[w] : cut[w + 1]].sum(axis=1) - budget[w] for w in range(len(widths))], axis=1)
+                first = np.where((share <= 0).any(axis=1), (share <= 0).argmax(axis=1), share.argmin(axis=1))
+                head, head_j = y[u, cut[b] : cut[b] + q], y_j[v, cut[b] : cut[b] + q]
+                crossed = (head > 0) != (head_j > 0)
+                reach = (head**2 * crossed).sum(axis=1) <= 0.5 * budget[b] * (1 + 1e-9) + 1e-12
+                count = (first == b) & (~c["guest"][j] | ~reach | (c["cell"][i] < c["home"][j]))
+                got_i.append(i[count])
+                got_j.append(j[count])
     return np.concatenate(got_i), np.concatenate(got_j)
 
 
@@ -175,8 +203,7 @@ def embedding_join(rows: DataFrame, cosine: float = COSINE, blocks: int = BLOCKS
     """
     made = written(nodes_of(rows, vec_id, embedding), "vectors")
     classes = written(made.where("node is not null").groupBy("node").agg(F.count("*").alias("weight"), F.min("vec_id").alias("least"), F.first("dim").alias("dim"), F.first("payload").alias("payload")), "classes")
-    n = classes.count()
-    bits = int(min(MOST_BITS, max(0, np.ceil(np.log2(max(n, 1) / CELL_ROWS)))))
+    bits = cell_bits(classes.count())
     found = joined(cells(classes, bits, cosine, blocks), bits, cosine, blocks)
     out = linked_rows(made.select("vec_id", "node"), classes, found, "vec_id")
     return out.select("vec_id", "class_id", "n_links", "component_id", F.col("vec_id").eqNullSafe(F.col("component_id")).alias("kept"))

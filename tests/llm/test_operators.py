@@ -8,6 +8,7 @@ import zlib
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import regex
 from oracle import assert_same
@@ -571,6 +572,21 @@ def test_large_groups_are_tiled(spark, monkeypatch):
         assert r.component_id == 0
 
 
+def test_embeddings_go_to_few_cells(spark, monkeypatch):
+    x = np.random.default_rng(5).normal(size=(300, 64))
+    x[200:] = x[:100] + np.random.default_rng(6).normal(size=(100, 64)) * 0.3
+    nodes = spark.createDataFrame([(bytes([k // 256, k % 256]), 1, 64, v.tobytes()) for k, v in enumerate(x)], "node binary, weight long, dim int, payload binary")
+    assert embedding_join.cells(nodes, embedding_join.cell_bits(600_000), 0.9).count() < 25 * len(x)
+    # a tile's guests are met in any portions
+    rng = np.random.default_rng(7)
+    c = {"dim": np.full(300, 64), "block": np.zeros(300, int), "cell": np.zeros(300, int), "home": np.where(np.arange(300) < 150, 0, 1), "guest": np.arange(300) >= 150, "part": rng.integers(0, 2, 300)}
+    payload, pairs = pa.chunked_array([pa.array([v.tobytes() for v in x])]), []
+    for most in (7, 10_000):
+        monkeypatch.setattr(embedding_join, "GUESTS", most)
+        pairs.append(sorted(zip(*(a.tolist() for a in embedding_join._pairs(payload, c, np.ones(300, bool), 0, 0.9, 1)), strict=True)))
+    assert pairs[0] == pairs[1] == [(i, i + 200) for i in range(100) if x[i] @ x[i + 200] >= 0.9 * np.linalg.norm(x[i]) * np.linalg.norm(x[i + 200])] != []
+
+
 def test_embeddings_of_any_scale(spark):
     rows = [(1, [1e200, 2e200, 0.0]), (2, [1e-200, 2e-200, 0.0]), (3, [2e-200, 1e-200, 0.0]), (4, [5e-324, 1e-323, 0.0]), (5, [1e308, -1e308, 1e308])]
     got = {r.vec_id: r for r in embedding_join.embedding_join(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
